@@ -39,20 +39,20 @@ def targets(sources: DataFrame, weights: list[float], share: float, cap: float)
     return chosen.select("source", "source_size", F.least("_cap", F.coalesce(F.col("_share") * F.col("_w"), F.col("_cap"))).alias("target"))
 
 
-def with_quality(docs: DataFrame, labels: DataFrame, good: float = 2.0, bad: float = 0.5) -> DataFrame:
-    """``docs`` with a sampling weight from their 0/1 quality labels; repeated labels
-    are averaged, documents without one weigh 1. A column named quality is replaced."""
-    seen = labels.filter(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.avg("quality").alias("quality"))
-    weight = F.when(F.col("quality").isNull(), 1.0).otherwise(F.lit(bad) + (good - bad) * F.col("quality"))
-    return docs.drop("quality").join(seen, "doc_id", "left").withColumn("quality", weight)
+def quality_weights(labels: DataFrame, good: float = 2.0, bad: float = 0.5) -> DataFrame:
+    """(doc_id, quality): sampling weights from 0/1 quality labels; repeated labels of
+    a document are averaged."""
+    seen = labels.filter(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.avg("quality").alias("q"))
+    return seen.select("doc_id", (F.lit(bad) + (good - bad) * F.col("q")).alias("quality"))
 
 
-def mix(docs: DataFrame, quality: str | None = None, weights: list[float] | None = None, share: float = 1.5, cap: float = 2.0, seed: int = 0, buckets: int = 512, key: str = "doc_id", text: str = "text", source: str = "source", carry: list[str] = ()) -> DataFrame:
+def mix(docs: DataFrame, quality: DataFrame | None = None, weights: list[float] | None = None, share: float = 1.5, cap: float = 2.0, seed: int = 0, buckets: int = 512, key: str = "doc_id", text: str = "text", source: str = "source", carry: list[str] = ()) -> DataFrame:
     """doc_id, size, source_size, target, taken (words the mix takes of this row, with
     repeats) and copies of every row of ``docs``.
 
-    Columns named in ``carry`` come along as they are. ``quality`` names a positive
-    weight per row, null or not positive counting as 1. The
+    Columns named in ``carry`` come along as they are. ``quality``
+    has one positive weight per (doc_id, quality); documents that it lacks, or whose
+    weight is not positive, weigh 1. The
     draw depends on the key, the text and the seed alone, so reruns agree; rows that
     are repeated in full stand next to each other in the order. A null text has size 0;
     null sources are one source, the last; a source without words has target 0; an
@@ -60,9 +60,13 @@ def mix(docs: DataFrame, quality: str | None = None, weights: list[float] | None
     weights = weights or [5.0, 2.0, 1.0]
     bits = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.coalesce(F.col(key).cast("string"), F.lit("\u0000null")), F.coalesce(F.xxhash64(text), F.lit(0))), 11)
     u = (bits.cast("double") + 0.5) / float(1 << 53)
-    w = F.lit(1.0) if quality is None else F.when(F.col(quality) > 0, F.col(quality).cast("double")).otherwise(1.0)
     kept = [F.col(f"`{c}`").alias(f"kept_{c}") for c in carry]
-    rows = docs.select(F.col(key).alias("doc_id"), F.col(source).alias("source"), F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long").alias("size"), (-F.log(u) / w).alias("draw"), *kept)
+    rows = docs.select(F.col(key).alias("doc_id"), F.col(source).alias("source"), F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long").alias("size"), u.alias("u"), *kept)
+    w = F.lit(1.0)
+    if quality is not None:  # the texts are counted by now and need not move
+        rows = rows.join(quality.select("doc_id", F.col("quality").cast("double").alias("w")), "doc_id", "left")
+        w = F.when(F.col("w") > 0, F.col("w")).otherwise(1.0)
+    rows = rows.withColumn("draw", -F.log("u") / w).drop("u", "w")
     # Ascending in the key; for equal weights the buckets are about equally full.
     rows = as_table(rows.withColumn("bucket", F.floor(F.lit(buckets) * (1 - F.exp(-F.col("draw")))).cast("int")), "mix-keys")
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, langid, mixing, sharding, token_counts, token_files
+from . import bpe, langid, minhash, mixing, sharding, token_counts, token_files
 from .common import table
 
 
@@ -32,9 +32,13 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(mixing.with_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")), "quality")
+    return mixing.mix(table(spark, sf_dir, "documents"), mixing.quality_weights(table(spark, sf_dir, "labels"))).drop("copies")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_binary, op2_language_id, op4_token_counts, op7_rendezvous_sharding, op8_bpe, op9_mixing)}
+def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_binary, op2_language_id, op4_token_counts, op7_rendezvous_sharding, op8_bpe, op9_mixing, op10_minhash)}
 #: None of these can be put as SQL that DuckDB runs over whole tables; they are tested against brute force.
 ORACLE_SQL: dict[str, str] = {}
