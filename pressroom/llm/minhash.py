@@ -155,7 +155,7 @@ def near_duplicates(docs: DataFrame, words: int = 4, percent: int = 80, bands: i
             two = open_at.select("key", F.col("label").alias("lb"), F.col("rep").alias("y"), F.col("n").alias("ny"))
             pairs = meet.join(one, ["key", "la"]).join(two, ["key", "lb"])
         else:  # every member against one pivot of its bucket, another one each turn
-            pivot = open_at.groupBy("key").agg(F.min(F.struct(F.xxhash64("rep", F.lit(turn)) if turn else F.col("rep"), "rep", "n", "label")).alias("p")).select("key", F.col("p.rep").alias("x"), F.col("p.n").alias("nx"), F.col("p.label").alias("la"))
+            pivot = open_at.groupBy("key").agg(F.min(F.struct((F.xxhash64("rep", F.lit(turn)) if turn else F.col("rep")).alias("place"), "rep", "n", "label")).alias("p")).select("key", F.col("p.rep").alias("x"), F.col("p.n").alias("nx"), F.col("p.label").alias("la"))
             pairs = open_at.select("key", F.col("rep").alias("y"), F.col("n").alias("ny"), F.col("label").alias("lb")).join(pivot, "key").filter("la <> lb")
         near = (100 * F.least("nx", "ny") >= percent * F.greatest("nx", "ny"))
         pairs = pairs.filter(near).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
