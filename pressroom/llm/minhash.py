@@ -116,7 +116,7 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", "s", "t").mapInArrow(run, "a long, b long, linked boolean")
 
 
-def near_duplicates(docs: DataFrame, words: int = 4, percent: int = 80, bands: int = 32, rows: int = 4, pivots: int = 4, key: str = "doc_id", text: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: int = 32, rows: int = 4, pivots: int = 4, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row.
 
     32 bands of 4 rows miss a pair of similarity 0.8 with probability 5e-8. Documents

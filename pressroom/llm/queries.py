@@ -48,7 +48,7 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), words=4, percent=80)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_binary, op2_language_id, op3_embedding_dedup, op4_token_counts, op5_substring_dedup, op6_top_k, op7_rendezvous_sharding, op8_bpe, op9_mixing, op10_minhash)}
