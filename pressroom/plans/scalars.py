@@ -148,11 +148,11 @@ def x21_clamped_settings(t: Tables) -> DataFrame:
 
 
 @query(f"""WITH d AS (SELECT doc_id, n_chars, {HEAD.format(n=8)} AS title, text FROM documents),
-  g AS (SELECT doc_id, list_filter([CASE WHEN NOT regexp_matches(title, '(?i)\\b(the|le|der|el)\\b') THEN 'topic' END, CASE WHEN length(title) > 60 THEN 'title' END, CASE WHEN n_chars < 300 THEN 'short' END, CASE WHEN regexp_matches(text, '[0-9]') THEN 'digits' END], lambda x: x IS NOT NULL) AS r FROM d)
+  g AS (SELECT doc_id, list_filter([CASE WHEN NOT regexp_matches(title, '(?i)(^|[ \\n])(the|le|der|el)[ \\n,.]') THEN 'topic' END, CASE WHEN length(title) > 60 THEN 'title' END, CASE WHEN n_chars < 300 THEN 'short' END, CASE WHEN regexp_matches(text, '[0-9]') THEN 'digits' END], lambda x: x IS NOT NULL) AS r FROM d)
   SELECT doc_id, array_to_string(r, ',') AS reasons, len(r) = 0 AS passed FROM g""")
 def x20_script_gates(t: Tables) -> DataFrame:
     title = head(8)
-    reasons = F.array_compact(F.array(F.when(~title.rlike("(?i)\\b(the|le|der|el)\\b"), "topic"), F.when(F.length(title) > 60, "title"), F.when(F.col("n_chars") < 300, "short"), F.when(F.col("text").rlike("[0-9]"), "digits")))
+    reasons = F.array_compact(F.array(F.when(~title.rlike("(?i)(^|[ \\n])(the|le|der|el)[ \\n,.]"), "topic"), F.when(F.length(title) > 60, "title"), F.when(F.col("n_chars") < 300, "short"), F.when(F.col("text").rlike("[0-9]"), "digits")))
     return t.documents.select("doc_id", F.array_join(reasons, ",").alias("reasons"), (F.size(reasons) == 0).alias("passed"))
 
 
