@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import ledger_queries, scalars
+from .plans import ledger_queries, library_queries, scalars
 from .plans.registry import ORACLE_SQL, QUERIES
 
-__all__ = ["ORACLE_SQL", "QUERIES", "ledger_queries", "scalars"]
+__all__ = ["ORACLE_SQL", "QUERIES", "ledger_queries", "library_queries", "scalars"]

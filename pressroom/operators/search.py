@@ -12,7 +12,11 @@ FIELDS = {"subject": 3, "labels": 2, "description": 1}
 
 def asset_tokens(assets: DataFrame, key: str, fields: dict[str, int] = FIELDS) -> DataFrame:
     """(key, token, weight): each folded word of an asset with its best field's weight."""
-    words = [F.transform(F.array_distinct(F.split(fold_match(F.col(f)), " ")), lambda t, w=w: F.struct(t.alias("token"), F.lit(w).alias("weight"))) for f, w in fields.items()]
+
+    def weighted(field: str, weight: int) -> Column:
+        return F.transform(F.array_distinct(F.split(fold_match(F.col(field)), " ")), lambda t: F.struct(t.alias("token"), F.lit(weight).alias("weight")))
+
+    words = [weighted(f, w) for f, w in fields.items()]
     each = assets.select(key, F.explode(F.concat(*words)).alias("t")).select(key, "t.token", "t.weight").filter("token <> ''")
     return each.groupBy(key, "token").agg(F.max("weight").alias("weight"))
 

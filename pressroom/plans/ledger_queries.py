@@ -31,8 +31,8 @@ def a9_upper_median(t: Tables) -> DataFrame:
     return ledgers.upper_median(t.events, "event_type", "value")
 
 
-@query("""WITH a AS (SELECT user_id, event_type, list_position(['signup', 'view', 'click', 'error', 'purchase'], event_type) AS place, CASE WHEN event_type = 'purchase' THEN max(ts) ELSE min(ts) END AS at FROM events GROUP BY 1, 2),
-  s AS (SELECT user_id, event_type AS stage, lead(event_type) OVER w AS next, greatest(0.0, (epoch_us(lead(at) OVER w) - epoch_us(at)) / 1e6) AS seconds FROM a WINDOW w AS (PARTITION BY user_id ORDER BY place)),
+@query("""WITH a AS (SELECT user_id, event_type, list_position(['signup', 'view', 'click', 'error', 'purchase'], event_type) AS place, CASE WHEN event_type = 'purchase' THEN max(ts) ELSE min(ts) END AS moment FROM events GROUP BY 1, 2),
+  s AS (SELECT user_id, event_type AS stage, lead(event_type) OVER w AS next, greatest(0.0, (epoch_us(lead(moment) OVER w) - epoch_us(moment)) / 1e6) AS seconds FROM a WINDOW w AS (PARTITION BY user_id ORDER BY place)),
   k AS (SELECT * FROM s WHERE next IS NOT NULL AND seconds >= 0.5)
   SELECT user_id, stage, next, round(seconds, 6) AS seconds, round(100 * seconds / sum(seconds) OVER (PARTITION BY user_id), 4) AS percent FROM k""")
 def w5_stage_durations(t: Tables) -> DataFrame:
