@@ -17,12 +17,13 @@ def now():
     return F.lit(NOW).cast("timestamp")
 
 
-K = F.get_json_object("props", "$.k").cast("int")
+def k():
+    return F.get_json_object("props", "$.k").cast("int")
 
 
 @query("""SELECT user_id, max_by(event_type, event_id) AS event_type, max_by(CAST(json_extract_string(props, '$.k') AS INTEGER), CASE WHEN CAST(json_extract_string(props, '$.k') AS INTEGER) % 2 = 0 THEN event_id END) FILTER (CAST(json_extract_string(props, '$.k') AS INTEGER) % 2 = 0) AS k FROM events GROUP BY user_id""")
 def a11_ledger_fold(t: Tables) -> DataFrame:
-    rows = t.events.withColumn("k", F.when(K % 2 == 0, K))
+    rows = t.events.withColumn("k", F.when(k() % 2 == 0, k()))
     return ledgers.fold(rows, "user_id", "event_id", ["event_type", "k"])
 
 
@@ -112,13 +113,13 @@ def a24_change_signal(t: Tables) -> DataFrame:
 
 @query("""SELECT event_type AS recorded, CAST(json_extract_string(props, '$.k') AS INTEGER) % 7 AS was_read, count(*) AS n FROM events GROUP BY 1, 2 ORDER BY n DESC, 1, 2 LIMIT 10""")
 def a8_suspicion_pairs(t: Tables) -> DataFrame:
-    return t.events.groupBy(F.col("event_type").alias("recorded"), (K % 7).alias("was_read")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "recorded", "was_read").limit(10)
+    return t.events.groupBy(F.col("event_type").alias("recorded"), (k() % 7).alias("was_read")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "recorded", "was_read").limit(10)
 
 
 @query("""WITH l AS (SELECT user_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS a, CAST(json_extract_string(props, '$.k') AS BIGINT) + 3 AS b FROM events WHERE event_type <> 'error')
   SELECT user_id, count(*) AS batches, CAST(sum(a) AS BIGINT) AS fixed, CAST(sum(b) AS BIGINT) AS seen, round(100.0 * sum(a) / sum(b), 4) AS percent FROM l GROUP BY 1""")
 def a10_log_scrape(t: Tables) -> DataFrame:
-    line = F.when(F.col("event_type") == "error", "Traceback").otherwise(F.concat(F.lit("batch "), "event_id", F.lit(": fixed "), K, F.lit("/"), K + 3))
+    line = F.when(F.col("event_type") == "error", "Traceback").otherwise(F.concat(F.lit("batch "), "event_id", F.lit(": fixed "), k(), F.lit("/"), k() + 3))
     part = [F.regexp_extract("line", r"batch \d+: fixed (\d+)/(\d+)", i).try_cast("long") for i in (1, 2)]
     rows = t.events.select("user_id", line.alias("line")).select("user_id", part[0].alias("a"), part[1].alias("b")).filter("b IS NOT NULL")
     return rows.groupBy("user_id").agg(F.count("*").alias("batches"), F.sum("a").alias("fixed"), F.sum("b").alias("seen"), F.round(100.0 * F.sum("a") / F.sum("b"), 4).alias("percent"))
@@ -149,7 +150,7 @@ def a16_reminders(t: Tables) -> DataFrame:
   SELECT user_id, count(*) AS n_changes, min(slot) AS first_slot FROM a WHERE machine <> human GROUP BY 1""")
 def a17_keyword_edits(t: Tables) -> DataFrame:
     even, odd = F.when(F.col("event_id") % 2 == 0, F.col("event_id")), F.when(F.col("event_id") % 2 == 1, F.col("event_id"))
-    both = t.events.groupBy("user_id", K.alias("slot")).agg(F.max_by("event_type", even).alias("machine"), F.max(even).alias("e"), F.max_by("event_type", odd).alias("human"), F.max(odd).alias("o"))
+    both = t.events.groupBy("user_id", k().alias("slot")).agg(F.max_by("event_type", even).alias("machine"), F.max(even).alias("e"), F.max_by("event_type", odd).alias("human"), F.max(odd).alias("o"))
     diff = both.filter("e IS NOT NULL AND o IS NOT NULL AND machine <> human")
     changes = F.sort_array(F.collect_list(F.struct("slot", "machine", "human")))
     return diff.groupBy("user_id").agg(changes.alias("c")).select("user_id", F.size("c").cast("long").alias("n_changes"), F.col("c")[0]["slot"].alias("first_slot"))
