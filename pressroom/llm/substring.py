@@ -170,7 +170,8 @@ def remove_repeats(docs: DataFrame, window: int = 35, text: str = "text", with_t
     new = ["n_words", "n_removed", "kept_sha256"]
     kept = [c for c in docs.columns if c != text and c not in new]
     spark_hash = F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns if not isinstance(docs.schema[c].dataType, T.MapType)])
-    named = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text}`").alias("t"), spark_hash.alias("rk"), F.coalesce(F.octet_length(text), F.lit(0)).alias("rl"))
+    plain = [f"c{i}" for i in range(len(kept))]  # whatever the names, they meet no working column
+    named = docs.select(*[F.col(f"`{c}`").alias(p) for c, p in zip(kept, plain)], F.col(f"`{text}`").alias("t"), spark_hash.alias("rk"), F.coalesce(F.octet_length(text), F.lit(0)).alias("rl"))
     ranges = repeated_ranges(named.select("rk", "rl", "t").filter("rl > 0"), window, gram)
     schema = T.StructType([*docs.select([F.col(f"`{c}`") for c in kept]).schema.fields, T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_sha256", T.StringType()), *([T.StructField(text, T.StringType())] if with_text else [])])
     width = len(kept)
@@ -198,4 +199,4 @@ def remove_repeats(docs: DataFrame, window: int = 35, text: str = "text", with_t
             yield pa.RecordBatch.from_arrays(cols + ([pa.array(left, pa.string())] if with_text else []), schema.names)
 
     joined = named.join(ranges, ["rk", "rl"], "left")
-    return joined.select(*[F.col(f"`{c}`") for c in kept], "t", "ranges").mapInArrow(run, schema)
+    return joined.select(*plain, "t", "ranges").mapInArrow(run, schema)
