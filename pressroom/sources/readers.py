@@ -18,9 +18,9 @@ def read_ledger(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return rows.filter("_corrupt_record IS NULL").drop("_corrupt_record")
 
 
-def read_docs(spark: SparkSession, path: str, schema: str) -> DataFrame:
+def read_docs(spark: SparkSession, path: str, schema: str, glob: str = "*.json") -> DataFrame:
     """One JSON document per file; the folder names give the day and the video."""
-    rows = spark.read.schema(schema).option("multiLine", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").json(path)
+    rows = spark.read.schema(schema).option("multiLine", True).option("recursiveFileLookup", True).option("pathGlobFilter", glob).json(path)
     p = F.col("_metadata.file_path")
     return rows.select("*", F.regexp_extract(p, "/(\\d{4}-\\d{2}-\\d{2})/", 1).alias("day"), F.regexp_extract(p, "/(video-\\d+[^/]*)/", 1).alias("video"))
 
