@@ -33,14 +33,32 @@ def token_hits(query: Column, word: Column, inside: int, typo: int) -> Column:
     return F.when(query == word, 3).when((F.length(query) >= inside) & word.contains(query), 2).when(near, 1).otherwise(0)
 
 
+def _substrings(word: Column, least: int) -> Column:
+    """All distinct substrings of at least ``least`` letters."""
+    n = F.length(word)
+    starts = F.sequence(F.lit(1), F.greatest(n, F.lit(1)))
+    return F.array_distinct(F.flatten(F.transform(starts, lambda i: F.transform(F.filter(starts, lambda k: (k >= least) & (i + k - 1 <= n)), lambda k: F.substring(word, i, k)))))
+
+
+def _less_one(word: Column) -> Column:
+    """The word, and the word without each one of its letters."""
+    places = F.sequence(F.lit(1), F.greatest(F.length(word), F.lit(1)))
+    return F.array_distinct(F.concat(F.array(word), F.transform(places, lambda i: F.concat(F.substring(word, F.lit(1), i - 1), F.substring(word, i + 1, F.length(word))))))
+
+
 def matches(tokens: DataFrame, asked: DataFrame, key: str, q: str, inside: int, typo: int) -> DataFrame:
     """(query, key, qt, n, points): the best hit of each query word in each asset.
 
     The inexact comparison runs between the distinct words of the queries and the
-    vocabulary, which is far smaller than the assets; an equi-join brings the hits back."""
-    vocabulary = tokens.select("token").distinct()
-    wanted = asked.select("qt").distinct()
-    how = wanted.join(vocabulary, token_hits(F.col("qt"), F.col("token"), inside, typo) > 0).select("qt", "token", token_hits(F.col("qt"), F.col("token"), inside, typo).alias("hit"))
+    vocabulary, which is far smaller than the assets, and by equality alone: a query's
+    word is inside another if it equals one of its substrings, and two words with one
+    typo between them are equal after each loses at most one letter."""
+    vocabulary, wanted = tokens.select("token").distinct(), asked.select("qt").distinct()
+    within = vocabulary.select("token", F.explode(_substrings(F.col("token"), inside)).alias("qt")).join(wanted, "qt")
+    same = vocabulary.select("token", F.col("token").alias("qt")).join(wanted, "qt")
+    near = vocabulary.filter(F.length("token") >= typo).select("token", F.explode(_less_one(F.col("token"))).alias("part")).join(wanted.filter(F.length("qt") >= typo).select("qt", F.explode(_less_one(F.col("qt"))).alias("part")), "part")
+    pairs = within.select("qt", "token").unionByName(same.select("qt", "token")).unionByName(near.select("qt", "token")).distinct()
+    how = pairs.withColumn("hit", token_hits(F.col("qt"), F.col("token"), inside, typo)).filter("hit > 0")
     return asked.join(how, "qt").join(tokens, "token").groupBy(q, key, "qt", "n").agg(F.max(F.col("hit") * F.col("weight")).alias("points"))
 
 
