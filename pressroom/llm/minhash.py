@@ -99,8 +99,31 @@ def _sets(docs: DataFrame, words: int) -> DataFrame:
     return docs.mapInArrow(run, "rep long, shingles binary")
 
 
+def _shared_sizes(sets: DataFrame) -> DataFrame:
+    """(rep, shared): how many shingles of each set some other candidate has too. Two
+    sets cannot have more in common than the smaller of these numbers, which rules out
+    most pairs of copies that were edited in different places before they are made."""
+
+    def run(batches):
+        for batch in batches:
+            for i, x in enumerate(batch.column(1)):
+                s = np.frombuffer(x.as_buffer(), np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(s), batch.column(0)[i].as_py())), pa.array(s)], ["rep", "h"])
+
+    each = sets.mapInArrow(run, "rep long, h long").groupBy("h").agg(F.min("rep").alias("rep"), F.max("rep").alias("other"))
+    alone = each.filter("rep = other").groupBy("rep").agg(F.count("*").alias("alone"))
+    sizes = sets.groupBy("rep").agg(F.sum(F.octet_length("shingles") / 8).cast("long").alias("all"))
+    return sizes.join(alone, "rep", "left").select("rep", (F.col("all") - F.coalesce("alone", F.lit(0))).alias("shared"))
+
+
+def _possible(percent: int, n1, n2, shared1, shared2):
+    """Whether sets of these sizes and shared sizes can reach the similarity."""
+    most = F.least(F.col(shared1), F.col(shared2), F.col(n1), F.col(n2))
+    return 100 * most >= percent * (F.col(n1) + F.col(n2) - most)
+
+
 def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """``pairs`` (a, b) with linked: percent * union <= 100 * intersection."""
+    """The pairs (a, b, la, lb) with percent * union <= 100 * intersection, as (la, lb)."""
 
     def run(batches):
         for batch in batches:
@@ -109,66 +132,81 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 s, t = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
                 both = len(np.intersect1d(s, t, assume_unique=True))
                 linked.append(100 * both >= percent * (len(s) + len(t) - both))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(linked, pa.bool_())], ["a", "b", "linked"])
+            keep = pa.array(linked, pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(keep) for c in (0, 1)], ["a", "b"])
 
     left = pairs.join(sets.select(F.col("rep").alias("b"), F.col("shingles").alias("t")), "b")
     both = left.join(sets.select(F.col("rep").alias("a"), F.col("shingles").alias("s")), "a")
-    return both.select("a", "b", "s", "t").mapInArrow(run, "a long, b long, linked boolean")
+    return both.select("la", "lb", "s", "t").mapInArrow(run, "a long, b long")
+
+
+def _pivot_pairs(at: DataFrame, turn: int, percent: int) -> DataFrame:
+    """Each member of a bucket with one pivot of the bucket, another one each turn."""
+    place = F.xxhash64("rep", F.lit(turn)) if turn else F.col("rep")
+    pivot = at.groupBy("key").agg(F.min(F.struct(place.alias("place"), "rep", "n", "shared", "label")).alias("p"))
+    pivot = pivot.select("key", F.col("p.rep").alias("x"), F.col("p.n").alias("nx"), F.col("p.shared").alias("sx"), F.col("p.label").alias("la"))
+    rest = at.select("key", F.col("rep").alias("y"), F.col("n").alias("ny"), F.col("shared").alias("sy"), F.col("label").alias("lb"))
+    return rest.join(pivot, "key").filter((F.col("la") != F.col("lb")) & _possible(percent, "nx", "ny", "sx", "sy"))
+
+
+def _cross_pairs(at: DataFrame, percent: int) -> DataFrame:
+    """Members of a bucket in different components, by way of the pairs of components
+    whose sizes can meet the threshold."""
+    groups = at.groupBy("key", "label").agg(F.min("n").alias("n"), F.max("n").alias("m"), F.max("shared").alias("s"))
+    one, two = (groups.select("key", *[F.col(c).alias(c + side) for c in ("label", "n", "m", "s")]) for side in ("1", "2"))
+    sizes = (100 * F.col("m1") >= percent * F.col("n2")) & (100 * F.col("m2") >= percent * F.col("n1"))
+    most = F.least("s1", "s2")
+    meet = one.join(two, "key").filter((F.col("label1") < F.col("label2")) & sizes & (100 * most >= percent * (F.col("n1") + F.col("n2") - most)))
+    meet = meet.select("key", F.col("label1").alias("la"), F.col("label2").alias("lb"))
+    x = at.select("key", F.col("label").alias("la"), F.col("rep").alias("x"), F.col("n").alias("nx"), F.col("shared").alias("sx"))
+    y = at.select("key", F.col("label").alias("lb"), F.col("rep").alias("y"), F.col("n").alias("ny"), F.col("shared").alias("sy"))
+    return meet.join(x, ["key", "la"]).join(y, ["key", "lb"]).filter(_possible(percent, "nx", "ny", "sx", "sy"))
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: int = 32, rows: int = 4, pivots: int = 4, key: str = "doc_id", text: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: int = 42, rows: int = 5, pivots: int = 2, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row.
 
-    32 bands of 4 rows miss a pair of similarity 0.8 with probability 5e-8. Documents
+    42 bands of 5 rows miss a pair of similarity 0.8 with probability 6e-8. Documents
     without words, and rows with a null id, are linked with nothing and kept. Rows that
     share an id are one node. Equal texts always share a component; ties go to the
     smallest id; an empty table gives no rows; other columns are not read."""
     sketch = as_table(sketches(docs, words, bands, rows, key, text), "sketches")
     usable = sketch.filter("n > 0 AND doc_id IS NOT NULL")
-    reps = usable.groupBy("name").agg(F.min("doc_id").alias("rep"))
-    copies = usable.select("doc_id", "name").join(reps, "name").filter("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    nodes = usable.join(reps, "name").filter("doc_id = rep").select("rep", "n", F.explode("bands").alias("key")).distinct()
-    nodes = as_table(nodes, "buckets-all")
-    full = nodes.groupBy("key").agg(F.count("*").alias("members")).filter("members > 1").select("key")
-    buckets = as_table(nodes.join(full, "key"), "buckets")
-    wanted = buckets.select(F.col("rep").alias("doc_id")).distinct()
+    equal = as_table(usable.groupBy("name").agg(F.min(F.struct("doc_id", "n", "bands")).alias("m")).select("name", F.col("m.doc_id").alias("rep"), "m.n", "m.bands"), "equal-sets")
+    nodes = equal.select("rep", "n", F.explode("bands").alias("key"))
+    # As a table of its own, so that the join has two plain sides and a hot bucket can be split.
+    full = as_table(nodes.groupBy("key").agg(F.count("*").alias("members")).filter("members > 1").select("key"), "full-buckets")
+    at = as_table(nodes.join(full, "key").withColumn("label", F.col("rep")), "buckets")
+    wanted = at.select(F.col("rep").alias("doc_id")).distinct()
     texts = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("t")).join(wanted, "doc_id", "left_semi")
     # Rows that share an id have several sets; each is compared.
     sets = as_table(_sets(texts, words), "sets")
+    shared = _shared_sizes(sets)
+    at = at.join(shared, "rep").filter(100 * F.col("shared") >= percent * F.col("n"))
 
-    labels, links, tried = None, copies, None
+    steps = []  # maps from the labels of one turn to those of the next
     for turn in range(pivots + 1):
-        at = buckets if labels is None else buckets.join(labels, buckets["rep"] == labels["node"], "left").select("key", "rep", "n", F.coalesce("label", "rep").alias("label"))
-        if labels is None:
-            at = at.withColumn("label", F.col("rep"))
-        groups = at.groupBy("key", "label").agg(F.count("*").alias("g"))
-        cross = groups.groupBy("key").agg(F.count("*").alias("labels"), F.sum("g").alias("m"), F.sum(F.col("g") * F.col("g")).alias("q")).filter("labels > 1")
-        total = cross.agg(F.sum((F.col("m") * F.col("m") - F.col("q")) / 2).alias("pairs"), F.sum("m").alias("rows")).first()
-        if not total["pairs"]:
+        sizes = at.groupBy("key", "label").agg(F.count("*").alias("g")).groupBy("key").agg(F.count("*").alias("labels"), F.sum("g").alias("m"), F.sum(F.col("g") * F.col("g")).alias("q")).filter("labels > 1")
+        at = as_table(at.join(sizes.select("key", "m", "q"), "key").select("key", "rep", "n", "shared", "label", (F.lit(0.5) * (F.col("m") - F.col("q") / F.col("m"))).alias("pairs")), "open-buckets")
+        total = at.agg(F.sum("pairs").alias("pairs"), F.count("*").alias("rows")).first()
+        if not total["rows"]:
             break
-        open_at = at.join(cross.select("key"), "key")
         last = turn == pivots or total["pairs"] <= 2 * total["rows"]
-        if last:  # every pair of members in different components
-            here = groups.join(cross.select("key"), "key")
-            meet = here.select("key", F.col("label").alias("la")).join(here.select("key", F.col("label").alias("lb")), "key").filter("la < lb")
-            one = open_at.select("key", F.col("label").alias("la"), F.col("rep").alias("x"), F.col("n").alias("nx"))
-            two = open_at.select("key", F.col("label").alias("lb"), F.col("rep").alias("y"), F.col("n").alias("ny"))
-            pairs = meet.join(one, ["key", "la"]).join(two, ["key", "lb"])
-        else:  # every member against one pivot of its bucket, another one each turn
-            pivot = open_at.groupBy("key").agg(F.min(F.struct((F.xxhash64("rep", F.lit(turn)) if turn else F.col("rep")).alias("place"), "rep", "n", "label")).alias("p")).select("key", F.col("p.rep").alias("x"), F.col("p.n").alias("nx"), F.col("p.label").alias("la"))
-            pairs = open_at.select("key", F.col("rep").alias("y"), F.col("n").alias("ny"), F.col("label").alias("lb")).join(pivot, "key").filter("la <> lb")
-        near = (100 * F.least("nx", "ny") >= percent * F.greatest("nx", "ny"))
-        pairs = pairs.filter(near).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        found = as_table(_confirm(pairs, sets, percent), "confirmed")
-        tried = found.select("a", "b") if tried is None else tried.unionByName(found.select("a", "b"))
-        links = links.unionByName(found.filter("linked").select("a", "b"))
-        labels = components(links)
+        at = at.drop("pairs")
+        pairs = _cross_pairs(at, percent) if last else _pivot_pairs(at, turn, percent)
+        pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "la", "lb").dropDuplicates(["a", "b"])
+        step = components(_confirm(pairs, sets, percent))
+        steps.append(step)
         if last:
             break
-    if labels is None:
-        labels = components(links)
-    out = sketch.join(labels, sketch["doc_id"] == labels["node"], "left")
+        at = at.join(step, at["label"] == step["node"], "left").select("key", "rep", "n", "shared", F.coalesce(step["label"], at["label"]).alias("label"))
+
+    # Rows that share an id tie their sets together.
+    ids = equal.select(F.col("rep").alias("label"), "name")
+    for step in steps:
+        ids = ids.join(step.withColumnRenamed("label", "to"), ids["label"] == step["node"], "left").select("name", F.coalesce("to", "label").alias("label"))
+    named = usable.select("doc_id", "name").join(ids, "name")
+    tied = components(named.select(F.col("doc_id").alias("a"), F.col("label").alias("b")))
+    out = sketch.join(tied, sketch["doc_id"] == tied["node"], "left")
     component = F.coalesce(F.col("label"), F.col("doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
