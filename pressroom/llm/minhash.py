@@ -17,10 +17,10 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_table, byte_hashes, mix, prefix_sums, slices, span_hashes, string_bytes, word_spans
+from .common import as_table, byte_hashes, mix, prefix_sums, slices, span_hashes, string_bytes, word_spans, working_tables
 from .components import components
 
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -75,19 +75,40 @@ def band_keys(sig: np.ndarray, rows: int) -> np.ndarray:
     return key.view(np.int64)
 
 
-def sketches(docs: DataFrame, words: int, bands: int, rows: int, key: str, text: str) -> DataFrame:
+PLANES = 3
+
+
+def low_bits(sig: np.ndarray) -> np.ndarray:
+    """The lowest ``PLANES`` bits of every coordinate, bit by bit, 64 to a word."""
+    planes = [np.packbits((sig >> np.uint32(b) & 1).astype(np.uint8), bitorder="little") for b in range(PLANES)]
+    return np.concatenate(planes).view(np.int64)
+
+
+def sketches(docs: DataFrame, words: int, bands: int, rows: int, coordinates: int, key: str, text: str) -> DataFrame:
+    """doc_id, n (set size), name (digest of the set), bands (keys) and bits (the
+    low ones of each coordinate) of every row."""
+
     def run(batches):
         for batch in batches:
-            sizes, names, keys = [], [], []
+            sizes, names, keys, bits = [], [], [], []
             for _, s in shingle_sets(batch.column(1), words):
                 sizes.append(len(s))
-                names.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
-                keys.append(band_keys(signature(s, bands * rows), rows) if len(s) else np.empty(0, np.int64))
+                if not len(s):
+                    names.append(None)
+                    keys.append(np.empty(0, np.int64))
+                    bits.append(np.zeros(PLANES * coordinates // 64, np.int64))
+                    continue
+                sig = signature(s, max(coordinates, bands * rows))
+                names.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
+                keys.append(band_keys(sig[: bands * rows], rows))
+                bits.append(low_bits(sig[:coordinates]))
             bounds = np.concatenate(([0], np.cumsum([len(k) for k in keys])))
-            flat = np.concatenate(keys) if keys else np.empty(0, np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(names, pa.binary()), pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(flat))], ["doc_id", "n", "name", "bands"])
+            flat, low = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (keys, bits))
+            starts = np.arange(len(bits) + 1) * (PLANES * coordinates // 64)
+            lists = [pa.ListArray.from_arrays(pa.array(b, pa.int32()), pa.array(v)) for b, v in ((bounds, flat), (starts, low))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(names, pa.binary()), *lists], ["doc_id", "n", "name", "bands", "bits"])
 
-    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("t")).mapInArrow(run, "doc_id long, n long, name binary, bands array<long>")
+    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("t")).mapInArrow(run, "doc_id long, n long, name binary, bands array<long>, bits array<long>")
 
 
 def _sets(docs: DataFrame, words: int) -> DataFrame:
@@ -116,12 +137,6 @@ def _shared_sizes(sets: DataFrame) -> DataFrame:
     return sizes.join(alone, "rep", "left").select("rep", (F.col("all") - F.coalesce("alone", F.lit(0))).alias("shared"))
 
 
-def _possible(percent: int, n1, n2, shared1, shared2):
-    """Whether sets of these sizes and shared sizes can reach the similarity."""
-    most = F.least(F.col(shared1), F.col(shared2), F.col(n1), F.col(n2))
-    return 100 * most >= percent * (F.col(n1) + F.col(n2) - most)
-
-
 def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b, la, lb) with percent * union <= 100 * intersection, as (la, lb)."""
 
@@ -140,73 +155,97 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.select("la", "lb", "s", "t").mapInArrow(run, "a long, b long")
 
 
-def _pivot_pairs(at: DataFrame, turn: int, percent: int) -> DataFrame:
+def _possible(percent: int, coordinates: int) -> Column:
+    """Whether x and y (columns n1, shared1, bits1 and so on) can reach the similarity:
+    by sizes and shared sizes for certain, and by their sketches but for a chance of
+    4e-8. The low bits of two sets differ in (1 - similarity) (1 - 2**-PLANES) of the
+    coordinates, give or take a binomial error, of which 5.4 deviations are allowed."""
+    most = F.least("shared1", "shared2", "n1", "n2")
+    p = (1 - percent / 100) * (1 - 0.5**PLANES)
+    limit = int(coordinates * p + 5.4 * (coordinates * p * (1 - p)) ** 0.5) + 1
+    words, apart = coordinates // 64, F.lit(0)
+    for i in range(words):
+        differ = F.col("bits1")[i].bitwiseXOR(F.col("bits2")[i])
+        for plane in range(1, PLANES):
+            differ = differ.bitwiseOR(F.col("bits1")[i + plane * words].bitwiseXOR(F.col("bits2")[i + plane * words]))
+        apart = apart + F.bit_count(differ)
+    return (100 * most >= percent * (F.col("n1") + F.col("n2") - most)) & (apart <= limit)
+
+
+_ROW = ["rep", "n", "shared", "label"]
+
+
+def _side(at: DataFrame, side: str, *more: str) -> DataFrame:
+    return at.select("key", *[F.col(c).alias(c + side) for c in (*_ROW, *more)])
+
+
+def _pivot_pairs(at: DataFrame, turn: int, possible: Column) -> DataFrame:
     """Each member of a bucket with one pivot of the bucket, another one each turn."""
     place = F.xxhash64("rep", F.lit(turn)) if turn else F.col("rep")
-    pivot = at.groupBy("key").agg(F.min(F.struct(place.alias("place"), "rep", "n", "shared", "label")).alias("p"))
-    pivot = pivot.select("key", F.col("p.rep").alias("x"), F.col("p.n").alias("nx"), F.col("p.shared").alias("sx"), F.col("p.label").alias("la"))
-    rest = at.select("key", F.col("rep").alias("y"), F.col("n").alias("ny"), F.col("shared").alias("sy"), F.col("label").alias("lb"))
-    return rest.join(pivot, "key").filter((F.col("la") != F.col("lb")) & _possible(percent, "nx", "ny", "sx", "sy"))
-
-
-def _cross_pairs(at: DataFrame, percent: int) -> DataFrame:
-    """Members of a bucket in different components, by way of the pairs of components
-    whose sizes can meet the threshold."""
-    groups = at.groupBy("key", "label").agg(F.min("n").alias("n"), F.max("n").alias("m"), F.max("shared").alias("s"))
-    one, two = (groups.select("key", *[F.col(c).alias(c + side) for c in ("label", "n", "m", "s")]) for side in ("1", "2"))
-    sizes = (100 * F.col("m1") >= percent * F.col("n2")) & (100 * F.col("m2") >= percent * F.col("n1"))
-    most = F.least("s1", "s2")
-    meet = one.join(two, "key").filter((F.col("label1") < F.col("label2")) & sizes & (100 * most >= percent * (F.col("n1") + F.col("n2") - most)))
-    meet = meet.select("key", F.col("label1").alias("la"), F.col("label2").alias("lb"))
-    x = at.select("key", F.col("label").alias("la"), F.col("rep").alias("x"), F.col("n").alias("nx"), F.col("shared").alias("sx"))
-    y = at.select("key", F.col("label").alias("lb"), F.col("rep").alias("y"), F.col("n").alias("ny"), F.col("shared").alias("sy"))
-    return meet.join(x, ["key", "la"]).join(y, ["key", "lb"]).filter(_possible(percent, "nx", "ny", "sx", "sy"))
-
-
-def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: int = 42, rows: int = 5, pivots: int = 2, key: str = "doc_id", text: str = "text") -> DataFrame:
+    pivot = at.groupBy("key").agg(F.min(F.struct(place.alias("place"), *_ROW, "bits")).alias("p")).select("key", *[F.col(f"p.{c}").alias(c + "1") for c in (*_ROW, "bits")])
+    return _side(at, "2", "bits").join(pivot, "key").filter((F.col("label1") != F.col("label2")) & possible)
+
+
+def _cross_pairs(at: DataFrame, possible: Column) -> DataFrame:
+    """Members of a bucket in different components that can reach the similarity, each
+    pair in the first band that they have in common. The largest component of a bucket
+    meets the others, but not itself."""
+    here = F.array_position(F.zip_with("marks1", "marks2", lambda a, b: a == b), True) == F.col("band1") + 1
+    more = ("bits", "marks", "band")
+    main, rest = at.filter("main"), at.filter("NOT main")
+    one = _side(rest, "1", *more).join(_side(rest, "2", *more), "key").filter((F.col("label1") < F.col("label2")) & possible & here)
+    two = _side(main, "1", *more).join(_side(rest, "2", *more), "key").filter(possible & here)
+    return one.unionByName(two)
+
+
+def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: int = 42, rows: int = 5, coordinates: int = 384, pivots: int = 2, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row.
 
     42 bands of 5 rows miss a pair of similarity 0.8 with probability 6e-8. Documents
     without words, and rows with a null id, are linked with nothing and kept. Rows that
     share an id are one node. Equal texts always share a component; ties go to the
     smallest id; an empty table gives no rows; other columns are not read."""
-    sketch = as_table(sketches(docs, words, bands, rows, key, text), "sketches")
-    usable = sketch.filter("n > 0 AND doc_id IS NOT NULL")
-    equal = as_table(usable.groupBy("name").agg(F.min(F.struct("doc_id", "n", "bands")).alias("m")).select("name", F.col("m.doc_id").alias("rep"), "m.n", "m.bands"), "equal-sets")
-    nodes = equal.select("rep", "n", F.explode("bands").alias("key"))
-    # As a table of its own, so that the join has two plain sides and a hot bucket can be split.
-    full = as_table(nodes.groupBy("key").agg(F.count("*").alias("members")).filter("members > 1").select("key"), "full-buckets")
-    at = as_table(nodes.join(full, "key").withColumn("label", F.col("rep")), "buckets")
-    wanted = at.select(F.col("rep").alias("doc_id")).distinct()
-    texts = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("t")).join(wanted, "doc_id", "left_semi")
-    # Rows that share an id have several sets; each is compared.
-    sets = as_table(_sets(texts, words), "sets")
-    shared = _shared_sizes(sets)
-    at = at.join(shared, "rep").filter(100 * F.col("shared") >= percent * F.col("n"))
-
-    steps = []  # maps from the labels of one turn to those of the next
-    for turn in range(pivots + 1):
-        sizes = at.groupBy("key", "label").agg(F.count("*").alias("g")).groupBy("key").agg(F.count("*").alias("labels"), F.sum("g").alias("m"), F.sum(F.col("g") * F.col("g")).alias("q")).filter("labels > 1")
-        at = as_table(at.join(sizes.select("key", "m", "q"), "key").select("key", "rep", "n", "shared", "label", (F.lit(0.5) * (F.col("m") - F.col("q") / F.col("m"))).alias("pairs")), "open-buckets")
-        total = at.agg(F.sum("pairs").alias("pairs"), F.count("*").alias("rows")).first()
-        if not total["rows"]:
-            break
-        last = turn == pivots or total["pairs"] <= 2 * total["rows"]
-        at = at.drop("pairs")
-        pairs = _cross_pairs(at, percent) if last else _pivot_pairs(at, turn, percent)
-        pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "la", "lb").dropDuplicates(["a", "b"])
-        step = components(_confirm(pairs, sets, percent))
-        steps.append(step)
-        if last:
-            break
-        at = at.join(step, at["label"] == step["node"], "left").select("key", "rep", "n", "shared", F.coalesce(step["label"], at["label"]).alias("label"))
-
-    # Rows that share an id tie their sets together.
-    ids = equal.select(F.col("rep").alias("label"), "name")
-    for step in steps:
-        ids = ids.join(step.withColumnRenamed("label", "to"), ids["label"] == step["node"], "left").select("name", F.coalesce("to", "label").alias("label"))
-    named = usable.select("doc_id", "name").join(ids, "name")
-    tied = components(named.select(F.col("doc_id").alias("a"), F.col("label").alias("b")))
-    out = sketch.join(tied, sketch["doc_id"] == tied["node"], "left")
-    component = F.coalesce(F.col("label"), F.col("doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    with working_tables(docs.sparkSession):
+        sketch = as_table(sketches(docs, words, bands, rows, coordinates, key, text), "sketches")
+        usable = sketch.filter("n > 0 AND doc_id IS NOT NULL")
+        equal = as_table(usable.groupBy("name").agg(F.min(F.struct("doc_id", "n", "bands", "bits")).alias("m")).select("name", F.col("m.doc_id").alias("rep"), "m.n", "m.bands", "m.bits"), "equal-sets")
+        nodes = equal.select("rep", "n", F.posexplode("bands").alias("band", "key"))
+        # As a table of its own, so that the join has two plain sides and a hot bucket can be split.
+        full = as_table(nodes.groupBy("key").agg(F.count("*").alias("members")).filter("members > 1").select("key"), "full-buckets")
+        at = as_table(nodes.join(full, "key"), "buckets")
+        wanted = at.select(F.col("rep").alias("doc_id")).distinct()
+        texts = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("t")).join(wanted, "doc_id", "left_semi")
+        # Rows that share an id have several sets; each is compared.
+        sets = as_table(_sets(texts, words), "sets")
+        shared = _shared_sizes(sets)
+        more = as_table(equal.join(shared, "rep").filter(100 * F.col("shared") >= percent * F.col("n")).select("rep", "n", "shared", "bits", F.transform("bands", lambda b: F.shiftright(b, 32).cast("int")).alias("marks")), "candidates")
+        at = at.join(more.select("rep", "n", "shared"), ["rep", "n"]).withColumn("label", F.col("rep"))
+        possible = _possible(percent, coordinates)
+
+        steps = []  # maps from the labels of one turn to those of the next
+        for turn in range(pivots + 1):
+            sizes = at.groupBy("key", "label").agg(F.count("*").alias("g")).groupBy("key").agg(F.count("*").alias("labels"), F.sum("g").alias("m"), F.sum(F.col("g") * F.col("g")).alias("q"), F.max(F.struct("g", "label")).alias("top")).filter("labels > 1")
+            at = as_table(at.join(sizes.select("key", "m", "q", F.col("top.label").alias("top")), "key").select("key", "band", *_ROW, (F.col("label") == F.col("top")).alias("main"), (F.lit(0.5) * (F.col("m") - F.col("q") / F.col("m"))).alias("pairs")), "open-buckets")
+            total = at.agg(F.sum("pairs").alias("pairs"), F.count("*").alias("rows")).first()
+            if not total["rows"]:
+                break
+            last = turn == pivots or total["pairs"] <= 2 * total["rows"]
+            at = at.drop("pairs")
+            wide = at.join(more.select("rep", "n", "bits", *(["marks"] if last else [])), ["rep", "n"])
+            pairs = _cross_pairs(wide, possible) if last else _pivot_pairs(wide, turn, possible)
+            pairs = pairs.select(F.least("rep1", "rep2").alias("a"), F.greatest("rep1", "rep2").alias("b"), F.col("label1").alias("la"), F.col("label2").alias("lb")).dropDuplicates(["a", "b"])
+            step = components(_confirm(pairs, sets, percent))
+            steps.append(step)
+            if last:
+                break
+            at = at.join(step, at["label"] == step["node"], "left").select("key", "band", "rep", "n", "shared", F.coalesce(step["label"], at["label"]).alias("label"))
+
+        # Rows that share an id tie their sets together.
+        ids = equal.select(F.col("rep").alias("label"), "name")
+        for step in steps:
+            ids = ids.join(step.withColumnRenamed("label", "to"), ids["label"] == step["node"], "left").select("name", F.coalesce("to", "label").alias("label"))
+        named = usable.select("doc_id", "name").join(ids, "name")
+        tied = components(named.select(F.col("doc_id").alias("a"), F.col("label").alias("b")))
+        out = sketch.join(tied, sketch["doc_id"] == tied["node"], "left")
+        component = F.coalesce(F.col("label"), F.col("doc_id"))
+        return as_table(out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept")), "near-duplicates", keep=True)
