@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import as_table, byte_hashes, input_partitions, mix, prefix_sums, slices, span_hashes, string_bytes, word_spans
+from .common import as_table, byte_hashes, input_partitions, mix, prefix_sums, slices, span_hashes, string_bytes, word_spans, working_tables
 from .fm_index import FMIndex
 
 _PLACE = np.uint64((1 << 28) - 1)
@@ -54,7 +54,7 @@ def _words(part: np.ndarray, offs: np.ndarray):
     return hashes, owner, np.searchsorted(owner, np.arange(len(offs)))
 
 
-def _occurrences(texts: DataFrame, window: int, gram: int, most: int = 3 << 20) -> DataFrame:
+def _occurrences(texts: DataFrame, window: int, gram: int, most: int = 1_000_000) -> DataFrame:
     def run(batches):
         for batch in batches:
             data, offsets = string_bytes(batch.column(2))
@@ -70,7 +70,7 @@ def _occurrences(texts: DataFrame, window: int, gram: int, most: int = 3 << 20)
     return texts.select("rk", "rl", "t").mapInArrow(run, "h long, content long, rk long, rl int, first int, last int")
 
 
-def _contents(wanted: DataFrame, window: int, most: int = 3 << 20) -> DataFrame:
+def _contents(wanted: DataFrame, window: int, most: int = 1_000_000) -> DataFrame:
     """Word hashes of the wanted segments of each text; those of crowded anchors cut
     into their windows, with the window's hash as the place to go to."""
     names = ["route", "tag", "h", "content", "shift", "n", "words"]
@@ -140,23 +140,24 @@ def _search(shards: DataFrame, window: int) -> DataFrame:
 def repeated_ranges(texts: DataFrame, window: int = 35, gram: int = 6, crowd: int = 48, shard_words: int = 400_000) -> DataFrame:
     """``texts`` (rk, rl, t: two columns that name the row, and its text) to (rk, rl,
     ranges): the word ranges [from, to) that repeated windows cover."""
-    spark = texts.sparkSession
-    found = as_table(_occurrences(texts, window, gram), "segments")
-    again = found.groupBy("h").agg(F.count("*").alias("c")).filter("c > 1").select("h")
-    repeated = as_table(found.join(again, "h"), "segments-again")
-    groups = repeated.groupBy("h", "content").agg(F.count("*").alias("n"), F.min(F.struct("rk", "rl", "first", "last")).alias("at"))
-    kinds = repeated.select("h", "content").distinct().groupBy("h").agg((F.count("*") > crowd).alias("crowded"))
-    lists = groups.join(kinds, "h").groupBy("at.rk", "at.rl").agg(F.collect_list(F.struct("h", "content", "n", "crowded", F.col("at.first").alias("first"), F.col("at.last").alias("last"))).alias("list"))
-    wanted = texts.join(lists, ["rk", "rl"]).select("t", "list")
-    pieces = as_table(_contents(wanted, window), "segment-words")
-    words = pieces.agg(F.sum(F.octet_length("words") / 8)).first()[0] or 0
-    merged = pieces.groupBy("route", "tag").agg(F.sum("n").alias("n"), F.first("words").alias("words"))
-    shards = merged.select("route", "tag", "n", "words").repartition(max(input_partitions(texts), int(words / shard_words) + 1), "route")
-    hits = as_table(_search(shards, window), "segment-hits")
-    light = pieces.filter("shift < 0").select("route", "tag", "h", "content").join(hits, ["route", "tag"]).select("h", "content", "from", "to")
-    heavy = pieces.filter("shift >= 0").select("route", "tag", "h", "content", "shift").join(hits.select("route", "tag"), ["route", "tag"]).select("h", "content", F.col("shift").alias("from"), F.col("shift").alias("to"))
-    ranges = repeated.join(light.unionByName(heavy).distinct(), ["h", "content"]).select("rk", "rl", (F.col("first") + F.col("from")).alias("from"), (F.col("first") + F.col("to") + window).alias("to"))
-    return ranges.groupBy("rk", "rl").agg(F.collect_list(F.struct("from", "to")).alias("ranges"))
+    with working_tables(texts.sparkSession):
+        found = as_table(_occurrences(texts, window, gram), "segments")
+        # As a table of its own, so that the join below has two plain sides and a hot anchor can be split.
+        again = as_table(found.groupBy("h").agg(F.count("*").alias("c")).filter("c > 1").select("h"), "anchors-again")
+        repeated = as_table(found.join(again, "h"), "segments-again")
+        groups = repeated.groupBy("h", "content").agg(F.count("*").alias("n"), F.min(F.struct("rk", "rl", "first", "last")).alias("at"))
+        kinds = repeated.select("h", "content").distinct().groupBy("h").agg((F.count("*") > crowd).alias("crowded"))
+        lists = groups.join(kinds, "h").groupBy("at.rk", "at.rl").agg(F.collect_list(F.struct("h", "content", "n", "crowded", F.col("at.first").alias("first"), F.col("at.last").alias("last"))).alias("list"))
+        wanted = texts.join(lists, ["rk", "rl"]).select("t", "list")
+        pieces = as_table(_contents(wanted, window), "segment-words")
+        words = pieces.agg(F.sum(F.octet_length("words") / 8)).first()[0] or 0
+        merged = pieces.groupBy("route", "tag").agg(F.sum("n").alias("n"), F.first("words").alias("words"))
+        shards = merged.select("route", "tag", "n", "words").repartition(max(input_partitions(texts), int(words / shard_words) + 1), "route")
+        hits = as_table(_search(shards, window), "segment-hits")
+        light = pieces.filter("shift < 0").select("route", "tag", "h", "content").join(hits, ["route", "tag"]).select("h", "content", "from", "to")
+        heavy = pieces.filter("shift >= 0").select("route", "tag", "h", "content", "shift").join(hits.select("route", "tag"), ["route", "tag"]).select("h", "content", F.col("shift").alias("from"), F.col("shift").alias("to"))
+        ranges = repeated.join(light.unionByName(heavy).distinct(), ["h", "content"]).select("rk", "rl", (F.col("first") + F.col("from")).alias("from"), (F.col("first") + F.col("to") + window).alias("to"))
+        return as_table(ranges.groupBy("rk", "rl").agg(F.collect_list(F.struct("from", "to")).alias("ranges")), "repeated-ranges", keep=True)
 
 
 def remove_repeats(docs: DataFrame, window: int = 35, text: str = "text", with_text: bool = False, gram: int = 6) -> DataFrame:
