@@ -29,7 +29,7 @@ class BPE:
     """One vocabulary. ``specials``: whether the strings of added tokens in a text
     stand for those tokens, as in the tokenizers library by default."""
 
-    def __init__(self, path: str, specials: bool = True, limit: int = 300_000):
+    def __init__(self, path: str, specials: bool = True, limit: int = 150_000):
         from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:

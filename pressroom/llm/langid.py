@@ -46,7 +46,7 @@ def family_of(lang: str) -> str:
     return _FAMILY.get(lang.lower().replace("_", "-").split("-")[0], lang)
 
 
-def trigram_vectors(column: pa.Array, most: int = 3 << 20):
+def trigram_vectors(column: pa.Array, most: int = 1_000_000):
     """Yields (i, j, unit vectors of texts i to j - 1): square roots of hashed trigram
     counts. A long run of the same words only adds to counts."""
     data, offsets = string_bytes(pc.utf8_lower(column))

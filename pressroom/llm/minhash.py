@@ -27,7 +27,7 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 0x20
 
 
-def shingle_sets(column: pa.Array, words: int = 4, most: int = 3 << 20):
+def shingle_sets(column: pa.Array, words: int = 4, most: int = 1_000_000):
     """Yields (i, the sorted distinct 64-bit shingle hashes of text i). A-Z are
     lower-cased; a text with fewer words than a shingle is one shingle; a text without
     words, or null, has none."""

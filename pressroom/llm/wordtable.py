@@ -50,7 +50,7 @@ def odd_texts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 class WordTable:
     """``encode`` gives the ids of a list of pieces; ``limit`` bounds how many are kept."""
 
-    def __init__(self, encode: Callable[[list[str]], list[list[int]]], limit: int = 1_200_000, strip: bool = False):
+    def __init__(self, encode: Callable[[list[str]], list[list[int]]], limit: int = 1_000_000, strip: bool = False):
         self.encode, self.limit, self.strip = encode, limit, strip
         self.clear()
 
@@ -101,7 +101,7 @@ class WordTable:
             self._add(keys[new], proof[one][new], words)
         return self.slots[np.searchsorted(self.keys, keys)][which]
 
-    def texts(self, data: np.ndarray, offsets: np.ndarray, whole: Callable[[str], list[int]] | None = None, most: int = 3 << 20):
+    def texts(self, data: np.ndarray, offsets: np.ndarray, whole: Callable[[str], list[int]] | None = None, most: int = 1_000_000):
         """Yields (i, j, ids, bounds): the ids of texts i to j - 1 and the j - i + 1
         bounds between them. ``whole`` encodes texts that must not be cut."""
         for i, j in slices(offsets, most):
