@@ -5,18 +5,21 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def shared_path(spark: SparkSession) -> str:
+    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.gettempdir()
+    return f"{base}/board-{uuid.uuid4().hex}"
+
+
 def stored(df: DataFrame) -> DataFrame:
     """Write to the cluster's shared folder and read back, so that rounds do not pile up
     lineage."""
-    spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.gettempdir()
-    path = f"{base}/board-{uuid.uuid4().hex}"
+    path = shared_path(df.sparkSession)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def overlap_pairs(items: DataFrame, key: str, tokens: str, least: int = 3, ratio: float = 0.5) -> DataFrame:
@@ -36,23 +39,28 @@ def overlap_pairs(items: DataFrame, key: str, tokens: str, least: int = 3, ratio
     return met.select("a", "b", both.alias("shared")).distinct()
 
 
-def leaders(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
+def leaders(edges: DataFrame) -> DataFrame:
     """Edges (a before b) between a founder and each later member that it matches.
 
     Scanning in order, an item joins the first founder that it matches or else founds a
-    cluster: the founders are the first maximal independent set. In each round an
-    undecided item without undecided or founding neighbours before it becomes a founder,
-    one with a founder before it a member."""
+    cluster: the founders are the first maximal independent set. In each round the items
+    without an open edge to one before them are founders, what they match are members,
+    and the edges of members close; what never is a member is a founder. Each round
+    closes the edges of at least one founder, so rounds go on until no edge is open."""
     edges = stored(edges.select("a", "b").distinct())
-    nodes = edges.select(F.col("a").alias("x")).unionByName(edges.select(F.col("b").alias("x"))).distinct()
-    state = stored(nodes.withColumn("s", F.lit(0)))  # 0 undecided, 1 founder, 2 member
-    for _ in range(most_rounds):
-        before = edges.join(state.select(F.col("x").alias("a"), F.col("s").alias("sa")), "a").groupBy(F.col("b").alias("x")).agg(F.max(F.when(F.col("sa") == 1, 1).otherwise(0)).alias("led"), F.max(F.when(F.col("sa") == 0, 1).otherwise(0)).alias("waits"))
-        step = F.when(F.col("s") != 0, F.col("s")).when(F.col("led") == 1, 2).when(F.coalesce("waits", F.lit(0)) == 0, 1).otherwise(0)
-        state = stored(state.join(before, "x", "left").select("x", step.alias("s")))
-        if state.filter("s = 0").limit(1).count() == 0:
-            break
-    return edges.join(state.filter("s = 1").select(F.col("x").alias("a")), "a").join(state.filter("s = 2").select(F.col("x").alias("b")), "b")
+    spark, members = edges.sparkSession, shared_path(edges.sparkSession)
+    none = edges.select(F.col("b").alias("x")).limit(0)
+    none.write.parquet(members)
+    still, left = edges, edges.count()
+    while left:
+        first = still.join(still.select(F.col("b").alias("a")).distinct(), "a", "left_anti")
+        gone = stored(first.select(F.col("b").alias("x")).distinct())
+        gone.write.mode("append").parquet(members)
+        still = stored(still.join(gone.withColumnRenamed("x", "b"), "b", "left_anti").join(gone.withColumnRenamed("x", "a"), "a", "left_anti").select("a", "b"))
+        before, left = left, still.count()
+        if left == before:
+            raise ValueError("the edges run in a circle")
+    return edges.join(spark.read.schema(none.schema).parquet(members).withColumnRenamed("x", "a"), "a", "left_anti")
 
 
 def clusters(items: DataFrame, key: str, tokens: str, least: int = 3, ratio: float = 0.5) -> DataFrame:

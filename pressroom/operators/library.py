@@ -66,7 +66,7 @@ def canonical_names(names: DataFrame, alias: DataFrame, name: str = "name") -> D
     return joined.select(name, F.when(blank, "").when(kept, n).otherwise(F.coalesce("canonical", n)).alias("canonical"))
 
 
-def merge_names(names: DataFrame, blocking: list[str], most_rounds: int = 50) -> DataFrame:
+def merge_names(names: DataFrame, blocking: list[str]) -> DataFrame:
     """Distinct names with counts (name, n) -> (name, target). In order (no year first,
     count, length, name), a name attaches to the first kept name that it can be merged
     with, else it is kept. Candidate pairs share their rarest word, and whether a name is
@@ -84,7 +84,7 @@ def merge_names(names: DataFrame, blocking: list[str], most_rounds: int = 50) ->
     pairs = rarest.join(other, "word").filter((F.col("name") != F.col("m")) & ((F.col("fold") == F.col("f")) | mergeable(F.col("fold"), F.col("f"), blocking)))
     edges = pairs.select(F.when(F.col("seq") < F.col("s"), F.col("name")).otherwise(F.col("m")).alias("a"), F.when(F.col("seq") < F.col("s"), F.col("m")).otherwise(F.col("name")).alias("b")).distinct()
     seqs = ranked.select("name", "seq")
-    found = leaders(edges, most_rounds)
+    found = leaders(edges)
     best = found.join(seqs.select(F.col("name").alias("a"), "seq"), "a").groupBy("b").agg(F.min_by("a", "seq").alias("target"))
     return names.join(best, names["name"] == best["b"], "left").select("name", F.coalesce("target", "name").alias("target"))
 

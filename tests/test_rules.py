@@ -93,6 +93,18 @@ def test_leader_clusters_equal_the_scan(spark, partitions):
     assert got == {k: f for k, f in sequential({k: s for k, s in sets.items() if len(s) >= 3}).items()} | {k: k for k, s in sets.items() if len(s) < 3}
 
 
+def test_leader_clusters_of_a_long_drift(spark):
+    # Each headline shares three of six words with its neighbours and with no other.
+    sets = {i: {f"w{3 * i + j}" for j in range(6)} for i in range(60)}
+    items = spark.createDataFrame([(k, sorted(s)) for k, s in sets.items()], "k long, s array<string>")
+    assert {r.k: r.founder for r in board.clusters(items, "k", "s").collect()} == sequential(sets)
+
+
+def test_leaders_of_a_circle_raise(spark):
+    with pytest.raises(ValueError):
+        board.leaders(spark.createDataFrame([(1, 2), (2, 1)], "a long, b long"))
+
+
 def test_hamming_banding_is_exact(spark):
     rows = spark.read.parquet(f"{SMALL}/embeddings.parquet").select("vec_id", tx.difference_bits(F.col("embedding")).alias("bits"))
     bits = {r.vec_id: r.bits for r in rows.collect()}
