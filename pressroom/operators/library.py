@@ -44,6 +44,17 @@ def first_match(rows: DataFrame, key: str, bits: str, most: int) -> DataFrame:
     return rows.join(nodes.select(bits, F.least(F.coalesce("a", "node"), "node").alias("match")), bits, "left").select(key, F.coalesce("match", key).alias("match"))
 
 
+def image_classes(rows: DataFrame, key: str, bits: str, most: int) -> DataFrame:
+    """(key, match, links) for every row: its ``first_match``, and how many other rows have
+    its hash or one within ``most`` bits of it."""
+    nodes = rows.filter(F.col(bits).isNotNull()).groupBy(bits).agg(F.min(key).alias("node"), F.count("*").alias("copies"))
+    pairs = hamming_matches(rows, key, bits, most)
+    both = pairs.select(F.col("a").alias("node"), F.col("b").alias("other")).unionByName(pairs.select(F.col("b").alias("node"), F.col("a").alias("other")))
+    near = both.join(nodes.select(F.col("node").alias("other"), F.col("copies").alias("c")), "other").groupBy("node").agg(F.min("other").alias("first"), F.sum("c").alias("near"))
+    per = nodes.join(near, "node", "left").select(bits, F.least(F.coalesce("first", "node"), "node").alias("match"), (F.col("copies") - 1 + F.coalesce("near", F.lit(0))).alias("links"))
+    return rows.join(per, bits, "left").select(key, F.coalesce("match", key).alias("match"), F.coalesce("links", F.lit(0)).alias("links"))
+
+
 def mergeable(a: Column, b: Column, blocking: list[str]) -> Column:
     """Whether two folded names are one subject: one's words are among the other's, in
     order, and no blocking word makes the difference."""

@@ -188,6 +188,13 @@ def j6_image_dedupe(t: Tables) -> DataFrame:
     return library.hamming_matches(rows, "vec_id", "bits", 12)
 
 
+@query()
+def j6_image_classes(t: Tables) -> DataFrame:
+    """Every vector, exact copies too, at the 6 bits of the original."""
+    rows = t.embeddings.select("vec_id", tx.difference_bits(F.col("embedding")).alias("bits"))
+    return library.image_classes(rows, "vec_id", "bits", 6)
+
+
 @query("""SELECT p_partkey, list_slice(list_distinct(list_filter(string_split(lower(p_name || ' ' || p_type || ' ' || p_brand), ' '), lambda x: x <> '')), 1, 12) IS NOT NULL AS ok, len(list_distinct(list_transform(string_split(p_name || ' ' || p_type || ' ' || p_brand || ' ' || upper(p_name), ' '), lambda x: trim(regexp_replace(lower(x), '[^a-z0-9]+', ' ', 'g'))))) AS n FROM part""")
 def f13_label_hygiene(t: Tables) -> DataFrame:
     labels = F.split(F.concat_ws(" ", "p_name", "p_type", "p_brand", F.upper("p_name")), " ")

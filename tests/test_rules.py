@@ -6,6 +6,7 @@ import pytest
 from conftest import SMALL
 from pyspark.sql import functions as F
 
+from pressroom import catalog
 from pressroom.functions import text as tx
 from pressroom.operators import board, ledgers, library, search, timeline
 from pressroom.sources import readers
@@ -113,6 +114,20 @@ def test_hamming_banding_is_exact(spark):
     assert got == want
 
 
+def test_image_classes_name_every_row(spark):
+    rows = [(1, 0b111), (2, 0b111), (3, 0b110), (4, 0b110), (5, 0xFFFF << 40), (6, 0xFFFF << 40), (7, -1), (8, None), (9, 0xFF0)]
+    got = {r.k: (r.match, r.links) for r in library.image_classes(spark.createDataFrame(rows, "k long, bits long"), "k", "bits", 6).collect()}
+    far = lambda x, y: bin((x ^ y) & ((1 << 64) - 1)).count("1")
+    hit = lambda x, y: x is not None and y is not None and far(x, y) <= 6
+    want = {k: (min([k] + [j for j, y in rows if hit(x, y)]), sum(hit(x, y) for j, y in rows if j != k)) for k, x in rows}
+    assert got == want and got[6] == (5, 1) and got[4] == (1, 3)
+
+
+def test_image_classes_query_keeps_every_vector(spark):
+    rows = catalog.QUERIES["j6_image_classes"](spark, SMALL)
+    assert sorted(r.vec_id for r in rows.collect()) == sorted(r.vec_id for r in spark.read.parquet(f"{SMALL}/embeddings.parquet").collect())
+
+
 def test_six_boards_stay_six(spark):
     rows = spark.createDataFrame([(i, 0x7F << (9 * i)) for i in range(6)], "k long, bits long")
     assert sorted(r.match for r in library.first_match(rows, "k", "bits", 6).collect()) == list(range(6))
