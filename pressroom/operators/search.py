@@ -59,7 +59,8 @@ def matches(tokens: DataFrame, asked: DataFrame, key: str, q: str, inside: int,
     near = vocabulary.filter(F.length("token") >= typo).select("token", F.explode(_less_one(F.col("token"))).alias("part")).join(wanted.filter(F.length("qt") >= typo).select("qt", F.explode(_less_one(F.col("qt"))).alias("part")), "part")
     pairs = within.select("qt", "token").unionByName(same.select("qt", "token")).unionByName(near.select("qt", "token")).distinct()
     how = pairs.withColumn("hit", token_hits(F.col("qt"), F.col("token"), inside, typo)).filter("hit > 0")
-    return asked.join(how, "qt").join(tokens, "token").groupBy(q, key, "qt", "n").agg(F.max(F.col("hit") * F.col("weight")).alias("points"))
+    best = how.join(tokens, "token").groupBy("qt", key).agg(F.max(F.col("hit") * F.col("weight")).alias("points"))
+    return asked.join(best, "qt").select(q, key, "qt", "n", "points")
 
 
 def strict(assets: DataFrame, queries: DataFrame, key: str, q: str, text: str, fields: dict[str, int] = FIELDS) -> DataFrame:

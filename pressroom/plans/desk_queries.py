@@ -22,7 +22,7 @@ def x18_quoted_phrases(t: Tables) -> DataFrame:
 
 @query()
 def x18_highlight_phrases(t: Tables) -> DataFrame:
-    return t.documents.select("doc_id", F.explode(desk.highlight_phrases(head(30), ["the", "le", "der", "el"])).alias("phrase"))
+    return t.documents.select("doc_id", F.explode(desk.highlight_phrases(F.col("text"), ["the", "le", "der", "el"])).alias("phrase"))
 
 
 @query(f"""WITH d AS (SELECT doc_id, {HEAD.format(n=10)} AS title, doc_id % 3 AS people, doc_id % 4 AS teams, doc_id % 5 AS pictures FROM documents)

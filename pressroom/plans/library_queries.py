@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
@@ -35,11 +35,26 @@ def asked(t: Tables) -> DataFrame:
     return t.benchmark.select("item_id", head(2).alias("q"))
 
 
+def whole_assets(t: Tables) -> DataFrame:
+    """As ``assets``, but the description is all the rest of the text."""
+    words = F.split("text", " ")
+    return t.documents.select("doc_id", F.col("source").alias("subject"), head(12).alias("labels"), F.array_join(F.slice(words, F.lit(13), F.greatest(F.size(words), F.lit(1))), " ").alias("description"))
+
+
+def whole_asked(t: Tables) -> DataFrame:
+    return t.benchmark.select("item_id", F.col("text").alias("q"))
+
+
 @query(f"WITH {_STRICT.format(queries=_QUERIES.format(where=''))} SELECT item_id, doc_id, score FROM s")
 def q1_strict_search(t: Tables) -> DataFrame:
     return search.strict(assets(t), asked(t), "doc_id", "item_id", "q")
 
 
+@query()
+def q1_strict_search_whole(t: Tables) -> DataFrame:
+    return search.strict(whole_assets(t), whole_asked(t), "doc_id", "item_id", "q")
+
+
 @query(f"""WITH {_STRICT.format(queries=_QUERIES.format(where=' WHERE item_id = 0'))}, u AS (SELECT user_id, count(*) AS uses FROM events GROUP BY 1)
   SELECT doc_id, CAST(score + CASE WHEN doc_id % 4 = 0 THEN 5 ELSE 0 END - 2 * least(coalesce(uses, 0), 5) AS BIGINT) AS total FROM s LEFT JOIN u ON u.user_id = doc_id % 150 ORDER BY total DESC, doc_id LIMIT 30""")
 def q3_search_library(t: Tables) -> DataFrame:
@@ -54,8 +69,8 @@ _RARITY = """c AS (SELECT token, count(*) AS c FROM tk GROUP BY 1), n AS (SELECT
   r AS (SELECT token, c, least(1.0, greatest(0.1, ln(greatest(total / c, 1.01)) / ln(greatest(total / 5, 2.0)))) AS w FROM c, n)"""
 
 
-def rarity_of(t: Tables) -> DataFrame:
-    a = assets(t)
+def rarity_of(t: Tables, made=assets) -> DataFrame:
+    a = made(t)
     words = F.concat(*[F.split(tx.fold_match(F.col(c)), " ") for c in ("subject", "labels", "description")])
     return library.rarity(a.select("doc_id", F.filter(words, lambda w: w != "").alias("w")), "doc_id", "w")
 
@@ -65,6 +80,11 @@ def a4_rarity(t: Tables) -> DataFrame:
     return rarity_of(t).select("token", "c", F.round("weight", 6).alias("weight"))
 
 
+@query()
+def a4_rarity_whole(t: Tables) -> DataFrame:
+    return rarity_of(t, whole_assets).select("token", "c", F.round("weight", 6).alias("weight"))
+
+
 @query(f"""WITH {_ASSETS}, {_QUERIES.format(where='')}, {_RARITY}, v AS (SELECT DISTINCT qt, token, {_HIT.format(inside=3, typo=4)} AS hit FROM (SELECT DISTINCT qt FROM qs), (SELECT DISTINCT token FROM tk)),
   m AS (SELECT item_id, doc_id, qs.qt, n, max(hit * weight) AS points FROM qs JOIN v ON qs.qt = v.qt AND hit > 0 JOIN tk ON tk.token = v.token GROUP BY 1, 2, 3, 4)
   SELECT item_id, doc_id, round(sum(points * coalesce(w, 1.0)) * (1 + count(*) / n), 6) AS score FROM m LEFT JOIN r ON r.token = m.qt GROUP BY item_id, doc_id, n""")
@@ -72,6 +92,11 @@ def q2_soft_search(t: Tables) -> DataFrame:
     return search.soft(assets(t), asked(t), rarity_of(t), "doc_id", "item_id", "q")
 
 
+@query()
+def q2_soft_search_whole(t: Tables) -> DataFrame:
+    return search.soft(whole_assets(t), whole_asked(t), rarity_of(t, whole_assets), "doc_id", "item_id", "q")
+
+
 @query(f"""WITH {_STRICT.format(queries=_QUERIES.format(where=''))} SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS turn FROM s QUALIFY turn <= 10""")
 def w2_round_robin(t: Tables) -> DataFrame:
     found = search.strict(assets(t), asked(t), "doc_id", "item_id", "q")
@@ -81,15 +106,24 @@ def w2_round_robin(t: Tables) -> DataFrame:
 @query(f"""WITH {_STRICT.format(queries=_QUERIES.format(where=''))}, b AS (SELECT item_id, max_by(doc_id, score * 100000 - doc_id) AS doc_id, max(score) AS score, count(*) AS hits FROM s GROUP BY 1)
   SELECT q0.item_id, coalesce(hits, 0) AS hits, CASE WHEN coalesce(hits, 0) >= 3 THEN 'rich' ELSE 'thin' END AS kind, doc_id FROM q0 LEFT JOIN b ON q0.item_id = b.item_id""")
 def u4_rich_thin(t: Tables) -> DataFrame:
-    found = search.strict(assets(t), asked(t), "doc_id", "item_id", "q")
+    return rich_thin(assets(t), asked(t))
+
+
+@query()
+def u4_rich_thin_whole(t: Tables) -> DataFrame:
+    return rich_thin(whole_assets(t), whole_asked(t))
+
+
+def rich_thin(a: DataFrame, q: DataFrame) -> DataFrame:
+    found = search.strict(a, q, "doc_id", "item_id", "q")
     best = found.groupBy("item_id").agg(F.max_by("doc_id", F.struct("score", -F.col("doc_id"))).alias("doc_id"), F.count("*").alias("hits"))
     n = F.coalesce("hits", F.lit(0))
-    return asked(t).join(best, "item_id", "left").select("item_id", n.alias("hits"), F.when(n >= 3, "rich").otherwise("thin").alias("kind"), "doc_id")
+    return q.join(best, "item_id", "left").select("item_id", n.alias("hits"), F.when(n >= 3, "rich").otherwise("thin").alias("kind"), "doc_id")
 
 
 @query()
 def q7_draft_assignment(t: Tables) -> DataFrame:
-    found = search.soft(assets(t), asked(t), rarity_of(t), "doc_id", "item_id", "q")
+    found = search.soft(whole_assets(t), whole_asked(t), rarity_of(t, whole_assets), "doc_id", "item_id", "q")
     r = F.row_number().over(Window.partitionBy("item_id").orderBy(F.desc("score"), "doc_id"))
     few = found.withColumn("rank", r).filter("rank <= 6").select((F.col("item_id") % 8).alias("video"), F.floor(F.col("item_id") / 8).alias("slot"), "rank", F.col("doc_id").alias("asset"))
     slots = t.benchmark.select((F.col("item_id") % 8).alias("video"), F.floor(F.col("item_id") / 8).alias("slot"))
@@ -104,6 +138,13 @@ def j21_learned_bonus(t: Tables) -> DataFrame:
     return search.learned_bonus(q, h, "q", "w").select("q.conv_id", "q.turn", "subject", "bonus")
 
 
+@query()
+def j21_learned_bonus_whole(t: Tables) -> DataFrame:
+    q = t.conversations.select(F.struct("conv_id", "turn").alias("q"), F.split(F.lower("text"), " ").alias("w"))
+    h = t.benchmark.select(F.col("item_id").alias("past"), (F.col("item_id") % 5).alias("subject"), F.split(F.lower("text"), " ").alias("tokens"))
+    return search.learned_bonus(q, h, "q", "w").select("q.conv_id", "q.turn", "subject", "bonus")
+
+
 @query("SELECT p_partkey, coalesce(nullif(CASE WHEN p_partkey % 3 = 0 THEN '' ELSE p_name END, ''), p_type) AS q FROM part")
 def q5_query_choice(t: Tables) -> DataFrame:
     first = F.when(F.col("p_partkey") % 3 == 0, "").otherwise(F.col("p_name"))
@@ -247,8 +288,18 @@ _FOLD = "' ' || trim(regexp_replace(replace(strip_accents(lower({c})), 'đ', 'd'
 @query(f"""WITH d AS (SELECT doc_id, {_FOLD.format(c=HEAD.format(n=20))} AS s, {_FOLD.format(c="array_to_string(list_slice(string_split(text, ' '), 21, 80), ' ')")} AS w FROM documents)
   SELECT doc_id, CASE WHEN contains(s, ' le ') OR contains(s, ' la ') OR contains(s, ' der ') THEN 0.0 WHEN contains(w, ' le ') OR contains(w, ' la ') OR contains(w, ' der ') THEN 0.4 ELSE 1.0 END AS factor FROM d""")
 def j15_team_gate(t: Tables) -> DataFrame:
+    return gated(t, F.slice(F.split("text", " "), 21, 60))
+
+
+@query()
+def j15_team_gate_whole(t: Tables) -> DataFrame:
+    words = F.split("text", " ")
+    return gated(t, F.slice(words, F.lit(21), F.greatest(F.size(words), F.lit(1))))
+
+
+def gated(t: Tables, description: Column) -> DataFrame:
     teams = t.spark.createDataFrame([("french", "le"), ("french", "la"), ("german", "der"), ("english", "the")], "team string, alias string")
-    rows = t.documents.select("doc_id", head(20).alias("s"), F.array_join(F.slice(F.split("text", " "), 21, 60), " ").alias("w"))
+    rows = t.documents.select("doc_id", head(20).alias("s"), F.array_join(description, " ").alias("w"))
     return library.team_gate(rows, "doc_id", "s", "w", teams, ["english"])
 
 

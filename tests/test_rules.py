@@ -151,6 +151,38 @@ def test_strict_search_needs_every_word(spark):
     assert got == [(1, 1, 18), (1, 2, 12), (2, 1, 11)]
 
 
+@pytest.fixture()
+def late(spark, tmp_path):
+    """Two texts of 120 words with what is looked for near their ends, and no more."""
+    fill = " ".join(f"w{i}x" for i in range(100))
+    docs = [(1, f'{fill} zebra der, tag one / tag two "late goal"', "src"), (2, fill, "src")]
+    spark.createDataFrame(docs, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, "w99x w3x zebra"), (2, "w1x w2x quagga")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    return str(tmp_path)
+
+
+def test_searches_read_whole_texts(spark, late):
+    run = lambda name: catalog.QUERIES[name](spark, late).collect()
+    assert [tuple(r) for r in run("q1_strict_search_whole")] == [(1, 1, 3 + 6 + 3)]
+    assert {r.item_id: (r.hits, r.doc_id) for r in run("u4_rich_thin_whole")} == {1: (1, 1), 2: (0, None)}
+    assert {r.token: r.c for r in run("a4_rarity_whole")}["zebra"] == 1
+    assert {(r.item_id, r.doc_id) for r in run("q2_soft_search_whole")} == {(1, 1), (1, 2), (2, 1), (2, 2)}
+
+
+def test_gate_and_tags_read_whole_texts(spark, late):
+    run = lambda name: catalog.QUERIES[name](spark, late).collect()
+    assert {r.doc_id: r.factor for r in run("j15_team_gate_whole")} == {1: 0.4, 2: 1.0}
+    assert {r.doc_id: r.n_tags for r in run("x6_tags_whole")}[1] > 0 == {r.doc_id: r.n_tags for r in run("x6_tags")}[1]
+    assert "late goal" in {r.phrase for r in run("x18_highlight_phrases")}
+
+
+def test_bonus_reads_whole_past_texts(spark, tmp_path):
+    past = " ".join(f"w{i}" for i in range(40))
+    spark.createDataFrame([(7, past)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(1, 0, "w38 w39")], "conv_id long, turn long, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    assert [tuple(r) for r in catalog.QUERIES["j21_learned_bonus_whole"](spark, str(tmp_path)).collect()] == [(1, 0, 2, 8)]
+
+
 def test_draft_uses_an_asset_once(spark):
     slots = spark.createDataFrame([(1, 0), (1, 1), (1, 2)], "video long, slot long")
     some = spark.createDataFrame([(1, 0, 1, 7), (1, 1, 1, 7), (1, 1, 2, 8), (1, 2, 1, 7)], "video long, slot long, rank int, asset long")
