@@ -78,10 +78,14 @@ def soft(assets: DataFrame, queries: DataFrame, rarity: DataFrame, key: str, q:
     return total.select(q, key, F.round(F.col("s") * (1 + F.col("hits") / F.col("n")), 6).alias("score"))
 
 
-def search_library(scored: DataFrame, assets: DataFrame, key: str, on_screen: Column, uses: Column, order: str, k: int = 30) -> DataFrame:
-    """The k best: 5 more on screen, 2 less for each use up to five; ties oldest first."""
+def search_library(scored: DataFrame, assets: DataFrame, key: str, on_screen: Column, uses: Column, order: str, k: int = 30, q: str | None = None) -> DataFrame:
+    """The k best, of each query where ``q`` names its column: 5 more on screen, 2 less for
+    each use up to five; ties oldest first."""
     total = F.col("score") + F.when(on_screen, 5).otherwise(0) - 2 * F.least(uses, F.lit(5))
-    return scored.join(assets, key).withColumn("total", total).orderBy(F.desc("total"), order).limit(k)
+    ranked = scored.join(assets, key).withColumn("total", total)
+    if q is None:
+        return ranked.orderBy(F.desc("total"), order).limit(k)
+    return ranked.withColumn("place", F.row_number().over(Window.partitionBy(q).orderBy(F.desc("total"), order))).filter(F.col("place") <= k)
 
 
 def interleave(rows: DataFrame, group: str, score: str, tie: str) -> DataFrame:

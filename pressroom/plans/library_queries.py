@@ -65,6 +65,17 @@ def q3_search_library(t: Tables) -> DataFrame:
     return search.search_library(scored, info, "doc_id", F.col("doc_id") % 4 == 0, F.col("uses"), "doc_id").select("doc_id", F.col("total").cast("long").alias("total"))
 
 
+@query()
+def q3_search_library_all(t: Tables) -> DataFrame:
+    """The 30 best of every benchmark text."""
+    a = whole_assets(t)
+    uses = t.events.groupBy("user_id").agg(F.count("*").alias("u"))
+    scored = search.strict(a, whole_asked(t), "doc_id", "item_id", "q")
+    info = a.select("doc_id", (F.col("doc_id") % 150).alias("user_id")).join(uses, "user_id", "left").select("doc_id", F.coalesce("u", F.lit(0)).alias("uses"))
+    found = search.search_library(scored, info, "doc_id", F.col("doc_id") % 4 == 0, F.col("uses"), "doc_id", q="item_id")
+    return found.select("item_id", "doc_id", F.col("total").cast("long").alias("total"), "place")
+
+
 _RARITY = """c AS (SELECT token, count(*) AS c FROM tk GROUP BY 1), n AS (SELECT count(*) AS total FROM documents),
   r AS (SELECT token, c, least(1.0, greatest(0.1, ln(greatest(total / c, 1.01)) / ln(greatest(total / 5, 2.0)))) AS w FROM c, n)"""
 
@@ -103,6 +114,12 @@ def w2_round_robin(t: Tables) -> DataFrame:
     return search.interleave(found, "item_id", "score", "doc_id").filter("turn <= 10").select("item_id", "doc_id", "turn")
 
 
+@query()
+def w2_round_robin_all(t: Tables) -> DataFrame:
+    found = search.strict(whole_assets(t), whole_asked(t), "doc_id", "item_id", "q")
+    return search.interleave(found, "item_id", "score", "doc_id").select("item_id", "doc_id", "turn")
+
+
 @query(f"""WITH {_STRICT.format(queries=_QUERIES.format(where=''))}, b AS (SELECT item_id, max_by(doc_id, score * 100000 - doc_id) AS doc_id, max(score) AS score, count(*) AS hits FROM s GROUP BY 1)
   SELECT q0.item_id, coalesce(hits, 0) AS hits, CASE WHEN coalesce(hits, 0) >= 3 THEN 'rich' ELSE 'thin' END AS kind, doc_id FROM q0 LEFT JOIN b ON q0.item_id = b.item_id""")
 def u4_rich_thin(t: Tables) -> DataFrame:

@@ -158,6 +158,14 @@ def st4_read_since_cursor(t: Tables) -> DataFrame:
     return streams.drain(rows, path)  # nothing new since: the checkpoint is the cursor
 
 
+@query()
+def st4_read_all_since_cursor(t: Tables) -> DataFrame:
+    rows = events(t).select("event_id")
+    path = folder(t, "cursor-all")
+    streams.drain(rows, path)
+    return streams.drain(rows, path)
+
+
 @query("""WITH w AS (SELECT conv_id, turn, len(string_split(trim(regexp_replace(text, '\\s+', ' ', 'g')), ' ')) AS n FROM conversations) SELECT conv_id, CAST(sum(n) AS BIGINT) AS words FROM w GROUP BY 1""")
 def w3_script_words(t: Tables) -> DataFrame:
     rows = timeline.sentence_times(t.conversations, "conv_id", "turn", "text", F.lit(60.0))

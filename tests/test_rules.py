@@ -169,6 +169,24 @@ def test_searches_read_whole_texts(spark, late):
     assert {(r.item_id, r.doc_id) for r in run("q2_soft_search_whole")} == {(1, 1), (1, 2), (2, 1), (2, 2)}
 
 
+def test_every_item_is_searched(spark, tmp_path):
+    spark.createDataFrame([(i, "cup goal", "src") for i in range(40)], "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(0, "cup"), (1, "goal"), (2, "quagga")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(1, 0)], "event_id long, user_id long").write.parquet(f"{tmp_path}/events.parquet")
+    run = lambda name: catalog.QUERIES[name](spark, str(tmp_path)).collect()
+    best = sorted(range(40), key=lambda i: (-(6 + 5 * (i % 4 == 0) - 2 * (i == 0)), i))[:30]
+    found = run("q3_search_library_all")
+    for item in (0, 1):
+        assert [r.doc_id for r in sorted((r for r in found if r.item_id == item), key=lambda r: r.place)] == best
+    assert len(found) == 60
+    assert sorted((r.item_id, r.turn) for r in run("w2_round_robin_all")) == [(q, n) for q in (0, 1) for n in range(1, 41)]
+
+
+def test_all_events_are_read(spark):
+    got = sorted(r.event_id for r in catalog.QUERIES["st4_read_all_since_cursor"](spark, SMALL).collect())
+    assert got == sorted(r.event_id for r in spark.read.parquet(f"{SMALL}/events.parquet").collect())
+
+
 def test_gate_and_tags_read_whole_texts(spark, late):
     run = lambda name: catalog.QUERIES[name](spark, late).collect()
     assert {r.doc_id: r.factor for r in run("j15_team_gate_whole")} == {1: 0.4, 2: 1.0}
