@@ -77,6 +77,43 @@ def canonical_names(names: DataFrame, alias: DataFrame, name: str = "name") -> D
     return joined.select(name, F.when(blank, "").when(kept, n).otherwise(F.coalesce("canonical", n)).alias("canonical"))
 
 
+def contained_pairs(left: DataFrame, right: DataFrame, blocking: list[str]) -> DataFrame:
+    """(fold, other) of folded names of both sides (column fold) that are mergeable: they
+    meet on the rarest word of either, so on that of the shorter."""
+    a = left.select("fold", F.explode(F.array_distinct(F.split("fold", " "))).alias("word"))
+    b = right.select(F.col("fold").alias("other"), F.explode(F.array_distinct(F.split("fold", " "))).alias("word"))
+    seldom = a.select("word").unionByName(b.select("word")).groupBy("word").agg(F.count("*").alias("c"))
+
+    def rarest(words: DataFrame, key: str) -> DataFrame:
+        return words.join(seldom, "word").groupBy(key).agg(F.min(F.struct("c", "word")).alias("r")).select(key, F.col("r.word").alias("word"))
+
+    met = rarest(a, "fold").join(b, "word").unionByName(a.join(rarest(b, "other"), "word")).select("fold", "other").distinct()
+    return met.filter(mergeable(F.col("fold"), F.col("other"), blocking))
+
+
+def canonical_names_full(names: DataFrame, alias: DataFrame, living: DataFrame, blocking: list[str], name: str = "name") -> DataFrame:
+    """As ``canonical_names``, and names without an exact alias go on: the least canonical
+    name of an alias that can be merged with them, else the best of the living names
+    (name, n) that can, and of the name itself, by (no year, count, length, name)."""
+    table = alias.select(fold_match(F.col("variant")).alias("fold"), "canonical").unionByName(alias.select(fold_match(F.col("canonical")).alias("fold"), "canonical")).filter("fold <> ''").groupBy("fold").agg(F.min("canonical").alias("canonical"))
+    first = canonical_names(names.select(name).distinct(), alias, name)
+    n = F.trim(F.col(name))
+    simple = ~(n.contains(",") | n.contains("&") | F.lower(n).contains(" vs "))
+    rest = first.filter(simple).select(name, n.alias("own"), fold_match(n).alias("fold")).filter("fold <> ''").join(table, "fold", "left_anti")
+    known = contained_pairs(rest.select("fold").distinct(), table.select("fold"), blocking).join(table.withColumnRenamed("fold", "other"), "other").groupBy("fold").agg(F.min("canonical").alias("known"))
+    live = living.select(F.trim("name").alias("l"), "n").groupBy("l").agg(F.sum("n").alias("n")).filter(~F.col("l").contains(",") & ~F.col("l").contains("&")).withColumn("other", fold_match(F.col("l"))).filter("other <> ''")
+    year = lambda fold: ~F.col(fold).rlike(r"\b(19|20)[0-9]{2}\b")
+    left = rest.join(known, "fold", "left_anti")
+    pairs = contained_pairs(left.select("fold").distinct(), live.select(F.col("other").alias("fold")).distinct(), blocking)
+    best = pairs.join(live, "other").groupBy("fold").agg(F.max(F.struct(year("other").alias("y"), F.col("n").cast("long").alias("n"), F.length("l").alias("length"), F.col("l").alias("name"))).alias("best"))
+    counts = live.select(F.col("l").alias("own"), F.col("n").alias("of"))
+    own = F.struct(year("fold").alias("y"), F.coalesce(F.col("of").cast("long"), F.lit(0)).alias("n"), F.length("own").alias("length"), F.col("own").alias("name"))
+    by_name = left.join(best, "fold").join(counts, "own", "left").select(name, F.greatest("best", own)["name"].alias("found"))
+    by_alias = rest.join(known, "fold").select(name, F.col("known").alias("found"))
+    out = first.join(by_alias.unionByName(by_name), name, "left").select(F.col(name).alias("_n"), F.coalesce("found", "canonical").alias("canonical"))
+    return names.select(name).join(out, F.col(name).eqNullSafe(F.col("_n")), "left").select(name, "canonical")
+
+
 def merge_names(names: DataFrame, blocking: list[str]) -> DataFrame:
     """Distinct names with counts (name, n) -> (name, target). In order (no year first,
     count, length, name), a name attaches to the first kept name that it can be merged

@@ -269,6 +269,16 @@ def j3_canonical_names(t: Tables) -> DataFrame:
     return rows.join(names, "name").select("p_partkey", "canonical")
 
 
+@query()
+def j3_canonical_names_full(t: Tables) -> DataFrame:
+    alias = t.part.filter("p_partkey < 60").select(F.upper("p_name").alias("canonical"), F.col("p_name").alias("variant")).distinct()
+    name = F.when(F.col("p_partkey") % 50 == 0, F.concat("p_name", F.lit(" vs x"))).when(F.col("p_partkey") % 50 == 1, F.concat_ws(", ", "p_name", "p_type")).otherwise(F.col("p_name"))
+    rows = t.part.select("p_partkey", name.alias("name"))
+    living = rows.groupBy("name").agg(F.count("*").alias("n"))
+    names = library.canonical_names_full(rows.select("name").distinct(), alias, living, ["u23"])
+    return rows.join(names, "name").select("p_partkey", "canonical")
+
+
 @query()
 def j5_name_merge(t: Tables) -> DataFrame:
     names = t.documents.select(F.array_join(F.slice(F.split(tx.fold_match(F.col("text")), " "), 1, F.col("doc_id").cast("int") % 3 + 1), " ").alias("name")).filter("name <> ''")

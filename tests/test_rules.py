@@ -75,6 +75,15 @@ def test_merge_names_attaches_to_the_first_kept(spark):
     assert got == {"Le Pham Thanh Long": "Le Pham Thanh Long", "thanh long": "Le Pham Thanh Long", "Thành Long": "Le Pham Thanh Long", "a, b": "a, b"}
 
 
+def test_canonical_names_go_on_after_the_alias(spark):
+    alias = spark.createDataFrame([("Đình Bắc", "Bac")], "canonical string, variant string")
+    living = spark.createDataFrame([("Van Hau", 2), ("Van Hau 2024", 9), ("a, Van Hau", 50)], "name string, n long")
+    asks = ["Nguyen Dinh Bac", "Dinh Bac 2024", "bac", "Van Hau 2023", "Doan Van Hau", "Hau Van", "U23 Van Hau", "Hau, Bac", "Bac vs Hau", "x", None]
+    names = spark.createDataFrame([(a,) for a in asks], "name string")
+    got = {r.name: r.canonical for r in library.canonical_names_full(names, alias, living, ["u23"]).collect()}
+    assert got == dict(zip(asks, ["Đình Bắc", "Đình Bắc", "Đình Bắc", "Van Hau", "Van Hau", "Hau Van", "U23 Van Hau", "Hau, Bac", "", "x", ""]))
+
+
 def sequential(sets):
     founders, out = [], {}
     for k in sorted(sets):
