@@ -196,7 +196,7 @@ def proper_runs(c: Column, stop: list[str]) -> Column:
         done = F.when(run != "", F.array_append(s["runs"], run)).otherwise(s["runs"])
         return F.struct(F.when(ends, F.lit("")).otherwise(run).alias("run"), F.when(ends, done).otherwise(s["runs"]).alias("runs"))
 
-    return F.aggregate(F.slice(words, 2, 100000), start, step, close)
+    return F.aggregate(F.slice(words, F.lit(2), F.greatest(F.size(words), F.lit(1))), start, step, close)
 
 
 def difference_bits(v: Column, n: int = 63) -> Column:

@@ -58,6 +58,11 @@ def test_proper_names(spark):
     assert value(spark, lambda c: tx.proper_runs(c, ["the"]), "Today Nguyen Quang Hai, met The Coach of Hanoi.") == [["Nguyen Quang Hai", "Coach", "Hanoi"]]
 
 
+def test_proper_names_of_a_very_long_text(spark):
+    text = "a " * 100001 + "b Hanoi"
+    assert value(spark, lambda c: tx.proper_runs(c, ["the"]), text, "", None) == [["Hanoi"], [], None]
+
+
 def test_clip_codes(spark):
     got = value(spark, tx.clip_code, "clip::a.mp4::1::2.5::0,0,1,1", "clip::a.mp4::1::2::x", "clip::a.mp4::1", None)
     assert got[0].frame == [0.0, 0.0, 1.0, 1.0] and got[1].frame is None and got[2] is None and got[3] is None
