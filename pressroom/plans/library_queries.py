@@ -142,8 +142,8 @@ def rich_thin(a: DataFrame, q: DataFrame) -> DataFrame:
 def q7_draft_assignment(t: Tables) -> DataFrame:
     found = search.soft(whole_assets(t), whole_asked(t), rarity_of(t, whole_assets), "doc_id", "item_id", "q")
     r = F.row_number().over(Window.partitionBy("item_id").orderBy(F.desc("score"), "doc_id"))
-    few = found.withColumn("rank", r).filter("rank <= 6").select((F.col("item_id") % 8).alias("video"), F.floor(F.col("item_id") / 8).alias("slot"), "rank", F.col("doc_id").alias("asset"))
-    slots = t.benchmark.select((F.col("item_id") % 8).alias("video"), F.floor(F.col("item_id") / 8).alias("slot"))
+    few = found.withColumn("rank", r).filter("rank <= 6").select(F.floor(F.col("item_id") / 8).alias("video"), (F.col("item_id") % 8).alias("slot"), "rank", F.col("doc_id").alias("asset"))
+    slots = t.benchmark.select(F.floor(F.col("item_id") / 8).alias("video"), (F.col("item_id") % 8).alias("slot"))
     return search.draft(slots, few, "video")
 
 

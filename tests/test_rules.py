@@ -201,6 +201,13 @@ def test_all_events_are_read(spark):
     assert got == sorted(r.event_id for r in spark.read.parquet(f"{SMALL}/events.parquet").collect())
 
 
+def test_a_draft_has_eight_slots_a_video(spark, tmp_path):
+    spark.createDataFrame([(1, "cup", "src")], "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, "cup") for i in range(80)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = catalog.QUERIES["q7_draft_assignment"](spark, str(tmp_path)).collect()
+    assert {(r.video, r.slot): r.asset for r in got} == {(i // 8, i % 8): 1 if i % 8 == 0 else None for i in range(80)}
+
+
 def test_gate_and_tags_read_whole_texts(spark, late):
     run = lambda name: catalog.QUERIES[name](spark, late).collect()
     assert {r.doc_id: r.factor for r in run("j15_team_gate_whole")} == {1: 0.4, 2: 1.0}
