@@ -1,5 +1,5 @@
 """Helpers shared by the corpus operators: scratch tables in the shared folder,
-access to the bytes behind Arrow string columns, and vectorised span hashing."""
+access to the bytes behind Arrow string columns, and vectorised hashing of words."""
 
 from __future__ import annotations
 
@@ -15,10 +15,12 @@ from pyspark.sql import DataFrame, SparkSession
 def scratch(spark: SparkSession, name: str) -> str:
     """A new folder name below ``spark.checkpoint.dir``, which all executors share.
 
-    Only where the session has no such setting (tests on one machine) is a
-    temporary folder chosen and set."""
+    Only where the session has no such setting and runs on one machine (tests) is a
+    temporary folder chosen and set; a cluster must name its folder."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="pressroom-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -76,35 +78,22 @@ def string_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offs[0] : offs[-1]], offs - offs[0]
 
 
-def slices(offsets: np.ndarray, most: int):
+def slices(offsets: np.ndarray, most: int, rows: int | None = None):
     """Runs (i, j) of values with at most ``most`` bytes together (a longer value
-    is a run of its own), so that temporaries stay small whatever the batch."""
+    is a run of its own) and at most ``rows`` values, so that temporaries stay small
+    whatever the batch."""
     i, n = 0, len(offsets) - 1
     while i < n:
         j = int(np.searchsorted(offsets, offsets[i] + most, side="right")) - 1
-        j = min(max(j, i + 1), n)
+        j = min(max(j, i + 1), n, n if rows is None else i + rows)
         yield i, j
         i = j
 
 
 # ---------------------------------------------------------------- hashing
-_MASK = (1 << 64) - 1
-_RADIX = (0x9E3779B97F4A7C15 | 1, 0xC2B2AE3D27D4EB4F | 1)
-_BYTES = [np.random.default_rng(seed).integers(1, 1 << 63, 256, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1) for seed in (11, 29)]
-_powers: dict[tuple[int, bool], np.ndarray] = {}
-
-
-def powers(n: int, which: int = 0, inverse: bool = False) -> np.ndarray:
-    """radix**0 .. radix**(n-1) modulo 2**64."""
-    have = _powers.get((which, inverse))
-    if have is None or len(have) < n:
-        size = 1 << max(16, int(n - 1).bit_length())
-        base = pow(_RADIX[which], -1, 1 << 64) if inverse else _RADIX[which]
-        step = np.full(size, base, np.uint64)
-        step[0] = 1
-        have = np.multiply.accumulate(step)
-        _powers[which, inverse] = have
-    return have[:n]
+_SPREAD = np.uint64(0x9E3779B97F4A7C15)
+_LEFT, _RIGHT = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xC2B2AE3D27D4EB4F)
+_LONG = 512
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -116,23 +105,58 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(33))
 
 
-def prefix_sums(values: np.ndarray, which: int = 0) -> np.ndarray:
-    """n + 1 running sums of values[i] * radix**i."""
-    out = np.empty(len(values) + 1, np.uint64)
-    out[0] = 0
-    np.cumsum(values * powers(len(values), which), out=out[1:])
-    return out
-
-
-def span_hashes(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: int = 0) -> np.ndarray:
-    """A 64-bit hash of every span of the sequence behind ``sums``; equal spans
-    have equal hashes wherever they stand."""
-    h = (sums[ends] - sums[starts]) * powers(len(sums), which, True)[starts]
-    return mix(h + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-
-
-def byte_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: int = 0) -> np.ndarray:
-    return span_hashes(prefix_sums(_BYTES[which][data], which), starts, ends, which)
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+    """A 64-bit hash of the bytes of every span, eight of them at a time, each block
+    through ``mix``, so that no pattern of bytes cancels out. Spans of more than 512
+    bytes, of which there cannot be many, go through xxHash one by one."""
+    import xxhash
+
+    length = ends - starts
+    h = mix(length.astype(np.uint64) * _SPREAD + np.uint64((2 * seed + 1) << 40))
+    if not len(h):
+        return h
+    padded = np.concatenate((data, np.zeros(8, np.uint8)))
+    blocks = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+    live, at = np.flatnonzero(length <= _LONG), 0
+    while len(live):
+        rest = length[live] - at
+        value = blocks[starts[live] + at]
+        value &= ~np.uint64(0) >> (np.uint64(8) * np.uint64(8) - np.uint64(8) * np.clip(rest, 1, 8).astype(np.uint64))
+        h[live] = mix(h[live] ^ value)
+        live, at = live[rest > 8], at + 8
+    for i in np.flatnonzero(length > _LONG).tolist():
+        h[i] ^= np.uint64(xxhash.xxh3_64_intdigest(data[starts[i] : ends[i]].tobytes(), seed))
+    return h
+
+
+class Runs:
+    """Hashes of runs of consecutive words, from the hashes of the words. A run of n
+    words is made of its first and its last 2**k words, 2**k <= n < 2**(k + 1), and
+    those in the same way of halves, with ``mix`` in each step."""
+
+    def __init__(self, words: np.ndarray):
+        self.levels = [words]
+
+    @staticmethod
+    def _join(a: np.ndarray, b: np.ndarray, n) -> np.ndarray:
+        return mix(a * _LEFT + (b ^ (b >> np.uint64(32))) * _RIGHT + np.asarray(n, np.uint64) * _SPREAD)
+
+    def _level(self, k: int) -> np.ndarray:
+        while len(self.levels) <= k:
+            half, low = 1 << (len(self.levels) - 1), self.levels[-1]
+            self.levels.append(self._join(low[:-half], low[half:], 2 * half) if len(low) > half else low[:0])
+        return self.levels[k]
+
+    def hashes(self, starts: np.ndarray, lengths) -> np.ndarray:
+        """Hashes of the runs of ``lengths`` words (one number or one for each)."""
+        lengths = np.broadcast_to(lengths, starts.shape)
+        out = np.empty(len(starts), np.uint64)
+        top = np.frexp(lengths.astype(np.float64))[1] - 1
+        for k in np.unique(top).tolist():
+            at = slice(None) if len(starts) and (top == k).all() else np.flatnonzero(top == k)
+            level, first, n = self._level(k), starts[at], lengths[at]
+            out[at] = self._join(level[first], level[first + n - (1 << k)], n)
+        return out
 
 
 # ---------------------------------------------------------------- words
@@ -156,3 +180,12 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     starts = np.flatnonzero(starts_mask)
     ends = np.flatnonzero(ends_mask) + 1
     return starts, ends, np.searchsorted(offsets, starts, side="right") - 1
+
+
+def word_numbers(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Numbers from 0 up for the words ``word_spans`` found: two words have one number
+    exactly where their bytes are equal."""
+    packed = np.ascontiguousarray(data[~_SPACE[data]])
+    offsets = np.concatenate(([0], np.cumsum(ends - starts))).astype(np.int64)
+    words = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(packed)])
+    return words.dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int64)

@@ -24,6 +24,17 @@ class BitVector:
         low = self.words[w] & ((np.uint64(1) << (i & 63).astype(np.uint64)) - np.uint64(1))
         return self.before[w] + np.bitwise_count(low)
 
+    def select(self, k: np.ndarray) -> np.ndarray:
+        """Position of one number k, from 0."""
+        w = np.searchsorted(self.before, k, side="right") - 1
+        need, word, at = k - self.before[w], self.words[w], np.zeros(len(k), np.uint64)
+        for step in (32, 16, 8, 4, 2, 1):
+            low = np.bitwise_count(word >> at & np.uint64((1 << step) - 1))
+            over = low <= need
+            need = need - np.where(over, low, 0)
+            at += np.where(over, np.uint64(step), np.uint64(0))
+        return w * 64 + at.astype(np.int64)
+
 
 class WaveletMatrix:
     def __init__(self, values: np.ndarray, symbols: int):
@@ -57,12 +68,13 @@ class FMIndex:
     """Index of ``text`` (numbers from 0 up) for patterns of at most ``depth`` words.
 
     Suffixes are sorted by prefix doubling until twice the depth is covered, which is
-    all that patterns of that length can tell apart. ``weights`` are those of the text
-    positions; an interval's weight is the number of places a match stands for."""
+    all that patterns of that length can tell apart. Kept are the wavelet matrix, one
+    bit per suffix for where a new group of equal first depth - 1 words begins, and one
+    byte per suffix for how many places it stands for (``weights``, up to ``least``)."""
 
-    def __init__(self, text: np.ndarray, depth: int, weights: np.ndarray):
+    def __init__(self, text: np.ndarray, depth: int, weights: np.ndarray, least: int = 2):
         n = len(text)
-        self.depth = depth
+        self.depth, self.least, self.size = depth, least, n
         ranks, width = {1: text.astype(np.int64)}, 1
 
         def later(r: np.ndarray, d: int) -> np.ndarray:
@@ -80,26 +92,36 @@ class FMIndex:
                 part = later(ranks[size], at)[order] if at else ranks[size][order]
                 differ[1:] |= part[1:] != part[:-1]
                 at += size
+        del ranks
         differ[0] = True
-        heads = np.append(np.flatnonzero(differ), n)
-        group = np.cumsum(differ) - 1
-        self.left, self.right = heads[group], heads[group + 1]
+        self.heads = BitVector(np.append(differ, True).astype(np.uint8))
         symbols = int(text.max()) + 1 if n else 1
         counts = np.bincount(text, minlength=symbols)
         self.starts = np.cumsum(counts) - counts
+        self.weight = np.append(np.minimum(weights[order], min(least, 255)), 0).astype(np.uint8)
         self.wavelet = WaveletMatrix(text[order - 1], symbols)
-        self.weight = np.concatenate(([0], np.cumsum(weights[order])))
-        self.size = n
+
+    def _often(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        """Whether the suffixes from lo to hi - 1, all within texts, stand for ``least``
+        places: as many suffixes do, and of fewer the weights are added up."""
+        often = hi - lo >= self.least
+        few = np.flatnonzero(~often & (hi > lo))
+        total = np.zeros(len(few), np.int64)
+        for k in range(self.least - 1):
+            at = lo[few] + k
+            total += np.where(at < hi[few], self.weight[np.minimum(at, self.size)], 0)
+        often[few] = total >= self.least
+        return often
 
     def windows(self, text: np.ndarray, first: np.ndarray, length: np.ndarray) -> np.ndarray:
-        """Capped matching statistics of the segments text[first : first + length],
-        read from right to left: for each position, the weight of the matches of the
-        ``depth`` words that start there, 0 where fewer are left.
+        """Matching statistics of the segments text[first : first + length], capped at
+        ``depth`` and read from right to left: for each position, whether the ``depth``
+        words that start there stand at ``least`` places; false where fewer are left.
 
         The state of a segment is the interval of its current match; at full depth the
         match gives up its last word (its interval grows to that of the shorter match)
         before it takes the next word in front."""
-        out = np.zeros(len(text), np.int64)
+        out = np.zeros(len(text), bool)
         order = np.argsort(-length, kind="stable")
         first, length = first[order], length[order]
         lo, hi = np.zeros(len(first), np.int64), np.full(len(first), self.size, np.int64)
@@ -107,11 +129,11 @@ class FMIndex:
             live = int(np.searchsorted(-length, -step, side="left"))
             at = first[:live] + length[:live] - 1 - step
             if step >= self.depth:
-                hi[:live] = self.right[lo[:live]]
-                lo[:live] = self.left[lo[:live]]
+                group = self.heads.rank(lo[:live] + 1).astype(np.int64)
+                lo[:live], hi[:live] = self.heads.select(group - 1), self.heads.select(group)
             word = text[at]
             both = self.wavelet.rank(np.concatenate((word, word)), np.concatenate((lo[:live], hi[:live])))
             lo[:live], hi[:live] = self.starts[word] + both[:live], self.starts[word] + both[live:]
             if step >= self.depth - 1:
-                out[at] = self.weight[hi[:live]] - self.weight[lo[:live]]
+                out[at] = self._often(lo[:live], hi[:live])
         return out

@@ -4,7 +4,7 @@ A document is the set of its distinct word shingles. Two permutations make its w
 signature: the first scatters the shingles over 2**32 places, the second, shifted
 circularly by k, gives coordinate k as the least image of the occupied places.
 Documents that agree in all rows of some band are candidates; a link is confirmed by
-intersecting the full sets.
+intersecting the full sets, word by word.
 
 Documents with equal sets are one node from the start. A bucket is never expanded into
 all its pairs: first each member is compared with one pivot, which joins nearly all of
@@ -20,30 +20,42 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_table, byte_hashes, mix, prefix_sums, slices, span_hashes, string_bytes, word_spans, working_tables
+from .common import Runs, as_table, mix, slices, string_bytes, word_hashes, word_numbers, word_spans, working_tables
 from .components import components
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 0x20
 
 
-def shingle_sets(column: pa.Array, words: int = 4, most: int = 1_000_000):
-    """Yields (i, the sorted distinct 64-bit shingle hashes of text i). A-Z are
-    lower-cased; a text with fewer words than a shingle is one shingle; a text without
-    words, or null, has none."""
+def shingle_sets(column: pa.Array, words: int = 4, most: int = 1_000_000, proof: bool = False):
+    """Yields (i, the sorted distinct 64-bit shingle hashes of text i, and with ``proof``
+    a second, independent hash of each). A-Z are lower-cased; a text with fewer words
+    than a shingle is one shingle; a text without words, or null, has none."""
     data, offsets = string_bytes(column)
     for i, j in slices(offsets, most):
         part, offs = _LOWER[data[offsets[i] : offsets[j]]], offsets[i : j + 1] - offsets[i]
         starts, ends, owner = word_spans(part, offs)
-        sums = prefix_sums(byte_hashes(part, starts, ends)) if len(starts) else np.zeros(1, np.uint64)
         bounds = np.searchsorted(owner, np.arange(j - i + 1))
+        at = np.arange(len(owner))
+        left = bounds[owner + 1] - at
+        at = np.flatnonzero((left >= words) | (at == bounds[owner]))
+        length = np.minimum(left[at], words)
+        one, two = (Runs(word_hashes(part, starts, ends, seed)).hashes(at, length) if seed == 0 or proof else None for seed in (0, 1))
+        bounds = np.searchsorted(at, bounds)
         for k in range(j - i):
             a, b = int(bounds[k]), int(bounds[k + 1])
-            if a == b:
-                yield i + k, np.empty(0, np.uint64)
+            if not proof:
+                yield i + k, np.unique(one[a:b]), None
                 continue
-            first = np.arange(a, max(b - words, a) + 1)
-            yield i + k, np.unique(span_hashes(sums, first, np.minimum(first + words, b)))
+            order = np.argsort(one[a:b], kind="stable")
+            s, t = one[a:b][order], two[a:b][order]
+            same = s[1:] == s[:-1]
+            if (same & (t[1:] != t[:-1])).any():  # one hash for two shingles: tell them apart by both
+                order = np.lexsort((t, s))
+                s, t = s[order], t[order]
+                same = (s[1:] == s[:-1]) & (t[1:] == t[:-1])
+            new = np.concatenate(([True], ~same))[: b - a]
+            yield i + k, s[new], t[new]
 
 
 def signature(shingles: np.ndarray, coordinates: int, block: int = 1024) -> np.ndarray:
@@ -91,7 +103,7 @@ def sketches(docs: DataFrame, words: int, bands: int, rows: int, coordinates: in
     def run(batches):
         for batch in batches:
             sizes, names, keys, bits = [], [], [], []
-            for _, s in shingle_sets(batch.column(1), words):
+            for _, s, proof in shingle_sets(batch.column(1), words, proof=True):
                 sizes.append(len(s))
                 if not len(s):
                     names.append(None)
@@ -99,7 +111,7 @@ def sketches(docs: DataFrame, words: int, bands: int, rows: int, coordinates: in
                     bits.append(np.zeros(PLANES * coordinates // 64, np.int64))
                     continue
                 sig = signature(s, max(coordinates, bands * rows))
-                names.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
+                names.append(hashlib.blake2b(s.tobytes() + proof.tobytes(), digest_size=16).digest())
                 keys.append(band_keys(sig[: bands * rows], rows))
                 bits.append(low_bits(sig[:coordinates]))
             bounds = np.concatenate(([0], np.cumsum([len(k) for k in keys])))
@@ -111,48 +123,68 @@ def sketches(docs: DataFrame, words: int, bands: int, rows: int, coordinates: in
     return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("t")).mapInArrow(run, "doc_id long, n long, name binary, bands array<long>, bits array<long>")
 
 
-def _sets(docs: DataFrame, words: int) -> DataFrame:
-    def run(batches):
-        for batch in batches:
-            for i, s in shingle_sets(batch.column(1), words):
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), pa.array([s.tobytes()], pa.binary())], ["rep", "shingles"])
-
-    return docs.mapInArrow(run, "rep long, shingles binary")
-
-
-def _shared_sizes(sets: DataFrame) -> DataFrame:
-    """(rep, shared): how many shingles of each set some other candidate has too. Two
-    sets cannot have more in common than the smaller of these numbers, which rules out
-    most pairs of copies that were edited in different places before they are made."""
+def _alone(texts: DataFrame, words: int) -> DataFrame:
+    """(rep, alone): how many shingles of each text no other candidate has. Two sets
+    cannot have more in common than the rest of the smaller, which rules out most pairs
+    of copies that were edited in different places before they are made."""
 
     def run(batches):
         for batch in batches:
-            for i, x in enumerate(batch.column(1)):
-                s = np.frombuffer(x.as_buffer(), np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(s), batch.column(0)[i].as_py())), pa.array(s)], ["rep", "h"])
-
-    each = sets.mapInArrow(run, "rep long, h long").groupBy("h").agg(F.min("rep").alias("rep"), F.max("rep").alias("other"))
-    alone = each.filter("rep = other").groupBy("rep").agg(F.count("*").alias("alone"))
-    sizes = sets.groupBy("rep").agg(F.sum(F.octet_length("shingles") / 8).cast("long").alias("all"))
-    return sizes.join(alone, "rep", "left").select("rep", (F.col("all") - F.coalesce("alone", F.lit(0))).alias("shared"))
-
-
-def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b, la, lb) with percent * union <= 100 * intersection, as (la, lb)."""
+            for i, s, _ in shingle_sets(batch.column(1), words):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(s), batch.column(0)[i].as_py())), pa.array(s.view(np.int64))], ["rep", "h"])
+
+    each = texts.mapInArrow(run, "rep long, h long").groupBy("h").agg(F.min("rep").alias("rep"), F.max("rep").alias("other"))
+    return each.filter("rep = other").groupBy("rep").agg(F.count("*").alias("alone"))
+
+
+def similar(left: pa.Array, right: pa.Array, words: int, percent: int, most: int = 2_000_000) -> np.ndarray:
+    """Which pairs of texts have 100 * intersection >= percent * union of their shingle
+    sets. Shingles are numbered by their words, not hashed: the answer is exact."""
+    keep = np.zeros(len(left), bool)
+    sides = [string_bytes(x) for x in (left, right)]
+    both = sides[0][1] + sides[1][1]
+    for i, j in slices(both, most):
+        n = j - i
+        part = np.concatenate([_LOWER[d[o[i] : o[j]]] for d, o in sides])
+        offs = np.concatenate((sides[0][1][i : j + 1] - sides[0][1][i], sides[0][1][j] - sides[0][1][i] + sides[1][1][i + 1 : j + 1] - sides[1][1][i]))
+        starts, ends, owner = word_spans(part, offs)
+        if not len(starts):
+            continue
+        # Numbers from 1 up, and words - 1 zeros behind each text: a short text is one shingle of its own kind.
+        number = np.zeros(len(owner) + 2 * n * (words - 1), np.int64)
+        at = np.arange(len(owner)) + owner * (words - 1)
+        number[at] = word_numbers(part, starts, ends) + 1
+        size, rank = 1, number
+        while size < words:
+            step = min(size, words - size)
+            rank = np.unique(rank[: len(rank) - step] * (int(rank.max()) + 1) + rank[step:], return_inverse=True)[1]
+            size += step
+        bounds = np.searchsorted(owner, np.arange(2 * n + 1))
+        place = np.arange(len(owner))
+        first = (bounds[owner + 1] - place >= words) | (place == bounds[owner])
+        top = int(rank.max()) + 1
+        own = np.unique(owner[first] * top + rank[at[first]])
+        text = own // top
+        sizes = np.bincount(text, minlength=2 * n)
+        cut = int(np.searchsorted(text, n))
+        shared = np.intersect1d(own[:cut], own[cut:] - n * top, assume_unique=True) // top
+        common = np.bincount(shared, minlength=n)
+        union = sizes[:n] + sizes[n:] - common
+        keep[i:j] = (union > 0) & (100 * common >= percent * union)
+    return keep
+
+
+def _confirm(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """The pairs (a, b, la, lb) whose texts are similar enough, as (la, lb)."""
 
     def run(batches):
         for batch in batches:
-            linked = []
-            for x, y in zip(batch.column(2), batch.column(3)):
-                s, t = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = len(np.intersect1d(s, t, assume_unique=True))
-                linked.append(100 * both >= percent * (len(s) + len(t) - both))
-            keep = pa.array(linked, pa.bool_())
+            keep = pa.array(similar(batch.column(2), batch.column(3), words, percent))
             yield pa.RecordBatch.from_arrays([batch.column(c).filter(keep) for c in (0, 1)], ["a", "b"])
 
-    left = pairs.join(sets.select(F.col("rep").alias("b"), F.col("shingles").alias("t")), "b")
-    both = left.join(sets.select(F.col("rep").alias("a"), F.col("shingles").alias("s")), "a")
-    return both.select("la", "lb", "s", "t").mapInArrow(run, "a long, b long")
+    left = pairs.join(texts.select(F.col("rep").alias("b"), F.col("t").alias("tb")), "b")
+    both = left.join(texts.select(F.col("rep").alias("a"), F.col("t").alias("ta")), "a")
+    return both.select("la", "lb", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
 def _possible(percent: int, coordinates: int) -> Column:
@@ -215,10 +247,11 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: i
         at = as_table(nodes.join(full, "key"), "buckets")
         wanted = at.select(F.col("rep").alias("doc_id")).distinct()
         texts = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("t")).join(wanted, "doc_id", "left_semi")
-        # Rows that share an id have several sets; each is compared.
-        sets = as_table(_sets(texts, words), "sets")
-        shared = _shared_sizes(sets)
-        more = as_table(equal.join(shared, "rep").filter(100 * F.col("shared") >= percent * F.col("n")).select("rep", "n", "shared", "bits", F.transform("bands", lambda b: F.shiftright(b, 32).cast("int")).alias("marks")), "candidates")
+        # Rows that share an id have several texts; each is compared.
+        texts = as_table(texts.select(F.col("doc_id").alias("rep"), "t"), "candidate-texts")
+        sizes = usable.groupBy(F.col("doc_id").alias("rep")).agg(F.sum("n").alias("all")).join(_alone(texts, words), "rep", "left")
+        shared = equal.join(wanted.withColumnRenamed("doc_id", "rep"), "rep", "left_semi").join(sizes, "rep").withColumn("shared", F.col("all") - F.coalesce("alone", F.lit(0)))
+        more = as_table(shared.filter(100 * F.col("shared") >= percent * F.col("n")).select("rep", "n", "shared", "bits", F.transform("bands", lambda b: F.shiftright(b, 32).cast("int")).alias("marks")), "candidates")
         at = at.join(more.select("rep", "n", "shared"), ["rep", "n"]).withColumn("label", F.col("rep"))
         possible = _possible(percent, coordinates)
 
@@ -234,7 +267,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: i
             wide = at.join(more.select("rep", "n", "bits", *(["marks"] if last else [])), ["rep", "n"])
             pairs = _cross_pairs(wide, possible) if last else _pivot_pairs(wide, turn, possible)
             pairs = pairs.select(F.least("rep1", "rep2").alias("a"), F.greatest("rep1", "rep2").alias("b"), F.col("label1").alias("la"), F.col("label2").alias("lb")).dropDuplicates(["a", "b"])
-            step = components(_confirm(pairs, sets, percent))
+            step = components(_confirm(pairs, texts, words, percent))
             steps.append(step)
             if last:
                 break

@@ -18,52 +18,48 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import as_table, byte_hashes, input_partitions, mix, prefix_sums, slices, span_hashes, string_bytes, word_spans, working_tables
+from .common import Runs, as_table, input_partitions, mix, slices, string_bytes, word_hashes, word_numbers, word_spans, working_tables
 from .fm_index import FMIndex
 
 _PLACE = np.uint64((1 << 28) - 1)
 
 
-def segments(sums: np.ndarray, owner: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, ...]:
-    """Anchor hash, content hash, first and last window start (positions in the word
-    sequence behind ``sums``) of every segment. ``owner`` is the text of each word."""
+def segments(runs: Runs, owner: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, ...]:
+    """Anchor hash, first and last window start (positions in the word sequence behind
+    ``runs``) of every segment. ``owner`` is the text of each word."""
     n, span = len(owner), window - gram + 1
-    if n < window:
-        return tuple(np.empty(0, t) for t in (np.uint64, np.uint64, np.int64, np.int64))
+    start = np.flatnonzero(owner[: n - window + 1] == owner[window - 1 :]) if n >= window else np.empty(0, np.int64)
+    if not len(start):
+        return np.empty(0, np.uint64), start, start
     at = np.arange(n - gram + 1)
-    grams = span_hashes(sums, at, at + gram)
+    grams = runs.hashes(at, gram)
     least = (mix(grams) & ~_PLACE) | at.astype(np.uint64)
     have = 1
     while have < span:  # minimum over `have` places, doubled until it covers the window
         step = min(have, span - have)
         least = np.minimum(least[:-step], least[step:])
         have += step
-    start = np.flatnonzero(owner[: n - window + 1] == owner[window - 1 :])
     anchor = (least[start] & _PLACE).astype(np.int64)
-    if not len(start):
-        return segments(sums[:1], owner[:0], window, gram)
     new = np.concatenate(([True], anchor[1:] != anchor[:-1]))
     head = np.flatnonzero(new)
-    first, last = start[head], start[np.append(head[1:], len(start)) - 1]
-    return grams[anchor[head]], span_hashes(sums, first, last + window), first, last
-
-
-def _words(part: np.ndarray, offs: np.ndarray):
-    starts, ends, owner = word_spans(part, offs)
-    hashes = byte_hashes(part, starts, ends) if len(starts) else np.empty(0, np.uint64)
-    return hashes, owner, np.searchsorted(owner, np.arange(len(offs)))
+    return grams[anchor[head]], start[head], start[np.append(head[1:], len(start)) - 1]
 
 
 def _occurrences(texts: DataFrame, window: int, gram: int, most: int = 1_000_000) -> DataFrame:
+    """Anchor (h) and name of the words (content) of every segment; the two come from
+    independent hashes of the words."""
+
     def run(batches):
         for batch in batches:
             data, offsets = string_bytes(batch.column(2))
             for i, j in slices(offsets, most):
-                hashes, owner, bounds = _words(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                h, content, first, last = segments(prefix_sums(hashes), owner, window, gram)
+                part, offs = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
+                starts, ends, owner = word_spans(part, offs)
+                h, first, last = segments(Runs(word_hashes(part, starts, ends)), owner, window, gram)
                 if not len(h):
                     continue
-                text = owner[first]
+                content = Runs(word_hashes(part, starts, ends, 1)).hashes(first, last - first + window)
+                bounds, text = np.searchsorted(owner, np.arange(len(offs))), owner[first]
                 rows = pa.array(text + i)
                 yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(content.view(np.int64)), batch.column(0).take(rows), batch.column(1).take(rows), pa.array((first - bounds[text]).astype(np.int32)), pa.array((last - bounds[text]).astype(np.int32))], ["h", "content", "rk", "rl", "first", "last"])
 
@@ -71,8 +67,8 @@ def _occurrences(texts: DataFrame, window: int, gram: int, most: int = 1_000_000
 
 
 def _contents(wanted: DataFrame, window: int, most: int = 1_000_000) -> DataFrame:
-    """Word hashes of the wanted segments of each text; those of crowded anchors cut
-    into their windows, with the window's hash as the place to go to."""
+    """The words of the wanted segments of each text; those of crowded anchors cut into
+    their windows, with a hash of the window as the place to go to and another as tag."""
     names = ["route", "tag", "h", "content", "shift", "n", "words"]
 
     def run(batches):
@@ -80,20 +76,23 @@ def _contents(wanted: DataFrame, window: int, most: int = 1_000_000) -> DataFram
             data, offsets = string_bytes(batch.column(0))
             lists = batch.column(1)
             for i, j in slices(offsets, most):
-                hashes, _, bounds = _words(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                sums = prefix_sums(hashes)
+                part = data[offsets[i] : offsets[j]]
+                starts, ends, owner = word_spans(part, offsets[i : j + 1] - offsets[i])
+                bounds = np.searchsorted(owner, np.arange(j - i + 1))
+                raw, runs = part.tobytes(), None
                 out = [[] for _ in names]
                 for k in range(i, j):
                     base = int(bounds[k - i])
                     for s in lists[k].as_py():
                         a, b = base + s["first"], base + s["last"]
-                        if s["crowded"]:
-                            at = np.arange(a, b + 1)
-                            for w, p in zip(span_hashes(sums, at, at + window).view(np.int64).tolist(), at.tolist()):
-                                for c, v in zip(out, (w, 0, s["h"], s["content"], p - a, s["n"], hashes[p : p + window].tobytes())):
-                                    c.append(v)
-                        else:
-                            for c, v in zip(out, (s["h"], s["content"], s["h"], s["content"], -1, s["n"], hashes[a : b + window].tobytes())):
+                        if not s["crowded"]:
+                            for c, v in zip(out, (s["h"], s["content"], s["h"], s["content"], -1, s["n"], raw[starts[a] : ends[b + window - 1]])):
+                                c.append(v)
+                            continue
+                        at = np.arange(a, b + 1)
+                        runs = runs or [Runs(word_hashes(part, starts, ends, seed)) for seed in (0, 1)]
+                        for w, tag, p in zip(*(r.hashes(at, window).view(np.int64).tolist() for r in runs), at.tolist()):
+                            for c, v in zip(out, (w, tag, s["h"], s["content"], p - a, s["n"], raw[starts[p] : ends[p + window - 1]])):
                                 c.append(v)
                 if out[0]:
                     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary()]
@@ -104,31 +103,32 @@ def _contents(wanted: DataFrame, window: int, most: int = 1_000_000) -> DataFram
 
 def _search(shards: DataFrame, window: int) -> DataFrame:
     """One FM-index per partition: the ranges of window starts (from, to), counted from
-    the segment's first word, whose words stand at two places or more."""
+    the segment's first word, whose words stand at two places or more. Words are
+    numbered by their bytes, so what the index finds equal is equal."""
 
     def run(batches):
         keys, weights, parts = [], [], []
         for batch in batches:
             keys.append(np.stack([batch.column(k).to_numpy() for k in (0, 1)], 1))
             weights.append(batch.column(2).to_numpy())
-            data, offsets = string_bytes(batch.column(3).cast(pa.large_binary()).view(pa.large_string()))
-            parts.append((data, offsets))
-        total = sum(len(d) // 8 for d, _ in parts)
-        if not total:
+            parts.append(string_bytes(batch.column(3).cast(pa.large_binary()).view(pa.large_string())))
+        if not any(len(d) for d, _ in parts):
             return
         keys, weights = np.concatenate(keys), np.concatenate(weights)
-        length = np.concatenate([np.diff(o) // 8 for _, o in parts])
-        words = np.concatenate([np.frombuffer(d.tobytes(), np.uint64) for d, _ in parts])
+        data = np.concatenate([d for d, _ in parts])
+        offsets = np.concatenate(([0], np.cumsum(np.concatenate([np.diff(o) for _, o in parts]))))
         del parts
+        starts, ends, owner = word_spans(data, offsets)
+        length = np.bincount(owner, minlength=len(keys))
         # Numbers from 1 up for words; 0 between segments, which no pattern holds.
         first = np.cumsum(length + 1) - length - 1
-        text = np.zeros(total + len(length), np.int64)
-        own = np.repeat(first - (np.cumsum(length) - length), length) + np.arange(total)
-        text[own] = np.unique(words, return_inverse=True)[1] + 1
-        del words
+        text = np.zeros(len(owner) + len(keys), np.int64)
+        own = np.arange(len(owner)) + owner
+        text[own] = word_numbers(data, starts, ends) + 1
         weight = np.zeros(len(text), np.int64)
-        weight[own] = np.repeat(weights, length)
-        found = FMIndex(text, window, weight).windows(text, first, length) >= 2
+        weight[own] = weights[owner]
+        del data, starts, ends, own
+        found = FMIndex(text, window, weight, 2).windows(text, first, length)
         edge = np.diff(np.concatenate(([0], found.astype(np.int8), [0])))
         start, stop = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
         seg = np.searchsorted(first, start, side="right") - 1
@@ -137,7 +137,7 @@ def _search(shards: DataFrame, window: int) -> DataFrame:
     return shards.mapInArrow(run, "route long, tag long, from int, to int")
 
 
-def repeated_ranges(texts: DataFrame, window: int = 35, gram: int = 6, crowd: int = 48, shard_words: int = 400_000) -> DataFrame:
+def repeated_ranges(texts: DataFrame, window: int = 35, gram: int = 6, crowd: int = 48, shard_bytes: int = 2_500_000) -> DataFrame:
     """``texts`` (rk, rl, t: two columns that name the row, and its text) to (rk, rl,
     ranges): the word ranges [from, to) that repeated windows cover."""
     with working_tables(texts.sparkSession):
@@ -150,14 +150,15 @@ def repeated_ranges(texts: DataFrame, window: int = 35, gram: int = 6, crowd: in
         lists = groups.join(kinds, "h").groupBy("at.rk", "at.rl").agg(F.collect_list(F.struct("h", "content", "n", "crowded", F.col("at.first").alias("first"), F.col("at.last").alias("last"))).alias("list"))
         wanted = texts.join(lists, ["rk", "rl"]).select("t", "list")
         pieces = as_table(_contents(wanted, window), "segment-words")
-        words = pieces.agg(F.sum(F.octet_length("words") / 8)).first()[0] or 0
+        size = pieces.agg(F.sum(F.octet_length("words"))).first()[0] or 0
         merged = pieces.groupBy("route", "tag").agg(F.sum("n").alias("n"), F.first("words").alias("words"))
-        shards = merged.select("route", "tag", "n", "words").repartition(max(input_partitions(texts), int(words / shard_words) + 1), "route")
+        shards = merged.select("route", "tag", "n", "words").repartition(max(input_partitions(texts), size // shard_bytes + 1), "route")
         hits = as_table(_search(shards, window), "segment-hits")
         light = pieces.filter("shift < 0").select("route", "tag", "h", "content").join(hits, ["route", "tag"]).select("h", "content", "from", "to")
         heavy = pieces.filter("shift >= 0").select("route", "tag", "h", "content", "shift").join(hits.select("route", "tag"), ["route", "tag"]).select("h", "content", F.col("shift").alias("from"), F.col("shift").alias("to"))
         ranges = repeated.join(light.unionByName(heavy).distinct(), ["h", "content"]).select("rk", "rl", (F.col("first") + F.col("from")).alias("from"), (F.col("first") + F.col("to") + window).alias("to"))
-        return as_table(ranges.groupBy("rk", "rl").agg(F.collect_list(F.struct("from", "to")).alias("ranges")), "repeated-ranges", keep=True)
+        # Rows that are repeated in full have one name and the same ranges: a set holds them once.
+        return as_table(ranges.groupBy("rk", "rl").agg(F.collect_set(F.struct("from", "to")).alias("ranges")), "repeated-ranges", keep=True)
 
 
 def remove_repeats(docs: DataFrame, window: int = 35, text: str = "text", with_text: bool = False, gram: int = 6) -> DataFrame:

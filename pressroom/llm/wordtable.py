@@ -2,18 +2,19 @@
 
 A text is cut in front of a run of blanks that follows something else. Byte-level
 and word-level BPE never merge across such a cut, so a text's ids are the ids of its
-pieces one after the other. Pieces of a slice of texts are hashed with numpy, every
-distinct piece that this worker has not met yet is encoded once, and the ids of the
-whole slice are gathered from one flat table. The table has a bounded number of
-pieces; when it is full it starts anew, which changes the time but not the ids."""
+pieces one after the other. Arrow tells the distinct pieces of a slice of texts apart,
+each that this worker has not met yet is encoded once, and the ids of the whole slice
+are gathered from one flat table. The table has a bounded number of pieces; when it is
+full it starts anew, which changes the time but not the ids."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 import numpy as np
+import pyarrow as pa
 
-from .common import byte_hashes, slices
+from .common import slices
 
 _BLANK = np.zeros(256, bool)
 _BLANK[[0x20, 0x0A]] = True
@@ -48,58 +49,49 @@ def odd_texts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 class WordTable:
-    """``encode`` gives the ids of a list of pieces; ``limit`` bounds how many are kept."""
+    """``encode`` gives the ids of a list of pieces; ``limit`` bounds how many are kept.
+    Pieces are told apart by their bytes."""
 
-    def __init__(self, encode: Callable[[list[str]], list[list[int]]], limit: int = 1_000_000, strip: bool = False):
+    def __init__(self, encode: Callable[[list[str]], list[list[int]]], limit: int = 400_000, strip: bool = False):
         self.encode, self.limit, self.strip = encode, limit, strip
         self.clear()
 
     def clear(self) -> None:
-        self.keys, self.slots = np.empty(0, np.uint64), np.empty(0, np.int64)
-        self.proof, self.first, self.count = np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
+        self.slot_of: dict[bytes, int] = {}
+        self.first, self.count = np.empty(1 << 12, np.int64), np.empty(1 << 12, np.int64)
         self.ids, self.used = np.empty(1 << 16, np.int32), 0
 
-    def _add(self, keys: np.ndarray, proof: np.ndarray, words: list[str]) -> None:
-        encoded = self.encode(words)
+    @staticmethod
+    def _room(array: np.ndarray, size: int) -> np.ndarray:
+        return array if size <= len(array) else np.concatenate((array, np.empty(max(size - len(array), len(array)), array.dtype)))
+
+    def _add(self, words: list[bytes]) -> None:
+        encoded = self.encode([w.decode("utf-8", "replace") for w in words])
         counts = np.fromiter(map(len, encoded), np.int64, len(encoded))
-        total = int(counts.sum())
-        while self.used + total > len(self.ids):
-            self.ids = np.concatenate((self.ids, np.empty_like(self.ids)))
+        total, have = int(counts.sum()), len(self.slot_of)
+        self.ids = self._room(self.ids, self.used + total)
         self.ids[self.used : self.used + total] = np.fromiter((x for e in encoded for x in e), np.int32, total)
-        slots = len(self.first) + np.arange(len(words))
-        self.first = np.concatenate((self.first, self.used + np.cumsum(counts) - counts))
-        self.count, self.proof = np.concatenate((self.count, counts)), np.concatenate((self.proof, proof))
+        self.first, self.count = self._room(self.first, have + len(words)), self._room(self.count, have + len(words))
+        self.first[have : have + len(words)] = self.used + np.cumsum(counts) - counts
+        self.count[have : have + len(words)] = counts
         self.used += total
-        merged = np.concatenate((self.keys, keys))
-        order = np.argsort(merged, kind="stable")
-        self.keys, self.slots = merged[order], np.concatenate((self.slots, slots))[order]
+        self.slot_of.update(zip(words, range(have, have + len(words))))
 
     def _slots(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         if self.strip:  # white space in front has no ids of its own
             blank = _BLANK[data]
-            skip = np.concatenate(([0], np.cumsum(~blank)))
-            solid = np.concatenate((np.flatnonzero(~blank), [len(data)]))
-            starts = np.minimum(solid[skip[starts]], ends)
-        h, proof = byte_hashes(data, starts, ends, 0), byte_hashes(data, starts, ends, 1)
-        _, one, which = np.unique(h, return_index=True, return_inverse=True)
-        if (proof[one][which] != proof).any():  # two pieces with one hash: tell them apart by both
-            pair = np.stack((h, proof), 1)
-            _, one, which = np.unique(pair, axis=0, return_index=True, return_inverse=True)
-            h = h ^ (proof << np.uint64(1))
-        if len(self.keys) + len(one) > self.limit:
-            self.clear()
-        keys = h[one]
-        at = np.minimum(np.searchsorted(self.keys, keys), max(len(self.keys) - 1, 0))
-        known = (self.keys[at] == keys) if len(self.keys) else np.zeros(len(keys), bool)
-        if known.any() and (self.proof[self.slots[at[known]]] != proof[one][known]).any():
+            data, kept = data[~blank], np.concatenate(([0], np.cumsum(~blank)))
+            starts, ends = kept[starts], kept[ends]
+        offsets = np.append(starts, ends[-1:]).astype(np.int64)
+        cut = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data))]).dictionary_encode()
+        words = cut.dictionary.to_pylist()
+        if len(self.slot_of) + len(words) > self.limit:
             self.clear()
-            known[:] = False
-        new = np.flatnonzero(~known)
-        if len(new):
-            raw = data.tobytes()
-            words = [raw[a:b].decode("utf-8", "replace") for a, b in zip(starts[one[new]].tolist(), ends[one[new]].tolist())]
-            self._add(keys[new], proof[one][new], words)
-        return self.slots[np.searchsorted(self.keys, keys)][which]
+        get = self.slot_of.get
+        new = [w for w in words if get(w) is None]
+        if new:
+            self._add(new)
+        return np.fromiter(map(self.slot_of.__getitem__, words), np.int64, len(words))[cut.indices.to_numpy(zero_copy_only=False)]
 
     def texts(self, data: np.ndarray, offsets: np.ndarray, whole: Callable[[str], list[int]] | None = None, most: int = 1_000_000):
         """Yields (i, j, ids, bounds): the ids of texts i to j - 1 and the j - i + 1

@@ -20,10 +20,15 @@ from pressroom.llm import bpe, components, embed_dedup, langid, minhash, mixing,
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LONG = " ".join(f"w{i % 997}" for i in range(30_000))
+#: A Thue-Morse pattern and its complement: polynomial hashes modulo a power of 2 take them for equal.
+MORSE = [[(bin(i).count("1") + c) % 2 for i in range(1024)] for c in (0, 1)]
+X, Y = ("".join("ab"[k] for k in m) for m in MORSE)
 ODD = [
     (9000, None), (9001, ""), (9002, "   \n"), (9003, "a b"), (9004, "A\t b  \r\n c"), (9005, "123 !!"), (9006, LONG),
     (9007, " ".join(["same"] * 80)), (9008, "x <|endoftext|> y<|startoftext|>İΣ it's 12 é ́x   z"),
     (9009, " ".join(f"z{i}" for i in range(35))), (9010, "q " + "\n".join(f"z{i}" for i in range(35)) + " r"),
+    (9020, X), (9021, Y), (9022, f"{X} {Y}"), (9023, f"{Y} {X}"), *((9024 + i, " ".join(f"p{k}" for k in range(17)) + f" {w} " + " ".join(f"q{k}" for k in range(17))) for i, w in enumerate((X, Y))),
+    *((9030 + i, " ".join(("uv", "wx")[k] for k in m)) for i, m in enumerate(MORSE)), (9032, " ".join(("yz", "yz yy")[k] for k in MORSE[0])),
     (9011, "one two three four five"), (9011, "one two three four five"), (None, "key less text of some words here"), (None, None),
 ]
 SCHEMA = "doc_id long, text string"
