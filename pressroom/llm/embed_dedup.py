@@ -3,10 +3,15 @@
 Unit vectors are rotated and cut into blocks of a few dimensions. If the squared
 distance of two vectors is at most t, then in at least one block it is at most that
 block's share of t, in proportion to its dimensions. So each block is joined on its own
-under its budget - by slabs of its first coordinate, as wide as the budget's root - and
-the union of what the blocks find is checked by the exact cosine. A pair counts in the
+under its budget and the union of what the blocks find is checked by the exact cosine.
+
+A block's range join is a grid over its first two coordinates, with cells twice as wide
+as the budget's root: a vector is dealt to its own cell and to those neighbours behind
+it that lie within the root, about 2.5 copies a block whatever the number of vectors.
+In a cell, a third coordinate in order limits what is compared. A pair counts in the
 first block that finds it and nowhere else, so no pair leaves the task that found it:
-tasks give sums of links and a spanning forest."""
+tasks give sums of links and a spanning forest. Cells with many vectors are cut into
+chunks, and each pair of chunks is a group of its own."""
 
 from __future__ import annotations
 
@@ -76,13 +81,35 @@ def _forest(a: np.ndarray, b: np.ndarray) -> dict[int, int]:
     return {x: top(x) for x in root}
 
 
-def near_vectors(rows: DataFrame, cosine: float = 0.93, blocks: int = 8, chunk: int = 1024, key: str = "vec_id", vector: str = "embedding", label: str = "label") -> DataFrame:
+#: A cell meets the cells at these distances: of any two neighbours, one is in front.
+_AHEAD = ((0, 1), (1, -1), (1, 0), (1, 1))
+
+
+def _cells(u: np.ndarray, lo: int, hi: int, root: float):
+    """(rows, cell, role) for a block: role 3 in the own cell, 4 in those behind it."""
+    width, n = 2 * root, len(u)
+    own, near = [], []
+    for c in (lo, min(lo + 1, hi - 1)):
+        f = np.floor(u[:, c] / width)
+        own.append(f.astype(np.int64))
+        near.append({0: np.ones(n, bool), 1: u[:, c] - f * width <= root * (1 + _ROOM), -1: (f + 1) * width - u[:, c] <= root * (1 + _ROOM)})
+    if hi - lo == 1:
+        own[1] = np.zeros(n, np.int64)
+    yield np.arange(n), own[0] * (1 << 31) + own[1], 3
+    for d, e in _AHEAD:
+        if hi - lo > 1 or e == 0:
+            rows = np.flatnonzero(near[0][d] & near[1][e])
+            yield rows, (own[0][rows] - d) * (1 << 31) + own[1][rows] - e, 4
+
+
+def near_vectors(rows: DataFrame, cosine: float = 0.93, blocks: int = 8, crowd: int = 4096, key: str = "vec_id", vector: str = "embedding", label: str = "label") -> DataFrame:
     """vec_id, n_links, component_id and kept of every row.
 
     Only vectors of equal label and length are compared. Vectors that are null, empty,
     zero, or hold null or non-finite components, and rows with a null label or id, link
     with nothing. Equal vectors of a label are compared once and counted as often as they
-    stand; rows that repeat an id count as vectors of their own with that id."""
+    stand; rows that repeat an id count as vectors of their own with that id. ``crowd``:
+    vectors of a cell above which it is cut."""
     budget = 2 - 2 * cosine + _ROOM
     wide = not isinstance(rows.schema[vector].dataType.elementType, T.FloatType)
     kind = "<f8" if wide else "<f4"
@@ -91,81 +118,91 @@ def near_vectors(rows: DataFrame, cosine: float = 0.93, blocks: int = 8, chunk:
     own = rows.select(F.col(key).alias("vec_id"), F.col(label).alias("label"), v.alias("v"), F.coalesce(sound, F.lit(False)).alias("sound"))
     good = own.filter("sound")
     reps = as_table(good.groupBy("label", "v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("c")), "vectors")
-    # A slab of a label holds under half of its vectors; larger groups are cut in chunks.
-    chunks = reps.groupBy("label", F.size("v").alias("d")).agg(F.ceil(F.count("*") * 0.4 / chunk).cast("int").alias("chunks"))
-    dealt = reps.withColumn("d", F.size("v")).join(chunks, ["label", "d"]).select("label", "d", "chunks", "rep", "c", "v")
     label_type = rows.schema[label].dataType
 
-    def deal(batches):
+    def placed(batches):
+        """(part of a batch with vectors of one length, images, block, rows, cells, role)"""
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            d = batch.column(1).to_numpy()
+            d = batch.column(1).to_numpy(zero_copy_only=False)
             for size in np.unique(d):
-                at = np.flatnonzero(d == size)
-                part = batch.take(pa.array(at))
-                flat = part.column(5).flatten().to_numpy(zero_copy_only=False)
-                x = flat.reshape(len(at), size)
-                raw = np.ascontiguousarray(x.astype(kind))
+                part = batch.take(pa.array(np.flatnonzero(d == size)))
+                x = part.column(4).flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, size)
                 u = rotate(x.astype(np.float64))
-                count, rep = part.column(2).to_numpy(), part.column(3).to_numpy()
-                mine = np.abs(rep * 2654435761 % 4294967291) % count
-                bytes_ = pa.array([r.tobytes() for r in raw], pa.binary())
-                cols = []
                 for j, (lo, hi) in enumerate(blocks_of(u.shape[1], blocks)):
-                    width = np.sqrt(budget * (hi - lo) / u.shape[1]) * (1 + _ROOM)
-                    slab = np.floor(u[:, lo] / width).astype(np.int64)
-                    for other in range(int(count.max())):
-                        live = np.flatnonzero(other < count)
-                        p, q = mine[live], np.full(len(live), other)
-                        # Role 1: first of a pair; 2: second, from the same slab; 4: second, from the next slab.
-                        cols.append((live, j, slab[live], p, q, np.where(p == q, 3, 1)))
-                        second = live[p > other]
-                        cols.append((second, j, slab[second], np.full(len(second), other), mine[second], np.full(len(second), 2)))
-                        cols.append((live, j, slab[live] - 1, q, p, np.full(len(live), 4)))
-                for rows_, j, slab, p, q, role in cols:
-                    if len(rows_):
-                        take = pa.array(rows_)
-                        yield pa.RecordBatch.from_arrays(
-                            [part.column(0).take(take), part.column(1).take(take), pa.array(np.full(len(rows_), j), pa.int32()), pa.array(slab), pa.array(p, pa.int32()), pa.array(q, pa.int32()), pa.array(role, pa.int32()), part.column(3).take(take), part.column(4).take(take), bytes_.take(take)],
-                            ["label", "d", "j", "slab", "p", "q", "role", "rep", "c", "v"],
-                        )
-
-    schema = T.StructType([T.StructField("label", label_type), T.StructField("d", T.IntegerType())])
-    for name, t in (("j", "int"), ("slab", "long"), ("p", "int"), ("q", "int"), ("role", "int"), ("rep", "long"), ("c", "long"), ("v", "binary")):
-        schema = schema.add(name, {"int": T.IntegerType(), "long": T.LongType(), "binary": T.BinaryType()}[t])
-    grouped = dealt.mapInArrow(deal, schema).groupBy("label", "d", "j", "slab", "p", "q")
+                    for at, cell, role in _cells(u, lo, hi, np.sqrt(budget * (hi - lo) / u.shape[1])):
+                        if len(at):
+                            yield part, x, j, at, cell, role
+
+    def count(batches):
+        for part, _, j, at, cell, _ in placed(batches):
+            head = pa.table({"label": part.column(0).take(pa.array(at)), "d": part.column(1).take(pa.array(at)), "cell": cell})
+            sums = head.group_by(["label", "d", "cell"]).aggregate([([], "count_all")])
+            for b in sums.select(["label", "d", "cell", "count_all"]).to_batches():
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.full(b.num_rows, j, np.int32)), b.column(2), b.column(3)], ["label", "d", "j", "cell", "n"])
+
+    def deal(batches):
+        for part, x, j, at, cell, role in placed(batches):
+            take = pa.array(at)
+            v = pa.array([r.tobytes() for r in np.ascontiguousarray(x[at].astype(kind))], pa.binary())
+            fill = [pa.array(np.full(len(at), k, np.int32)) for k in (j, role)]
+            yield pa.RecordBatch.from_arrays([part.column(0).take(take), part.column(1).take(take), fill[0], pa.array(cell), fill[1], part.column(2).take(take), part.column(3).take(take), v], ["label", "d", "j", "cell", "role", "rep", "c", "v"])
+
+    head = [T.StructField("label", label_type), T.StructField("d", T.IntegerType()), T.StructField("j", T.IntegerType()), T.StructField("cell", T.LongType())]
+    counted, dealt = T.StructType([*head, T.StructField("n", T.LongType())]), T.StructType([*head, T.StructField("role", T.IntegerType()), T.StructField("rep", T.LongType()), T.StructField("c", T.LongType()), T.StructField("v", T.BinaryType())])
+    given = reps.select("label", F.size("v").alias("d"), "rep", "c", "v")
+    place = ["label", "d", "j", "cell"]
+    crowded = as_table(given.mapInArrow(count, counted).groupBy(place).agg(F.sum("n").alias("n")).filter(F.col("n") > crowd).select(*place, F.ceil(F.col("n") / crowd).cast("int").alias("chunks")), "crowded-cells")
+    # Groups (p, q) of a cell hold pairs of a first vector of chunk p and a second one of
+    # chunk q. Role 1: first of a pair; 2: second, of the same cell; 3: both; 4: second, of the next cell.
+    chunks = F.coalesce("chunks", F.lit(1))
+    mine = F.pmod(F.xxhash64("rep"), chunks).cast("int")
+
+    def group(p, q, role):
+        return F.struct(p.alias("p"), q.alias("q"), role.alias("role"))
+
+    every = F.sequence(F.lit(0), chunks - 1)
+    home = F.concat(
+        F.transform(every, lambda q: group(mine, q, F.when(q == mine, 3).otherwise(1))),
+        F.transform(F.filter(every, lambda p: p < mine), lambda p: group(p, mine, F.lit(2))),
+    )
+    behind = F.transform(every, lambda p: group(p, mine, F.lit(4)))
+    spread = given.mapInArrow(deal, dealt).join(crowded, place, "left").select(*place, F.explode(F.when(F.col("role") == 3, home).otherwise(behind)).alias("g"), "rep", "c", "v")
+    grouped = spread.select(*place, "g.p", "g.q", "g.role", "rep", "c", "v").groupBy(*place, "p", "q")
 
     def compare(group: pa.Table) -> pa.Table:
         group = group.combine_chunks()
         role, j = group["role"].to_numpy(), int(group["j"][0].as_py())
         rep, c = group["rep"].to_numpy(), group["c"].to_numpy()
-        x = _matrix(group["v"], kind)
-        u = rotate(x)
-        parts = blocks_of(u.shape[1], blocks)
-        share = [budget * (hi - lo) / u.shape[1] for lo, hi in parts]
-        lo, hi = parts[j]
-        b = np.ascontiguousarray(u[:, lo:hi])
-        square = np.einsum("ij,ij->i", b, b)
-        norm = np.sqrt(np.einsum("ij,ij->i", x, x))
         first, second = np.flatnonzero(role & 1), np.flatnonzero(role & 6)
-        found_a, found_b = [], []
-        for at in range(0, len(first), 512):
-            a = first[at : at + 512]
-            near = square[a, None] + square[second] - 2 * (b[a] @ b[second].T) <= share[j] + 1e-7
-            i, k = np.nonzero(near)
-            i, k = a[i], second[k]
-            once = (role[i] != 3) | (role[k] != 3) | (i < k)  # a chunk against itself: each pair once
-            i, k = i[once], k[once]
-            linked = np.einsum("ij,ij->i", x[i], x[k]) / (norm[i] * norm[k]) >= cosine
-            i, k = i[linked], k[linked]
-            mine = _square(u[i, lo:hi], u[k, lo:hi]) <= share[j]
-            for m in range(j):
-                s, e = parts[m]
-                mine &= _square(u[i, s:e], u[k, s:e]) > share[m]
-            found_a.append(i[mine])
-            found_b.append(k[mine])
-        i, k = (np.concatenate(f) if f else np.empty(0, np.int64) for f in (found_a, found_b))
+        found_a, found_b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        if len(first) and len(second):
+            x = _matrix(group["v"], kind)
+            u = rotate(x)
+            parts = blocks_of(u.shape[1], blocks)
+            share = [budget * (hi - lo) / u.shape[1] for lo, hi in parts]
+            lo, hi = parts[j]
+            b = np.ascontiguousarray(u[:, lo:hi])
+            square = np.einsum("ij,ij->i", b, b)
+            norm = np.sqrt(np.einsum("ij,ij->i", x, x))
+            z, reach = b[:, min(2, hi - lo - 1)], np.sqrt(share[j]) * (1 + _ROOM)
+            first, second = first[np.argsort(z[first])], second[np.argsort(z[second])]
+            for at in range(0, len(first), 256):
+                a = first[at : at + 256]
+                s = second[np.searchsorted(z[second], z[a[0]] - reach) : np.searchsorted(z[second], z[a[-1]] + reach, side="right")]
+                near = square[a, None] + square[s] - 2 * (b[a] @ b[s].T) <= share[j] + 1e-7
+                i, k = np.nonzero(near)
+                i, k = a[i], s[k]
+                once = (role[i] != 3) | (role[k] != 3) | (i < k)  # a chunk against itself: each pair once
+                i, k = i[once], k[once]
+                linked = np.einsum("ij,ij->i", x[i], x[k]) / (norm[i] * norm[k]) >= cosine
+                i, k = i[linked], k[linked]
+                mine = _square(u[i, lo:hi], u[k, lo:hi]) <= share[j]
+                for m in range(j):
+                    begin, end = parts[m]
+                    mine &= _square(u[i, begin:end], u[k, begin:end]) > share[m]
+                found_a.append(i[mine])
+                found_b.append(k[mine])
+        i, k = np.concatenate(found_a), np.concatenate(found_b)
         links = np.zeros(len(rep), np.int64)
         np.add.at(links, i, c[k])
         np.add.at(links, k, c[i])

@@ -50,7 +50,7 @@ def trigram_vectors(column: pa.Array, most: int = 1_000_000):
     """Yields (i, j, unit vectors of texts i to j - 1): square roots of hashed trigram
     counts. A long run of the same words only adds to counts."""
     data, offsets = string_bytes(pc.utf8_lower(column))
-    for i, j in slices(offsets, most):
+    for i, j in slices(offsets, most, 1024):
         n = j - i
         part = _LETTER[data[offsets[i] : offsets[j]]]
         offs = offsets[i : j + 1] - offsets[i]
@@ -150,30 +150,35 @@ def remainder(key: str) -> Column:
     return F.coalesce(F.pmod(F.crc32(F.col(key).cast("string").cast("binary")), F.lit(4)), F.lit(-1))
 
 
+def has_letter(text: str) -> Column:
+    return F.col(text).rlike(r"\p{L}")
+
+
 def train(docs: DataFrame, per_language: int = 400, in_all: int = 4096, key: str = "doc_id", text: str = "text", lang: str = "lang") -> Model | None:
     """Learn from labelled texts whose crc32(key) mod 4 is not 2.
 
     The sample is bounded: about ``per_language`` texts of each language (chosen by
-    hash of the key), and ``in_all`` together. Languages beyond what ``in_all`` holds
-    at 8 texts each, the rarest, are not learned. None if nothing is labelled."""
+    hash of key and text, one at least), and ``in_all`` together; with many languages each
+    has fewer. Every language is learned: more languages than ``in_all`` are an error.
+    None if nothing is labelled."""
     usable = docs.filter(F.col(lang).isNotNull() & (remainder(key) != 2) & F.col(text).isNotNull()).select(F.col(key).alias("k"), F.col(lang).cast("string").alias("l"), F.col(text).alias("t"))
-    counts = usable.groupBy("l").count().orderBy(F.desc("count"), "l").limit(in_all // 8).collect()
+    draw = F.pmod(F.xxhash64("k", F.xxhash64("t"), F.lit("langid")), F.lit(1 << 30))
+    counts = usable.filter(has_letter("t")).groupBy("l").agg(F.count("*").alias("n"), F.min(draw).alias("first")).limit(in_all + 1).collect()
     if not counts:
         return None
-    each = max(8, min(per_language, in_all // len(counts)))
-    part = F.create_map(*[x for r in counts for x in (F.lit(r["l"]), F.lit(min(1.0, each / r["count"])))])
-    drawn = usable.filter(F.pmod(F.xxhash64("k", F.lit("langid")), F.lit(1 << 30)) < F.try_element_at(part, F.col("l")) * float(1 << 30))
+    if len(counts) > in_all:
+        raise ValueError(f"more than {in_all} languages")
+    each = max(1, min(per_language, in_all // len(counts)))
+    up_to = F.create_map(*[x for r in counts for x in (F.lit(r["l"]), F.lit(max(r["first"], int(each / r["n"] * (1 << 30)))))])
+    drawn = usable.filter((draw <= F.try_element_at(up_to, F.col("l"))) & has_letter("t"))
 
     def run(batches):
         for batch in batches:
             for i, j, x in trigram_vectors(batch.column(1)):
-                has = pc.match_substring_regex(batch.column(1).slice(i, j - i), r"\p{L}").to_pylist()
-                pick = [k for k in range(j - i) if has[k]]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i).take(pa.array(pick, pa.int64())), pa.array([x[k].tobytes() for k in pick], pa.binary())], ["l", "x"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array([row.tobytes() for row in x], pa.binary())], ["l", "x"])
 
-    rows = drawn.select("l", "t").mapInArrow(run, "l string, x binary").orderBy("l", "x").limit(2 * in_all).collect()
-    if not rows:
-        return None
+    # About in_all rows, give or take the draw; rows repeated in full have one draw, and one of them is enough.
+    rows = sorted(drawn.select("l", "t").mapInArrow(run, "l string, x binary").distinct().collect(), key=lambda r: (r["l"], r["x"]))
     return Model(np.stack([np.frombuffer(r["x"], np.float32) for r in rows]), np.asarray([r["l"] for r in rows], object))
 
 

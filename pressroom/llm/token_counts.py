@@ -18,10 +18,10 @@ from pyspark.sql import functions as F
 
 from .bpe import word_table
 from .common import as_table, input_partitions, scratch, string_bytes
-from .token_files import default_path, filesystem
+from .token_files import added_tokens, default_path, filesystem, id_width
 
 
-def write_flat(docs: DataFrame, folder: str, tokenizer: str, separator: int, width: int = 2, key: str = "doc_id", text: str = "text") -> DataFrame:
+def write_flat(docs: DataFrame, folder: str, tokenizer: str, separator: int, width: int, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Write the ids of each partition to one flat file, a separator after each
     document, and return (path, n_bytes, ordinal, doc_id). Strings of special tokens
     are encoded as ordinary text, so a separator is always an end of document."""
@@ -56,7 +56,7 @@ def write_flat(docs: DataFrame, folder: str, tokenizer: str, separator: int, wid
     return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("t")).mapInArrow(run, "path string, n_bytes long, ordinal long, doc_id long")
 
 
-def scan(files: DataFrame, separator: int, width: int = 2, block_bytes: int = 4 << 20) -> DataFrame:
+def scan(files: DataFrame, separator: int, width: int, block_bytes: int = 4 << 20) -> DataFrame:
     """(path, ordinal, start, n_tokens, terminated) of every document in ``files``
     (path, n_bytes). start counts ids from the start of the file; n_tokens leaves the
     separator out. Ids after the last separator are a document with terminated =
@@ -92,11 +92,17 @@ def scan(files: DataFrame, separator: int, width: int = 2, block_bytes: int = 4
     return closed.unionByName(rest)
 
 
-def count_tokens(docs: DataFrame, tokenizer: str | None = None, separator: int = 49407, width: int = 2) -> DataFrame:
+def count_tokens(docs: DataFrame, tokenizer: str | None = None, separator: int | None = None, width: int | None = None, end: str = "<|endoftext|>") -> DataFrame:
     """Write ``docs`` as flat files and count by scanning them: doc_id, n_tokens.
-    Null and empty texts count 0; repeated rows are counted each; extra columns are
-    not read."""
+
+    The separator is the id of the added token ``end`` in the tokenizer's file, the width
+    the least of 2 and 4 bytes that holds all its ids, unless they are given; a width
+    that does not hold them is an error. Null and empty texts count 0; repeated rows are
+    counted each; extra columns are not read."""
     path = tokenizer or default_path("word_bpe_49k.json")
+    if separator is None:
+        separator = added_tokens(path)[end]
+    width = id_width(path, separator, width)
     listed = as_table(write_flat(docs, scratch(docs.sparkSession, "flat"), path, separator, width), "flat-contents")
     files = listed.groupBy("path").agg(F.max("n_bytes").alias("n_bytes"))
     return scan(files, separator, width).join(listed, ["path", "ordinal"]).select("doc_id", "n_tokens")

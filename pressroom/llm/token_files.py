@@ -9,6 +9,7 @@ reads and decompresses only the frames of the documents it wants."""
 
 from __future__ import annotations
 
+import json
 import struct
 import uuid
 import zlib
@@ -35,6 +36,22 @@ def default_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def added_tokens(path: str) -> dict[str, int]:
+    with open(path, encoding="utf-8") as f:
+        return {t["content"]: t["id"] for t in json.load(f).get("added_tokens") or []}
+
+
+def id_width(path: str, extra: int, width: int | None = None) -> int:
+    """Bytes of an id: by default the least of 2 and 4 that holds all ids of the file and
+    ``extra``; a given width must hold them too."""
+    with open(path, encoding="utf-8") as f:
+        top = max([extra, *json.load(f)["model"]["vocab"].values(), *added_tokens(path).values()])
+    least = 2 if top < 1 << 16 else 4
+    if width is not None and (width not in (2, 4) or width < least):
+        raise ValueError(f"{width} bytes do not hold id {top}")
+    return width or least
+
+
 def filesystem(path: str):
     from pyarrow import fs
 
@@ -141,13 +158,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0, width:
     frames with the end id alone; null keys come first; equal keys stay in any
     order; an empty table gives an empty manifest; other columns are not read.
     ``width`` 2 or 4 bytes, by default the least that fits the vocabulary."""
-    import json
-
-    if width is None:
-        with open(tokenizer, encoding="utf-8") as f:
-            spec = json.load(f)
-        top = max([*spec["model"]["vocab"].values(), *(a["id"] for a in spec.get("added_tokens") or [])], default=0)
-        width = 2 if max(top, end_id) < 1 << 16 else 4
+    width = id_width(tokenizer, end_id, width)
 
     def run(batches):
         part = TaskContext.get().partitionId()

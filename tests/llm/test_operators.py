@@ -250,9 +250,9 @@ def vectors(spark):
     return base.unionByName(spark.createDataFrame(near + copies + odd, VECTORS)).select("*", F.lit(1).alias("rep"), F.lit(1).alias("c")).repartition(5).cache()
 
 
-@pytest.mark.parametrize("chunk", [16, 1024])
-def test_embedding_dedup(spark, vectors, chunk):
-    got = embed_dedup.near_vectors(vectors, chunk=chunk).collect()
+@pytest.mark.parametrize("crowd", [8, 4096])
+def test_embedding_dedup(spark, vectors, crowd):
+    got = embed_dedup.near_vectors(vectors, crowd=crowd).collect()
     rows = vectors.collect()
     ok = [r for r in rows if r.vec_id is not None and r.label is not None and r.embedding and all(x is not None and np.isfinite(x) for x in r.embedding) and any(r.embedding)]
     links, top = Counter(), {r.vec_id: r.vec_id for r in rows}
