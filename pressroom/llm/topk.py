@@ -1,9 +1,12 @@
 """Exact top-k inner products by dual cover-tree search.
 
-Vectors and queries are dealt into blocks; a task indexes one block of each with cover
-trees and walks both together. For nodes with centres q and r and covering radii, no
-inner product below them exceeds q.r + R_q |r| + R_r |q| + R_q R_r; where that is less
-than the worst kth score of the node's queries, the pair is dropped."""
+Vectors are dealt into cells around a bounded number of centres, queries into groups by
+the same centres. A first pass searches each query's own cell for a floor of its kth
+score. For a group and a cell (and for nodes of their trees) with centres q and r and
+covering radii, no inner product below them exceeds q.r + R_q |r| + R_r |q| + R_q R_r;
+cells that cannot reach the worst floor of a group are never dealt to it. Each task
+indexes one group and one block of a cell with cover trees and walks both together,
+dropping pairs of nodes against the worst kth score of the node's queries."""
 
 from __future__ import annotations
 
@@ -12,30 +15,37 @@ from itertools import count
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import as_table
 
 
 class Node:
-    __slots__ = ("centre", "radius", "points", "children", "norm")
+    __slots__ = ("centre", "radius", "points", "children", "norm", "level")
 
-    def __init__(self, centre: np.ndarray, radius: float, points: np.ndarray, children: list):
-        self.centre, self.radius, self.points, self.children = centre, radius, points, children
+    def __init__(self, centre: np.ndarray, radius: float, points: np.ndarray, children: list, level: int | None = None):
+        self.centre, self.radius, self.points, self.children, self.level = centre, radius, points, children, level
         self.norm = float(np.sqrt(centre @ centre))
 
 
-def cover_tree(x: np.ndarray, rows: np.ndarray, leaf: int = 48, shrink: float = 1.3, centre: int | None = None) -> Node:
-    """Children of a node are centres more than radius / shrink apart that cover its
-    points within that distance; nodes with few points, and points alone in their cover
-    (gathered in one node of their parent), are leaves."""
+def cover_tree(x: np.ndarray, rows: np.ndarray, leaf: int = 48, base: float = 1.3, centre: int | None = None) -> Node:
+    """A cover tree: a node of level i covers its points within base**i, its children,
+    itself among them, stand more than base**(i - 1) apart and cover the points within
+    that distance. Levels at which a node would only have itself below it are left out.
+    Nodes with few points are leaves; children that cover nothing but themselves are
+    gathered in one leaf of their parent."""
     own = rows[0] if centre is None else centre
-    distance = np.sqrt(np.maximum(np.einsum("ij,ij->i", d := x[rows] - x[own], d), 0))
-    radius = float(distance.max())
+    d = x[rows] - x[own]
+    radius = float(np.sqrt(np.einsum("ij,ij->i", d, d).max()))
     if len(rows) <= leaf or radius == 0:
         return Node(x[own], radius, rows, [])
-    reach = radius / shrink
+    level = int(np.floor(np.log(radius) / np.log(base)))
+    while base**level < radius:
+        level += 1
+    reach = min(base ** (level - 1), radius * (1 - 1e-12))
     rest, groups, alone = rows, [], []
     nearest = own
     while len(rest):
@@ -46,29 +56,30 @@ def cover_tree(x: np.ndarray, rows: np.ndarray, leaf: int = 48, shrink: float =
         (groups if len(members) > 1 else alone).append((nearest, members))
         rest = rest[~inside]
         nearest = rest[0] if len(rest) else -1
-    children = [cover_tree(x, m, leaf, shrink, c) for c, m in groups]
+    children = [cover_tree(x, m, leaf, base, c) for c, m in groups]
     single = np.asarray([m[0] for _, m in alone], np.int64)
     for at in range(0, len(single), 512):
         part = single[at : at + 512]
         d = x[part] - x[own]
         children.append(Node(x[own], float(np.sqrt(np.einsum("ij,ij->i", d, d).max())), part, []))
-    return Node(x[own], radius, rows, children)
+    return Node(x[own], radius, rows, children, level)
 
 
 class Best:
-    """The k best (score, id) of each query so far, ties to the smaller id."""
+    """The k best (score, id) of each query so far, ties to the smaller id. Scores below
+    a query's ``floor`` are of no use to it."""
 
-    def __init__(self, queries: int, k: int):
-        self.k = k
-        self.score = np.full((queries, k), -np.inf)
-        self.ids = np.full((queries, k), np.iinfo(np.int64).max)
+    def __init__(self, k: int, floor: np.ndarray):
+        self.k, self.least = k, floor.astype(np.float64)
+        self.score = np.full((len(floor), k), -np.inf)
+        self.ids = np.full((len(floor), k), np.iinfo(np.int64).max)
 
     def worst(self, queries: np.ndarray) -> float:
-        return float(self.score[queries, -1].min())
+        return float(self.least[queries].min())
 
     def add(self, queries: np.ndarray, scores: np.ndarray, ids: np.ndarray) -> None:
         k = self.k
-        hit = scores >= self.score[queries, -1][:, None]
+        hit = scores >= np.maximum(self.least[queries], np.finfo(np.float64).min)[:, None]
         for i in np.flatnonzero(hit.any(1)):
             q, at = queries[i], np.flatnonzero(hit[i])
             new = scores[i, at]
@@ -78,16 +89,22 @@ class Best:
             s, v = np.concatenate((self.score[q], new)), np.concatenate((self.ids[q], ids[at]))
             order = np.lexsort((v, -s))[:k]
             self.score[q], self.ids[q] = s[order], v[order]
+            self.least[q] = max(self.least[q], s[order[-1]])
 
 
-def dual_search(q: np.ndarray, q_ids: np.ndarray, x: np.ndarray, x_ids: np.ndarray, k: int) -> Best:
-    """Best first over pairs of nodes."""
-    best, tick = Best(len(q), k), count()
+def _most(dot, a_radius, a_norm, b_radius, b_norm):
+    """No inner product of points within the radii of two centres is greater."""
+    most = dot + a_radius * b_norm + b_radius * a_norm + a_radius * b_radius
+    return most + np.abs(most) * 1e-12 + 1e-6
+
+
+def dual_search(q: np.ndarray, q_rows: np.ndarray, floor: np.ndarray, x: np.ndarray, x_rows: np.ndarray, x_ids: np.ndarray, k: int) -> Best:
+    """Best first over pairs of nodes. A query (named by its row) does not meet itself."""
+    best, tick = Best(k, floor), count()
     left, right = cover_tree(q, np.arange(len(q))), cover_tree(x, np.arange(len(x)))
 
     def bound(a: Node, b: Node) -> float:
-        most = float(a.centre @ b.centre) + a.radius * b.norm + b.radius * a.norm + a.radius * b.radius
-        return most * (1 + 1e-12) + 1e-6 if most > 0 else most * (1 - 1e-12) + 1e-6
+        return float(_most(a.centre @ b.centre, a.radius, a.norm, b.radius, b.norm))
 
     queue = [(-bound(left, right), next(tick), left, right)]
     while queue:
@@ -96,7 +113,7 @@ def dual_search(q: np.ndarray, q_ids: np.ndarray, x: np.ndarray, x_ids: np.ndarr
             continue
         if not a.children and not b.children:
             scores = q[a.points] @ x[b.points].T
-            scores[q_ids[a.points][:, None] == x_ids[b.points]] = -np.inf
+            scores[q_rows[a.points][:, None] == x_rows[b.points]] = -np.inf
             best.add(a.points, scores, x_ids[b.points])
             continue
         split_b = b.children and (not a.children or b.radius >= a.radius)
@@ -107,37 +124,93 @@ def dual_search(q: np.ndarray, q_ids: np.ndarray, x: np.ndarray, x_ids: np.ndarr
     return best
 
 
-def top_k(rows: DataFrame, every: int = 100, k: int = 10, scale: float = 1024.0, block: int = 4096, queries: int = 1024, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
+def _whole(column, d: int, scale: float) -> np.ndarray:
+    flat = (column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column).flatten().to_numpy(zero_copy_only=False)
+    return np.floor(scale * flat.astype(np.float64)).reshape(len(column), d)
+
+
+def _distances(x: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nearest centre of each row and the distance from it."""
+    near = np.empty(len(x), np.int64)
+    square = np.einsum("ij,ij->i", centres, centres)
+    for at in range(0, len(x), 4096):
+        near[at : at + 4096] = (square - 2 * (x[at : at + 4096] @ centres.T)).argmin(1)
+    d = x - centres[near]
+    return near, np.sqrt(np.einsum("ij,ij->i", d, d)) * (1 + 1e-12)
+
+
+def top_k(rows: DataFrame, every: int = 100, k: int = 10, scale: float = 1024.0, block: int = 4096, queries: int = 1024, centres: int = 128, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id and score of the k best partners of every row whose id is
     divisible by ``every``, by inner product of the vectors floor(scale * x).
 
-    Vectors that are null or hold null or non-finite components, and null ids, take no
-    part; vectors of unequal length do not meet; of rows that repeat an id the least
-    vector counts. Scores are exact while they stay below 2**53 in size. Queries with
-    fewer partners than k get all; an empty vector scores 0 with its like."""
+    Every row is a candidate for every query but itself; rows that repeat an id are rows
+    of their own, as queries too. Vectors that are null or hold null or non-finite
+    components, and null ids, take no part; vectors of unequal length do not meet. Scores
+    are exact while they stay below 2**53 in size. Queries with fewer partners than k get
+    all; an empty vector scores 0 with its like. At most ``centres`` centres for each
+    length of vectors are sent to all tasks, and nothing else."""
+    spark = rows.sparkSession
     sound = F.col(key).isNotNull() & F.col(vector).isNotNull() & F.forall(vector, lambda x: x.isNotNull() & (F.abs(x.cast("double")) < float("inf")))
-    good = as_table(rows.filter(sound).groupBy(F.col(key).cast("long").alias("id")).agg(F.min(F.col(vector)).alias("v")), "top-vectors")
+    # Numbered as they are written: once, whatever is read again later.
+    good = as_table(rows.filter(sound).select(F.monotonically_increasing_id().alias("row"), F.col(key).cast("long").alias("id"), F.col(vector).alias("v")), "top-vectors")
+    number = F.xxhash64("row")
+    drawn = good.groupBy(F.size("v").alias("d"), F.pmod(number, F.lit(centres)).alias("part")).agg(F.min_by("v", F.struct(number, "row")).alias("v")).select("d", "v").collect()
+    middle: dict[int, np.ndarray] = {}
+    for d in {r["d"] for r in drawn}:
+        own = [r["v"] for r in drawn if r["d"] == d]
+        middle[d] = np.unique(np.floor(scale * np.asarray(own, np.float64)), axis=0) if d else np.zeros((1, 0))
+    shared = spark.sparkContext.broadcast(middle)
+
+    def assign(batches):
+        for batch in batches:
+            size = pc.list_value_length(batch.column(2)).to_numpy(zero_copy_only=False)
+            for d in np.unique(size).tolist():
+                part = batch.take(pa.array(np.flatnonzero(size == d)))
+                cell, far = _distances(_whole(part.column(2), d, scale), shared.value[d])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(cell), d, np.int32)), pa.array(cell), pa.array(far), *part.columns], ["d", "cell", "far", "row", "id", "v"])
+
+    schema = T.StructType([T.StructField("d", T.IntegerType()), T.StructField("cell", T.LongType()), T.StructField("far", T.DoubleType()), *good.schema.fields])
+    near = as_table(good.mapInArrow(assign, schema), "top-cells")
     asked = F.pmod("id", F.lit(every)) == 0
-    sizes = good.groupBy(F.size("v").alias("d")).agg(F.ceil(F.count("*") / block).cast("int").alias("xb"), F.greatest(F.lit(1), F.ceil(F.sum(asked.cast("int")) / queries).cast("int")).alias("qb"))
-    dealt = good.withColumn("d", F.size("v")).join(sizes, "d")
-    number = F.xxhash64("id")
-    data = dealt.select("d", F.pmod(number, F.col("xb")).cast("int").alias("b"), F.explode(F.sequence(F.lit(0), F.col("qb") - 1)).alias("g"), "id", "v")
-    again = dealt.filter(asked).select(*[F.col(c).alias(c) for c in dealt.columns])
-    asks = again.select("d", F.explode(F.sequence(F.lit(0), F.col("xb") - 1)).alias("b"), F.pmod(F.xxhash64("id", F.lit("q")), F.col("qb")).cast("int").alias("g"), "id", "v")
-
-    def whole(column: pa.ChunkedArray, d: int) -> np.ndarray:
-        flat = column.combine_chunks().flatten().to_numpy(zero_copy_only=False)
-        return np.floor(scale * flat.astype(np.float64)).reshape(len(column), d)
+    cells = near.groupBy("d", "cell").agg(F.max("far").alias("radius"), F.ceil(F.count("*") / block).cast("int").alias("blocks"), F.greatest(F.lit(1), F.ceil(F.count_if(asked) / queries).cast("int")).alias("groups"))
+    cells = as_table(cells, "top-cell-sizes")
+    data = near.join(cells.select("d", "cell", "blocks"), ["d", "cell"]).select("d", "cell", F.pmod(number, F.col("blocks")).cast("int").alias("b"), "row", "id", "v")
+    asks = near.filter(asked).join(cells.select("d", "cell", "groups"), ["d", "cell"]).select("d", F.col("cell").alias("home"), F.pmod(F.xxhash64("row", F.lit("q")), F.col("groups")).cast("int").alias("g"), "far", "row", "id", "v")
 
     def search(x: pa.Table, q: pa.Table) -> pa.Table:
         if not x.num_rows or not q.num_rows:
-            return pa.table({n: pa.array([], pa.int64()) for n in ("query_id", "vec_id", "score")})
+            return pa.table({"row": pa.array([], pa.int64()), "query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.int64())})
         d = x["d"][0].as_py()
-        ids, own = x["id"].to_numpy(), q["id"].to_numpy()
-        best = dual_search(whole(q["v"], d), own, whole(x["v"], d), ids, k)
+        own, floor = q["row"].to_numpy(), q["floor"].to_numpy()
+        best = dual_search(_whole(q["v"], d, scale), own, floor, _whole(x["v"], d, scale), x["row"].to_numpy(), x["id"].to_numpy(), k)
         i, j = np.nonzero(np.isfinite(best.score))
-        return pa.table({"query_id": own[i], "vec_id": best.ids[i, j], "score": best.score[i, j].astype(np.int64)})
-
-    found = data.groupBy("d", "b", "g").cogroup(asks.groupBy("d", "b", "g")).applyInArrow(search, "query_id long, vec_id long, score long")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+        return pa.table({"row": own[i], "query_id": q["id"].to_numpy()[i], "vec_id": best.ids[i, j], "score": best.score[i, j].astype(np.int64)})
+
+    hits = "row long, query_id long, vec_id long, score long"
+    # The floor: the kth score among one block of the query's own cell.
+    home = asks.select(*[F.col(c).alias(c) for c in ("d", "row", "id", "v")], F.col("home").alias("cell"), F.lit(float("-inf")).alias("floor"))
+    first = data.filter("b = 0").groupBy("d", "cell").cogroup(home.groupBy("d", "cell")).applyInArrow(search, hits)
+    floors = as_table(first.groupBy("row").agg(F.min("score").cast("double").alias("floor"), F.count("*").alias("n")).filter(F.col("n") >= k).select("row", "floor"), "top-floors")
+    asks = as_table(asks.join(floors, "row", "left").withColumn("floor", F.coalesce("floor", F.lit(float("-inf")))), "top-queries")
+    radii = {(r["d"], r["cell"]): r["radius"] for r in cells.select("d", "cell", "radius").collect()}  # one row a centre
+
+    def reachable(batches):
+        for batch in batches:
+            out = []
+            for d, h, g, far, floor in zip(*(c.to_pylist() for c in batch.columns)):
+                own = shared.value[d]
+                radius = np.asarray([radii.get((d, c), -1.0) for c in range(len(own))])
+                norm = np.sqrt(np.einsum("ij,ij->i", own, own))
+                most = _most(own @ own[h], far, norm[h], np.maximum(radius, 0), norm)
+                out += [(d, h, g, int(c)) for c in np.flatnonzero((most >= floor) & (radius >= 0))]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate((pa.int32(), pa.int64(), pa.int32(), pa.int64()))], ["d", "home", "g", "cell"])
+
+    groups = asks.groupBy("d", "home", "g").agg(F.max("far").alias("far"), F.min("floor").alias("floor"))
+    pairs = as_table(groups.mapInArrow(reachable, "d int, home long, g int, cell long"), "top-pairs")
+    keys = ["d", "cell", "b", "home", "g"]
+    left = data.join(pairs, ["d", "cell"])
+    blocks = cells.select("d", "cell", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("b"))
+    right = asks.join(pairs.join(blocks, ["d", "cell"]), ["d", "home", "g"]).select(*[F.col(c).alias(c) for c in (*keys, "row", "id", "v", "floor")])
+    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(search, hits)
+    order = Window.partitionBy("row").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -277,14 +277,15 @@ def test_embedding_dedup(spark, vectors, crowd):
 
 @pytest.mark.parametrize("block", [40, 4096])
 def test_top_k(spark, vectors, block):
-    got = {(r.query_id, r.rank, r.vec_id, r.score) for r in topk.top_k(vectors, block=block, queries=2).collect()}
-    ok = [r for r in vectors.collect() if r.vec_id is not None and r.embedding is not None and all(x is not None and np.isfinite(x) for x in r.embedding)]
-    want = set()
-    whole = {r.vec_id: np.floor(1024 * np.array(r.embedding, float)).astype(np.int64) for r in ok}
-    for q in whole:
+    twice = vectors.unionByName(vectors.filter("vec_id in (100, 200, 8100, 7)")).unionByName(vectors.filter("vec_id = 300").withColumn("embedding", F.transform("embedding", lambda x: -x)))
+    got = Counter((r.query_id, r.rank, r.vec_id, r.score) for r in topk.top_k(twice, block=block, queries=2, centres=9).collect())
+    ok = [r for r in twice.collect() if r.vec_id is not None and r.embedding is not None and all(x is not None and np.isfinite(x) for x in r.embedding)]
+    want = Counter()
+    whole = [(r.vec_id, np.floor(1024 * np.array(r.embedding, float)).astype(np.int64)) for r in ok]
+    for i, (q, u) in enumerate(whole):
         if q % 100 == 0:
-            best = sorted((-int(whole[q] @ v), k) for k, v in whole.items() if k != q and len(v) == len(whole[q]))[:10]
-            want |= {(q, i, k, -s) for i, (s, k) in enumerate(best, 1)}
+            best = sorted((-int(u @ v), k) for j, (k, v) in enumerate(whole) if j != i and len(v) == len(u))[:10]
+            want.update((q, n, k, -s) for n, (s, k) in enumerate(best, 1))
     assert got == want
     assert topk.top_k(spark.createDataFrame([], VECTORS)).count() == 0
 
@@ -296,7 +297,11 @@ def test_cover_tree_covers():
         n = stack.pop()
         assert np.sqrt(((x[n.points] - n.centre) ** 2).sum(1)).max() <= n.radius + 1e-9
         if n.children:
+            assert n.radius <= 1.3**n.level
             assert sorted(np.concatenate([c.points for c in n.children])) == sorted(n.points)
+            inner = [c.centre for c in n.children if c.children]
+            for i, c in enumerate(inner):
+                assert all(np.sqrt(((c - o) ** 2).sum()) > 1.3 ** (n.level - 1) * (1 - 1e-9) for o in inner[:i])
         stack += n.children
 
 
