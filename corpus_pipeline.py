@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pressroom.llm import bpe, langid, minhash, mixing, substring
-from pressroom.llm.common import as_table, table
+from pressroom.llm.common import as_table, table, working_tables
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -61,7 +61,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = as_table(stage(spark, docs, sf_dir), "stage-" + name.replace(" ", "-"))
-    return docs
+    """The last stage's rows. Each stage's working tables go when it ends, its own table
+    when the next has been written."""
+    docs, (*front, (last, finish)) = table(spark, sf_dir, "documents"), STAGES
+    with working_tables(spark):
+        for name, stage in front:
+            with working_tables(spark):
+                docs = as_table(stage(spark, docs, sf_dir), "stage-" + name.replace(" ", "-"), keep=True)
+        return as_table(finish(spark, docs, sf_dir), "stage-" + last.replace(" ", "-"), keep=True)

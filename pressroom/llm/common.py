@@ -12,8 +12,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
-def scratch(spark: SparkSession, name: str) -> str:
+_scopes: list[list[str]] = []
+
+
+def scratch(spark: SparkSession, name: str, keep: bool = False) -> str:
     """A new folder name below ``spark.checkpoint.dir``, which all executors share.
+    Inside ``working_tables`` the folder is dropped at the end, unless ``keep``.
 
     Only where the session has no such setting and runs on one machine (tests) is a
     temporary folder chosen and set; a cluster must name its folder."""
@@ -23,20 +27,18 @@ def scratch(spark: SparkSession, name: str) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="pressroom-")
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-_scopes: list[list[str]] = []
+    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    scopes = _scopes[:-1] if keep else _scopes
+    if scopes:
+        scopes[-1].append(path)
+    return path
 
 
 def as_table(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: the lineage ends here,
-    so a lost executor costs no recomputation of what came before. Inside
-    ``working_tables`` the table is dropped at the end, unless ``keep``."""
-    path = scratch(df.sparkSession, name)
-    scopes = _scopes[:-1] if keep else _scopes
-    if scopes:
-        scopes[-1].append(path)
+    so a lost executor costs no recomputation of what came before. A working table
+    unless ``keep``, as for ``scratch``."""
+    path = scratch(df.sparkSession, name, keep)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -46,7 +46,7 @@ def quality_weights(labels: DataFrame, good: float = 2.0, bad: float = 0.5) -> D
     return seen.select("doc_id", (F.lit(bad) + (good - bad) * F.col("q")).alias("quality"))
 
 
-def mix(docs: DataFrame, quality: DataFrame | None = None, weights: list[float] | None = None, share: float = 1.5, cap: float = 2.0, seed: int = 0, buckets: int = 512, key: str = "doc_id", text: str = "text", source: str = "source", carry: list[str] = ()) -> DataFrame:
+def mix(docs: DataFrame, quality: DataFrame | None = None, weights: list[float] | None = None, share: float = 1.5, cap: float = 2.0, seed: int = 0, bucket_rows: int = 200_000, key: str = "doc_id", text: str = "text", source: str = "source", carry: list[str] = ()) -> DataFrame:
     """doc_id, size, source_size, target, taken (words the mix takes of this row, with
     repeats) and copies of every row of ``docs``.
 
@@ -67,7 +67,9 @@ def mix(docs: DataFrame, quality: DataFrame | None = None, weights: list[float]
         rows = rows.join(quality.select("doc_id", F.col("quality").cast("double").alias("w")), "doc_id", "left")
         w = F.when(F.col("w") > 0, F.col("w")).otherwise(1.0)
     rows = rows.withColumn("draw", -F.log("u") / w).drop("u", "w")
-    # Ascending in the key; for equal weights the buckets are about equally full.
+    # Ascending in the key; for equal weights the buckets are about equally full, and their
+    # number, which changes nothing in the draw, grows with the rows.
+    buckets = max(512, docs.select(key).count() // bucket_rows)
     rows = as_table(rows.withColumn("bucket", F.floor(F.lit(buckets) * (1 - F.exp(-F.col("draw")))).cast("int")), "mix-keys")
 
     sums = rows.groupBy("source", "bucket").agg(F.sum("size").alias("n"))

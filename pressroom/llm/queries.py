@@ -3,11 +3,25 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
 from . import bpe, embed_dedup, langid, minhash, mixing, sharding, substring, token_counts, token_files, topk
-from .common import table
+from .common import as_table, table, working_tables
+
+Query = Callable[[SparkSession, str], DataFrame]
+
+
+def settled(query: Query) -> Query:
+    """The query's rows as a table; whatever else it wrote on the way is dropped."""
+
+    @wraps(query)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        with working_tables(spark):
+            return as_table(query(spark, sf_dir), query.__name__, keep=True)
+
+    return run
 
 
 def op1_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,6 +65,6 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), words=4, percent=80)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_binary, op2_language_id, op3_embedding_dedup, op4_token_counts, op5_substring_dedup, op6_top_k, op7_rendezvous_sharding, op8_bpe, op9_mixing, op10_minhash)}
+QUERIES: dict[str, Query] = {f.__name__: settled(f) for f in (op1_token_binary, op2_language_id, op3_embedding_dedup, op4_token_counts, op5_substring_dedup, op6_top_k, op7_rendezvous_sharding, op8_bpe, op9_mixing, op10_minhash)}
 #: None of these can be put as SQL that DuckDB runs over whole tables; they are tested against brute force.
 ORACLE_SQL: dict[str, str] = {}

@@ -28,19 +28,26 @@ def rendezvous(key: Column, weights: list[float]) -> Column:
     return (-best["n"]).cast("int")
 
 
-def slots(rows: DataFrame, shard: str, order: list[str], buckets: int = 512) -> DataFrame:
+def slots(rows: DataFrame, shard: str, order: list[str], row: str, bucket_rows: int = 200_000) -> DataFrame:
     """Adds slot: places 0, 1, 2, ... in each shard. A shard is numbered bucket by
     bucket: buckets are counted, the counts summed up per shard, and each bucket is
-    sorted on its own, so that no task sees a whole shard."""
-    cut = rows.withColumn("_bucket", F.pmod(F.xxhash64(*order), F.lit(buckets)).cast("int"))
-    running = Window.partitionBy(shard).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    bases = cut.groupBy(shard, "_bucket").agg(F.count("*").alias("_n")).select(shard, "_bucket", F.coalesce(F.sum("_n").over(running), F.lit(0)).alias("_base"))
-    within = Window.partitionBy(shard, "_bucket").orderBy(*order)
-    placed = cut.withColumn("_row", F.row_number().over(within) - 1).join(bases, [shard, "_bucket"])
-    return placed.withColumn("slot", (F.col("_base") + F.col("_row")).cast("long")).drop("_bucket", "_row", "_base")
+    sorted on its own, so that no task sees a whole shard. The number of buckets grows
+    with the rows. Rows alike in ``order`` share a bucket; more than ``bucket_rows`` of
+    them are dealt by ``row``, a number of each row, to parts of it."""
+    buckets = max(512, rows.count() // bucket_rows)
+    many = rows.groupBy(*order).agg(F.count("*").alias("_n")).filter(F.col("_n") > bucket_rows)
+    many = as_table(many.select(*[F.col(c).alias(f"_{c}") for c in order], F.ceil(F.col("_n") / bucket_rows).alias("_parts")), "repeated-rows")
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in order]
+    part = F.coalesce(F.pmod(F.xxhash64(row), F.col("_parts")) + 1, F.lit(0)).alias("_part")
+    cut = rows.join(many, same, "left").select(*rows.columns, F.pmod(F.xxhash64(*order), F.lit(buckets)).cast("int").alias("_bucket"), part)
+    place = [shard, "_bucket", "_part"]
+    running = Window.partitionBy(shard).orderBy("_bucket", "_part").rowsBetween(Window.unboundedPreceding, -1)
+    bases = cut.groupBy(*place).agg(F.count("*").alias("_n")).select(*place, F.coalesce(F.sum("_n").over(running), F.lit(0)).alias("_base"))
+    placed = cut.withColumn("_row", F.row_number().over(Window.partitionBy(*place).orderBy(*order)) - 1).join(bases, place)
+    return placed.withColumn("slot", (F.col("_base") + F.col("_row")).cast("long")).drop("_bucket", "_part", "_row", "_base")
 
 
-def shard_documents(docs: DataFrame, weights: list[float] | None = None, grown: list[float] | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
+def shard_documents(docs: DataFrame, weights: list[float] | None = None, grown: list[float] | None = None, key: str = "doc_id", text: str = "text", bucket_rows: int = 200_000) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard of every row; ``grown``
     are the weights after the change. A null text has size 1 and the checksum of the
     empty text; repeated keys share a shard and get slots of their own; an empty table
@@ -54,6 +61,7 @@ def shard_documents(docs: DataFrame, weights: list[float] | None = None, grown:
         F.lit("key").alias("law"),
         rendezvous(F.col(key), weights).alias("shard"),
         rendezvous(F.col(key), grown).alias("grown_shard"),
+        F.monotonically_increasing_id().alias("row"),
     )
-    placed = slots(as_table(rows, "shards"), "shard", ["doc_id", "text_crc32", "size"])
+    placed = slots(as_table(rows, "shards"), "shard", ["doc_id", "text_crc32", "size"], "row", bucket_rows)
     return placed.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")

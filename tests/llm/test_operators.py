@@ -4,12 +4,16 @@ repeated rows, empty tables and extra columns of clashing names."""
 from __future__ import annotations
 
 import hashlib
+import math
 import re
+import struct
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
+import xxhash
 from conftest import SMALL
 from pyspark.sql import functions as F
 
@@ -127,6 +131,52 @@ def test_language_id(spark, docs, rows, none):
     assert {r.lang_pred for r in langid.identify(spark.createDataFrame([(1, "a b")], SCHEMA).withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 
 
+def test_every_language_is_learned(spark):
+    rows = [(i, f"x{i % 30}qz w{i % 30}jk v{i % 30}" * 3, f"l{i % 30}") for i in range(300)] + [(1000, "rare words here", "zz")] * 40
+    model = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), in_all=64)
+    assert sorted(model.names) == sorted({f"l{i}" for i in range(30)} | {"zz"})
+    with pytest.raises(ValueError):
+        langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), in_all=20)
+
+
+def test_short_texts_come_in_bounded_slices():
+    parts = list(langid.trigram_vectors(pa.array(["ab"] * 5000)))
+    assert max(j - i for i, j, _ in parts) <= 1024 and sum(j - i for i, j, _ in parts) == 5000
+
+
+def test_prediction_recomputed(docs, rows):
+    """Families by the greatest margin, then votes of pairs, on vectors counted letter by letter."""
+    model = langid.train(docs)
+    got = Counter((r.doc_id, r.lang_pred) for r in langid.predict(docs.select("doc_id", "text"), model).collect())
+    want = Counter()
+    for k, x in rows:
+        if not any(c.isalpha() for c in x or ""):
+            want[k, "und"] += 1
+            continue
+        raw = b" " + bytes(b if 0x61 <= b < 0x7B or b >= 0x80 else 0x20 for b in x.lower().encode()) + b" "
+        raw = re.sub(b" +", b" ", raw)
+        v = np.zeros(langid.DIMENSIONS)
+        for a, b, c in zip(raw, raw[1:], raw[2:]):
+            v[((a | b << 8 | c << 16) * 0x9E3779B1 & 0xFFFFFFFF) >> 20] += 1
+        v = np.sqrt(v) / np.sqrt(v.sum())
+        members = model.families[model.names[int((v @ model.outer[:-1] + model.outer[-1]).argmax())]]
+        votes = Counter({0: 0})
+        if len(members) > 1:
+            pairs, w = model.inner[langid.family_of(members[0])]
+            for (a, b), m in zip(pairs, v @ w[:-1] + w[-1]):
+                votes[a if m > 0 else b] += 1
+        want[k, members[votes.most_common(1)[0][0]]] += 1
+    assert got == want
+
+
+def test_width_and_separator():
+    path = token_files.default_path("word_bpe_49k.json")
+    assert token_files.added_tokens(path)["<|endoftext|>"] == 49407 and token_files.id_width(path, 49407) == 2
+    assert token_files.id_width(path, 70_000) == 4 and token_files.id_width(path, 1, 4) == 4
+    with pytest.raises(ValueError):
+        token_files.id_width(path, 70_000, 2)
+
+
 def shingles(text, n):
     w = WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
     return {tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))} if w else set()
@@ -183,11 +233,20 @@ def test_substring(docs, rows, none, crowd, monkeypatch):
     assert substring.remove_repeats(none).count() == 0
 
 
-def test_sharding(docs, rows, none):
-    got = sharding.shard_documents(docs).collect()
+def best_shard(key, n):
+    """The shard as its definition has it: the greatest -1 / ln(u) of hashes of (key, shard)."""
+    first = xxhash.xxh64_intdigest(("\0null" if key is None else str(key)).encode(), 42)
+    draw = [(xxhash.xxh64_intdigest(f"shard-{i}".encode(), first) >> 11) + 0.5 for i in range(n)]
+    return max(range(n), key=lambda i: (-1 / np.log(draw[i] / (1 << 53)), -i))
+
+
+@pytest.mark.parametrize("bucket_rows", [1, 200_000])
+def test_sharding(docs, rows, none, bucket_rows):
+    got = sharding.shard_documents(docs, bucket_rows=bucket_rows).collect()
     assert Counter((r.doc_id, r["size"], r.text_crc32) for r in got) == Counter((k, len((x or "").encode()) + 1, zlib.crc32((x or "").encode())) for k, x in rows)
     for s in range(8):
         assert sorted(r.slot for r in got if r.shard == s) == list(range(sum(r.shard == s for r in got)))
+    assert all((r.shard, r.grown_shard) == (best_shard(r.doc_id, 8), best_shard(r.doc_id, 9)) for r in got)
     assert all(r.grown_shard in (r.shard, 8) for r in got) and any(r.grown_shard == 8 for r in got)
     assert sharding.shard_documents(none).count() == 0
 
@@ -233,9 +292,29 @@ def test_mixing(spark, docs, rows, none):
     longest = max(r["size"] for r in got)
     for s in names:
         assert abs(want[s] - target[s]) < 1e-3 and abs(taken[s] - target[s]) <= longest / 2 + 1
+    assert pick(got) == drawn(rows, source, {r.doc_id: r.quality for r in labels.collect()}, want, size)
     assert mixing.mix(none).count() == 0
 
 
+def drawn(rows, source, quality, target, total):
+    """Whole epochs, then documents by ascending key until the next would mostly miss."""
+    out, members = Counter(), defaultdict(list)
+    for k, x in rows:
+        text = 0 if x is None else xxhash.xxh64_intdigest(x.encode(), 42)
+        h = xxhash.xxh64_intdigest(struct.pack("<i", 0), 42)
+        h = xxhash.xxh64_intdigest(("\0null" if k is None else str(k)).encode(), h)
+        h = xxhash.xxh64_intdigest(struct.pack("<Q", text), h)
+        weight = {None: 1.0, 0: 0.5, 1: 2.0}[quality.get(k)]
+        members[source[k]].append((-math.log(((h >> 11) + 0.5) / (1 << 53)) / weight, -1 if k is None else k, len(WORD.findall(x or "")), k))
+    for s, docs in members.items():
+        epochs = int(target[s] / total[s] + 1e-12) if total[s] else 0
+        rest, used = max(0.0, target[s] - epochs * total[s]), 0
+        for _, _, n, k in sorted(docs, key=lambda d: d[:3]):
+            used += n
+            out[k, n, total[s], round(target[s], 6), n * (epochs + (used - n / 2 <= rest))] += 1
+    return out
+
+
 VECTORS = "vec_id long, embedding array<float>, label int"
 
 
