@@ -69,7 +69,7 @@ def byte_table(path: str) -> tuple[WordTable, object]:
         t = Tokenizer.from_file(path)
         t.no_truncation()
         t.no_padding()
-        _tables[path] = (WordTable(lambda words: [e.ids for e in t.encode_batch_fast(words, add_special_tokens=False)]), lambda text: t.encode(text, add_special_tokens=False).ids)
+        _tables[path] = (WordTable(lambda words: [e.ids for e in t.encode_batch_fast(words, add_special_tokens=False)], limit=1_000_000), lambda text: t.encode(text, add_special_tokens=False).ids)
     return _tables[path]
 
 

@@ -5,11 +5,12 @@ and word-level BPE never merge across such a cut, so a text's ids are the ids of
 pieces one after the other. Arrow tells the distinct pieces of a slice of texts apart,
 each that this worker has not met yet is encoded once, and the ids of the whole slice
 are gathered from one flat table. The table has a bounded number of pieces; when it is
-full it starts anew, which changes the time but not the ids."""
+full, those that came up seldom go, which changes the time but not the ids."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -59,23 +60,41 @@ class WordTable:
     def clear(self) -> None:
         self.slot_of: dict[bytes, int] = {}
         self.first, self.count = np.empty(1 << 12, np.int64), np.empty(1 << 12, np.int64)
+        self.met = np.zeros(1 << 12, np.uint8)
         self.ids, self.used = np.empty(1 << 16, np.int32), 0
 
+    def _thin(self) -> None:
+        """Keep the pieces that came up in several slices, at most half of the limit."""
+        words, have = list(self.slot_of), len(self.slot_of)
+        often = next((n for n in (2, 3, 6, 12, 24, 48) if (self.met[:have] >= n).sum() <= self.limit // 2), None)
+        keep = np.flatnonzero(self.met[:have] >= often) if often else np.empty(0, np.int64)
+        first, count, ids = self.first[keep], self.count[keep], self.ids
+        self.clear()
+        stop = np.cumsum(count)
+        self.used = int(stop[-1]) if len(stop) else 0
+        self.ids = self._room(self.ids, self.used)
+        self.ids[: self.used] = ids[np.arange(self.used) + np.repeat(first - stop + count, count)]
+        self.first, self.count, self.met = (self._room(x, len(keep)) for x in (self.first, self.count, self.met))
+        self.first[: len(keep)], self.count[: len(keep)] = stop - count, count
+        self.slot_of.update(zip([words[i] for i in keep.tolist()], range(len(keep))))
+
     @staticmethod
     def _room(array: np.ndarray, size: int) -> np.ndarray:
         return array if size <= len(array) else np.concatenate((array, np.empty(max(size - len(array), len(array)), array.dtype)))
 
-    def _add(self, words: list[bytes]) -> None:
+    def _add(self, words: list[bytes]) -> np.ndarray:
         encoded = self.encode([w.decode("utf-8", "replace") for w in words])
         counts = np.fromiter(map(len, encoded), np.int64, len(encoded))
         total, have = int(counts.sum()), len(self.slot_of)
         self.ids = self._room(self.ids, self.used + total)
         self.ids[self.used : self.used + total] = np.fromiter((x for e in encoded for x in e), np.int32, total)
-        self.first, self.count = self._room(self.first, have + len(words)), self._room(self.count, have + len(words))
+        self.first, self.count, self.met = (self._room(x, have + len(words)) for x in (self.first, self.count, self.met))
         self.first[have : have + len(words)] = self.used + np.cumsum(counts) - counts
         self.count[have : have + len(words)] = counts
+        self.met[have : have + len(words)] = 0
         self.used += total
         self.slot_of.update(zip(words, range(have, have + len(words))))
+        return np.arange(have, have + len(words))
 
     def _slots(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         if self.strip:  # white space in front has no ids of its own
@@ -86,12 +105,13 @@ class WordTable:
         cut = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data))]).dictionary_encode()
         words = cut.dictionary.to_pylist()
         if len(self.slot_of) + len(words) > self.limit:
-            self.clear()
-        get = self.slot_of.get
-        new = [w for w in words if get(w) is None]
-        if new:
-            self._add(new)
-        return np.fromiter(map(self.slot_of.__getitem__, words), np.int64, len(words))[cut.indices.to_numpy(zero_copy_only=False)]
+            self._thin()
+        slots = np.fromiter(map(self.slot_of.get, words, repeat(-1)), np.int64, len(words))
+        new = np.flatnonzero(slots < 0)
+        if len(new):
+            slots[new] = self._add([words[i] for i in new.tolist()])
+        self.met[slots] = np.minimum(self.met[slots], 254) + 1
+        return slots[cut.indices.to_numpy(zero_copy_only=False)]
 
     def texts(self, data: np.ndarray, offsets: np.ndarray, whole: Callable[[str], list[int]] | None = None, most: int = 1_000_000):
         """Yields (i, j, ids, bounds): the ids of texts i to j - 1 and the j - i + 1
