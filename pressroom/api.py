@@ -19,7 +19,9 @@ def build_board(items: DataFrame, picks: DataFrame, now: Column, stop: list[str]
     title = tx.clean_text(F.col("title"))
     rows = items.withColumn("title", title).filter("title <> ''")
     if off_topic:
-        rows = rows.filter(~F.lower("title").rlike("|".join(off_topic)))
+        low = F.lower("title")
+        for term in off_topic:
+            rows = rows.filter(~low.contains(term.lower()))
     rows = rows.withColumn("s", tx.keywords(F.col("title"), stop)).filter(F.size("s") >= 3)
     rows = bd.stored(rows.withColumn("age", tx.age_hours(tx.feed_time(F.col("stamp")), now)).join(bd.clusters(rows, "seq", "s"), "seq"))
     rolled = bd.roll_up(rows, "founder", "source", "link", "age", "seq", F.col("link").contains(aggregator))
@@ -89,15 +91,20 @@ def video_list(rows: DataFrame, kind: str, description: str, adverts: list[str])
 
 
 # ------------------------------------------------------------------ search
-def library_for_article(assets: DataFrame, sentences: DataFrame, rarity: DataFrame, gate: DataFrame, uses: DataFrame, key: str = "asset", page: int = 150) -> DataFrame:
+def library_for_article(assets: DataFrame, sentences: DataFrame, rarity: DataFrame, gate: DataFrame, uses: DataFrame, key: str = "asset", page: int = 150, bonus: DataFrame | None = None, alias: DataFrame | None = None) -> DataFrame:
     """Assets for the sentences (article, sentence, query) of many articles at once: each
-    asset under its best sentence, gated (key, factor), less what is used often (key,
-    uses), one per sentence in turn."""
+    asset under its best sentence. Its score is the soft one, 4 more on screen (a column
+    of ``uses`` next to key and uses), 2 less for each use up to five, plus the learned
+    ``bonus`` (article, sentence, key, bonus) of that sentence; gated (key, factor) at
+    last. One asset per sentence in turn, the sentences in order, ``page`` in all."""
     asked = sentences.withColumn("q", F.struct("article", "sentence"))
-    best = search.soft(assets, asked, rarity, key, "q", "query").select("q.article", "q.sentence", key, "score")
+    best = search.soft(assets, asked, rarity, key, "q", "query", alias=alias).filter("score > 0").select("q.article", "q.sentence", key, "score")
     best = best.groupBy("article", key).agg(F.max_by("sentence", F.struct("score", -F.col("sentence"))).alias("sentence"), F.max("score").alias("score"))
     scored = best.join(gate, key).filter("factor > 0").join(uses, key, "left")
-    total = scored.withColumn("total", F.round(F.col("score") * F.col("factor") - 2 * F.least(F.coalesce("uses", F.lit(0)), F.lit(5)), 6))
+    scored = scored.join(bonus, ["article", "sentence", key], "left") if bonus is not None else scored.withColumn("bonus", F.lit(0))
+    shown = F.when(F.col("on_screen"), 4).otherwise(0) if "on_screen" in uses.columns else F.lit(0)
+    points = F.col("score") + shown - 2 * F.least(F.coalesce("uses", F.lit(0)), F.lit(5)) + F.coalesce("bonus", F.lit(0))
+    total = scored.withColumn("total", F.round(points * F.col("factor"), 6))
     turn = F.row_number().over(Window.partitionBy("article", "sentence").orderBy(F.desc("total"), key))
     place = F.row_number().over(Window.partitionBy("article").orderBy("turn", "sentence"))
     return total.withColumn("turn", turn).withColumn("place", place).filter(F.col("place") <= page).select("article", "sentence", key, "total", "place")

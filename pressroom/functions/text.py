@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from html.entities import html5
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -48,15 +49,36 @@ def slug(c: Column, most: int = 42) -> Column:
     return F.regexp_replace(cut, "^-+|-+$", "")
 
 
+def _entity(segment: Column) -> Column:
+    """What follows an ampersand, its entity decoded if it begins with a whole one. The
+    names are those of the standard library's table."""
+    name = F.regexp_extract(segment, "^(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]*);", 1)
+    hex_digits = F.when(name.rlike("^#[xX]"), F.substring(name, 3, 8)).otherwise(F.conv(F.substring(name, 2, 8), 10, 16))
+    code = F.conv(hex_digits, 16, 10).cast("long")
+    sound = code.between(1, 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
+    by_number = F.when(sound, F.decode(F.unhex(F.lpad(hex_digits, 8, "0")), "UTF-32")).otherwise("\ufffd")
+    names = F.create_map(*[F.lit(x) for k, v in sorted(html5.items()) if k.endswith(";") for x in (k[:-1], v)])
+    char = F.when(name == "", None).when(name.startswith("#"), by_number).otherwise(F.try_element_at(names, name))
+    rest = F.substring(segment, F.length(name) + 2, F.length(segment))
+    return F.coalesce(F.concat(char, rest), F.concat(F.lit("&"), segment))
+
+
+def unescape(c: Column) -> Column:
+    """HTML entities decoded once: named ones and numbers; unknown ones stay. An entity
+    ends in a semicolon."""
+    parts = F.split(c, "&")
+    decoded = F.concat(parts[0], F.array_join(F.transform(F.slice(parts, F.lit(2), F.greatest(F.size(parts), F.lit(1))), _entity), ""))
+    return F.when(F.contains(c, F.lit("&")), decoded).otherwise(c)
+
+
 def clean_text(c: Column, rounds: int = 3) -> Column:
-    """Tags out, the core HTML entities decoded up to ``rounds`` times (an entity may be
-    escaped twice), white space collapsed. Once nothing is left to decode, a further
-    round changes nothing."""
+    """Tags out, HTML entities decoded up to ``rounds`` times (an entity may be escaped
+    twice), white space collapsed. Once nothing is left to decode, a further round
+    changes nothing."""
     out = F.regexp_replace(c, "<[^>]+>", " ")
     for _ in range(rounds):
-        for name, ch in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
-            out = F.replace(out, F.lit(name), F.lit(ch))
-    return F.trim(F.regexp_replace(out, "\\s+", " "))
+        out = unescape(out)
+    return F.trim(F.regexp_replace(out, "[\\s\u00a0]+", " "))
 
 
 def keywords(c: Column, stop: list[str], least: int = 4) -> Column:

@@ -5,12 +5,16 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
 def shared_path(spark: SparkSession) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.gettempdir()
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = "file://" + tempfile.gettempdir()
     return f"{base}/board-{uuid.uuid4().hex}"
 
 
@@ -39,20 +43,39 @@ def overlap_pairs(items: DataFrame, key: str, tokens: str, least: int = 3, ratio
     return met.select("a", "b", both.alias("shared")).distinct()
 
 
-def leaders(edges: DataFrame) -> DataFrame:
+def title_classes(items: DataFrame, key: str, tokens: str, least: int = 3) -> DataFrame:
+    """(k, rep, s): items of at least ``least`` tokens, each with the first item that has
+    the same set."""
+    sets = items.select(F.col(key).alias("k"), F.sort_array(F.array_distinct(tokens)).alias("s")).filter(F.size("s") >= least)
+    first = sets.groupBy("s").agg(F.min("k").alias("rep"))
+    return sets.join(first, "s").select("k", "rep", "s")
+
+
+def title_pairs(items: DataFrame, key: str, tokens: str, least: int = 3, ratio: float = 0.5) -> DataFrame:
+    """Pairs (a, b, shared) of matching items: between the first items of different sets,
+    and from the first item of a set to every other with that set."""
+    classes = stored(title_classes(items, key, tokens, least))
+    across = overlap_pairs(classes.filter("k = rep"), "k", "s", least, ratio)
+    within = classes.filter("k <> rep").select(F.col("rep").alias("a"), F.col("k").alias("b"), F.size("s").alias("shared"))
+    return across.unionByName(within)
+
+
+def leaders(edges: DataFrame, few: int = 50_000) -> DataFrame:
     """Edges (a before b) between a founder and each later member that it matches.
 
     Scanning in order, an item joins the first founder that it matches or else founds a
     cluster: the founders are the first maximal independent set. In each round the items
     without an open edge to one before them are founders, what they match are members,
     and the edges of members close; what never is a member is a founder. Each round
-    closes the edges of at least one founder, so rounds go on until no edge is open."""
+    closes the edges of at least one founder, so rounds go on until no edge is open. The
+    last ``few`` open edges (a few MB) are settled by one scan in one task, so that a
+    long chain costs no round for each link."""
     edges = stored(edges.select("a", "b").distinct())
     spark, members = edges.sparkSession, shared_path(edges.sparkSession)
     none = edges.select(F.col("b").alias("x")).limit(0)
     none.write.parquet(members)
     still, left = edges, edges.count()
-    while left:
+    while left > few:
         first = still.join(still.select(F.col("b").alias("a")).distinct(), "a", "left_anti")
         gone = stored(first.select(F.col("b").alias("x")).distinct())
         gone.write.mode("append").parquet(members)
@@ -60,13 +83,49 @@ def leaders(edges: DataFrame) -> DataFrame:
         before, left = left, still.count()
         if left == before:
             raise ValueError("the edges run in a circle")
+    rest = stored(_scanned(still))
+    if rest.filter("x IS NULL").limit(1).count():
+        raise ValueError("the edges run in a circle")
+    rest.write.mode("append").parquet(members)
     return edges.join(spark.read.schema(none.schema).parquet(members).withColumnRenamed("x", "a"), "a", "left_anti")
 
 
+def _scanned(edges: DataFrame) -> DataFrame:
+    """(x): the members among few edges, each settled after those before it; null if they
+    run in a circle."""
+    import pandas as pd
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        after, waits = {}, {}
+        for a, b in zip(pdf["a"].tolist(), pdf["b"].tolist()):
+            after.setdefault(a, []).append(b)
+            waits[b] = waits.get(b, 0) + 1
+        ready, members, done = [a for a in after if a not in waits], set(), 0
+        while ready:
+            x = ready.pop()
+            for y in after.get(x, ()):
+                done += 1
+                if x not in members:
+                    members.add(y)
+                waits[y] -= 1
+                if not waits[y]:
+                    ready.append(y)
+        if done < len(pdf):
+            return pd.DataFrame({"x": [None]})
+        return pd.DataFrame({"x": pd.Series(sorted(members), dtype=pdf["b"].dtype)})
+
+    kind = edges.schema["b"].dataType.simpleString()
+    return edges.withColumn("one", F.lit(1)).groupBy("one").applyInPandas(one, f"x {kind}")
+
+
 def clusters(items: DataFrame, key: str, tokens: str, least: int = 3, ratio: float = 0.5) -> DataFrame:
-    """(key, founder): every item with the founder of its cluster."""
-    found = leaders(overlap_pairs(items, key, tokens, least, ratio)).groupBy("b").agg(F.min("a").alias("founder"))
-    return items.select(key).join(found, items[key] == found["b"], "left").select(key, F.coalesce("founder", key).alias("founder"))
+    """(key, founder): every item with the founder of its cluster. Items with equal sets
+    have one founder, so only the first of them takes part in the scan."""
+    classes = stored(title_classes(items, key, tokens, least))
+    reps = classes.filter("k = rep")
+    found = leaders(overlap_pairs(reps, "k", "s", least, ratio)).groupBy(F.col("b").alias("rep")).agg(F.min("a").alias("founder"))
+    by_item = classes.join(found, "rep", "left").select(F.col("k").alias("_item"), F.coalesce("founder", "rep").alias("founder"))
+    return items.select(key).join(by_item, F.col(key) == F.col("_item"), "left").select(key, F.coalesce("founder", key).alias("founder"))
 
 
 def learned_words(picks: DataFrame, tokens: str, picked: Column, up: float = 1.0, down: float = -0.6) -> DataFrame:
@@ -77,13 +136,15 @@ def learned_words(picks: DataFrame, tokens: str, picked: Column, up: float = 1.0
 def roll_up(items: DataFrame, cluster: str, source: str, link: str, age: str, seq: str, aggregator: Column) -> DataFrame:
     """Per cluster: sources, up to five direct links, and the youngest item that is no
     aggregator link where there is one."""
-    return items.groupBy(cluster).agg(
+    sums = items.groupBy(cluster).agg(
         F.countDistinct(source).alias("n_sources"),
         F.array_join(F.sort_array(F.collect_set(source)), ",").alias("sources"),
-        F.array_join(F.slice(F.transform(F.sort_array(F.collect_list(F.when(~aggregator, F.struct(seq, link)))), lambda x: x[link]), 1, 5), " ").alias("links"),
         F.min_by(seq, F.struct(aggregator.alias("agg"), age, seq)).alias("face"),
         F.min(age).alias("age"),
     )
+    place = F.row_number().over(Window.partitionBy(cluster).orderBy(seq))
+    five = items.filter(~aggregator).withColumn("_place", place).filter("_place <= 5").groupBy(cluster).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(seq, link))), lambda x: x[link]), " ").alias("links"))
+    return sums.join(five, cluster, "left").withColumn("links", F.coalesce("links", F.lit("")))
 
 
 def heat(n_sources: Column, age: Column, home: Column, curious: Column, learned: Column) -> Column:

@@ -14,7 +14,7 @@ def highlight_phrases(c: Column, strong: list[str], share: float = 0.45) -> Colu
     share of the words."""
     quoted = F.regexp_extract_all(c, F.lit("[\"“]([^\"“”]{3,28})[\"”]"), F.lit(1))
     counted = F.regexp_extract_all(c, F.lit("(\\d+ (?:times|goals|years))"), F.lit(1))
-    strongs = F.regexp_extract_all(c, F.lit("(?i)\\b((?:" + "|".join(strong) + ") \\S+)"), F.lit(1))
+    strongs = F.regexp_extract_all(c, F.lit("(?i)\\b((?:" + "|".join(rf"\\Q{w}\\E" for w in strong) + ") \\S+)"), F.lit(1))
     found = F.slice(F.array_distinct(F.concat(quoted, counted, strongs)), 1, 2)
     words = F.size(F.split(F.trim(c), "\\s+"))
     by_length = F.transform(F.sort_array(F.transform(found, lambda p: F.struct(F.length(p).alias("n"), p.alias("p")))), lambda s: s["p"])

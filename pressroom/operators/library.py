@@ -55,6 +55,22 @@ def image_classes(rows: DataFrame, key: str, bits: str, most: int) -> DataFrame:
     return rows.join(per, bits, "left").select(key, F.coalesce("match", key).alias("match"), F.coalesce("links", F.lit(0)).alias("links"))
 
 
+def any_match(rows: DataFrame, key: str, hashes: dict[str, int]) -> DataFrame:
+    """(key, match): the least key before it that is as near as the given number of bits
+    by any of several hashes - of the whole picture, and of its top and bottom edge,
+    which a cut at the other end leaves alone; itself if there is none. An unknown hash
+    (null) matches nothing."""
+    found = rows.select(key, F.col(key).alias("match"))
+    for bits, most in hashes.items():
+        nodes = rows.filter(F.col(bits).isNotNull()).groupBy(bits).agg(F.min(key).alias("node"))
+        pairs = hamming_matches(rows, key, bits, most)
+        # Nodes are the least keys of their hashes: a row's candidates are those of its node, either way round.
+        both = pairs.select(F.col("a").alias("node"), F.col("b").alias("other")).unionByName(pairs.select(F.col("b").alias("node"), F.col("a").alias("other")))
+        best = nodes.join(both.groupBy("node").agg(F.min("other").alias("other")), "node", "left")
+        found = found.unionByName(rows.join(best, bits).select(key, F.least("node", "other", key).alias("match")))
+    return found.groupBy(key).agg(F.min("match").alias("match"))
+
+
 def mergeable(a: Column, b: Column, blocking: list[str]) -> Column:
     """Whether two folded names are one subject: one's words are among the other's, in
     order, and no blocking word makes the difference."""
@@ -175,19 +191,36 @@ def rarity(rows: DataFrame, key: str, tokens: str, low: float = 0.1) -> DataFram
     return counts.crossJoin(F.broadcast(total)).select("token", "c", F.least(F.lit(1.0), F.greatest(F.lit(low), ratio)).alias("weight"))
 
 
-def team_gate(assets: DataFrame, key: str, strong: str, weak: str, teams: DataFrame, wanted: list[str]) -> DataFrame:
+def phrase_hits(rows: DataFrame, key: str, text: str, phrases: DataFrame) -> DataFrame:
+    """(key, phrase) of the ``phrases`` (phrase, folded) whose words stand in a row in one
+    run. Phrases of n words meet the rows' runs of n words by equality; the few lengths
+    that phrases have are looked up first."""
+    known = phrases.select("phrase").distinct().filter("phrase <> ''").withColumn("n", F.size(F.split("phrase", " ")))
+    lengths = known.agg(F.sort_array(F.collect_set("n")).alias("lengths"))  # one row
+    words = F.split(fold_match(F.col(text)), " ")
+    each = rows.select(key, words.alias("_w")).crossJoin(F.broadcast(lengths)).select(key, "_w", F.explode("lengths").alias("n"))
+    starts = F.sequence(F.lit(1), F.greatest(F.size("_w") - F.col("n") + 1, F.lit(1)))
+    runs = each.filter(F.size("_w") >= F.col("n")).select(key, "n", F.explode(F.array_distinct(F.transform(starts, lambda i: F.array_join(F.slice("_w", i, F.col("n")), " ")))).alias("phrase"))
+    return runs.join(known, ["n", "phrase"]).select(key, "phrase")
+
+
+def team_gate(assets: DataFrame, key: str, strong: str, weak: str, teams: DataFrame, wanted: list[str], clubs: list[str] | None = None, national: bool = False) -> DataFrame:
     """Factor per asset: 0 if its subject or labels name a team that the article does
-    not, 0.4 if only its description does, else 1. No gate without article teams."""
+    not, 0.4 if only its description does, else 1. No gate without article teams. If the
+    article is about a national team, a club (one of ``clubs``) that it does not name
+    makes the factor 0 wherever it stands."""
     if not wanted:
         return assets.select(key, F.lit(1.0).alias("factor"))
-    t = F.broadcast(teams.select("team", fold_match(F.col("alias")).alias("phrase")).distinct())  # a fixed dictionary
+    t = teams.select("team", fold_match(F.col("alias")).alias("phrase")).distinct().filter(~F.col("team").isin(*wanted))
 
-    def hits(column: str) -> Column:
-        return F.concat(F.lit(" "), fold_match(F.col(column)), F.lit(" ")).contains(F.concat(F.lit(" "), F.col("phrase"), F.lit(" ")))
+    def named(text: str, out: str) -> DataFrame:
+        hit = phrase_hits(assets, key, text, t).join(t, "phrase")
+        club = F.col("team").isin(*clubs) if clubs else F.lit(False)
+        return hit.groupBy(key).agg(F.lit(True).alias(out), F.bool_or(club).alias(f"{out}_club"))
 
-    other = ~F.col("team").isin(*wanted)
-    found = assets.join(t, hits(strong) | hits(weak), "left").groupBy(key).agg(F.coalesce(F.bool_or(hits(strong) & other), F.lit(False)).alias("s"), F.coalesce(F.bool_or(hits(weak) & other), F.lit(False)).alias("w"))
-    return found.select(key, F.when(F.col("s"), 0.0).when(F.col("w"), 0.4).otherwise(1.0).alias("factor"))
+    found = assets.select(key).join(named(strong, "s"), key, "left").join(named(weak, "w"), key, "left")
+    club = F.lit(national) & (F.coalesce("s_club", F.lit(False)) | F.coalesce("w_club", F.lit(False)))
+    return found.select(key, F.when(F.col("s") | club, 0.0).when(F.col("w"), 0.4).otherwise(1.0).alias("factor"))
 
 
 def image_gate(w: Column, h: Column) -> Column:

@@ -21,10 +21,15 @@ def asset_tokens(assets: DataFrame, key: str, fields: dict[str, int] = FIELDS) -
     return each.groupBy(key, "token").agg(F.max("weight").alias("weight"))
 
 
-def query_tokens(queries: DataFrame, q: str, text: str) -> DataFrame:
-    """(query, token, n): distinct folded words of a query and how many there are."""
-    words = F.array_distinct(F.filter(F.split(fold_match(F.col(text)), " "), lambda t: t != ""))
-    return queries.select(q, F.size(words).alias("n"), F.explode(words).alias("qt"))
+def query_tokens(queries: DataFrame, q: str, text: str, alias: DataFrame | None = None) -> DataFrame:
+    """(query, token, n): distinct folded words of a query and how many there are. A query
+    that is, folded, a variant of ``alias`` (canonical, variant) stands for the name."""
+    asked = queries.select(q, fold_match(F.col(text)).alias("_f"))
+    if alias is not None:
+        names = alias.select(fold_match(F.col("variant")).alias("_f"), fold_match(F.col("canonical")).alias("_c")).unionByName(alias.select(fold_match(F.col("canonical")).alias("_f"), fold_match(F.col("canonical")).alias("_c")))
+        asked = asked.join(names.filter("_f <> ''").groupBy("_f").agg(F.min("_c").alias("_c")), "_f", "left").select(q, F.coalesce("_c", "_f").alias("_f"))
+    words = F.array_distinct(F.filter(F.split("_f", " "), lambda t: t != ""))
+    return asked.select(q, F.size(words).alias("n"), F.explode(words).alias("qt"))
 
 
 def token_hits(query: Column, word: Column, inside: int, typo: int) -> Column:
@@ -33,11 +38,9 @@ def token_hits(query: Column, word: Column, inside: int, typo: int) -> Column:
     return F.when(query == word, 3).when((F.length(query) >= inside) & word.contains(query), 2).when(near, 1).otherwise(0)
 
 
-def _substrings(word: Column, least: int) -> Column:
-    """All distinct substrings of at least ``least`` letters."""
-    n = F.length(word)
-    starts = F.sequence(F.lit(1), F.greatest(n, F.lit(1)))
-    return F.array_distinct(F.flatten(F.transform(starts, lambda i: F.transform(F.filter(starts, lambda k: (k >= least) & (i + k - 1 <= n)), lambda k: F.substring(word, i, k)))))
+def _grams(word: Column, n: int) -> Column:
+    """The distinct runs of n letters of a word."""
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(word) - (n - 1), F.lit(1))), lambda i: F.substring(word, i, n)))
 
 
 def _less_one(word: Column) -> Column:
@@ -46,33 +49,54 @@ def _less_one(word: Column) -> Column:
     return F.array_distinct(F.concat(F.array(word), F.transform(places, lambda i: F.concat(F.substring(word, F.lit(1), i - 1), F.substring(word, i + 1, F.length(word))))))
 
 
-def matches(tokens: DataFrame, asked: DataFrame, key: str, q: str, inside: int, typo: int) -> DataFrame:
+def _halves(word: Column) -> Column:
+    """Beginnings and ends of about half of a word: one typo leaves one of them alone."""
+    n = F.length(word)
+    keys = []
+    for h in (F.floor((n - 1) / 2).cast("int"), F.floor(n / 2).cast("int")):
+        keys += [F.concat(F.lit("<"), F.substring(word, F.lit(1), h)), F.concat(F.lit(">"), F.substring(word, n - h + 1, h))]
+    return F.array_distinct(F.array(*keys))
+
+
+def matches(tokens: DataFrame, asked: DataFrame, key: str, q: str, inside: int, typo: int, short: int = 24) -> DataFrame:
     """(query, key, qt, n, points): the best hit of each query word in each asset.
 
     The inexact comparison runs between the distinct words of the queries and the
-    vocabulary, which is far smaller than the assets, and by equality alone: a query's
-    word is inside another if it equals one of its substrings, and two words with one
-    typo between them are equal after each loses at most one letter."""
+    vocabulary, which is far smaller than the assets, and candidates meet by equality
+    alone, on keys whose number grows with a word's length and no faster: a query's word
+    can only be inside a word that has its first three letters as a run (or all of it,
+    if it is shorter); two words with one typo between them are equal after each loses
+    at most one letter, or, where they are long, share a half."""
     vocabulary, wanted = tokens.select("token").distinct(), asked.select("qt").distinct()
-    within = vocabulary.select("token", F.explode(_substrings(F.col("token"), inside)).alias("qt")).join(wanted, "qt")
-    same = vocabulary.select("token", F.col("token").alias("qt")).join(wanted, "qt")
-    near = vocabulary.filter(F.length("token") >= typo).select("token", F.explode(_less_one(F.col("token"))).alias("part")).join(wanted.filter(F.length("qt") >= typo).select("qt", F.explode(_less_one(F.col("qt"))).alias("part")), "part")
-    pairs = within.select("qt", "token").unionByName(same.select("qt", "token")).unionByName(near.select("qt", "token")).distinct()
+    found = vocabulary.select("token", F.col("token").alias("qt")).join(wanted, "qt").select("qt", "token")
+    for n in (1, 2, 3):
+        of = wanted.filter(F.length("qt") >= inside).filter(F.length("qt") >= 3 if n == 3 else F.length("qt") == n)
+        if n == 3 or inside <= n:
+            runs = vocabulary.filter(F.length("token") > n - 1).select("token", F.explode(_grams(F.col("token"), n)).alias("run"))
+            found = found.unionByName(runs.join(of.select("qt", F.substring("qt", 1, n).alias("run")), "run").filter(F.contains("token", "qt")).select("qt", "token"))
+
+    def keyed(rows: DataFrame, word: str) -> DataFrame:
+        n = F.length(word)
+        keys = F.concat(F.when(n <= short + 1, _less_one(F.col(word))).otherwise(F.array().cast("array<string>")), F.when(n >= short, _halves(F.col(word))).otherwise(F.array().cast("array<string>")))
+        return rows.filter(n >= typo).select(word, F.explode(keys).alias("part"))
+
+    near = keyed(vocabulary, "token").join(keyed(wanted, "qt"), "part").filter(F.abs(F.length("token") - F.length("qt")) <= 1)
+    pairs = found.unionByName(near.select("qt", "token")).distinct()
     how = pairs.withColumn("hit", token_hits(F.col("qt"), F.col("token"), inside, typo)).filter("hit > 0")
     best = how.join(tokens, "token").groupBy("qt", key).agg(F.max(F.col("hit") * F.col("weight")).alias("points"))
     return asked.join(best, "qt").select(q, key, "qt", "n", "points")
 
 
-def strict(assets: DataFrame, queries: DataFrame, key: str, q: str, text: str, fields: dict[str, int] = FIELDS) -> DataFrame:
+def strict(assets: DataFrame, queries: DataFrame, key: str, q: str, text: str, fields: dict[str, int] = FIELDS, alias: DataFrame | None = None) -> DataFrame:
     """(query, key, score): every word of the query must hit; points are summed."""
-    found = matches(asset_tokens(assets, key, fields), query_tokens(queries, q, text), key, q, 1, 3)
+    found = matches(asset_tokens(assets, key, fields), query_tokens(queries, q, text, alias), key, q, 1, 3)
     return found.groupBy(q, key, "n").agg(F.sum("points").alias("score"), F.count("*").alias("hits")).filter("hits = n").select(q, key, "score")
 
 
-def soft(assets: DataFrame, queries: DataFrame, rarity: DataFrame, key: str, q: str, text: str, fields: dict[str, int] = FIELDS) -> DataFrame:
+def soft(assets: DataFrame, queries: DataFrame, rarity: DataFrame, key: str, q: str, text: str, fields: dict[str, int] = FIELDS, alias: DataFrame | None = None) -> DataFrame:
     """As ``strict``, but words may miss: points times rarity, and the sum times 1 plus
     the share of words that hit."""
-    found = matches(asset_tokens(assets, key, fields), query_tokens(queries, q, text), key, q, 3, 4)
+    found = matches(asset_tokens(assets, key, fields), query_tokens(queries, q, text, alias), key, q, 3, 4)
     weighted = found.join(rarity.select(F.col("token").alias("qt"), F.col("weight").alias("r")), "qt", "left")
     total = weighted.groupBy(q, key, "n").agg(F.sum(F.col("points") * F.coalesce("r", F.lit(1.0))).alias("s"), F.count("*").alias("hits"))
     return total.select(q, key, F.round(F.col("s") * (1 + F.col("hits") / F.col("n")), 6).alias("score"))
@@ -88,19 +112,56 @@ def search_library(scored: DataFrame, assets: DataFrame, key: str, on_screen: Co
     return ranked.withColumn("place", F.row_number().over(Window.partitionBy(q).orderBy(F.desc("total"), order))).filter(F.col("place") <= k)
 
 
-def interleave(rows: DataFrame, group: str, score: str, tie: str) -> DataFrame:
-    """One best row per group and round: rounds first, then groups."""
+def interleave(rows: DataFrame, group: str, score: str, tie: str, last: str | None = None) -> DataFrame:
+    """One best row per group and round: rounds first, then groups, those for which
+    ``last`` holds behind the others. With ``last`` the order is a column too, place:
+    rounds are counted, and a window only numbers the groups of a round."""
     turn = F.row_number().over(Window.partitionBy(group).orderBy(F.desc(score), tie))
-    return rows.withColumn("turn", turn).orderBy("turn", group)
+    turns = rows.withColumn("turn", turn)
+    if last is None:
+        return turns.orderBy("turn", group)
+    sizes = turns.groupBy("turn").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    inside = F.row_number().over(Window.partitionBy("turn").orderBy(last, group))
+    return turns.withColumn("_i", inside).join(sizes.select("turn", before.alias("_b")), "turn").withColumn("place", F.col("_b") + F.col("_i")).drop("_b", "_i")
+
+
+def shared_tokens(left: DataFrame, right: DataFrame, a: str, b: str, tokens: str, least: float = 2) -> DataFrame:
+    """(a, b, o): rows that share ``least`` tokens or more (a number, or below 1 a share
+    of the right side's set), and how many. Rows meet only on the rarer end of the right
+    side's sets: of two sets that share m tokens, one is among the first size - m + 1 of
+    the right one's in order of frequency."""
+    needed = F.ceil(F.size("s") * F.lit(float(least)) - 1e-9).cast("int") if least < 1 else F.lit(int(least))
+    r = right.select(b, F.array_distinct(tokens).alias("s")).withColumn("m", F.greatest(F.lit(1), needed)).filter(F.size("s") >= F.col("m"))
+    l = left.select(a, F.array_distinct(tokens).alias("t"))
+    words = l.select(F.explode("t").alias("w"))
+    seen = words.unionByName(r.select(F.explode("s").alias("w"))).groupBy("w").agg(F.count("*").alias("c"))
+    ranked = r.select(b, "m", F.explode("s").alias("w")).join(seen, "w").groupBy(b, "m").agg(F.sort_array(F.collect_list(F.struct("c", "w"))).alias("r"))
+    ends = ranked.select(b, "m", F.col("r.w").alias("s"), F.explode(F.slice("r.w", F.lit(1), F.size("r") - (F.col("m") - 1))).alias("w"))
+    met = l.select(a, "t", F.explode("t").alias("w")).join(ends, "w")
+    return met.select(a, b, F.size(F.array_intersect("t", "s")).alias("o"), "m").filter("o >= m").select(a, b, "o").distinct()
 
 
 def learned_bonus(queries: DataFrame, history: DataFrame, q: str, tokens: str) -> DataFrame:
     """(query, subject, bonus): 6 plus the overlap with the best past sentence that
     shares two words; history has columns past, subject and tokens."""
-    a = queries.select(q, F.explode(F.array_distinct(tokens)).alias("token"))
-    b = history.select("past", "subject", F.explode(F.array_distinct("tokens")).alias("token"))
-    shared = a.join(b, "token").groupBy(q, "past", "subject").agg(F.count("*").alias("o")).filter("o >= 2")
-    return shared.groupBy(q, "subject").agg((F.max("o") + 6).alias("bonus"))
+    shared = shared_tokens(queries.select(q, tokens), history.select("past", F.col("tokens").alias(tokens)), q, "past", tokens)
+    return shared.join(history.select("past", "subject").distinct(), "past").groupBy(q, "subject").agg((F.max("o") + 6).alias("bonus"))
+
+
+def learned_label_bonus(queries: DataFrame, history: DataFrame, assets: DataFrame, q: str, key: str) -> DataFrame:
+    """(query, asset, bonus) of what editors chose for like sentences: past sentences
+    (past, subject, labels, tokens) that share two words with the query's (tokens) give
+    an asset (subject, labels) of the same subject 6 plus the overlap, else one that
+    shares labels 2 plus that overlap, up to three; the best of a pair counts."""
+    near = shared_tokens(queries.select(q, "tokens"), history.select("past", "tokens"), q, "past", "tokens")
+    past = near.join(history.select("past", "subject", F.array_distinct("labels").alias("labels")), "past")
+    same = past.filter("subject IS NOT NULL").join(assets.select(key, "subject"), "subject").select(q, key, (F.col("o") + 6).alias("bonus"))
+    tags = past.select(q, "past", "subject", F.explode("labels").alias("label"))
+    own = assets.select(key, F.col("subject").alias("s"), F.explode(F.array_distinct("labels")).alias("label"))
+    alike = tags.join(own, "label").filter(~F.col("subject").eqNullSafe(F.col("s"))).groupBy(q, "past", key).agg(F.count("*").alias("o"))
+    other = alike.select(q, key, (F.least("o", F.lit(3)) + 2).alias("bonus"))
+    return same.unionByName(other).groupBy(q, key).agg(F.max("bonus").alias("bonus"))
 
 
 def draft(slots: DataFrame, candidates: DataFrame, video: str) -> DataFrame:

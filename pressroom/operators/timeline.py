@@ -55,13 +55,16 @@ def even_marks(length: Column, low: int = 3, high: int = 14, least: int = 8, eac
     return F.when(length < least, F.array().cast("array<double>")).otherwise(F.transform(F.sequence(F.lit(1), n), lambda i: F.round(length * i / (n + 1), 6)))
 
 
-def pace(rows: DataFrame, video: str, index: str, least: float = 2.35, floor: float = 2.5, most: float = 5.0) -> DataFrame:
+def pace(rows: DataFrame, video: str, index: str, floor: float = 2.5, slack: float = 0.15, most: float = 5.0) -> DataFrame:
     """Parts and seconds of each sentence of a video (columns length, is_clip, extra).
 
-    A sentence of d seconds has ceil(d / most) parts, more if it has extra pictures and
-    the time; a clip has one. Sentences under ``least`` borrow from a neighbour that is
-    no clip, the longer first, as far as that keeps ``floor`` seconds a part. The sum
-    stays. A video's sentences are few, so each video is one small group."""
+    A sentence of d seconds has ceil(d / most) parts, a clip one; extra pictures open
+    more, as many as have ``floor`` seconds each. Sentences that lack more than ``slack``
+    of ``floor`` borrow up to it from the neighbours that are no clips, the longer first,
+    as far as those keep ``floor`` a part. Last, parts that got too short are taken back,
+    and sentences (no clips) with parts over ``most`` get more; a clip without extra
+    pictures stays as it is. The sum stays. A video's sentences are few, so each video is
+    one small group."""
     import math
 
     import pandas as pd
@@ -70,18 +73,30 @@ def pace(rows: DataFrame, video: str, index: str, least: float = 2.35, floor: fl
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(index)
-        d, clip, extra = pdf["length"].tolist(), pdf["is_clip"].tolist(), pdf["extra"].tolist()
-        parts = [1 if c else max(1, math.ceil(x / most), min(1 + e, int((x + 0.01) // floor))) for x, c, e in zip(d, clip, extra)]
-        for i, x in enumerate(d):
-            if clip[i] or x >= least:
+        given = [(float(x), bool(c), int(e)) for x, c, e in zip(pdf["length"], pdf["is_clip"], pdf["extra"])]
+        seconds = [x for x, _, _ in given]
+        fits = [max(1, int((x + 0.01) // floor)) for x in seconds]
+        parts = [max(1 if clip else max(1, math.ceil(x / most - 1e-9)), min(1 + extra, room) if extra else 1) for (x, clip, extra), room in zip(given, fits)]
+        plain = [k for k, (_, clip, _) in enumerate(given) if not clip]
+        for k in plain:
+            need = floor - seconds[k]
+            if need <= slack:
                 continue
-            for j in sorted((j for j in (i - 1, i + 1) if 0 <= j < len(d) and not clip[j]), key=lambda j: -d[j]):
-                give = min(floor - d[i], d[j] - floor * parts[j])
-                if give > 0:
-                    d[i], d[j] = d[i] + give, d[j] - give
-                if d[i] >= least:
+            sides = [j for j in (k - 1, k + 1) if j in range(len(given)) and not given[j][1]]
+            for j in sorted(sides, key=lambda j: seconds[j], reverse=True):
+                spare = min(need, seconds[j] - floor * parts[j])
+                if spare > 0.01:
+                    seconds[j], seconds[k], need = seconds[j] - spare, seconds[k] + spare, need - spare
+                if need <= 0.01:
                     break
-        return pd.DataFrame({video: pdf[video], index: pdf[index], "parts": parts, "paced": d})
+        for k, (_, clip, extra) in enumerate(given):
+            if clip and not extra:
+                continue
+            while parts[k] > 1 and seconds[k] < (floor - 0.01) * parts[k]:
+                parts[k] -= 1
+            if not clip:
+                parts[k] = max(parts[k], math.ceil(seconds[k] / (most + 0.01)))
+        return pd.DataFrame({video: pdf[video], index: pdf[index], "parts": parts, "paced": [round(x, 2) for x in seconds]})
 
     return rows.select(video, index, "length", "is_clip", "extra").groupBy(video).applyInPandas(one, schema)
 

@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .. import api
 from ..functions import text as tx
-from ..operators import desk, ledgers, library, search
+from ..operators import desk, ledgers, library
 from ..sources import readers
 from .ledger_queries import timed
-from .library_queries import asked, assets, rarity_of
+from .library_queries import _MATCH, _QUERIES, _SOFT, aliases, asked, assets, rarity_of
 from .registry import Tables, query
 from .scalars import BARE, HEAD, head
 from .stream_queries import folder
@@ -142,21 +143,25 @@ def w14_cover_score(t: Tables) -> DataFrame:
     return t.part.select("p_partkey", F.round(F.least(w * h / 2.5e6, F.lit(1.0)) * 55 + shape + people, 6).alias("score"))
 
 
-@query()
+_FACTOR = f"""gt AS (SELECT doc_id, CASE WHEN contains(l, ' le ') OR contains(l, ' der ') THEN 0.0 WHEN contains(d, ' le ') OR contains(d, ' der ') THEN 0.4 ELSE 1.0 END AS factor FROM (SELECT doc_id, ' ' || {_MATCH.format(c='labels')} || ' ' AS l, ' ' || {_MATCH.format(c='description')} || ' ' AS d FROM a))"""
+
+
+@query(f"""WITH {_SOFT.format(queries=_QUERIES)}, {_FACTOR}, u AS (SELECT user_id AS doc_id, count(*) AS uses FROM events GROUP BY 1), bo AS (SELECT item_id // 8 AS article, item_id, doc_id, 2 + item_id % 3 AS bonus FROM benchmark, documents WHERE doc_id % 40 = item_id),
+  x AS (SELECT item_id // 8 AS article, doc_id, item_id, score FROM so WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY item_id // 8, doc_id ORDER BY score DESC, item_id) = 1),
+  y AS (SELECT x.article, x.doc_id, x.item_id, round((score + CASE WHEN x.doc_id % 4 = 0 THEN 4 ELSE 0 END - 2 * least(coalesce(uses, 0), 5) + coalesce(bonus, 0)) * factor, 6) AS total FROM x JOIN gt ON gt.doc_id = x.doc_id AND factor > 0 LEFT JOIN u ON u.doc_id = x.doc_id LEFT JOIN bo ON bo.article = x.article AND bo.item_id = x.item_id AND bo.doc_id = x.doc_id),
+  z AS (SELECT *, row_number() OVER (PARTITION BY article, item_id ORDER BY total DESC, doc_id) AS turn FROM y)
+  SELECT article, doc_id, item_id, total, row_number() OVER (PARTITION BY article ORDER BY turn, item_id) AS place FROM z QUALIFY place <= 150""")
 def q4_library_for_article(t: Tables) -> DataFrame:
-    """Every item is a sentence of an article of eight: best sentence per asset, gated by
-    language words, less what is used much, taken in turn by sentence, 150 a page."""
+    """Every item is a sentence of an article of eight."""
     a = assets(t)
-    best = search.soft(a, asked(t), rarity_of(t), "doc_id", "item_id", "q").withColumn("article", F.floor(F.col("item_id") / 8))
-    best = best.groupBy("article", "doc_id").agg(F.max_by("item_id", F.struct("score", -F.col("item_id"))).alias("item_id"), F.max("score").alias("score"))
+    sentences = asked(t).select(F.floor(F.col("item_id") / 8).alias("article"), F.col("item_id").alias("sentence"), F.col("q").alias("query"))
     teams = t.spark.createDataFrame([("french", "le"), ("german", "der"), ("english", "the")], "team string, alias string")
     gate = library.team_gate(a, "doc_id", "labels", "description", teams, ["english"])
-    uses = t.events.groupBy((F.col("user_id")).alias("doc_id")).agg(F.count("*").alias("u"))
-    scored = best.join(gate, "doc_id").filter("factor > 0").join(uses, "doc_id", "left")
-    total = scored.withColumn("total", F.round(F.col("score") * F.col("factor") - 2 * F.least(F.coalesce("u", F.lit(0)), F.lit(5)), 6))
-    turn = F.row_number().over(Window.partitionBy("article", "item_id").orderBy(F.desc("total"), "doc_id"))
-    place = F.row_number().over(Window.partitionBy("article").orderBy("turn", "item_id"))
-    return total.withColumn("turn", turn).withColumn("place", place).filter("place <= 150").select("article", "doc_id", "item_id", "total", "place")
+    counts = t.events.groupBy(F.col("user_id").alias("doc_id")).agg(F.count("*").alias("uses"))
+    uses = t.documents.select("doc_id", (F.col("doc_id") % 4 == 0).alias("on_screen")).join(counts, "doc_id", "left")
+    bonus = t.documents.select("doc_id", (F.col("doc_id") % 40).alias("sentence")).join(sentences, "sentence").select("article", "sentence", "doc_id", (2 + F.col("sentence") % 3).alias("bonus"))
+    rows = api.library_for_article(a, sentences, rarity_of(t), gate, uses, "doc_id", bonus=bonus, alias=aliases(t))
+    return rows.select("article", "doc_id", F.col("sentence").alias("item_id"), "total", "place")
 
 
 @query("""SELECT conv_id, turn, contains(lower(text), ' the ') AND contains(lower(text), ' of ') AS two_teams, regexp_matches(text, '(?i) (but|mais|aber|pero) ') AS contrast, regexp_matches(text, '[0-9]+') AS numbers FROM conversations""")

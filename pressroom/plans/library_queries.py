@@ -7,81 +7,99 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..operators import board, library, search
-from .registry import Tables, query
-from .scalars import BARE, HEAD, head
+from .registry import ORACLE_SQL, Tables, query
+from .scalars import HEAD, head
 
 # ------------------------------------------------------------------ search
-#: An asset per document: subject = source, labels = first 12 words, description = next 40.
-_ASSETS = """a AS (SELECT doc_id, source AS subject, array_to_string(list_slice(string_split(text, ' '), 1, 12), ' ') AS labels, array_to_string(list_slice(string_split(text, ' '), 13, 52), ' ') AS description FROM documents),
-  f AS (SELECT doc_id, unnest(string_split(trim(regexp_replace(replace(strip_accents(lower(subject)), 'đ', 'd'), '[^a-z0-9]+', ' ', 'g')), ' ')) AS token, 3 AS weight FROM a
-    UNION ALL SELECT doc_id, unnest(string_split(trim(regexp_replace(replace(strip_accents(lower(labels)), 'đ', 'd'), '[^a-z0-9]+', ' ', 'g')), ' ')), 2 FROM a
-    UNION ALL SELECT doc_id, unnest(string_split(trim(regexp_replace(replace(strip_accents(lower(description)), 'đ', 'd'), '[^a-z0-9]+', ' ', 'g')), ' ')), 1 FROM a),
+#: An asset per document: subject = source, labels = first 12 words, description = the rest.
+_MATCH = "trim(regexp_replace(replace(strip_accents(lower({c})), 'đ', 'd'), '[^a-z0-9]+', ' ', 'g'))"
+_ASSETS = f"""a AS (SELECT doc_id, source AS subject, array_to_string(list_slice(string_split(text, ' '), 1, 12), ' ') AS labels, array_to_string(string_split(text, ' ')[13:], ' ') AS description FROM documents),
+  f AS (SELECT doc_id, unnest(list_distinct(string_split({_MATCH.format(c='subject')}, ' '))) AS token, 3 AS weight FROM a
+    UNION ALL SELECT doc_id, unnest(list_distinct(string_split({_MATCH.format(c='labels')}, ' '))), 2 FROM a
+    UNION ALL SELECT doc_id, unnest(list_distinct(string_split({_MATCH.format(c='description')}, ' '))), 1 FROM a),
   tk AS (SELECT doc_id, token, max(weight) AS weight FROM f WHERE token <> '' GROUP BY 1, 2)"""
-_QUERIES = """q0 AS (SELECT item_id, array_to_string(list_slice(string_split(text, ' '), 1, 2), ' ') AS q FROM benchmark{where}),
-  q1 AS (SELECT DISTINCT item_id, unnest(string_split(trim(regexp_replace(replace(strip_accents(lower(q)), 'đ', 'd'), '[^a-z0-9]+', ' ', 'g')), ' ')) AS qt FROM q0),
+#: A query is the first two words of a benchmark text; every fourth one is listed as a variant of the one before it.
+_QUERIES = f"""q0 AS (SELECT item_id, array_to_string(list_slice(string_split(text, ' '), 1, 2), ' ') AS q FROM benchmark),
+  al AS (SELECT {_MATCH.format(c='v.q')} AS f, {_MATCH.format(c='c.q')} AS c FROM q0 v JOIN q0 c ON v.item_id % 4 = 1 AND c.item_id = v.item_id - 1),
+  an AS (SELECT f, min(c) AS c FROM (SELECT f, c FROM al UNION ALL SELECT c, c FROM al) WHERE f <> '' GROUP BY 1),
+  q2 AS (SELECT item_id, coalesce(an.c, m.f) AS f FROM (SELECT item_id, {_MATCH.format(c='q')} AS f FROM q0) m LEFT JOIN an ON an.f = m.f),
+  q1 AS (SELECT DISTINCT item_id, unnest(string_split(f, ' ')) AS qt FROM q2),
+  qs AS (SELECT item_id, qt, count(*) OVER (PARTITION BY item_id) AS n FROM q1 WHERE qt <> '')"""
+#: Whole benchmark texts as queries.
+_LONG_QUERIES = f"""q0 AS (SELECT item_id, text AS q FROM benchmark),
+  q1 AS (SELECT DISTINCT item_id, unnest(string_split({_MATCH.format(c='q')}, ' ')) AS qt FROM q0),
   qs AS (SELECT item_id, qt, count(*) OVER (PARTITION BY item_id) AS n FROM q1 WHERE qt <> '')"""
 _HIT = "CASE WHEN qt = token THEN 3 WHEN length(qt) >= {inside} AND contains(token, qt) THEN 2 WHEN length(qt) >= {typo} AND length(token) >= {typo} AND levenshtein(qt, token) <= 1 THEN 1 ELSE 0 END"
 _STRICT = f"""{_ASSETS}, {{queries}}, v AS (SELECT DISTINCT qt, token, {_HIT.format(inside=1, typo=3)} AS hit FROM (SELECT DISTINCT qt FROM qs), (SELECT DISTINCT token FROM tk)),
   m AS (SELECT item_id, doc_id, qs.qt, n, max(hit * weight) AS points FROM qs JOIN v ON qs.qt = v.qt AND hit > 0 JOIN tk ON tk.token = v.token GROUP BY 1, 2, 3, 4),
   s AS (SELECT item_id, doc_id, CAST(sum(points) AS BIGINT) AS score FROM m GROUP BY item_id, doc_id, n HAVING count(*) = n)"""
+_SHORT, _LONG = _STRICT.format(queries=_QUERIES), _STRICT.format(queries=_LONG_QUERIES)
 
 
 def assets(t: Tables) -> DataFrame:
     words = F.split("text", " ")
-    return t.documents.select("doc_id", F.col("source").alias("subject"), head(12).alias("labels"), F.array_join(F.slice(words, 13, 40), " ").alias("description"))
+    return t.documents.select("doc_id", F.col("source").alias("subject"), head(12).alias("labels"), F.array_join(F.slice(words, F.lit(13), F.greatest(F.size(words), F.lit(1))), " ").alias("description"))
 
 
 def asked(t: Tables) -> DataFrame:
     return t.benchmark.select("item_id", head(2).alias("q"))
 
 
-def whole_assets(t: Tables) -> DataFrame:
-    """As ``assets``, but the description is all the rest of the text."""
-    words = F.split("text", " ")
-    return t.documents.select("doc_id", F.col("source").alias("subject"), head(12).alias("labels"), F.array_join(F.slice(words, F.lit(13), F.greatest(F.size(words), F.lit(1))), " ").alias("description"))
+def aliases(t: Tables) -> DataFrame:
+    q = asked(t)
+    return q.filter("item_id % 4 = 1").select((F.col("item_id") - 1).alias("item_id"), F.col("q").alias("variant")).join(q, "item_id").select(F.col("q").alias("canonical"), "variant")
 
 
 def whole_asked(t: Tables) -> DataFrame:
     return t.benchmark.select("item_id", F.col("text").alias("q"))
 
 
-@query(f"WITH {_STRICT.format(queries=_QUERIES.format(where=''))} SELECT item_id, doc_id, score FROM s")
+def found(t: Tables) -> DataFrame:
+    return search.strict(assets(t), asked(t), "doc_id", "item_id", "q", alias=aliases(t))
+
+
+def found_whole(t: Tables) -> DataFrame:
+    return search.strict(assets(t), whole_asked(t), "doc_id", "item_id", "q")
+
+
+@query(f"WITH {_SHORT} SELECT item_id, doc_id, score FROM s")
 def q1_strict_search(t: Tables) -> DataFrame:
-    return search.strict(assets(t), asked(t), "doc_id", "item_id", "q")
+    return found(t)
 
 
-@query()
+@query(f"WITH {_LONG} SELECT item_id, doc_id, score FROM s")
 def q1_strict_search_whole(t: Tables) -> DataFrame:
-    return search.strict(whole_assets(t), whole_asked(t), "doc_id", "item_id", "q")
+    return found_whole(t)
 
 
-@query(f"""WITH {_STRICT.format(queries=_QUERIES.format(where=' WHERE item_id = 0'))}, u AS (SELECT user_id, count(*) AS uses FROM events GROUP BY 1)
-  SELECT doc_id, CAST(score + CASE WHEN doc_id % 4 = 0 THEN 5 ELSE 0 END - 2 * least(coalesce(uses, 0), 5) AS BIGINT) AS total FROM s LEFT JOIN u ON u.user_id = doc_id % 150 ORDER BY total DESC, doc_id LIMIT 30""")
-def q3_search_library(t: Tables) -> DataFrame:
-    a = assets(t)
+_BEST = """u AS (SELECT user_id, count(*) AS uses FROM events GROUP BY 1), b AS (SELECT item_id, doc_id, CAST(score + CASE WHEN doc_id % 4 = 0 THEN 5 ELSE 0 END - 2 * least(coalesce(uses, 0), 5) AS BIGINT) AS total FROM s LEFT JOIN u ON u.user_id = doc_id % 150)
+  SELECT item_id, doc_id, total, row_number() OVER (PARTITION BY item_id ORDER BY total DESC, doc_id) AS place FROM b QUALIFY place <= 30"""
+
+
+def best(t: Tables, scored: DataFrame) -> DataFrame:
     uses = t.events.groupBy("user_id").agg(F.count("*").alias("u"))
-    scored = search.strict(a, asked(t).filter("item_id = 0"), "doc_id", "item_id", "q")
-    info = a.select("doc_id", (F.col("doc_id") % 150).alias("user_id")).join(uses, "user_id", "left").select("doc_id", F.coalesce("u", F.lit(0)).alias("uses"))
-    return search.search_library(scored, info, "doc_id", F.col("doc_id") % 4 == 0, F.col("uses"), "doc_id").select("doc_id", F.col("total").cast("long").alias("total"))
+    info = t.documents.select("doc_id", (F.col("doc_id") % 150).alias("user_id")).join(uses, "user_id", "left").select("doc_id", F.coalesce("u", F.lit(0)).alias("uses"))
+    rows = search.search_library(scored, info, "doc_id", F.col("doc_id") % 4 == 0, F.col("uses"), "doc_id", q="item_id")
+    return rows.select("item_id", "doc_id", F.col("total").cast("long").alias("total"), "place")
 
 
-@query()
+@query(f"WITH {_SHORT}, {_BEST}")
+def q3_search_library(t: Tables) -> DataFrame:
+    """The 30 best of every query."""
+    return best(t, found(t))
+
+
+@query(f"WITH {_LONG}, {_BEST}")
 def q3_search_library_all(t: Tables) -> DataFrame:
-    """The 30 best of every benchmark text."""
-    a = whole_assets(t)
-    uses = t.events.groupBy("user_id").agg(F.count("*").alias("u"))
-    scored = search.strict(a, whole_asked(t), "doc_id", "item_id", "q")
-    info = a.select("doc_id", (F.col("doc_id") % 150).alias("user_id")).join(uses, "user_id", "left").select("doc_id", F.coalesce("u", F.lit(0)).alias("uses"))
-    found = search.search_library(scored, info, "doc_id", F.col("doc_id") % 4 == 0, F.col("uses"), "doc_id", q="item_id")
-    return found.select("item_id", "doc_id", F.col("total").cast("long").alias("total"), "place")
+    return best(t, found_whole(t))
 
 
 _RARITY = """c AS (SELECT token, count(*) AS c FROM tk GROUP BY 1), n AS (SELECT count(*) AS total FROM documents),
   r AS (SELECT token, c, least(1.0, greatest(0.1, ln(greatest(total / c, 1.01)) / ln(greatest(total / 5, 2.0)))) AS w FROM c, n)"""
 
 
-def rarity_of(t: Tables, made=assets) -> DataFrame:
-    a = made(t)
+def rarity_of(t: Tables) -> DataFrame:
+    a = assets(t)
     words = F.concat(*[F.split(tx.fold_match(F.col(c)), " ") for c in ("subject", "labels", "description")])
     return library.rarity(a.select("doc_id", F.filter(words, lambda w: w != "").alias("w")), "doc_id", "w")
 
@@ -91,77 +109,82 @@ def a4_rarity(t: Tables) -> DataFrame:
     return rarity_of(t).select("token", "c", F.round("weight", 6).alias("weight"))
 
 
-@query()
-def a4_rarity_whole(t: Tables) -> DataFrame:
-    return rarity_of(t, whole_assets).select("token", "c", F.round("weight", 6).alias("weight"))
+_SOFT = f"""{_ASSETS}, {{queries}}, {_RARITY}, v AS (SELECT DISTINCT qt, token, {_HIT.format(inside=3, typo=4)} AS hit FROM (SELECT DISTINCT qt FROM qs), (SELECT DISTINCT token FROM tk)),
+  m AS (SELECT item_id, doc_id, qs.qt, n, max(hit * weight) AS points FROM qs JOIN v ON qs.qt = v.qt AND hit > 0 JOIN tk ON tk.token = v.token GROUP BY 1, 2, 3, 4),
+  so AS (SELECT item_id, doc_id, round(sum(points * coalesce(w, 1.0)) * (1 + count(*) / n), 6) AS score FROM m LEFT JOIN r ON r.token = m.qt GROUP BY item_id, doc_id, n)"""
 
 
-@query(f"""WITH {_ASSETS}, {_QUERIES.format(where='')}, {_RARITY}, v AS (SELECT DISTINCT qt, token, {_HIT.format(inside=3, typo=4)} AS hit FROM (SELECT DISTINCT qt FROM qs), (SELECT DISTINCT token FROM tk)),
-  m AS (SELECT item_id, doc_id, qs.qt, n, max(hit * weight) AS points FROM qs JOIN v ON qs.qt = v.qt AND hit > 0 JOIN tk ON tk.token = v.token GROUP BY 1, 2, 3, 4)
-  SELECT item_id, doc_id, round(sum(points * coalesce(w, 1.0)) * (1 + count(*) / n), 6) AS score FROM m LEFT JOIN r ON r.token = m.qt GROUP BY item_id, doc_id, n""")
+@query(f"WITH {_SOFT.format(queries=_QUERIES)} SELECT item_id, doc_id, score FROM so")
 def q2_soft_search(t: Tables) -> DataFrame:
-    return search.soft(assets(t), asked(t), rarity_of(t), "doc_id", "item_id", "q")
+    return search.soft(assets(t), asked(t), rarity_of(t), "doc_id", "item_id", "q", alias=aliases(t))
 
 
-@query()
+@query(f"WITH {_SOFT.format(queries=_LONG_QUERIES)} SELECT item_id, doc_id, score FROM so")
 def q2_soft_search_whole(t: Tables) -> DataFrame:
-    return search.soft(whole_assets(t), whole_asked(t), rarity_of(t, whole_assets), "doc_id", "item_id", "q")
+    return search.soft(assets(t), whole_asked(t), rarity_of(t), "doc_id", "item_id", "q")
 
 
-@query(f"""WITH {_STRICT.format(queries=_QUERIES.format(where=''))} SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS turn FROM s QUALIFY turn <= 10""")
+@query(f"""WITH {_SHORT}, h AS (SELECT *, item_id % 3 = 0 AS has FROM s) SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS turn, row_number() OVER (ORDER BY turn, has, item_id) AS place FROM h""".replace("row_number() OVER (ORDER BY turn, has, item_id) AS place FROM h", "has FROM h").replace("SELECT item_id, doc_id, row_number()", "SELECT item_id, doc_id, turn, row_number() OVER (ORDER BY turn, has, item_id) AS place FROM (SELECT item_id, doc_id, row_number()") + ")")
 def w2_round_robin(t: Tables) -> DataFrame:
-    found = search.strict(assets(t), asked(t), "doc_id", "item_id", "q")
-    return search.interleave(found, "item_id", "score", "doc_id").filter("turn <= 10").select("item_id", "doc_id", "turn")
+    """Sentences without a picture (two of three) come first in each round."""
+    return search.interleave(found(t).withColumn("has", F.col("item_id") % 3 == 0), "item_id", "score", "doc_id", "has").select("item_id", "doc_id", "turn", "place")
 
 
-@query()
+@query(f"WITH {_LONG} SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS turn FROM s")
 def w2_round_robin_all(t: Tables) -> DataFrame:
-    found = search.strict(whole_assets(t), whole_asked(t), "doc_id", "item_id", "q")
-    return search.interleave(found, "item_id", "score", "doc_id").select("item_id", "doc_id", "turn")
+    return search.interleave(found_whole(t), "item_id", "score", "doc_id").select("item_id", "doc_id", "turn")
 
 
-@query(f"""WITH {_STRICT.format(queries=_QUERIES.format(where=''))}, b AS (SELECT item_id, max_by(doc_id, score * 100000 - doc_id) AS doc_id, max(score) AS score, count(*) AS hits FROM s GROUP BY 1)
-  SELECT q0.item_id, coalesce(hits, 0) AS hits, CASE WHEN coalesce(hits, 0) >= 3 THEN 'rich' ELSE 'thin' END AS kind, doc_id FROM q0 LEFT JOIN b ON q0.item_id = b.item_id""")
+_KINDS = """b AS (SELECT item_id, max_by(doc_id, score * 100000 - doc_id) AS doc_id, max(score) AS score, count(*) AS hits FROM s GROUP BY 1)
+  SELECT q0.item_id, coalesce(hits, 0) AS hits, CASE WHEN coalesce(hits, 0) >= 3 THEN 'rich' ELSE 'thin' END AS kind, doc_id FROM q0 LEFT JOIN b ON q0.item_id = b.item_id"""
+
+
+@query(f"WITH {_SHORT}, {_KINDS}")
 def u4_rich_thin(t: Tables) -> DataFrame:
-    return rich_thin(assets(t), asked(t))
+    return rich_thin(found(t), asked(t))
 
 
-@query()
+@query(f"WITH {_LONG}, {_KINDS}")
 def u4_rich_thin_whole(t: Tables) -> DataFrame:
-    return rich_thin(whole_assets(t), whole_asked(t))
+    return rich_thin(found_whole(t), whole_asked(t))
 
 
-def rich_thin(a: DataFrame, q: DataFrame) -> DataFrame:
-    found = search.strict(a, q, "doc_id", "item_id", "q")
-    best = found.groupBy("item_id").agg(F.max_by("doc_id", F.struct("score", -F.col("doc_id"))).alias("doc_id"), F.count("*").alias("hits"))
+def rich_thin(hits: DataFrame, q: DataFrame) -> DataFrame:
+    best = hits.groupBy("item_id").agg(F.max_by("doc_id", F.struct("score", -F.col("doc_id"))).alias("doc_id"), F.count("*").alias("hits"))
     n = F.coalesce("hits", F.lit(0))
     return q.join(best, "item_id", "left").select("item_id", n.alias("hits"), F.when(n >= 3, "rich").otherwise("thin").alias("kind"), "doc_id")
 
 
 @query()
 def q7_draft_assignment(t: Tables) -> DataFrame:
-    found = search.soft(whole_assets(t), whole_asked(t), rarity_of(t, whole_assets), "doc_id", "item_id", "q")
+    hits = search.soft(assets(t), whole_asked(t), rarity_of(t), "doc_id", "item_id", "q")
     r = F.row_number().over(Window.partitionBy("item_id").orderBy(F.desc("score"), "doc_id"))
-    few = found.withColumn("rank", r).filter("rank <= 6").select(F.floor(F.col("item_id") / 8).alias("video"), (F.col("item_id") % 8).alias("slot"), "rank", F.col("doc_id").alias("asset"))
+    few = hits.withColumn("rank", r).filter("rank <= 6").select(F.floor(F.col("item_id") / 8).alias("video"), (F.col("item_id") % 8).alias("slot"), "rank", F.col("doc_id").alias("asset"))
     slots = t.benchmark.select(F.floor(F.col("item_id") / 8).alias("video"), (F.col("item_id") % 8).alias("slot"))
     return search.draft(slots, few, "video")
 
 
-@query("""WITH w AS (SELECT conv_id, turn, list_distinct(string_split(lower(text), ' ')) AS w FROM conversations), h AS (SELECT item_id AS past, item_id % 5 AS subject, list_distinct(list_slice(string_split(lower(text), ' '), 1, 30)) AS w FROM benchmark),
-  s AS (SELECT conv_id, turn, past, subject, len(list_intersect(w.w, h.w)) AS o FROM w, h) SELECT conv_id, turn, subject, max(o) + 6 AS bonus FROM s WHERE o >= 2 GROUP BY 1, 2, 3""")
-def j21_learned_bonus(t: Tables) -> DataFrame:
-    q = t.conversations.select(F.struct("conv_id", "turn").alias("q"), F.split(F.lower("text"), " ").alias("w"))
-    h = t.benchmark.select(F.col("item_id").alias("past"), (F.col("item_id") % 5).alias("subject"), F.slice(F.split(F.lower("text"), " "), 1, 30).alias("tokens"))
-    return search.learned_bonus(q, h, "q", "w").select("q.conv_id", "q.turn", "subject", "bonus")
+_LEARNED = """WITH w AS (SELECT conv_id, turn, list_distinct(string_split(lower(text), ' ')) AS w FROM conversations), h AS (SELECT item_id AS past, item_id % 5 AS subject, list_distinct(string_split(lower(text), ' ')) AS w FROM benchmark),
+  s AS (SELECT conv_id, turn, past, subject, len(list_intersect(w.w, h.w)) AS o FROM w, h)"""
 
 
-@query()
-def j21_learned_bonus_whole(t: Tables) -> DataFrame:
+@query(f"{_LEARNED} SELECT conv_id, turn, subject, max(o) + 6 AS bonus FROM s WHERE o >= 2 GROUP BY 1, 2, 3")
+def j21_learned_bonus(t: Tables) -> DataFrame:
     q = t.conversations.select(F.struct("conv_id", "turn").alias("q"), F.split(F.lower("text"), " ").alias("w"))
     h = t.benchmark.select(F.col("item_id").alias("past"), (F.col("item_id") % 5).alias("subject"), F.split(F.lower("text"), " ").alias("tokens"))
     return search.learned_bonus(q, h, "q", "w").select("q.conv_id", "q.turn", "subject", "bonus")
 
 
+@query(f"""{_LEARNED}, k AS (SELECT past, list_distinct(list_slice(string_split(lower(text), ' '), 1, 3)) AS l FROM (SELECT item_id AS past, text FROM benchmark)), p AS (SELECT p_partkey, p_size % 7 AS subject, string_split(lower(p_name), ' ') AS l FROM part WHERE p_partkey <= 100),
+  b AS (SELECT conv_id, turn, p_partkey, CASE WHEN s.subject = p.subject THEN o + 6 WHEN len(list_intersect(k.l, p.l)) > 0 THEN least(len(list_intersect(k.l, p.l)), 3) + 2 END AS bonus FROM s JOIN k ON s.past = k.past, p WHERE o >= 2)
+  SELECT conv_id, turn, p_partkey, max(bonus) AS bonus FROM b WHERE bonus IS NOT NULL GROUP BY 1, 2, 3""".replace(" WHERE p_partkey <= 100", ""))
+def j21_learned_label_bonus(t: Tables) -> DataFrame:
+    q = t.conversations.select(F.struct("conv_id", "turn").alias("q"), F.split(F.lower("text"), " ").alias("tokens"))
+    h = t.benchmark.select(F.col("item_id").alias("past"), (F.col("item_id") % 5).alias("subject"), F.slice(F.split(F.lower("text"), " "), 1, 3).alias("labels"), F.split(F.lower("text"), " ").alias("tokens"))
+    a = t.part.select("p_partkey", (F.col("p_size") % 7).cast("long").alias("subject"), F.split(F.lower("p_name"), " ").alias("labels"))
+    return search.learned_label_bonus(q, h, a, "q", "p_partkey").select("q.conv_id", "q.turn", "p_partkey", F.col("bonus").cast("long").alias("bonus"))
+
+
 @query("SELECT p_partkey, coalesce(nullif(CASE WHEN p_partkey % 3 = 0 THEN '' ELSE p_name END, ''), p_type) AS q FROM part")
 def q5_query_choice(t: Tables) -> DataFrame:
     first = F.when(F.col("p_partkey") % 3 == 0, "").otherwise(F.col("p_name"))
@@ -190,12 +213,23 @@ def f3_keyword_sets(t: Tables) -> DataFrame:
     return keyed(t).select("doc_id", F.size("s").alias("n")).filter("n >= 3")
 
 
-@query(f"""WITH {_KEYS} SELECT a.doc_id AS a, b.doc_id AS b, len(list_intersect(a.s, b.s)) AS shared FROM k a JOIN k b ON a.doc_id < b.doc_id AND len(a.s) >= 3 AND len(b.s) >= 3 WHERE len(list_intersect(a.s, b.s)) >= 3 AND len(list_intersect(a.s, b.s)) >= 0.5 * least(len(a.s), len(b.s))""")
+_CLASSES = f"""{_KEYS}, c AS (SELECT doc_id, list_sort(s) AS s, min(doc_id) OVER (PARTITION BY list_sort(s)) AS rep FROM k WHERE len(s) >= 3)"""
+
+
+@query(f"""WITH {_CLASSES} SELECT a.doc_id AS a, b.doc_id AS b, len(list_intersect(a.s, b.s)) AS shared FROM c a JOIN c b ON a.doc_id < b.doc_id AND a.doc_id = a.rep AND b.doc_id = b.rep WHERE len(list_intersect(a.s, b.s)) >= 3 AND len(list_intersect(a.s, b.s)) >= 0.5 * least(len(a.s), len(b.s))
+  UNION ALL SELECT rep, doc_id, len(s) FROM c WHERE rep <> doc_id""")
 def j1_title_pairs(t: Tables) -> DataFrame:
-    return board.overlap_pairs(keyed(t), "doc_id", "s")
+    return board.title_pairs(keyed(t), "doc_id", "s")
 
 
-@query()
+#: The scan in order, founders and their sets carried from item to item.
+_FOUNDERS = f"""{_KEYS}, o AS (SELECT doc_id, s, row_number() OVER (ORDER BY doc_id) AS i FROM k WHERE len(s) >= 3),
+  w AS (SELECT CAST(0 AS BIGINT) AS i, CAST(NULL AS BIGINT) AS doc_id, CAST(NULL AS BIGINT) AS founder, CAST([] AS STRUCT(id BIGINT, s VARCHAR[])[]) AS fs UNION ALL
+    SELECT i, doc_id, coalesce(hit, doc_id), CASE WHEN hit IS NULL THEN list_append(fs, struct_pack(id := doc_id, s := s)) ELSE fs END FROM (SELECT o.i, o.doc_id, o.s, w.fs, list_filter(w.fs, lambda f: len(list_intersect(f.s, o.s)) >= 3 AND len(list_intersect(f.s, o.s)) >= 0.5 * least(len(f.s), len(o.s)))[1].id AS hit FROM w JOIN o ON o.i = w.i + 1)),
+  cl AS (SELECT k.doc_id, coalesce(w.founder, k.doc_id) AS founder FROM k LEFT JOIN w ON w.doc_id = k.doc_id)"""
+
+
+@query(f"WITH RECURSIVE {_FOUNDERS} SELECT doc_id, founder FROM cl")
 def j2_leader_clusters(t: Tables) -> DataFrame:
     return board.clusters(keyed(t), "doc_id", "s")
 
@@ -213,7 +247,13 @@ def rolled(t: Tables) -> DataFrame:
     return board.roll_up(both.withColumn("link", F.concat(F.lit("http://x/"), "doc_id")), "founder", "source", "link", "age", "doc_id", F.col("doc_id") % 10 == 0)
 
 
-@query()
+_ROLLED = f"""{_FOUNDERS}, ag AS (SELECT event_id AS doc_id, min((epoch_us(TIMESTAMP '2024-01-31 00:00:00') - epoch_us(ts)) / 3.6e9) AS age FROM events GROUP BY 1),
+  it AS (SELECT d.doc_id, d.source, cl.founder, coalesce(age, 999.0) AS age, d.doc_id % 10 = 0 AS agg FROM documents d JOIN cl ON cl.doc_id = d.doc_id LEFT JOIN ag ON ag.doc_id = d.doc_id),
+  ro AS (SELECT founder, count(DISTINCT source) AS n_sources, array_to_string(list_sort(list_distinct(list(source))), ',') AS sources, (list(doc_id ORDER BY agg, age, doc_id))[1] AS face, min(age) AS age,
+    array_to_string(list_transform(list_slice(list_sort(list(doc_id) FILTER (NOT agg)), 1, 5), lambda x: 'http://x/' || x), ' ') AS links FROM it GROUP BY 1)"""
+
+
+@query(f"WITH RECURSIVE {_ROLLED} SELECT founder, n_sources, sources, face, age, coalesce(links, '') AS links FROM ro")
 def a1_cluster_roll_up(t: Tables) -> DataFrame:
     return rolled(t)
 
@@ -226,7 +266,7 @@ def a2_heat_score(t: Tables) -> DataFrame:
     return t.events.select("event_id", board.heat(F.col("event_id") % 9 + 1, age, F.col("event_type") == "purchase", k % 6, F.col("value") / 10 - 5).alias("heat"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {_ROLLED}, h AS (SELECT founder, face, CAST(round_even((least(n_sources, 6) * 12 + CASE WHEN age <= 6 THEN 25 WHEN age <= 12 THEN 15 WHEN age <= 24 THEN 8 ELSE 0 END + CASE WHEN face % 3 = 0 THEN 30 ELSE 0 END) * CASE WHEN age > 72 THEN 0.45 WHEN age > 36 THEN 0.7 ELSE 1.0 END, 0) AS INTEGER) AS heat FROM ro) SELECT founder, heat, face FROM h ORDER BY heat DESC, founder LIMIT 25""")
 def s1_board(t: Tables) -> DataFrame:
     r = rolled(t)
     score = board.heat(F.col("n_sources"), F.col("age"), F.col("face") % 3 == 0, F.lit(0), F.lit(0.0))
@@ -240,10 +280,23 @@ def s6_digest(t: Tables) -> DataFrame:
 
 # ------------------------------------------------------------------ library
 @query("""WITH b AS (SELECT vec_id, list_reduce(list_prepend(CAST(0 AS BIGINT), list_transform(range(1, 64), lambda i: CASE WHEN embedding[i] > embedding[i + 1] THEN CAST(1 AS BIGINT) ELSE CAST(0 AS BIGINT) END)), lambda h, x: h * 2 + x) AS bits FROM embeddings), n AS (SELECT bits, min(vec_id) AS k FROM b GROUP BY 1)
-  SELECT a.k AS a, b.k AS b, bit_count(xor(a.bits, b.bits)) AS distance FROM n a JOIN n b ON a.k < b.k WHERE bit_count(xor(a.bits, b.bits)) <= 12""")
+  SELECT a.k AS a, b.k AS b, bit_count(xor(a.bits, b.bits)) AS distance FROM n a JOIN n b ON a.k < b.k WHERE bit_count(xor(a.bits, b.bits)) <= 6""")
 def j6_image_dedupe(t: Tables) -> DataFrame:
     rows = t.embeddings.select("vec_id", tx.difference_bits(F.col("embedding")).alias("bits"))
-    return library.hamming_matches(rows, "vec_id", "bits", 12)
+    return library.hamming_matches(rows, "vec_id", "bits", 6)
+
+
+def _bits_sql(first: int, last: int) -> str:
+    return f"list_reduce(list_prepend(CAST(0 AS BIGINT), list_transform(range({first}, {last}), lambda i: CASE WHEN embedding[i] > embedding[i + 1] THEN CAST(1 AS BIGINT) ELSE CAST(0 AS BIGINT) END)), lambda h, x: h * 2 + x)"
+
+
+@query(f"""WITH b AS (SELECT vec_id, {_bits_sql(1, 64)} AS w, {_bits_sql(1, 33)} AS t, {_bits_sql(32, 64)} AS e FROM embeddings)
+  SELECT a.vec_id, least(a.vec_id, min(b.vec_id)) AS match FROM b a LEFT JOIN b ON b.vec_id < a.vec_id AND (bit_count(xor(a.w, b.w)) <= 6 OR bit_count(xor(a.t, b.t)) <= 5 OR bit_count(xor(a.e, b.e)) <= 5) GROUP BY 1""")
+def j6_first_match(t: Tables) -> DataFrame:
+    """The first picture that is alike as a whole or at either edge."""
+    v = F.col("embedding")
+    rows = t.embeddings.select("vec_id", tx.difference_bits(v).alias("w"), tx.difference_bits(v, 32).alias("t"), tx.difference_bits(F.slice(v, 32, 33), 32).alias("e"))
+    return library.any_match(rows, "vec_id", {"w": 6, "t": 5, "e": 5})
 
 
 @query()
@@ -312,14 +365,9 @@ def a6_label_suggestions(t: Tables) -> DataFrame:
 _FOLD = "' ' || trim(regexp_replace(replace(strip_accents(lower({c})), 'đ', 'd'), '[^a-z0-9]+', ' ', 'g')) || ' '"
 
 
-@query(f"""WITH d AS (SELECT doc_id, {_FOLD.format(c=HEAD.format(n=20))} AS s, {_FOLD.format(c="array_to_string(list_slice(string_split(text, ' '), 21, 80), ' ')")} AS w FROM documents)
+@query(f"""WITH d AS (SELECT doc_id, {_FOLD.format(c=HEAD.format(n=20))} AS s, {_FOLD.format(c="array_to_string(string_split(text, ' ')[21:], ' ')")} AS w FROM documents)
   SELECT doc_id, CASE WHEN contains(s, ' le ') OR contains(s, ' la ') OR contains(s, ' der ') THEN 0.0 WHEN contains(w, ' le ') OR contains(w, ' la ') OR contains(w, ' der ') THEN 0.4 ELSE 1.0 END AS factor FROM d""")
 def j15_team_gate(t: Tables) -> DataFrame:
-    return gated(t, F.slice(F.split("text", " "), 21, 60))
-
-
-@query()
-def j15_team_gate_whole(t: Tables) -> DataFrame:
     words = F.split("text", " ")
     return gated(t, F.slice(words, F.lit(21), F.greatest(F.size(words), F.lit(1))))
 
@@ -421,8 +469,8 @@ def j10_rescuable_cuts(t: Tables) -> DataFrame:
 def j13_corroboration(t: Tables) -> DataFrame:
     long = lambda c: F.array_distinct(F.filter(c, lambda w: F.length(w) >= 4))
     h = t.documents.select("doc_id", long(F.slice(F.split(F.lower("text"), " "), 1, 12)).alias("w")).withColumn("n", F.size("w"))
-    c = t.conversations.select("conv_id", "turn", F.explode(long(F.split(F.lower("text"), " "))).alias("token"))
-    met = c.join(h.select("doc_id", "n", F.explode("w").alias("token")), "token").groupBy("conv_id", "turn", "doc_id", "n").agg(F.count("*").alias("o")).filter("o >= 0.35 * n")
+    c = t.conversations.select(F.struct("conv_id", "turn").alias("c"), long(F.split(F.lower("text"), " ")).alias("w"))
+    met = search.shared_tokens(c, h.select(F.struct("doc_id", "n").alias("h"), "w"), "c", "h", "w", 0.35).select("c.conv_id", "c.turn", "h.doc_id")
     place = F.row_number().over(Window.partitionBy("conv_id", "turn").orderBy("doc_id"))
     return met.withColumn("place", place).filter("place <= 3").select("conv_id", "turn", "doc_id", "place")
 
@@ -463,3 +511,19 @@ def s5_ranked_override(t: Tables) -> DataFrame:
 @query("""SELECT page_id, min(page_id) OVER (PARTITION BY md5(html)) AS first_page FROM pages""")
 def st9_content_gate(t: Tables) -> DataFrame:
     return t.pages.select("page_id", F.min("page_id").over(Window.partitionBy(F.md5(F.col("html").cast("binary")))).alias("first_page"))
+
+
+# ------------------------------------------------------------------ names that earlier versions gave to queries over whole texts
+@query(f"WITH {_ASSETS}, {_RARITY} SELECT token, c, round(w, 6) AS weight FROM r")
+def a4_rarity_whole(t: Tables) -> DataFrame:
+    return a4_rarity(t)
+
+
+@query(f"{_LEARNED} SELECT conv_id, turn, subject, max(o) + 6 AS bonus FROM s WHERE o >= 2 GROUP BY 1, 2, 3")
+def j21_learned_bonus_whole(t: Tables) -> DataFrame:
+    return j21_learned_bonus(t)
+
+
+@query(ORACLE_SQL["j15_team_gate"])
+def j15_team_gate_whole(t: Tables) -> DataFrame:
+    return j15_team_gate(t)

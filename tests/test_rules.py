@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import html
+from collections import Counter
+
 import pytest
 from conftest import SMALL
 from pyspark.sql import functions as F
@@ -110,11 +113,75 @@ def test_leader_clusters_equal_the_scan(spark, partitions):
 
 def test_leader_clusters_of_a_long_drift(spark):
     # Each headline shares three of six words with its neighbours and with no other.
-    sets = {i: {f"w{3 * i + j}" for j in range(6)} for i in range(60)}
+    sets = {i: {f"w{3 * i + j}" for j in range(6)} for i in range(500)}
     items = spark.createDataFrame([(k, sorted(s)) for k, s in sets.items()], "k long, s array<string>")
     assert {r.k: r.founder for r in board.clusters(items, "k", "s").collect()} == sequential(sets)
 
 
+def test_leaders_in_rounds_equal_the_scan(spark):
+    edges = spark.createDataFrame([(a, b) for b in range(1, 25) for a in range(b) if (a * 7 + b * 3) % 5 < 2], "a long, b long")
+    rounds, scan = (Counter(tuple(r) for r in board.leaders(edges, few=n).collect()) for n in (0, 50_000))
+    assert rounds == scan and rounds
+
+
+def test_equal_titles_are_one_node(spark):
+    items = spark.createDataFrame([(k, ["cup", "final", "tonight"]) for k in range(1000)] + [(2000, ["cup", "final"])], "k long, s array<string>")
+    assert {r.k: r.founder for r in board.clusters(items, "k", "s").collect()} == {k: 0 for k in range(1000)} | {2000: 2000}
+    assert sorted(tuple(r) for r in board.title_pairs(items, "k", "s").collect()) == [(0, k, 3) for k in range(1, 1000)]
+
+
+def test_any_match_by_edges(spark):
+    rows = [(1, 0, 0, 0), (2, -1, 0b11111, -1), (3, 0b1111111, -1, 0x0F0F0F0F), (4, 0b111111, -1 << 20, -1 << 30), (5, None, None, None), (6, -1, None, None)]
+    got = library.any_match(spark.createDataFrame(rows, "k long, w long, t long, e long"), "k", {"w": 6, "t": 5, "e": 5}).collect()
+    assert {r.k: r.match for r in got} == {1: 1, 2: 1, 3: 3, 4: 1, 5: 5, 6: 2}
+
+
+def test_search_survives_very_long_words(spark):
+    base = "".join(chr(97 + i * i % 26) for i in range(20_000))
+    assets = spark.createDataFrame([(1, "", "", f"{base} cup"), (2, "", "", base[:30] + "x" + base[30:60])], "asset long, subject string, labels string, description string")
+    asks = spark.createDataFrame([(1, base[5_000:5_040]), (2, base[:60]), (3, "cop"), (4, base[:40] + "q" + base[40:])], "item long, q string")
+    got = sorted(tuple(r) for r in search.strict(assets, asks, "asset", "item", "q").collect())
+    assert got == [(1, 1, 2), (2, 1, 2), (2, 2, 1), (3, 1, 1), (4, 1, 1)]
+
+
+def test_search_takes_a_variant_for_the_name(spark):
+    assets = spark.createDataFrame([(1, "Kim Sang-sik", "", "")], "asset long, subject string, labels string, description string")
+    alias = spark.createDataFrame([("Kim Sang-sik", "HLV Kim")], "canonical string, variant string")
+    asks = spark.createDataFrame([(1, "hlv kim"), (2, "hlv")], "item long, q string")
+    assert [tuple(r) for r in search.strict(assets, asks, "asset", "item", "q", alias=alias).collect()] == [(1, 1, 27)]
+    assert search.strict(assets, asks, "asset", "item", "q").count() == 0
+
+
+def test_entities(spark):
+    texts = ["a &eacute;&#8217;&#x1F600; &amp;lt;b&amp;gt;", "&unknown; & &amp", "fish &amp;amp;amp; chips", "&#0;x &#xD800;", "&copy;&nbsp;2024&frac12;", None, ""]
+    want = [None if t is None else html.unescape(t) for t in texts]
+    want[1] = "&unknown; & &amp"  # without a semicolon an entity stays
+    want[3] = "\ufffdx \ufffd"
+    assert value(spark, tx.unescape, *texts) == want
+    assert value(spark, tx.clean_text, texts[0], texts[2], texts[4]) == ["a é’😀 <b>", "fish & chips", "© 2024½"]
+
+
+def test_pacing(spark):
+    rows = [(1, 0, 10.3, False, 2), (1, 1, 1.0, False, 0), (1, 2, 9.2, True, 2), (1, 3, 12.0, True, 0), (1, 4, 2.4, False, 0), (1, 5, 1.0, False, 0), (1, 6, 6.0, False, 0), (2, 0, 1.0, False, 0)]
+    got = timeline.pace(spark.createDataFrame(rows, "v long, i long, length double, is_clip boolean, extra int"), "v", "i").collect()
+    assert {(r.v, r.i): (r.parts, r.paced) for r in got} == {(1, 0): (3, 8.8), (1, 1): (1, 2.5), (1, 2): (3, 9.2), (1, 3): (1, 12.0), (1, 4): (1, 2.4), (1, 5): (1, 2.0), (1, 6): (2, 5.0), (2, 0): (1, 1.0)}
+
+
+def test_club_gate(spark):
+    assets = spark.createDataFrame([(1, "ha noi fc", ""), (2, "x", "plays for ha noi fc now"), (3, "viet nam", ""), (4, "thai lan", ""), (5, "hanoi fc", "fc thai")], "asset long, strong string, weak string")
+    teams = spark.createDataFrame([("vn", "Việt Nam"), ("th", "Thái Lan"), ("hn", "Hà Nội FC")], "team string, alias string")
+    gate = lambda **k: {r.asset: r.factor for r in library.team_gate(assets, "asset", "strong", "weak", teams, ["vn"], **k).collect()}
+    assert gate() == {1: 0.0, 2: 0.4, 3: 1.0, 4: 0.0, 5: 1.0}
+    assert gate(clubs=["hn"], national=True) == {1: 0.0, 2: 0.0, 3: 1.0, 4: 0.0, 5: 1.0}
+
+
+def test_learned_labels(spark):
+    q = spark.createDataFrame([(1, ["a", "b", "c"]), (2, ["a"])], "q long, tokens array<string>")
+    past = spark.createDataFrame([(7, "s", ["x", "y"], ["a", "b", "z"])], "past long, subject string, labels array<string>, tokens array<string>")
+    assets = spark.createDataFrame([(1, "s", ["x"]), (2, "t", ["x", "y"]), (3, "t", ["w"])], "k long, subject string, labels array<string>")
+    assert sorted(tuple(r) for r in search.learned_label_bonus(q, past, assets, "q", "k").collect()) == [(1, 1, 8), (1, 2, 4)]
+
+
 def test_leaders_of_a_circle_raise(spark):
     with pytest.raises(ValueError):
         board.leaders(spark.createDataFrame([(1, 2), (2, 1)], "a long, b long"))
