@@ -1,7 +1,7 @@
 """Exact top-k inner products by dual cover-tree search.
 
-Vectors are dealt into cells around a bounded number of centres, queries into groups by
-the same centres. A first pass searches each query's own cell for a floor of its kth
+Vectors are dealt into cells around a bounded number of centres, one a block of them at
+most, and queries into groups around one centre a group. A first pass searches each query's own cell for a floor of its kth
 score. For a group and a cell (and for nodes of their trees) with centres q and r and
 covering radii, no inner product below them exceeds q.r + R_q |r| + R_r |q| + R_q R_r;
 cells that cannot reach the worst floor of a group are never dealt to it. Each task
@@ -35,8 +35,8 @@ def cover_tree(x: np.ndarray, rows: np.ndarray, leaf: int = 48, base: float = 1.
     """A cover tree: a node of level i covers its points within base**i, its children,
     itself among them, stand more than base**(i - 1) apart and cover the points within
     that distance. Levels at which a node would only have itself below it are left out.
-    Nodes with few points are leaves; children that cover nothing but themselves are
-    gathered in one leaf of their parent."""
+    Nodes with few points are leaves; children that cover fewer points than a leaf holds
+    are gathered in leaves of their parent, for a product costs less than their bounds."""
     own = rows[0] if centre is None else centre
     d = x[rows] - x[own]
     radius = float(np.sqrt(np.einsum("ij,ij->i", d, d).max()))
@@ -53,11 +53,11 @@ def cover_tree(x: np.ndarray, rows: np.ndarray, leaf: int = 48, base: float = 1.
         inside = np.einsum("ij,ij->i", d, d) <= reach * reach
         inside |= rest == nearest
         members = rest[inside]
-        (groups if len(members) > 1 else alone).append((nearest, members))
+        (groups if len(members) >= leaf else alone).append((nearest, members))
         rest = rest[~inside]
         nearest = rest[0] if len(rest) else -1
     children = [cover_tree(x, m, leaf, base, c) for c, m in groups]
-    single = np.asarray([m[0] for _, m in alone], np.int64)
+    single = np.concatenate([m for _, m in alone]) if alone else np.zeros(0, np.int64)
     for at in range(0, len(single), 512):
         part = single[at : at + 512]
         d = x[part] - x[own]
@@ -154,11 +154,14 @@ def top_k(rows: DataFrame, every: int = 100, k: int = 10, scale: float = 1024.0,
     # Numbered as they are written: once, whatever is read again later.
     good = as_table(rows.filter(sound).select(F.monotonically_increasing_id().alias("row"), F.col(key).cast("long").alias("id"), F.col(vector).alias("v")), "top-vectors")
     number = F.xxhash64("row")
-    drawn = good.groupBy(F.size("v").alias("d"), F.pmod(number, F.lit(centres)).alias("part")).agg(F.min_by("v", F.struct(number, "row")).alias("v")).select("d", "v").collect()
-    middle: dict[int, np.ndarray] = {}
+    asked = F.pmod("id", F.lit(every)) == 0
+    drawn = good.groupBy(F.size("v").alias("d"), F.pmod(number, F.lit(centres)).alias("part")).agg(F.min_by("v", F.struct(number, "row")).alias("v"), F.count("*").alias("n"), F.count_if(asked).alias("asked")).collect()
+    middle: dict[int, tuple[np.ndarray, np.ndarray]] = {}
     for d in {r["d"] for r in drawn}:
-        own = [r["v"] for r in drawn if r["d"] == d]
-        middle[d] = np.unique(np.floor(scale * np.asarray(own, np.float64)), axis=0) if d else np.zeros((1, 0))
+        own = sorted((r for r in drawn if r["d"] == d), key=lambda r: r["part"])
+        whole = np.floor(scale * np.asarray([r["v"] for r in own], np.float64)).reshape(len(own), d)
+        whole = whole[np.sort(np.unique(whole, axis=0, return_index=True)[1])] if d else whole[:1]
+        middle[d] = tuple(whole[: max(1, -(-sum(r[c] for r in own) // size))] for c, size in (("n", block), ("asked", queries)))
     shared = spark.sparkContext.broadcast(middle)
 
     def assign(batches):
@@ -166,16 +169,23 @@ def top_k(rows: DataFrame, every: int = 100, k: int = 10, scale: float = 1024.0,
             size = pc.list_value_length(batch.column(2)).to_numpy(zero_copy_only=False)
             for d in np.unique(size).tolist():
                 part = batch.take(pa.array(np.flatnonzero(size == d)))
-                cell, far = _distances(_whole(part.column(2), d, scale), shared.value[d])
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(cell), d, np.int32)), pa.array(cell), pa.array(far), *part.columns], ["d", "cell", "far", "row", "id", "v"])
-
-    schema = T.StructType([T.StructField("d", T.IntegerType()), T.StructField("cell", T.LongType()), T.StructField("far", T.DoubleType()), *good.schema.fields])
+                cells, homes = shared.value[d]
+                x = _whole(part.column(2), d, scale)
+                cell, radius = _distances(x, cells)
+                home, far = np.full(len(x), -1), np.zeros(len(x))
+                if len(at := np.flatnonzero(part.column(1).to_numpy() % every == 0)):
+                    home[at], far[at] = _distances(x[at], homes)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(cell), d, np.int32)), *map(pa.array, (cell, radius, home, far)), *part.columns], ["d", "cell", "radius", "home", "far", "row", "id", "v"])
+
+    schema = T.StructType([T.StructField("d", T.IntegerType()), T.StructField("cell", T.LongType()), T.StructField("radius", T.DoubleType()), T.StructField("home", T.LongType()), T.StructField("far", T.DoubleType()), *good.schema.fields])
     near = as_table(good.mapInArrow(assign, schema), "top-cells")
-    asked = F.pmod("id", F.lit(every)) == 0
-    cells = near.groupBy("d", "cell").agg(F.max("far").alias("radius"), F.ceil(F.count("*") / block).cast("int").alias("blocks"), F.greatest(F.lit(1), F.ceil(F.count_if(asked) / queries).cast("int")).alias("groups"))
+    parts = F.greatest(F.lit(1), F.ceil(F.count_if(asked) / queries)).cast("int")
+    cells = near.groupBy("d", "cell").agg(F.max("radius").alias("radius"), F.ceil(F.count("*") / block).cast("int").alias("blocks"), parts.alias("parts"))
     cells = as_table(cells, "top-cell-sizes")
-    data = near.join(cells.select("d", "cell", "blocks"), ["d", "cell"]).select("d", "cell", F.pmod(number, F.col("blocks")).cast("int").alias("b"), "row", "id", "v")
-    asks = near.filter(asked).join(cells.select("d", "cell", "groups"), ["d", "cell"]).select("d", F.col("cell").alias("home"), F.pmod(F.xxhash64("row", F.lit("q")), F.col("groups")).cast("int").alias("g"), "far", "row", "id", "v")
+    homes = near.filter(asked).groupBy("d", "home").agg(parts.alias("groups"))
+    data = near.join(cells.select("d", "cell", "blocks", "parts"), ["d", "cell"]).select("d", "cell", F.pmod(number, F.col("blocks")).cast("int").alias("b"), "parts", "row", "id", "v")
+    dealt = F.xxhash64("row", F.lit("q"))
+    asks = near.filter(asked).join(homes, ["d", "home"]).select("d", "cell", "home", F.pmod(dealt, F.col("groups")).cast("int").alias("g"), "far", "row", "id", "v")
 
     def search(x: pa.Table, q: pa.Table) -> pa.Table:
         if not x.num_rows or not q.num_rows:
@@ -188,27 +198,28 @@ def top_k(rows: DataFrame, every: int = 100, k: int = 10, scale: float = 1024.0,
 
     hits = "row long, query_id long, vec_id long, score long"
     # The floor: the kth score among one block of the query's own cell.
-    home = asks.select(*[F.col(c).alias(c) for c in ("d", "row", "id", "v")], F.col("home").alias("cell"), F.lit(float("-inf")).alias("floor"))
-    first = data.filter("b = 0").groupBy("d", "cell").cogroup(home.groupBy("d", "cell")).applyInArrow(search, hits)
+    home = asks.join(cells.select("d", "cell", "parts"), ["d", "cell"]).select(*[F.col(c).alias(c) for c in ("d", "cell", "row", "id", "v")], F.pmod(dealt, F.col("parts")).cast("int").alias("p"), F.lit(float("-inf")).alias("floor"))
+    sample = data.filter("b = 0").withColumn("p", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    first = sample.groupBy("d", "cell", "p").cogroup(home.groupBy("d", "cell", "p")).applyInArrow(search, hits)
     floors = as_table(first.groupBy("row").agg(F.min("score").cast("double").alias("floor"), F.count("*").alias("n")).filter(F.col("n") >= k).select("row", "floor"), "top-floors")
-    asks = as_table(asks.join(floors, "row", "left").withColumn("floor", F.coalesce("floor", F.lit(float("-inf")))), "top-queries")
+    asks = as_table(asks.drop("cell").join(floors, "row", "left").withColumn("floor", F.coalesce("floor", F.lit(float("-inf")))), "top-queries")
     radii = {(r["d"], r["cell"]): r["radius"] for r in cells.select("d", "cell", "radius").collect()}  # one row a centre
 
     def reachable(batches):
         for batch in batches:
             out = []
             for d, h, g, far, floor in zip(*(c.to_pylist() for c in batch.columns)):
-                own = shared.value[d]
+                own, centre = shared.value[d][0], shared.value[d][1][h]
                 radius = np.asarray([radii.get((d, c), -1.0) for c in range(len(own))])
                 norm = np.sqrt(np.einsum("ij,ij->i", own, own))
-                most = _most(own @ own[h], far, norm[h], np.maximum(radius, 0), norm)
+                most = _most(own @ centre, far, np.sqrt(centre @ centre), np.maximum(radius, 0), norm)
                 out += [(d, h, g, int(c)) for c in np.flatnonzero((most >= floor) & (radius >= 0))]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate((pa.int32(), pa.int64(), pa.int32(), pa.int64()))], ["d", "home", "g", "cell"])
 
     groups = asks.groupBy("d", "home", "g").agg(F.max("far").alias("far"), F.min("floor").alias("floor"))
     pairs = as_table(groups.mapInArrow(reachable, "d int, home long, g int, cell long"), "top-pairs")
     keys = ["d", "cell", "b", "home", "g"]
-    left = data.join(pairs, ["d", "cell"])
+    left = data.drop("parts").join(pairs, ["d", "cell"])
     blocks = cells.select("d", "cell", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("b"))
     right = asks.join(pairs.join(blocks, ["d", "cell"]), ["d", "home", "g"]).select(*[F.col(c).alias(c) for c in (*keys, "row", "id", "v", "floor")])
     found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(search, hits)
