@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import re
+import unicodedata
+from functools import reduce
+from operator import add
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -237,20 +242,49 @@ def health(w: Column, h: Column) -> Column:
     return F.when(F.least(w, h) < 300, 0.0).otherwise(F.least(w * h / 2e6, F.lit(1.0)) * 55 + shape + full)
 
 
-def emotion(texts: DataFrame, key: str, title: str, body: str, groups: dict[str, list[str]], default: str) -> DataFrame:
+def emotion(texts: DataFrame, key: str, title: Column, body: Column, groups: dict[str, list[str]], default: str, folded: bool = False) -> DataFrame:
     """Mood of a text by whole-word cues, 3 points in the title and 1 in the body; ties go
-    to the earlier group; confidence by how far the winner is ahead."""
-    scores = []
-    for i, (name, cues) in enumerate(groups.items()):
-        points = [F.when(F.lower(title).rlike(rf"(?<![\p{{L}}\p{{N}}]){c}(?![\p{{L}}\p{{N}}])"), 3).when(F.lower(body).rlike(rf"(?<![\p{{L}}\p{{N}}]){c}(?![\p{{L}}\p{{N}}])"), 1).otherwise(0) for c in cues]
-        total = points[0]
-        for p in points[1:]:
-            total = total + p
-        scores.append(F.struct(total.alias("d"), F.lit(-i).alias("place"), F.lit(name).alias("name")))
-    ranked = texts.select(key, F.sort_array(F.array(*scores), asc=False).alias("s"))
+    to the earlier group; confidence by how far the winner is ahead. With ``folded``, texts
+    without a hit are read again without marks, and so are the cues."""
+
+    def ranked(title: Column, body: Column, turn) -> Column:
+        scores = []
+        for i, (name, cues) in enumerate(groups.items()):
+            whole = [rf"(?<![\p{{L}}\p{{N}}]){re.escape(turn(c))}(?![\p{{L}}\p{{N}}])" for c in cues]
+            points = [F.when(title.rlike(w), 3).when(body.rlike(w), 1).otherwise(0) for w in whole]
+            scores.append(F.struct(reduce(add, points).alias("d"), F.lit(-i).alias("place"), F.lit(name).alias("name")))
+        return F.sort_array(F.array(*scores), asc=False)
+
+    found = texts.select(key, title.alias("_title"), body.alias("_body"), ranked(F.lower(title), F.lower(body), str).alias("s"))
+    if folded:
+        again = ranked(fold_keep(F.col("_title")), fold_keep(F.col("_body")), unmarked)
+        found = found.withColumn("s", F.when(F.col("s")[0]["d"] > 0, F.col("s")).otherwise(again))
     one, two = F.col("s")[0], F.col("s")[1]
     sure = F.when((one["d"] >= 2 * two["d"]) & (one["d"] >= 3), "high").when(one["d"] > two["d"], "fair").otherwise("low")
-    return ranked.select(key, F.when(one["d"] > 0, one["name"]).otherwise(default).alias("mood"), sure.alias("confidence"))
+    return found.select(key, F.when(one["d"] > 0, one["name"]).otherwise(default).alias("mood"), sure.alias("confidence"))
+
+
+def unmarked(cue: str) -> str:
+    """A cue as ``fold_keep`` would write it."""
+    return "".join(c for c in unicodedata.normalize("NFD", cue.lower()) if unicodedata.category(c) != "Mn").replace("đ", "d")
+
+
+def story_pictures(articles: DataFrame, links: DataFrame, story: str, article: str, serves: Column, flagged: Column, wanted: int, most: int = 5) -> DataFrame:
+    """Pictures of a story from several of its articles: those of hosts that serve pictures
+    first (null: not), then by key, at most ``most``, until twice the wanted number of
+    distinct URLs is gathered. A URL stands where it is met first; of all, the ``wanted``
+    first stay, flagged ones last. ``links`` has (article, url, place); a story's window
+    never holds more than the links of ``most`` articles. Repeated rows of an article
+    take turns of their own; articles without links give no row."""
+    turn = F.row_number().over(Window.partitionBy(story).orderBy(F.when(serves, 0).otherwise(1), article))
+    chosen = articles.select(story, article, turn.alias("turn")).filter(F.col("turn") <= most)
+    met = chosen.join(links.select(article, "url", "place"), article)
+    first = met.groupBy(story, "url").agg(F.min(F.struct("turn", "place", article)).alias("at"))
+    before = F.count("*").over(Window.partitionBy(story).orderBy("turn").rangeBetween(Window.unboundedPreceding, -1))
+    gathered = first.select(story, "url", "at.turn", "at.place", f"at.{article}").withColumn("before", before).filter(F.col("before") < 2 * wanted)
+    rank = F.row_number().over(Window.partitionBy(story).orderBy("flagged", "turn", "place"))
+    ordered = gathered.withColumn("flagged", F.coalesce(flagged, F.lit(False))).withColumn("rank", rank)
+    return ordered.filter(F.col("rank") <= wanted).select(story, "rank", article, "url", "flagged")
 
 
 def first_seen(rows: DataFrame, key: str, order: list[str]) -> DataFrame:

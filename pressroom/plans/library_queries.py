@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..operators import board, library, search
 from .registry import ORACLE_SQL, Tables, query
-from .scalars import HEAD, head
+from .scalars import BARE, HEAD, head
 
 # ------------------------------------------------------------------ search
 #: An asset per document: subject = source, labels = first 12 words, description = the rest.
@@ -410,6 +410,30 @@ def a14_emotion_router(t: Tables) -> DataFrame:
     return library.emotion(rows, "doc_id", F.col("title"), F.col("text"), _MOODS, "plain")
 
 
+_TWELVE = {
+    "calm": ["ruhig", "nicht nur"], "tense": ["était", "avec"], "fast": ["schnell", "über"], "sad": ["triste", "für"],
+    "warm": ["señor", "más"], "bright": ["después", "también"], "dark": ["está", "où"], "proud": ["même", "auch"],
+    "light": ["heron", "on"], "wide": ["und", "sich"], "old": ["there", "thing"], "new": ["être", "été"],
+}
+
+
+def _twelve_sql() -> str:
+    def points(cues: list[str], end: str) -> str:
+        edge = "[^\\p{L}\\p{N}]"
+        return " + ".join(f"CASE WHEN regexp_matches(title{end}, '(^|{edge}){c}($|{edge})') THEN 3 WHEN regexp_matches(body{end}, '(^|{edge}){c}($|{edge})') THEN 1 ELSE 0 END" for c in cues)
+
+    parts = [f"SELECT doc_id, {points(cues, '')} AS d, {points([library.unmarked(c) for c in cues], '_bare')} AS d_bare, {-i} AS place, '{name}' AS name FROM t" for i, (name, cues) in enumerate(_TWELVE.items())]
+    title = HEAD.format(n=6)
+    return f"""WITH t AS (SELECT doc_id, lower({title}) AS title, lower(text) AS body, {BARE.format(c=title)} AS title_bare, {BARE.format(c='text')} AS body_bare FROM documents), s AS ({' UNION ALL '.join(parts)}),
+  p AS (SELECT doc_id, place, name, CASE WHEN max(d) OVER (PARTITION BY doc_id) > 0 THEN d ELSE d_bare END AS d FROM s), r AS (SELECT doc_id, list(struct_pack(d := d, name := name) ORDER BY d DESC, place DESC) AS l FROM p GROUP BY 1)
+  SELECT doc_id, CASE WHEN l[1].d > 0 THEN l[1].name ELSE 'plain' END AS mood, CASE WHEN l[1].d >= 2 * l[2].d AND l[1].d >= 3 THEN 'high' WHEN l[1].d > l[2].d THEN 'fair' ELSE 'low' END AS confidence FROM r"""
+
+
+@query(_twelve_sql())
+def a14_twelve_moods(t: Tables) -> DataFrame:
+    return library.emotion(t.documents, "doc_id", head(6), F.col("text"), _TWELVE, "plain", folded=True)
+
+
 @query("""WITH r AS (SELECT l_orderkey, bool_or(l_returnflag = 'R' AND l_discount > 0.08) AS sure, bool_or(l_tax > 0.07) AS maybe FROM lineitem GROUP BY 1) SELECT CASE WHEN sure THEN 'marked' WHEN maybe THEN 'doubtful' ELSE 'clean' END AS verdict, count(*) AS n FROM r GROUP BY 1""")
 def a13_watermark_verdict(t: Tables) -> DataFrame:
     r = t.lineitem.groupBy("l_orderkey").agg(F.bool_or((F.col("l_returnflag") == "R") & (F.col("l_discount") > 0.08)).alias("sure"), F.bool_or(F.col("l_tax") > 0.07).alias("maybe"))

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import clean_text
-from ..operators import timeline
+from ..operators import library, timeline
 from ..sources import readers
 from ..streaming import streams
 from .registry import Tables, query
@@ -98,6 +98,17 @@ def w15_article_hosts(t: Tables) -> DataFrame:
     return t.pages.groupBy(F.regexp_extract("url", "https?://([^/]+)", 1).alias("url_host")).agg(F.count("*").alias("n"))
 
 
+@query("""WITH c AS (SELECT page_id, page_id // 10 AS story, html, row_number() OVER (PARTITION BY page_id // 10 ORDER BY CASE WHEN regexp_matches(url, '://blog\\.') THEN 0 ELSE 1 END, page_id) AS turn FROM pages QUALIFY turn <= 5),
+  u AS (SELECT story, page_id, turn, replace(unnest(l), '&amp;', '&') AS url, generate_subscripts(l, 1) AS pos FROM (SELECT *, regexp_extract_all(html, '(?i)href="([^"]+)"', 1) AS l FROM c)),
+  f AS (SELECT * FROM u WHERE NOT regexp_matches(url, '#|/the') QUALIFY row_number() OVER (PARTITION BY story, url ORDER BY turn, pos) = 1),
+  b AS (SELECT *, regexp_matches(url, 'on|er') AS flagged, count(*) OVER (PARTITION BY story ORDER BY turn RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM f)
+  SELECT story, row_number() OVER (PARTITION BY story ORDER BY flagged, turn, pos) AS rank, page_id, url, flagged FROM b WHERE before < 12 QUALIFY rank <= 6""")
+def w15_story_pictures(t: Tables) -> DataFrame:
+    pages = t.pages.withColumn("story", F.floor(F.col("page_id") / 10))
+    links = readers.article_links(pages, "page_id", "html", '(?i)href="([^"]+)"', "#|/the")
+    return library.story_pictures(pages, links, "story", "page_id", F.col("url").rlike("://blog\\."), F.col("url").rlike("on|er"), 6)
+
+
 @query("SELECT event_id, user_id FROM events WHERE user_id % 10 = 3")
 def st3_inbox(t: Tables) -> DataFrame:
     return streams.drain(streams.inbox(events(t), 3).select("event_id", "user_id"), folder(t, "inbox"))

@@ -319,3 +319,28 @@ def test_listing_of_files(spark, tmp_path):
     (tmp_path / "a.jpg").write_bytes(b"123")
     (tmp_path / "._a.jpg").write_bytes(b"1")
     assert [r["size"] for r in readers.list_files(spark, str(tmp_path)).collect()] == [3]
+
+
+def test_moods(spark):
+    rows = spark.createDataFrame([(1, "Malaysia", "lầy"), (2, "tran lay", "vui va lay"), (3, "c++ wins", "sad"), (4, None, None), (5, "sad", "sad")], "k long, t string, b string")
+    groups = {"fun": ["lầy", "vui"], "tech": ["c++"], "low": ["sad"]}
+    got = {r.k: (r.mood, r.confidence) for r in library.emotion(rows, "k", F.col("t"), F.col("b"), groups, "none", folded=True).collect()}
+    assert got == {1: ("fun", "fair"), 2: ("fun", "fair"), 3: ("tech", "high"), 4: ("none", "low"), 5: ("low", "high")}
+    plain = {r.k: r.mood for r in library.emotion(rows, "k", F.col("t"), F.col("b"), groups, "none").collect()}
+    assert plain[2] == "fun" and plain[1] == "fun"
+    bare = spark.createDataFrame([(1, "lay", "lay")], "k long, t string, b string")
+    assert [library.emotion(bare, "k", F.col("t"), F.col("b"), groups, "none", folded=f).first().mood for f in (False, True)] == ["none", "fun"]
+
+
+def test_story_pictures(spark):
+    articles = spark.createDataFrame([(1, 1, False), (1, 2, True), (1, 3, None), (1, 4, True), (2, 5, False)], "s long, a long, ok boolean")
+    links = spark.createDataFrame([(2, "x", 0), (2, "y", 1), (4, "y", 0), (4, "z", 1), (1, "u", 0), (3, "v", 0), (1, "x", 1), (5, "x", 0)], "a long, url string, place int")
+
+    def run(wanted, most):
+        rows = library.story_pictures(articles, links, "s", "a", F.col("ok"), F.col("url") == "x", wanted, most)
+        return sorted((r.s, r["rank"], r.a, r.url, r.flagged) for r in rows.collect())
+
+    assert run(9, 9) == [(1, 1, 2, "y", False), (1, 2, 4, "z", False), (1, 3, 1, "u", False), (1, 4, 3, "v", False), (1, 5, 2, "x", True), (2, 1, 5, "x", True)]
+    assert run(1, 9) == [(1, 1, 2, "y", False), (2, 1, 5, "x", True)]  # two URLs are gathered from the first article
+    assert run(9, 1) == [(1, 1, 2, "y", False), (1, 2, 2, "x", True), (2, 1, 5, "x", True)]
+    assert library.story_pictures(articles.limit(0), links, "s", "a", F.col("ok"), F.col("url") == "x", 1).count() == 0
