@@ -181,3 +181,25 @@ def draft(slots: DataFrame, candidates: DataFrame, video: str) -> DataFrame:
         return pd.DataFrame(out, columns=[video, "slot", "asset"]).astype({"asset": "Int64"})
 
     return rows.groupBy(video).applyInPandas(one, f"{video} long, slot long, asset long")
+
+
+def ranked_lists(lists: DataFrame, pool: DataFrame, video: str, place: str, slot: str, picks: str, top: str, bottom: str, most: int = 4) -> DataFrame:
+    """Checks a ranker's answer: (video, slot, assets, paired) for every slot with a key of
+    the form ``3`` or ``3:0``. Of its first ``most`` picks those stay that point into the
+    video's pool (video, index, asset) and whose asset no earlier pick or pair names. A
+    pair of two different assets of the pool puts the top one first and takes the bottom
+    one out. Slots left without assets have an empty list. ``place`` orders the slots and
+    is unique in a video."""
+    rows = lists.select(video, F.col(place).alias("_place"), F.trim(slot).alias("slot"), F.slice(picks, 1, most).alias("_picks"), F.col(top).alias("_top"), F.col(bottom).alias("_bottom"))
+    rows = rows.filter(F.col("slot").rlike("^\\d+(:\\d+)?$"))
+    each = rows.select(video, "_place", F.posexplode(F.concat(F.transform("_picks", lambda i: F.struct(F.lit("pick").alias("kind"), i.cast("long").alias("index"))), F.array(*[F.struct(F.lit(n).alias("kind"), F.col(f"_{n}").cast("long").alias("index")) for n in ("top", "bottom")]))).alias("_pos", "_m"))
+    found = each.select(video, "_place", "_pos", "_m.*").join(pool.select(video, F.col("index").cast("long").alias("index"), "asset"), [video, "index"])
+    end = found.filter("kind <> 'pick'").groupBy(video, "_place").agg(*[F.max(F.when(F.col("kind") == n, F.col("asset"))).alias(n) for n in ("top", "bottom")]).filter("top <> bottom")
+    pairs = end.select(video, "_place", F.explode(F.array("top", "bottom")).alias("asset"), F.lit(most).alias("_pos"), F.lit("pair").alias("kind"))
+    mentions = found.filter("kind = 'pick'").select(video, "_place", "asset", "_pos", "kind").unionByName(pairs)
+    first = mentions.groupBy(video, "asset").agg(F.min(F.struct("_place", "_pos", "kind")).alias("at")).filter("at.kind = 'pick'")
+    kept = first.groupBy(video, F.col("at._place").alias("_place")).agg(F.sort_array(F.collect_list(F.struct("at._pos", "asset")))["asset"].alias("_kept"))
+    out = rows.select(video, "_place", "slot").join(kept, [video, "_place"], "left").join(end, [video, "_place"], "left")
+    kept_or_none = F.coalesce("_kept", F.array().cast(kept.schema["_kept"].dataType))
+    assets = F.when(F.col("top").isNull(), kept_or_none).otherwise(F.concat(F.array("top"), F.array_except(kept_or_none, F.array("top", "bottom"))))
+    return out.select(video, "slot", assets.alias("assets"), F.col("top").isNotNull().alias("paired"))

@@ -199,6 +199,21 @@ def q9_ranked_list_validation(t: Tables) -> DataFrame:
     return one.withColumn("pick", F.row_number().over(Window.partitionBy("user_id").orderBy("event_id"))).filter("pick <= 4").select("user_id", "asset", "pick")
 
 
+@query("""WITH e AS (SELECT user_id, event_id, CASE event_type WHEN 'error' THEN 'x' WHEN 'view' THEN CAST(event_id AS VARCHAR) || ':0' ELSE CAST(event_id AS VARCHAR) END AS slot, event_type = 'purchase' AS two, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events),
+  r AS (SELECT user_id, event_id, slot, [k % 40, k * 7 % 40, k % 40, (k + 3) % 40] AS l, CASE WHEN two THEN k % 40 END AS t, CASE WHEN two THEN (k + 11) % 40 END AS b FROM e WHERE slot <> 'x'),
+  p AS (SELECT user_id, event_id, slot, CASE WHEN t < 35 AND b < 35 AND t % 33 <> b % 33 THEN t % 33 END AS t, CASE WHEN t < 35 AND b < 35 AND t % 33 <> b % 33 THEN b % 33 END AS b, l FROM r),
+  m AS (SELECT user_id, event_id, unnest(l) AS i, generate_subscripts(l, 1) AS pos, true AS pick FROM p UNION ALL SELECT user_id, event_id, t, 9, false FROM p WHERE t IS NOT NULL UNION ALL SELECT user_id, event_id, b, 9, false FROM p WHERE t IS NOT NULL),
+  f AS (SELECT *, i % 33 AS asset FROM m WHERE i < 35 QUALIFY row_number() OVER (PARTITION BY user_id, i % 33 ORDER BY event_id, pos) = 1), k AS (SELECT user_id, event_id, list(asset ORDER BY pos) AS l FROM f WHERE pick GROUP BY 1, 2)
+  SELECT p.user_id, slot, t IS NOT NULL AS paired, array_to_string(CASE WHEN t IS NULL THEN coalesce(k.l, []) ELSE list_concat([t], list_filter(coalesce(k.l, []), lambda x: x <> t AND x <> b)) END, ',') AS picks FROM p LEFT JOIN k USING (user_id, event_id)""")
+def q9_ranked_lists(t: Tables) -> DataFrame:
+    k = F.get_json_object("props", "$.k").cast("long")
+    slot = F.when(F.col("event_type") == "error", "x").when(F.col("event_type") == "view", F.concat(F.col("event_id").cast("string"), F.lit(":0"))).otherwise(F.col("event_id").cast("string"))
+    two = F.col("event_type") == "purchase"
+    lists = t.events.select("user_id", "event_id", slot.alias("slot"), F.array(k % 40, k * 7 % 40, k % 40, (k + 3) % 40, (k + 5) % 40).alias("picks"), F.when(two, k % 40).alias("top"), F.when(two, (k + 11) % 40).alias("bottom"))
+    pool = t.events.select("user_id").distinct().select("user_id", F.explode(F.sequence(F.lit(0), F.lit(34))).alias("index")).withColumn("asset", F.col("index") % 33)
+    return search.ranked_lists(lists, pool, "user_id", "event_id", "slot", "picks", "top", "bottom").withColumn("picks", F.array_join(F.col("assets").cast("array<string>"), ",")).drop("assets")
+
+
 # ------------------------------------------------------------------ board
 STOP = ["with", "that", "this", "from", "dans", "pour", "avec", "para"]
 _KEYS = f"""k AS (SELECT doc_id, list_distinct(list_filter(string_split_regex(regexp_replace(strip_accents(lower({HEAD.format(n=24)})), '[^a-z0-9 ]', ' ', 'g'), ' +'), lambda w: length(w) >= 4 AND w NOT IN ('{"', '".join(STOP)}'))) AS s FROM documents)"""

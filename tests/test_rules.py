@@ -344,3 +344,11 @@ def test_story_pictures(spark):
     assert run(1, 9) == [(1, 1, 2, "y", False), (2, 1, 5, "x", True)]  # two URLs are gathered from the first article
     assert run(9, 1) == [(1, 1, 2, "y", False), (1, 2, 2, "x", True), (2, 1, 5, "x", True)]
     assert library.story_pictures(articles.limit(0), links, "s", "a", F.col("ok"), F.col("url") == "x", 1).count() == 0
+
+
+def test_ranked_lists(spark):
+    lists = [("v", 1, "3", ["0", "1", "9", "x", "2"], None, None), ("v", 2, " 3:0 ", ["1", "2"], "2", "3"), ("v", 3, "4", ["3", "2"], None, None), ("v", 4, "a", ["4"], None, None), ("v", 5, "5", ["4", "4"], "0", "0"), ("w", 1, "1", None, None, None)]
+    pool = [(v, i, f"{v}{i}") for v in "vw" for i in range(5)]
+    rows = search.ranked_lists(spark.createDataFrame(lists, "video string, at int, slot string, picks array<string>, a string, b string").withColumn("picks", F.transform("picks", lambda x: x.try_cast("int"))), spark.createDataFrame(pool, "video string, index int, asset string"), "video", "at", "slot", "picks", "a", "b")
+    got = {(r.video, r.slot): (r.assets, r.paired) for r in rows.collect()}
+    assert got == {("v", "3"): (["v0", "v1"], False), ("v", "3:0"): (["v2"], True), ("v", "4"): ([], False), ("v", "5"): (["v4"], False), ("w", "1"): ([], False)}
