@@ -7,7 +7,7 @@ from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, embed_dedup, langid, minhash, mixing, sharding, substring, token_counts, token_files, topk
+from . import bpe, embed_dedup, langid, minhash, mixing, sharding, substring, suffix_dedup, token_counts, token_files, topk
 from .common import as_table, table, working_tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -65,6 +65,10 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), words=4, percent=80)
 
 
-QUERIES: dict[str, Query] = {f.__name__: settled(f) for f in (op1_token_binary, op2_language_id, op3_embedding_dedup, op4_token_counts, op5_substring_dedup, op6_top_k, op7_rendezvous_sharding, op8_bpe, op9_mixing, op10_minhash)}
+def op13_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: settled(f) for f in (op1_token_binary, op2_language_id, op3_embedding_dedup, op4_token_counts, op5_substring_dedup, op6_top_k, op7_rendezvous_sharding, op8_bpe, op9_mixing, op10_minhash, op13_suffix_dedup)}
 #: None of these can be put as SQL that DuckDB runs over whole tables; they are tested against brute force.
 ORACLE_SQL: dict[str, str] = {}
