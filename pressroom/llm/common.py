@@ -166,12 +166,13 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
 
-def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start, end and text number of every maximal run ``[^\\x20\\x09-\\x0D]+``."""
+def word_spans(data: np.ndarray, offsets: np.ndarray, between: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and text number of every maximal run of bytes that are not ``between``
+    words: ``[^\\x20\\x09-\\x0D]+`` unless told otherwise."""
     n = len(data)
     if n == 0:
         return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
-    inside = ~_SPACE[data]
+    inside = ~between[data]
     first = np.zeros(n, bool)
     edges = offsets[:-1][np.diff(offsets) > 0]
     first[edges] = True
@@ -184,10 +185,15 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return starts, ends, np.searchsorted(offsets, starts, side="right") - 1
 
 
+def distinct_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, between: np.ndarray = _SPACE) -> pa.DictionaryArray:
+    """The words that ``word_spans`` found, told apart by their bytes."""
+    packed = np.ascontiguousarray(data[~between[data]])
+    offsets = np.concatenate(([0], np.cumsum(ends - starts))).astype(np.int64)
+    words = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(packed)])
+    return words.dictionary_encode()
+
+
 def word_numbers(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Numbers from 0 up for the words ``word_spans`` found: two words have one number
     exactly where their bytes are equal."""
-    packed = np.ascontiguousarray(data[~_SPACE[data]])
-    offsets = np.concatenate(([0], np.cumsum(ends - starts))).astype(np.int64)
-    words = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(packed)])
-    return words.dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    return distinct_words(data, starts, ends).indices.to_numpy(zero_copy_only=False).astype(np.int64)
