@@ -10,8 +10,8 @@ places are neighbours in that order which agree in all their bytes.
 
 Neighbouring segments that are alone with their anchors (whole copies) share one string.
 An anchor with many different segments (the edge of a passage that a large part of the
-corpus shares) is dealt by windows: those that occur once by their hash are dropped
-before any bytes are sent, the others are strings of their own."""
+corpus shares) makes no string, which would be as long as the corpus: such segments are
+compared block by block of window starts, by 128-bit names of their bytes."""
 
 from __future__ import annotations
 
@@ -36,6 +36,19 @@ def _strided(data: np.ndarray) -> np.ndarray:
     return np.ndarray((len(data),), "<u8", np.concatenate((data, np.zeros(8, np.uint8))), strides=(1,))
 
 
+def _grams(data: np.ndarray, gram: int) -> np.ndarray:
+    """Hashes of all runs of ``gram`` bytes: 8, 16, 32, ..."""
+    grams, width = mix(_strided(data)), 8
+    while width < gram:
+        grams, width = Runs._join(grams[:-width], grams[width:], width), 2 * width
+    return grams[: max(0, len(data) - gram + 1)]
+
+
+def _ranked(grams: np.ndarray) -> np.ndarray:
+    """What is least for the anchor: by hash, then by place, which stands in the low bits."""
+    return (mix(grams) & ~_PLACE) | np.arange(len(grams), dtype=np.uint64)
+
+
 def segments(data: np.ndarray, offsets: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, ...]:
     """Anchor hash, first and last window start and text number of every segment.
     ``gram``: 8, 16, 32, ..., at most the window."""
@@ -44,10 +57,8 @@ def segments(data: np.ndarray, offsets: np.ndarray, window: int, gram: int) -> t
     fits = np.maximum(length - window + 1, 0)
     if not fits.any():
         return none.astype(np.uint64), none, none, none
-    grams, width = mix(_strided(data)[: len(data)]), 8
-    while width < gram:
-        grams, width = Runs._join(grams[:-width], grams[width:], width), 2 * width
-    least = (mix(grams) & ~_PLACE) | np.arange(len(grams), dtype=np.uint64)
+    grams = _grams(data, gram)
+    least = _ranked(grams)
     have, wide = 1, window - gram + 1
     while have < wide:  # minimum over `have` places, doubled until it covers the window
         step = min(have, wide - have)
@@ -115,33 +126,64 @@ def _typed(fields: str) -> str:
 _PARTS = pa.list_(pa.struct([("c1", pa.int64()), ("c2", pa.int64()), ("shift", pa.int32()), ("span", pa.int32()), ("n", pa.int64())]))
 
 
-def _windows(crowds: DataFrame, window: int) -> DataFrame:
-    """Names (w1, w2) of all windows of crowded segments, without their bytes."""
+def _blocks(asked: DataFrame, window: int, gram: int, size: int) -> DataFrame:
+    """Blocks of ``size`` window starts that a crowded segment has a part in, counted from
+    its anchor; of the list ``blocks`` (``size`` * 4 wide), if there is one, only. k1, k2
+    name the bytes that all windows of the block share, w1, w2 those that they cover (null
+    if the segment does not hold them all)."""
 
     def run(batches):
         for batch in batches:
+            out = [[] for _ in range(8)]
             for row in batch.to_pylist():
-                at = np.arange(row["span"])
-                name = _names(np.frombuffer(row["data"], np.uint8), at, at + window)
-                yield pa.RecordBatch.from_arrays([pa.array(name[:, 0]), pa.array(name[:, 1]), *(pa.array(np.full(len(at), row[c])) for c in ("c1", "c2", "n")), pa.array(at.astype(np.int32))], ["w1", "w2", "c1", "c2", "n", "shift"])
-
-    return crowds.select("c1", "c2", "span", "n", "data").mapInArrow(run, "w1 long, w2 long, c1 long, c2 long, n long, shift int")
-
-
-def _cut(asked: DataFrame, window: int) -> DataFrame:
-    """One string for each window that is asked for."""
+                data = np.frombuffer(row["data"], np.uint8)
+                view, span = memoryview(data), row["span"]
+                zero = window - int(_ranked(_grams(data, gram)).argmin())  # of the first window start
+                within = range(zero // size, (zero + span - 1) // size + 1)
+                for b in within if row["blocks"] is None else [c for w in sorted(row["blocks"]) for c in range(4 * w, 4 * w + 4) if c in within]:
+                    low, high = b * size - zero, b * size + size - 1 - zero
+                    core = xxhash.xxh3_128_digest(view[high : low + window], b)
+                    whole = xxhash.xxh3_128_digest(view[low : high + window], b) if low >= 0 and high < span else None
+                    two = np.frombuffer(core + (whole or bytes(16)), "<i8").tolist()
+                    values = (row["c1"], row["c2"], row["n"], b, *two[:2], *(two[2:] if whole else (None, None)))
+                    for c, v in zip(out, values):
+                        c.append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if i == 3 else pa.int64()) for i, c in enumerate(out)], ["c1", "c2", "n", "b", "k1", "k2", "w1", "w2"])
+
+    return asked.select("c1", "c2", "n", "span", "data", "blocks").mapInArrow(run, "c1 long, c2 long, n long, b int, k1 long, k2 long, w1 long, w2 long")
+
+
+def _zeros(crowds: DataFrame, window: int, gram: int) -> DataFrame:
+    """Where a segment's first window start stands, counted as in ``_blocks``."""
 
     def run(batches):
         for batch in batches:
-            routes, parts, data = [], [], []
-            for row in batch.to_pylist():
-                for w in row["list"]:
-                    routes.append(w["w1"])
-                    parts.append([{"c1": w["w1"], "c2": w["w2"], "shift": 0, "span": 1, "n": w["n"]}])
-                    data.append(row["data"][w["shift"] : w["shift"] + window])
-            yield pa.RecordBatch.from_arrays([pa.array(routes, pa.int64()), pa.array([True] * len(routes), pa.bool_()), pa.array(parts, _PARTS), pa.array(data, pa.binary())], ["route", "crowded", "parts", "data"])
-
-    return asked.select("data", "list").mapInArrow(run, f"route long, crowded boolean, parts array<struct<{_typed(_PART)}>>, data binary")
+            at = [window - int(_ranked(_grams(np.frombuffer(x.as_buffer(), np.uint8), gram)).argmin()) for x in batch.column(3)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in range(3)), pa.array(at, pa.int32())], ["c1", "c2", "span", "zero"])
+
+    return crowds.select("c1", "c2", "span", "data").mapInArrow(run, "c1 long, c2 long, span int, zero int")
+
+
+def _crowded(crowds: DataFrame, window: int, gram: int) -> DataFrame:
+    """(c1, c2, from, to) of the repeated windows of segments with a crowded anchor.
+
+    Equal windows stand at one distance from their anchor, so they are in the same block
+    of window starts and agree in the bytes that the block's windows share. Of the segments
+    that agree in those, all windows are repeated if they agree in all bytes of the block,
+    none if there is one of them; else the block is cut in four, down to one window."""
+    name, found, asked = ["c1", "c2"], None, crowds.withColumn("blocks", F.lit(None).cast("array<int>"))
+    for size in (16, 4, 1):
+        rows = as_table(_blocks(asked, window, gram, size), "crowded-blocks")
+        same = (F.count("w1") == F.count("*")) & (F.min("w1") == F.max("w1")) & (F.min("w2") == F.max("w2"))
+        met = as_table(rows.groupBy("k1", "k2").agg(F.sum("n").alias("times"), same.alias("same")).filter("times > 1").select("k1", "k2", "same"), "crowded-cores")
+        rows = rows.select(*name, "b", "k1", "k2").join(met, ["k1", "k2"])
+        hits = rows.filter("same").select(*name, (F.col("b") * size).alias("low"), (F.col("b") * size + size - 1).alias("high"))
+        found = hits if found is None else found.unionByName(hits)
+        if size > 1:
+            left = rows.filter("NOT same").groupBy(*name).agg(F.collect_set("b").alias("blocks"))
+            asked = crowds.join(left, name)
+    near = found.groupBy(*name).agg(F.collect_list(F.struct("low", "high")).alias("own")).join(_zeros(crowds, window, gram), name)
+    return near.select(*name, F.explode("own").alias("x"), "zero").select(*name, (F.col("x.low") - F.col("zero")).alias("from"), (F.col("x.high") - F.col("zero")).alias("to"))
 
 
 def _agree(raw: np.ndarray, a: np.ndarray, b: np.ndarray, window: int) -> np.ndarray:
@@ -209,12 +251,11 @@ def _search(shards: DataFrame, window: int, most: int = 2_000_000) -> DataFrame:
             c1, c2, shift, span, n = (flat.field(k).to_numpy(zero_copy_only=False) for k in range(5))
             counts = np.diff(parts.offsets.to_numpy())
             found, a, b = repeated_windows(rows["route"].to_numpy(), raw, ends, np.repeat(np.arange(len(counts)), counts), shift.astype(np.int64), span.astype(np.int64), n, window)
-            crowded = rows["crowded"].to_numpy(zero_copy_only=False)[np.repeat(np.arange(len(counts)), counts)]
-            return pa.RecordBatch.from_arrays([pa.array(crowded[found]), pa.array(c1[found]), pa.array(c2[found]), pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32))], ["crowded", "c1", "c2", "from", "to"])
+            return pa.RecordBatch.from_arrays([pa.array(c1[found]), pa.array(c2[found]), pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32))], ["c1", "c2", "from", "to"])
 
         for batch in batches:
             held.append(batch)
-            size += batch.column(3).nbytes
+            size += batch.column(2).nbytes
             if size < most:
                 continue
             rows = pa.Table.from_batches(held)
@@ -223,11 +264,11 @@ def _search(shards: DataFrame, window: int, most: int = 2_000_000) -> DataFrame:
             if cut:
                 yield settle(rows.slice(0, cut))
                 held = rows.slice(cut).to_batches()
-                size = sum(b.column(3).slice(0).nbytes for b in held)
+                size = sum(b.column(2).nbytes for b in held)
         if held:
             yield settle(pa.Table.from_batches(held))
 
-    return shards.select("route", "crowded", "parts", "data").mapInArrow(run, "crowded boolean, c1 long, c2 long, from int, to int")
+    return shards.select("route", "parts", "data").mapInArrow(run, "c1 long, c2 long, from int, to int")
 
 
 def repeated_ranges(texts: DataFrame, window: int = 200, gram: int = 64, crowd: int = 128, shard_bytes: int = 4_000_000) -> DataFrame:
@@ -250,19 +291,13 @@ def repeated_ranges(texts: DataFrame, window: int = 200, gram: int = 64, crowd:
         # One row of those that are repeated in full is enough.
         wanted = texts.join(lists, ["rk", "rl"]).dropDuplicates(["rk", "rl"]).select("t", "list")
         strings = as_table(_strings(wanted, window, crowd), "strings")
-        crowds = strings.filter("crowded").select("data", F.explode("parts").alias("p")).select("data", "p.*")
-        windows = as_table(_windows(crowds, window), "crowded-windows")
-        meet = windows.groupBy("w1", "w2").agg(F.sum("n").alias("n"), F.min(F.struct(*name, "shift")).alias("at")).filter("n > 1")
-        asked = meet.groupBy("at.c1", "at.c2").agg(F.collect_list(F.struct("w1", "w2", "n", F.col("at.shift").alias("shift"))).alias("list"))
-        every = strings.filter("NOT crowded").unionByName(_cut(crowds.join(asked, name), window))
+        crowds = as_table(strings.filter("crowded").select("data", F.explode("parts").alias("p")).select("data", "p.*"), "crowded-segments")
+        every = strings.filter("NOT crowded")
         size = strings.agg(F.sum(F.octet_length("data"))).first()[0] or 0
         shards = every.repartition(max(input_partitions(texts), size // shard_bytes + 1), "route").sortWithinPartitions("route")
         hits = as_table(_search(shards, window), "segment-hits")
-        light = hits.filter("NOT crowded").select(*name, "from", "to")
-        met = hits.filter("crowded").select(F.col("c1").alias("w1"), F.col("c2").alias("w2"))
-        heavy = windows.join(met, ["w1", "w2"]).select(*name, F.col("shift").alias("from"), F.col("shift").alias("to"))
         # One row a segment, so that a hot one meets one row.
-        flagged = light.unionByName(heavy).groupBy(*name).agg(F.collect_set(F.struct("from", "to")).alias("own"))
+        flagged = hits.unionByName(_crowded(crowds, window, gram)).groupBy(*name).agg(F.collect_set(F.struct("from", "to")).alias("own"))
         shifted = F.transform("own", lambda x: F.struct((F.col("first") + x["from"]).alias("from"), (F.col("first") + x["to"] + window).alias("to")))
         ranges = repeated.join(flagged, name).select("rk", "rl", shifted.alias("own"))
         # Rows that are repeated in full have one name and the same ranges: a set holds them once.
