@@ -2,26 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-
-def shared_path(spark: SparkSession) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        base = "file://" + tempfile.gettempdir()
-    return f"{base}/board-{uuid.uuid4().hex}"
+from ..scratch import shared_folder
 
 
 def stored(df: DataFrame) -> DataFrame:
     """Write to the cluster's shared folder and read back, so that rounds do not pile up
     lineage."""
-    path = shared_path(df.sparkSession)
+    path = shared_folder(df.sparkSession, "board")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -71,7 +61,7 @@ def leaders(edges: DataFrame, few: int = 50_000) -> DataFrame:
     last ``few`` open edges (a few MB) are settled by one scan in one task, so that a
     long chain costs no round for each link."""
     edges = stored(edges.select("a", "b").distinct())
-    spark, members = edges.sparkSession, shared_path(edges.sparkSession)
+    spark, members = edges.sparkSession, shared_folder(edges.sparkSession, "board")
     none = edges.select(F.col("b").alias("x")).limit(0)
     none.write.parquet(members)
     still, left = edges, edges.count()

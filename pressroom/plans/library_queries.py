@@ -549,20 +549,6 @@ def s5_ranked_override(t: Tables) -> DataFrame:
 
 @query("""SELECT page_id, min(page_id) OVER (PARTITION BY md5(html)) AS first_page FROM pages""")
 def st9_content_gate(t: Tables) -> DataFrame:
-    return t.pages.select("page_id", F.min("page_id").over(Window.partitionBy(F.md5(F.col("html").cast("binary")))).alias("first_page"))
+    rows = t.pages.select("page_id", F.md5(F.col("html").cast("binary")).alias("sum"))
+    return rows.join(rows.groupBy("sum").agg(F.min("page_id").alias("first_page")), "sum").select("page_id", "first_page")
 
-
-# ------------------------------------------------------------------ names that earlier versions gave to queries over whole texts
-@query(f"WITH {_ASSETS}, {_RARITY} SELECT token, c, round(w, 6) AS weight FROM r")
-def a4_rarity_whole(t: Tables) -> DataFrame:
-    return a4_rarity(t)
-
-
-@query(f"{_LEARNED} SELECT conv_id, turn, subject, max(o) + 6 AS bonus FROM s WHERE o >= 2 GROUP BY 1, 2, 3")
-def j21_learned_bonus_whole(t: Tables) -> DataFrame:
-    return j21_learned_bonus(t)
-
-
-@query(ORACLE_SQL["j15_team_gate"])
-def j15_team_gate_whole(t: Tables) -> DataFrame:
-    return j15_team_gate(t)

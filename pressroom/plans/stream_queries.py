@@ -2,22 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import clean_text
 from ..operators import library, timeline
+from ..scratch import shared_folder
 from ..sources import readers
-from ..streaming import streams
+from ..streaming import gates, streams
 from .registry import Tables, query
 
 
 def folder(t: Tables, name: str) -> str:
-    base = t.spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.gettempdir()
-    return f"{base}/{name}-{uuid.uuid4().hex}"
+    return shared_folder(t.spark, name)
 
 
 def events(t: Tables) -> DataFrame:
@@ -152,29 +149,76 @@ def st7_overdue(t: Tables) -> DataFrame:
     return streams.drain(streams.overdue(events(t)), folder(t, "overdue"))
 
 
-@query("SELECT p_partkey AS path, p_size AS size FROM part WHERE p_partkey % 5 <> 0")
+def scans(t: Tables) -> tuple[DataFrame, DataFrame]:
+    """Four scans of a library with a root a brand, as files that came one after the other:
+    the first has more than the others, and some roots change each time."""
+    path = folder(t, "scans")
+    rows = t.part.select(F.col("p_brand").alias("root"), F.col("p_partkey").alias("path"), F.col("p_size").alias("size"))
+    for k in range(4):
+        own = rows.filter("path % 5 <> 0") if k else rows
+        own = own.withColumn("size", F.when(F.col("root").endswith("5"), F.col("size") + k).otherwise(F.col("size"))).withColumn("scan", F.lit(k).cast("long"))
+        total = own.groupBy("root").agg(F.count("*").alias("total"))
+        own.join(total, "root").select("root", "scan", "path", "size", "total").write.mode("append").parquet(path)
+    return t.spark.read.parquet(path), t.spark.readStream.schema("root string, scan long, path long, size long, total long").option("maxFilesPerTrigger", 1).parquet(path)
+
+
+@query("SELECT p_partkey AS path, p_size AS size FROM part WHERE p_partkey % 5 <> 0 AND p_brand NOT LIKE '%5'")
 def st8_stable_listing(t: Tables) -> DataFrame:
-    def scan(n: int) -> DataFrame:
-        rows = t.part.select(F.col("p_partkey").alias("path"), F.col("p_size").alias("size"))
-        return rows if n == 0 else rows.filter("path % 5 <> 0")
+    listing, stream = scans(t)
+    return gates.stable_listing(listing, gates.trusted_scans(stream, folder(t, "stable"))).select("path", "size")
+
+
+@query("""WITH k AS (SELECT unnest(range(4)) AS scan), r AS (SELECT p_brand AS root, scan, p_partkey AS path, p_size + CASE WHEN p_brand LIKE '%5' THEN scan ELSE 0 END AS size FROM part, k WHERE scan = 0 OR p_partkey % 5 <> 0),
+  h AS (SELECT root, scan, md5(string_agg(path || ':' || size, ',' ORDER BY path)) AS h FROM r GROUP BY 1, 2) SELECT a.root, CAST(a.scan AS BIGINT) AS scan FROM h a JOIN h b ON a.root = b.root AND a.scan = b.scan + 1 AND a.h = b.h""")
+def st8_trusted_scans(t: Tables) -> DataFrame:
+    return gates.trusted_scans(scans(t)[1], folder(t, "trusted"))
+
+
+_GATE = """p AS (SELECT row_number() OVER (ORDER BY page_id) AS n, page_id, url AS path, strlen(html) // 16 AS size, md5(html) AS md5 FROM pages),
+  r AS (SELECT CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS page_id, false AS kept, CAST([] AS VARCHAR[]) AS paths, CAST([] AS BIGINT[]) AS sizes, CAST([] AS VARCHAR[]) AS sums
+    UNION ALL SELECT n, page_id, ok, CASE WHEN ok THEN list_append(paths, path) ELSE paths END, CASE WHEN ok THEN list_append(sizes, size) ELSE sizes END, CASE WHEN ok THEN list_append(sums, md5) ELSE sums END FROM (SELECT p.*, paths, sizes, sums, NOT (list_contains(paths, p.path) OR list_contains(sizes, p.size) OR list_contains(sums, p.md5)) AS ok FROM r JOIN p ON p.n = r.n + 1))"""
+
 
-    return streams.stable_listing(t.spark, scan)
+@query(f"WITH RECURSIVE {_GATE} SELECT page_id FROM r WHERE kept")
+def st9_file_gate(t: Tables) -> DataFrame:
+    """Path, then size (in steps of 16 bytes), then checksum, over a stream that delivers
+    every file twice."""
+    path = folder(t, "files")
+    rows = t.pages.select("page_id", F.col("url").alias("path"), F.floor(F.octet_length("html") / 16).alias("size"), F.md5(F.col("html").cast("binary")).alias("md5"))
+    rows.write.parquet(path)
+    rows.write.mode("append").parquet(path)
+    stream = t.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    return gates.file_gate(stream, folder(t, "gate"), ["path", "size", "md5"], "page_id").select("page_id")
 
 
-@query("SELECT event_id FROM events WHERE event_id % 4 <> 1")
+@query(f"WITH RECURSIVE {_GATE} SELECT page_id FROM r WHERE kept")
+def st9_content_gate_cascade(t: Tables) -> DataFrame:
+    """The same as a batch."""
+    rows = t.pages.select("page_id", F.col("url").alias("path"), F.floor(F.octet_length("html") / 16).alias("size"), F.md5(F.col("html").cast("binary")).alias("md5"))
+    return gates.content_gate(rows, rows.limit(0), ["path", "size", "md5"], "page_id").select("page_id")
+
+
+@query("""WITH i AS (SELECT user_id, event_type, max(CASE WHEN event_id % 50 = 7 OR event_type = 'error' AND user_id % 3 = 0 THEN NULL ELSE ts END) AS ts FROM events GROUP BY 1, 2), a AS (SELECT user_id, event_type, coalesce((epoch_us(TIMESTAMP '2024-02-01 00:00:00') - epoch_us(ts)) / 3.6e9, 999.0) AS age FROM i)
+  SELECT user_id, event_type, round(age, 4) AS age, CASE WHEN age <= 6 THEN 6 WHEN age <= 12 THEN 12 WHEN age <= 24 THEN 24 WHEN age <= 36 THEN 36 WHEN age <= 72 THEN 72 ELSE 999 END AS band, CASE WHEN age <= 6 THEN 25 WHEN age <= 12 THEN 15 WHEN age <= 24 THEN 8 ELSE 0 END AS points, CAST(CASE WHEN age > 72 THEN 0.45 WHEN age > 36 THEN 0.7 ELSE 1.0 END AS DOUBLE) AS factor FROM a""")
+def st1_board_items(t: Tables) -> DataFrame:
+    """Items are users' kinds of events; some have no stamp."""
+    stamp = F.when((F.col("event_id") % 50 == 7) | ((F.col("event_type") == "error") & (F.col("user_id") % 3 == 0)), None).otherwise(F.col("ts"))
+    now = F.lit("2024-02-01 00:00:00").cast("timestamp")
+    rows = gates.board_items(events(t).withColumn("ts", stamp), t.events.withColumn("ts", stamp.cast("timestamp")), folder(t, "items"), ["user_id", "event_type"], "ts", now)
+    return rows.drop("late").withColumn("age", F.round("age", 4))
+
+
+@query("SELECT event_id FROM events")
 def st4_read_since_cursor(t: Tables) -> DataFrame:
-    rows = events(t).filter("event_id % 4 <> 1").select("event_id")
+    rows = events(t).select("event_id")
     path = folder(t, "cursor")
     streams.drain(rows, path)
     return streams.drain(rows, path)  # nothing new since: the checkpoint is the cursor
 
 
-@query()
+@query("SELECT event_id FROM events")
 def st4_read_all_since_cursor(t: Tables) -> DataFrame:
-    rows = events(t).select("event_id")
-    path = folder(t, "cursor-all")
-    streams.drain(rows, path)
-    return streams.drain(rows, path)
+    return st4_read_since_cursor(t)
 
 
 @query("""WITH w AS (SELECT conv_id, turn, len(string_split(trim(regexp_replace(text, '\\s+', ' ', 'g')), ' ')) AS n FROM conversations) SELECT conv_id, CAST(sum(n) AS BIGINT) AS words FROM w GROUP BY 1""")
