@@ -19,6 +19,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,7 +29,7 @@ from .common import Runs, as_table, input_partitions, mix, slices, string_bytes,
 from .lyndon import spread, suffix_arrays
 
 _PLACE = np.uint64((1 << 28) - 1)
-_PART = "c1 long, c2 long, shift int, span int, n long"
+_PART = "c1 long, c2 long, shift int, span int, n long, lead int"
 
 
 def _strided(data: np.ndarray) -> np.ndarray:
@@ -50,13 +51,13 @@ def _ranked(grams: np.ndarray) -> np.ndarray:
 
 
 def segments(data: np.ndarray, offsets: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, ...]:
-    """Anchor hash, first and last window start and text number of every segment.
-    ``gram``: 8, 16, 32, ..., at most the window."""
+    """Anchor hash, first and last window start, place of the anchor and text number of
+    every segment. ``gram``: 8, 16, 32, ..., at most the window."""
     none = np.empty(0, np.int64)
     length = np.diff(offsets)
     fits = np.maximum(length - window + 1, 0)
     if not fits.any():
-        return none.astype(np.uint64), none, none, none
+        return none.astype(np.uint64), none, none, none, none
     grams = _grams(data, gram)
     least = _ranked(grams)
     have, wide = 1, window - gram + 1
@@ -67,7 +68,7 @@ def segments(data: np.ndarray, offsets: np.ndarray, window: int, gram: int) -> t
     start, owner = spread(offsets[:-1], fits)
     anchor = (least[start] & _PLACE).astype(np.int64)
     head = np.flatnonzero(np.concatenate(([True], (anchor[1:] != anchor[:-1]) | (owner[1:] != owner[:-1]))))
-    return grams[anchor[head]], start[head], start[np.append(head[1:], len(start)) - 1], owner[head]
+    return grams[anchor[head]], start[head], start[np.append(head[1:], len(start)) - 1], anchor[head], owner[head]
 
 
 def _names(data: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -77,30 +78,34 @@ def _names(data: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
 
 
 def _occurrences(texts: DataFrame, window: int, gram: int, most: int = 1_000_000) -> DataFrame:
-    """Anchor (h), name of the bytes (c1, c2), row and place of every segment."""
+    """Anchor (h), name of the bytes (c1, c2), row and place of every segment, and how far
+    behind its first window start the anchor is (lead)."""
 
     def run(batches):
         for batch in batches:
             data, offsets = string_bytes(batch.column(2))
             for i, j in slices(offsets, most):
                 part, offs = np.ascontiguousarray(data[offsets[i] : offsets[j]]), offsets[i : j + 1] - offsets[i]
-                h, first, last, owner = segments(part, offs, window, gram)
+                h, first, last, anchor, owner = segments(part, offs, window, gram)
                 if not len(h):
                     continue
                 name, rows = _names(part, first, last + window), pa.array(owner + i)
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(name[:, 0]), pa.array(name[:, 1]), batch.column(0).take(rows), batch.column(1).take(rows), pa.array((first - offs[owner]).astype(np.int32)), pa.array((last - offs[owner]).astype(np.int32))], ["h", "c1", "c2", "rk", "rl", "first", "last"])
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(name[:, 0]), pa.array(name[:, 1]), batch.column(0).take(rows), batch.column(1).take(rows), pa.array((first - offs[owner]).astype(np.int32)), pa.array((last - offs[owner]).astype(np.int32)), pa.array((anchor - first).astype(np.int32))], ["h", "c1", "c2", "rk", "rl", "first", "last", "lead"])
 
-    return texts.select("rk", "rl", "t").mapInArrow(run, "h long, c1 long, c2 long, rk long, rl int, first int, last int")
+    return texts.select("rk", "rl", "t").mapInArrow(run, "h long, c1 long, c2 long, rk long, rl int, first int, last int, lead int")
 
 
-def _strings(wanted: DataFrame, window: int, crowd: int, long: int = 4096) -> DataFrame:
+def _strings(wanted: DataFrame, window: int, gram: int, crowd: int, long: int = 4096) -> DataFrame:
     """The bytes of the wanted segments of each text. ``parts`` says which windows of the
     string belong to which segment; segments that are alone with their anchors and follow
-    each other share a string, up to ``long`` bytes or so."""
+    each other share a string, up to ``long`` bytes or so. Of others ``left`` and ``right``
+    are hashes of the bytes next to the anchor: two that share a window agree on one side
+    of it in half of what the window has beside the anchor (null: not so many bytes)."""
+    side = -(-(window - gram) // 2)
 
     def run(batches):
         for batch in batches:
-            routes, crowded, parts, data = [], [], [], []
+            routes, crowded, lefts, rights, parts, data = [], [], [], [], [], []
             for value, rows in zip(batch.column(0), batch.column(1)):
                 raw, runs = value.as_buffer(), []
                 for s in sorted(rows.as_py(), key=lambda s: s["first"]):
@@ -110,23 +115,41 @@ def _strings(wanted: DataFrame, window: int, crowd: int, long: int = 4096) -> Da
                         runs.append([s])
                 for own in runs:
                     a, b = own[0]["first"], own[-1]["last"] + window
+                    at = a + own[0]["lead"]
                     routes.append(own[0]["h"])
                     crowded.append(own[0]["k"] > crowd)
-                    parts.append([{"c1": s["c1"], "c2": s["c2"], "shift": s["first"] - a, "span": s["last"] - s["first"] + 1, "n": s["n"]} for s in own])
+                    lefts.append(_eight(raw[at - side : at]) if at - side >= a else None)
+                    rights.append(_eight(raw[at + gram : at + gram + side]) if at + gram + side <= b else None)
+                    parts.append([{"c1": s["c1"], "c2": s["c2"], "shift": s["first"] - a, "span": s["last"] - s["first"] + 1, "n": s["n"], "lead": s["lead"]} for s in own])
                     data.append(raw[a:b].to_pybytes())
-            yield pa.RecordBatch.from_arrays([pa.array(routes, pa.int64()), pa.array(crowded, pa.bool_()), pa.array(parts, _PARTS), pa.array(data, pa.binary())], ["route", "crowded", "parts", "data"])
+            yield pa.RecordBatch.from_arrays([pa.array(routes, pa.int64()), pa.array(crowded, pa.bool_()), pa.array(lefts, pa.int64()), pa.array(rights, pa.int64()), pa.array(parts, _PARTS), pa.array(data, pa.binary())], ["route", "crowded", "left", "right", "parts", "data"])
 
-    return wanted.mapInArrow(run, f"route long, crowded boolean, parts array<struct<{_typed(_PART)}>>, data binary")
+    return wanted.mapInArrow(run, f"route long, crowded boolean, left long, right long, parts array<struct<{_typed(_PART)}>>, data binary")
+
+
+def _eight(raw) -> int:
+    return int.from_bytes(xxhash.xxh3_64_digest(raw), "big", signed=True)
+
+
+def met(routes: np.ndarray, side: pa.ChunkedArray) -> np.ndarray:
+    """Which strings have the side's hash of another string of their route."""
+    key = side.fill_null(0).to_numpy()
+    have = np.flatnonzero(side.is_valid().to_numpy())
+    order = have[np.lexsort((key[have], routes[have]))]
+    same = (routes[order][1:] == routes[order][:-1]) & (key[order][1:] == key[order][:-1])
+    out = np.zeros(len(key), bool)
+    out[order[1:][same]] = out[order[:-1][same]] = True
+    return out
 
 
 def _typed(fields: str) -> str:
     return ", ".join(f"{name}: {kind}" for name, kind in (f.split() for f in fields.split(", ")))
 
 
-_PARTS = pa.list_(pa.struct([("c1", pa.int64()), ("c2", pa.int64()), ("shift", pa.int32()), ("span", pa.int32()), ("n", pa.int64())]))
+_PARTS = pa.list_(pa.struct([("c1", pa.int64()), ("c2", pa.int64()), ("shift", pa.int32()), ("span", pa.int32()), ("n", pa.int64()), ("lead", pa.int32())]))
 
 
-def _blocks(asked: DataFrame, window: int, gram: int, size: int) -> DataFrame:
+def _blocks(asked: DataFrame, window: int, size: int) -> DataFrame:
     """Blocks of ``size`` window starts that a crowded segment has a part in, counted from
     its anchor; of the list ``blocks`` (``size`` * 4 wide), if there is one, only. k1, k2
     name the bytes that all windows of the block share, w1, w2 those that they cover (null
@@ -136,13 +159,12 @@ def _blocks(asked: DataFrame, window: int, gram: int, size: int) -> DataFrame:
         for batch in batches:
             out = [[] for _ in range(8)]
             for row in batch.to_pylist():
-                data = np.frombuffer(row["data"], np.uint8)
-                view, span = memoryview(data), row["span"]
-                zero = window - int(_ranked(_grams(data, gram)).argmin())  # of the first window start
+                view, span = memoryview(row["data"]), row["span"]
+                zero = window - row["lead"]  # of the first window start
                 within = range(zero // size, (zero + span - 1) // size + 1)
                 for b in within if row["blocks"] is None else [c for w in sorted(row["blocks"]) for c in range(4 * w, 4 * w + 4) if c in within]:
                     low, high = b * size - zero, b * size + size - 1 - zero
-                    core = xxhash.xxh3_128_digest(view[high : low + window], b)
+                    core = xxhash.xxh3_128_digest(view[high : max(high, low + window)], b)
                     whole = xxhash.xxh3_128_digest(view[low : high + window], b) if low >= 0 and high < span else None
                     two = np.frombuffer(core + (whole or bytes(16)), "<i8").tolist()
                     values = (row["c1"], row["c2"], row["n"], b, *two[:2], *(two[2:] if whole else (None, None)))
@@ -150,21 +172,10 @@ def _blocks(asked: DataFrame, window: int, gram: int, size: int) -> DataFrame:
                         c.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if i == 3 else pa.int64()) for i, c in enumerate(out)], ["c1", "c2", "n", "b", "k1", "k2", "w1", "w2"])
 
-    return asked.select("c1", "c2", "n", "span", "data", "blocks").mapInArrow(run, "c1 long, c2 long, n long, b int, k1 long, k2 long, w1 long, w2 long")
-
-
-def _zeros(crowds: DataFrame, window: int, gram: int) -> DataFrame:
-    """Where a segment's first window start stands, counted as in ``_blocks``."""
-
-    def run(batches):
-        for batch in batches:
-            at = [window - int(_ranked(_grams(np.frombuffer(x.as_buffer(), np.uint8), gram)).argmin()) for x in batch.column(3)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in range(3)), pa.array(at, pa.int32())], ["c1", "c2", "span", "zero"])
-
-    return crowds.select("c1", "c2", "span", "data").mapInArrow(run, "c1 long, c2 long, span int, zero int")
+    return asked.select("c1", "c2", "n", "span", "lead", "data", "blocks").mapInArrow(run, "c1 long, c2 long, n long, b int, k1 long, k2 long, w1 long, w2 long")
 
 
-def _crowded(crowds: DataFrame, window: int, gram: int) -> DataFrame:
+def _crowded(crowds: DataFrame, window: int) -> DataFrame:
     """(c1, c2, from, to) of the repeated windows of segments with a crowded anchor.
 
     Equal windows stand at one distance from their anchor, so they are in the same block
@@ -172,8 +183,8 @@ def _crowded(crowds: DataFrame, window: int, gram: int) -> DataFrame:
     that agree in those, all windows are repeated if they agree in all bytes of the block,
     none if there is one of them; else the block is cut in four, down to one window."""
     name, found, asked = ["c1", "c2"], None, crowds.withColumn("blocks", F.lit(None).cast("array<int>"))
-    for size in (16, 4, 1):
-        rows = as_table(_blocks(asked, window, gram, size), "crowded-blocks")
+    for size in (64, 16, 4, 1):
+        rows = as_table(_blocks(asked, window, size), "crowded-blocks")
         same = (F.count("w1") == F.count("*")) & (F.min("w1") == F.max("w1")) & (F.min("w2") == F.max("w2"))
         met = as_table(rows.groupBy("k1", "k2").agg(F.sum("n").alias("times"), same.alias("same")).filter("times > 1").select("k1", "k2", "same"), "crowded-cores")
         rows = rows.select(*name, "b", "k1", "k2").join(met, ["k1", "k2"])
@@ -182,8 +193,9 @@ def _crowded(crowds: DataFrame, window: int, gram: int) -> DataFrame:
         if size > 1:
             left = rows.filter("NOT same").groupBy(*name).agg(F.collect_set("b").alias("blocks"))
             asked = crowds.join(left, name)
-    near = found.groupBy(*name).agg(F.collect_list(F.struct("low", "high")).alias("own")).join(_zeros(crowds, window, gram), name)
-    return near.select(*name, F.explode("own").alias("x"), "zero").select(*name, (F.col("x.low") - F.col("zero")).alias("from"), (F.col("x.high") - F.col("zero")).alias("to"))
+    zero = F.lit(window) - F.col("lead")
+    near = found.groupBy(*name).agg(F.collect_list(F.struct("low", "high")).alias("own")).join(crowds.select(*name, "lead"), name)
+    return near.select(*name, F.explode("own").alias("x"), "lead").select(*name, (F.col("x.low") - zero).alias("from"), (F.col("x.high") - zero).alias("to"))
 
 
 def _agree(raw: np.ndarray, a: np.ndarray, b: np.ndarray, window: int) -> np.ndarray:
@@ -200,6 +212,8 @@ def repeated_windows(routes: np.ndarray, raw: np.ndarray, ends: np.ndarray, part
     """Strings ``raw[ends[i]:ends[i+1]]`` with a route each; part p is ``span[p]`` windows
     from ``shift[p]`` of string ``part_of[p]`` and occurs ``n[p]`` times. The (part, from,
     to) ranges of its windows that occur twice or more among the strings of one route."""
+    if not len(routes):
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
     order = np.argsort(routes, kind="stable")
     length = np.diff(ends)[order]
     old, piece = spread(ends[:-1][order], length)
@@ -239,23 +253,28 @@ def repeated_windows(routes: np.ndarray, raw: np.ndarray, ends: np.ndarray, part
 
 def _search(shards: DataFrame, window: int, most: int = 2_000_000) -> DataFrame:
     """Per partition, sorted by route: strings of as many routes at once as hold ``most``
-    bytes."""
+    bytes. A segment that occurs once and meets no other on either side of its anchor
+    shares no window, and is left out."""
 
     def run(batches):
         held, size = [], 0
 
         def settle(rows: pa.Table):
+            routes = rows["route"].to_numpy()
+            lists = rows["parts"].combine_chunks()
+            once = lists.flatten().field("n").to_numpy()[np.concatenate(([0], np.cumsum(pc.list_value_length(lists).to_numpy())))[:-1]] == 1
+            rows = rows.filter(pa.array(~once | met(routes, rows["left"]) | met(routes, rows["right"])))
             parts, width = rows["parts"].combine_chunks(), rows["data"].combine_chunks()
             raw, ends = string_bytes(width.cast(pa.large_binary()).view(pa.large_string()))
             flat = parts.flatten()
-            c1, c2, shift, span, n = (flat.field(k).to_numpy(zero_copy_only=False) for k in range(5))
+            c1, c2, shift, span, n = (flat.field(k).to_numpy(zero_copy_only=False) for k in ("c1", "c2", "shift", "span", "n"))
             counts = np.diff(parts.offsets.to_numpy())
             found, a, b = repeated_windows(rows["route"].to_numpy(), raw, ends, np.repeat(np.arange(len(counts)), counts), shift.astype(np.int64), span.astype(np.int64), n, window)
             return pa.RecordBatch.from_arrays([pa.array(c1[found]), pa.array(c2[found]), pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32))], ["c1", "c2", "from", "to"])
 
         for batch in batches:
             held.append(batch)
-            size += batch.column(2).nbytes
+            size += batch.column(4).nbytes
             if size < most:
                 continue
             rows = pa.Table.from_batches(held)
@@ -264,11 +283,11 @@ def _search(shards: DataFrame, window: int, most: int = 2_000_000) -> DataFrame:
             if cut:
                 yield settle(rows.slice(0, cut))
                 held = rows.slice(cut).to_batches()
-                size = sum(b.column(2).nbytes for b in held)
+                size = sum(b.column(4).nbytes for b in held)
         if held:
             yield settle(pa.Table.from_batches(held))
 
-    return shards.select("route", "parts", "data").mapInArrow(run, "c1 long, c2 long, from int, to int")
+    return shards.select("route", "left", "right", "parts", "data").mapInArrow(run, "c1 long, c2 long, from int, to int")
 
 
 def repeated_ranges(texts: DataFrame, window: int = 200, gram: int = 64, crowd: int = 128, shard_bytes: int = 4_000_000) -> DataFrame:
@@ -285,19 +304,19 @@ def repeated_ranges(texts: DataFrame, window: int = 200, gram: int = 64, crowd:
         # As a table of its own, so that the join below has two plain sides and a hot anchor can be split.
         again = as_table(found.groupBy("h").agg(F.count("*").alias("c")).filter("c > 1").select("h"), "anchors-again")
         repeated = as_table(found.join(again, "h"), "segments-again")
-        groups = as_table(repeated.groupBy("h", *name).agg(F.count("*").alias("n"), F.min(F.struct("rk", "rl", "first", "last")).alias("at")), "segments-distinct")
+        groups = as_table(repeated.groupBy("h", *name).agg(F.count("*").alias("n"), F.min(F.struct("rk", "rl", "first", "last", "lead")).alias("at")), "segments-distinct")
         kinds = groups.groupBy("h").agg(F.count("*").alias("k"))
-        lists = groups.join(kinds, "h").groupBy("at.rk", "at.rl").agg(F.collect_list(F.struct("h", *name, "n", "k", F.col("at.first").alias("first"), F.col("at.last").alias("last"))).alias("list"))
+        lists = groups.join(kinds, "h").groupBy("at.rk", "at.rl").agg(F.collect_list(F.struct("h", *name, "n", "k", F.col("at.first").alias("first"), F.col("at.last").alias("last"), F.col("at.lead").alias("lead"))).alias("list"))
         # One row of those that are repeated in full is enough.
         wanted = texts.join(lists, ["rk", "rl"]).dropDuplicates(["rk", "rl"]).select("t", "list")
-        strings = as_table(_strings(wanted, window, crowd), "strings")
+        strings = as_table(_strings(wanted, window, gram, crowd), "strings")
         crowds = as_table(strings.filter("crowded").select("data", F.explode("parts").alias("p")).select("data", "p.*"), "crowded-segments")
         every = strings.filter("NOT crowded")
         size = strings.agg(F.sum(F.octet_length("data"))).first()[0] or 0
         shards = every.repartition(max(input_partitions(texts), size // shard_bytes + 1), "route").sortWithinPartitions("route")
         hits = as_table(_search(shards, window), "segment-hits")
         # One row a segment, so that a hot one meets one row.
-        flagged = hits.unionByName(_crowded(crowds, window, gram)).groupBy(*name).agg(F.collect_set(F.struct("from", "to")).alias("own"))
+        flagged = hits.unionByName(_crowded(crowds, window)).groupBy(*name).agg(F.collect_set(F.struct("from", "to")).alias("own"))
         shifted = F.transform("own", lambda x: F.struct((F.col("first") + x["from"]).alias("from"), (F.col("first") + x["to"] + window).alias("to")))
         ranges = repeated.join(flagged, name).select("rk", "rl", shifted.alias("own"))
         # Rows that are repeated in full have one name and the same ranges: a set holds them once.
