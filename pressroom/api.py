@@ -48,18 +48,20 @@ def learned_terms(picks: DataFrame, stop: list[str], n: int = 15) -> DataFrame:
 
 
 # ------------------------------------------------------------------ library
-def ingest(candidates: DataFrame, ledger: DataFrame, shown: DataFrame, alias: DataFrame, most_bits: int = 6, least_side: int = 500, blocking: list[str] | None = None) -> DataFrame:
+def ingest(candidates: DataFrame, ledger: DataFrame, shown: DataFrame, alias: DataFrame, most_bits: int = 6, least_side: int = 500, blocking: list[str] | None = None, edge_bits: int = 5) -> DataFrame:
     """Decide on candidate pictures (asset, job, bits, w, h, marked, subject) against the
     ledger (asset, bits): too small, marked in the middle, a duplicate (of the ledger or of
     an earlier candidate; the kept asset is named and credited) or new, with tier and
-    canonical subject, also by the subjects of the ledger if it has them. ``shown`` is
-    (asset, job)."""
+    canonical subject, also by the subjects of the ledger if it has them. Where both have
+    the hashes of the edges (top, bottom), a picture that agrees in ``edge_bits`` of one is
+    a duplicate too. ``shown`` is (asset, job)."""
     known = ledger.select("asset").distinct()
     fresh = candidates.join(known, "asset", "left_anti")
     reason = F.when(F.least("w", "h") < least_side, "small").when(F.col("marked") == "middle", "marked")
     gated = fresh.withColumn("reason", reason)
-    pool = ledger.select(F.struct(F.lit(0).alias("o"), "asset").alias("k"), "bits").unionByName(gated.filter("reason IS NULL").select(F.struct(F.lit(1).alias("o"), "asset").alias("k"), "bits"))
-    same = library.first_match(pool, "k", "bits", most_bits).select(F.col("k.asset").alias("asset"), F.col("match.asset").alias("match"))
+    edges = [c for c in ("top", "bottom") if c in candidates.columns and c in ledger.columns]
+    pool = ledger.select(F.struct(F.lit(0).alias("o"), "asset").alias("k"), "bits", *edges).unionByName(gated.filter("reason IS NULL").select(F.struct(F.lit(1).alias("o"), "asset").alias("k"), "bits", *edges))
+    same = library.any_match(pool, "k", {"bits": most_bits} | dict.fromkeys(edges, edge_bits)).select(F.col("k.asset").alias("asset"), F.col("match.asset").alias("match"))
     subjects = candidates.select(F.col("subject").alias("name")).distinct()
     living = ledger.filter("subject IS NOT NULL").groupBy(F.col("subject").alias("name")).agg(F.count("*").alias("n")) if "subject" in ledger.columns else subjects.limit(0).withColumn("n", F.lit(0).cast("long"))
     names = library.canonical_names_full(subjects, alias, living, blocking or []).withColumnRenamed("name", "subject")

@@ -5,24 +5,34 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import fold_match
-
-
-def highlight_phrases(c: Column, strong: list[str], share: float = 0.45) -> Column:
-    """Up to two phrases to highlight: quoted ones of 3 to 28 letters, numbers with a
-    unit, strong words with the word after; the shortest only while they stay under a
-    share of the words."""
-    quoted = F.regexp_extract_all(c, F.lit("[\"“]([^\"“”]{3,28})[\"”]"), F.lit(1))
-    counted = F.regexp_extract_all(c, F.lit("(\\d+ (?:times|goals|years))"), F.lit(1))
-    strongs = F.regexp_extract_all(c, F.lit("(?i)\\b((?:" + "|".join(rf"\\Q{w}\\E" for w in strong) + ") \\S+)"), F.lit(1))
-    found = F.slice(F.array_distinct(F.concat(quoted, counted, strongs)), 1, 2)
-    words = F.size(F.split(F.trim(c), "\\s+"))
-    by_length = F.transform(F.sort_array(F.transform(found, lambda p: F.struct(F.length(p).alias("n"), p.alias("p")))), lambda s: s["p"])
+from ..functions.text import fold_match, strip_marks
+
+
+def highlight_phrases(c: Column, strong: list[str], before: list[str], units: list[str], share: float = 0.45) -> Column:
+    """Up to two phrases of a title to highlight, the first found of: quoted ones of 3 to
+    28 characters; scores (3-1) and numbers with one of ``units``; the first strong word
+    (a word that has one of ``strong`` in it), with the word to its left if that is among
+    ``before``, else with the one to its right. The shortest first they are kept while
+    their words stay within a share of the title's, one word at least."""
+    space = "[^ \\t\\n\\r\\f]+"
+    quoted = F.transform(F.regexp_extract_all(c, F.lit("[\"“”']([^\"“”']{3,28})[\"“”']"), F.lit(1)), F.trim)
+    counted = F.regexp_extract_all(c, F.lit("(?i)(\\b[0-9]+\\s*[-–]\\s*[0-9]+\\b|\\b[0-9]+\\s+(?:" + "|".join(f"\\Q{u}\\E" for u in units) + ")\\b)"), F.lit(1))
+    words = F.regexp_extract_all(c, F.lit(f"({space})"), F.lit(1))
+    bare = F.transform(words, lambda w: F.regexp_replace(F.lower(w), "^[,.:;!?\"“”']+|[,.:;!?\"“”']+$", ""))
+    single = [w for w in strong if len(w.split()) == 1]
+    hits = F.transform(bare, lambda w: F.exists(F.array(*[F.lit(k) for k in single]), lambda k: F.contains(w, k)))
+    i = F.array_position(hits, True).cast("int")
+    left = (i > 1) & F.coalesce(F.get(bare, i - 2).isin(*before), F.lit(False))
+    phrase = F.when(left, F.concat_ws(" ", F.get(words, i - 2), F.get(words, i - 1))).otherwise(F.concat_ws(" ", F.get(words, i - 1), F.get(words, i)))
+    strongest = F.when(i > 0, F.array(F.regexp_replace(phrase, "^[,.:;!?]+|[,.:;!?]+$", ""))).otherwise(F.array().cast("array<string>"))
+    found = F.slice(F.array_distinct(F.filter(F.concat(quoted, counted, strongest), lambda p: p != "")), 1, 2)
+    room = F.greatest(F.lit(1), F.floor(F.size(words) * share).cast("int"))
+    by_length = F.array_sort(F.transform(found, lambda p, n: F.struct(F.length(p).alias("l"), n.alias("n"), p.alias("p"))))
     start = F.struct(F.array().cast("array<string>").alias("kept"), F.lit(0).alias("used"))
 
-    def step(s: Column, p: Column) -> Column:
-        used = s["used"] + F.size(F.split(p, " "))
-        return F.when(used <= share * words, F.struct(F.array_append(s["kept"], p).alias("kept"), used.alias("used"))).otherwise(s)
+    def step(s: Column, x: Column) -> Column:
+        used = s["used"] + F.size(F.regexp_extract_all(x["p"], F.lit(f"({space})"), F.lit(1)))
+        return F.when(used <= room, F.struct(F.array_append(s["kept"], x["p"]).alias("kept"), used.alias("used"))).otherwise(s)
 
     return F.aggregate(by_length, start, step, lambda s: s["kept"])
 
@@ -32,16 +42,68 @@ def layout(title: Column, people: Column, teams: Column, pictures: Column) -> Co
     return F.when((teams >= 2) & (pictures >= 2), "versus").when(title.rlike("[0-9]+ ?- ?[0-9]+"), "score").when((people >= 1) & (pictures >= 2), "duo").when(people >= 1, "portrait").when(title.rlike("[?]"), "question").otherwise("plain")
 
 
-def blocks(c: Column, label: str = "(?m)^(?:scene|canh) *\\d+", most_words: int = 9) -> Column:
-    """Cut a free-form text at scene labels, else at blank lines, and keep the lines that
-    look like keywords: 3 to 90 letters, few words, no end of sentence."""
-    parts = F.when(c.rlike(label), F.split(c, f"(?=(?:{label}))")).otherwise(F.split(c, "\\n\\s*\\n"))
+#: Marks that may stand around a line.
+_MARKS = "`*_“”\"'"
 
-    def lines(p: Column) -> Column:
-        cleaned = F.transform(F.split(p, "\\n"), lambda x: F.regexp_replace(x, "^[ \\-*•]+|[ ]+$", ""))
-        return F.filter(cleaned, lambda x: F.length(x).between(3, 90) & (F.size(F.split(x, " +")) <= most_words) & ~x.rlike("[.!?]$|" + label))
 
-    return F.transform(F.filter(parts, lambda p: F.trim(p) != ""), lines)
+def _label(labels: list[str]) -> str:
+    return "[ \\t]*(?:#{1,4}[ \\t]*)?(?:\\*\\*)?[ \\t]*(?:" + "|".join(labels) + ")[ \\t]*\\d+"
+
+
+def blocks(c: Column, labels: list[str]) -> Column:
+    """Cut a free-form answer at its scene labels (a word of ``labels`` and a number at the
+    start of a line), else at lines that begin with a quotation, else at blank lines; what
+    gives fewer than two blocks is not taken. What stands before the first label or
+    quotation is no block."""
+
+    def cut(at: str) -> Column:
+        return F.filter(F.split(c, f"(?im)(?=^{at})"), lambda p: p.rlike(f"(?im)\\A{at}"))
+
+    named, quoted = cut(_label(labels)), cut("[ \\t]*[“\"'][^\"”\\n]{12,}")
+    spaced = F.filter(F.split(c, "\\n\\s*\\n\\s*\\n?"), lambda p: F.trim(p) != "")
+    return F.when(F.size(named) >= 2, named).when(F.size(quoted) >= 2, quoted).when(F.size(spaced) >= 2, spaced).otherwise(F.array(c))
+
+
+def block_keywords(block: Column, labels: list[str], headings: list[str], lead_in: str = "(?!)", most_words: int = 9) -> Column:
+    """The search keywords of a block, in order: listed lines (dash, dot, number), and bare
+    lines of ``most_words`` words at most without the punctuation of a sentence; 3 to 90
+    characters without the marks around them. ``headings`` alone on a line, labels,
+    quotations and lines that begin with ``lead_in`` are none."""
+    listed = "^\\s*(?:[-–—*•·]|\\d+[.)])\\s*(.+?)\\s*$"
+    heading = "(?i)^\\s*(?:" + "|".join(headings) + ")\\s*[:：]?\\s*$"
+
+    def one(line: Column) -> Column:
+        bare = F.trim(line)
+        story = (bare == "") | bare.rlike("^(?:[“\"'#]|\\*\\*)") | (F.size(F.split(bare, "\\s+")) > most_words) | bare.rlike("[.,;:?!…]") | bare.rlike(f"(?i)^{_label(labels)}")
+        text = F.when(line.rlike(listed), F.regexp_extract(line, listed, 1)).when(~story, bare)
+        return F.when(~line.rlike(heading) & ~line.rlike(f"(?i)^{_label(labels)}"), F.regexp_replace(F.regexp_replace(text, f"^[{_MARKS}]+|[{_MARKS}]+$", ""), "\\s*[:：]\\s*$", ""))
+
+    return F.filter(F.transform(F.split(block, "\\r?\\n"), one), lambda k: k.isNotNull() & F.length(k).between(3, 90) & ~k.rlike(f"(?i)^(?:{lead_in})"))
+
+
+def block_quote(block: Column) -> Column:
+    """The first quotation of 12 to 400 characters, or bold line; null if there is none."""
+    pattern = "(?m)[\"“”'’]([^\"“”]{12,400})[\"“”'’]|^\\*\\*(.{12,400})\\*\\*\\s*$"
+    return F.coalesce(F.nullif(F.regexp_extract(block, pattern, 1), F.lit("")), F.nullif(F.regexp_extract(block, pattern, 2), F.lit("")))
+
+
+def marked_language(c: Column) -> Column:
+    """Whether a keyword has a letter with a mark, or a barred d."""
+    return (strip_marks(c) != F.lower(c)) | F.contains(F.lower(c), F.lit("đ"))
+
+
+def parse_blocks(rows: DataFrame, key: str, text: str, labels: list[str], headings: list[str], lead_in: str = "(?!)") -> DataFrame:
+    """(key, block, quote, plain, marked, keywords): the blocks of each text with their
+    quotation, all keywords, and the longest without and with marked letters (the first of
+    equals, null if there is none). Blocks without a keyword are kept."""
+    each = rows.select(key, F.posexplode(blocks(F.col(text), labels)).alias("block", "_b"))
+    each = each.withColumn("keywords", block_keywords(F.col("_b"), labels, headings, lead_in))
+
+    def longest(of) -> Column:
+        ranked = F.transform(F.filter("keywords", of), lambda k, i: F.struct(F.length(k).alias("l"), (-i).alias("i"), k.alias("k")))
+        return F.array_max(ranked)["k"]
+
+    return each.select(key, "block", block_quote(F.col("_b")).alias("quote"), longest(lambda k: ~marked_language(k)).alias("plain"), longest(marked_language).alias("marked"), "keywords")
 
 
 def free_origins(regions: Column, margin: float = 0.22, crop: float = 0.5) -> Column:
@@ -139,22 +201,26 @@ def merged_candidates(sources: list[DataFrame], key: str, asset: str, order: str
 
 
 def scenes(rows: DataFrame, video: str, least: float = 1.0, most: float = 6.0) -> DataFrame:
-    """Scenes between the starts of sentences with a picture (start, picture, total):
-    one shorter than ``least`` joins the scene before, and its picture counts as lost."""
-    import pandas as pd
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("start")
-        total, out = float(pdf.total.iloc[0]), []
-        starts, pictures = pdf.start.tolist(), pdf.picture.tolist()
-        for s, e, p in zip(starts, [*starts[1:], total], pictures):
-            if out and e - s < least:
-                out[-1][1], out[-1][3] = e, out[-1][3] + 1
-            else:
-                out.append([s, e, p, 0])
-        return pd.DataFrame([(pdf[video].iloc[0], s, e, p, lost, e - s > most) for s, e, p, lost in out], columns=[video, "start", "end", "picture", "lost", "long"])
-
-    return rows.select(video, "start", "picture", "total").groupBy(video).applyInPandas(one, f"{video} long, start double, end double, picture long, lost long, long boolean")
+    """Scenes of a video cut at 0 and at the starts of its sentences with a picture (start,
+    picture, total): one shorter than ``least`` joins the scene before, and its picture
+    counts as lost; ``long`` marks those over ``most`` seconds. Before the first picture
+    there is a scene without one; of pictures that start together the least counts."""
+    starts = rows.filter(F.col("start") < F.col("total")).groupBy(video, "start").agg(F.min("picture").alias("picture"), F.max("total").alias("total"))
+    cuts = starts.groupBy(video).agg(F.max("total").alias("_total"), F.sort_array(F.collect_list(F.struct("start", "picture"))).alias("_c"))
+    kind = rows.schema["picture"].dataType.simpleString()
+    none = F.array(F.struct(F.lit(0.0).alias("start"), F.lit(None).cast(kind).alias("picture")))
+    cuts = cuts.withColumn("_c", F.when(F.col("_c")[0]["start"] > 0, F.concat(none, "_c")).otherwise(F.col("_c")))
+    ends = F.transform("_c", lambda x, i: F.struct(x["start"].alias("start"), F.coalesce(F.get(F.col("_c"), i + 1)["start"], F.col("_total")).alias("end"), x["picture"].alias("picture")))
+    start = F.array().cast(f"array<struct<start:double,end:double,picture:{kind},lost:bigint>>")
+
+    def step(out: Column, x: Column) -> Column:
+        last, n = F.element_at(out, -1), F.size(out)
+        joined = F.struct(last["start"].alias("start"), x["end"].alias("end"), last["picture"].alias("picture"), (last["lost"] + F.when(x["picture"].isNotNull(), 1).otherwise(0)).cast("long").alias("lost"))
+        own = F.struct(x["start"].alias("start"), x["end"].alias("end"), x["picture"].alias("picture"), F.lit(0).cast("long").alias("lost"))
+        return F.when((n > 0) & (x["end"] - x["start"] < least), F.concat(F.slice(out, F.lit(1), F.greatest(n - 1, F.lit(0))), F.array(joined))).otherwise(F.array_append(out, own))
+
+    done = cuts.select(video, ends.alias("_e")).select(video, F.explode(F.aggregate("_e", start, step)).alias("s"))
+    return done.select(video, "s.*", (F.col("s.end") - F.col("s.start") > most).alias("long"))
 
 
 def chop(rows: DataFrame, video: str, low: float = 3.0, high: float = 4.0, snap: float = 0.9, least: float = 1.2) -> DataFrame:

@@ -49,10 +49,28 @@ def mirror_diff(local: DataFrame, remote: DataFrame, last: DataFrame, share: flo
     return braked.select("path", "action", refused.alias("refused"))
 
 
-def upsert(ledger: DataFrame, changes: DataFrame, key: str, fields: list[str]) -> DataFrame:
-    """The ledger with non-null changes applied and new keys appended."""
-    c = changes.select(key, *[F.col(f).alias(f"_{f}") for f in fields])
-    return ledger.select(key, *fields).join(c, key, "full_outer").select(key, *[F.coalesce(f"_{f}", f).alias(f) for f in fields])
+def upsert(ledger: DataFrame, changes: DataFrame, key: str, fields: list[str], order: str | None = None, given: str | None = None) -> DataFrame:
+    """The ledger with changes applied and new keys appended; changes without a key are
+    dropped. A field of a change counts if it is not null, or, where ``given`` names a
+    column with the names of the fields a change brings, if it is among them: then a null
+    is a value, too. Several changes of one key are applied in the order of ``order``
+    (unique within a key); without it a key must not change twice."""
+    rows = changes.filter(F.col(key).isNotNull())
+    has = {f: F.coalesce(F.array_contains(given, f), F.lit(False)) if given else F.col(f).isNotNull() for f in fields}
+    if order:
+        c = rows.groupBy(key).agg(*[F.max_by(f, F.when(has[f], F.col(order))).alias(f"_{f}") for f in fields], *[F.bool_or(has[f]).alias(f"_has_{f}") for f in fields])
+    else:
+        c = rows.select(key, *[F.col(f).alias(f"_{f}") for f in fields], *[has[f].alias(f"_has_{f}") for f in fields])
+    return ledger.select(key, *fields).join(c, key, "full_outer").select(key, *[F.when(F.coalesce(f"_has_{f}", F.lit(False)), F.col(f"_{f}")).otherwise(F.col(f)).alias(f) for f in fields])
+
+
+def fold_lines(lines: DataFrame, line: str, order: str, key: str, fields: list[str]) -> DataFrame:
+    """``fold`` over JSON lines, told apart by what a line names: a field that a line gives
+    as null overrides, one that it does not name does not. All values are strings."""
+    body = lines.select(F.from_json(line, "map<string,string>").alias("_m"), order)
+    id_ = F.try_element_at("_m", F.lit(key))
+    rows = body.select(id_.alias(key), order, "_m").filter(F.col(key).isNotNull())
+    return rows.groupBy(key).agg(*[F.max_by(F.try_element_at("_m", F.lit(f)), F.when(F.map_contains_key("_m", f), F.col(order))).alias(f) for f in fields])
 
 
 def precedence_merge(machine: DataFrame, human: DataFrame, key: list[str], value: str) -> DataFrame:

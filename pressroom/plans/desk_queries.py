@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .. import api
 from ..functions import text as tx
 from ..operators import desk, ledgers, library
+from ..sources import pictures as sources
 from ..sources import readers
 from .ledger_queries import timed
 from .library_queries import _MATCH, _QUERIES, _SOFT, aliases, asked, assets, rarity_of
@@ -21,9 +22,16 @@ def x18_quoted_phrases(t: Tables) -> DataFrame:
     return t.pages.select("page_id", F.size(F.array_distinct(F.regexp_extract_all("html", F.lit('<a href="([^"]{3,28})">'), F.lit(1)))).cast("long").alias("n"))
 
 
-@query()
+@query(r"""WITH w AS (SELECT doc_id, list_transform(regexp_extract_all(text, '["“”'']([^"“”'']{3,28})["“”'']', 1), lambda x: trim(x, ' ')) AS quoted, regexp_extract_all(text, '(?i)(\b[0-9]+\s*[-–]\s*[0-9]+\b|\b[0-9]+\s+(?:items|tokens|words|years)\b)', 1) AS counted, regexp_extract_all(text, '([^ \t\n\r\f]+)', 1) AS w FROM documents WHERE text IS NOT NULL),
+  s AS (SELECT *, list_transform(w, lambda x: regexp_replace(lower(x), '^[,.:;!?"“”'']+|[,.:;!?"“”'']+$', '', 'g')) AS l FROM w), i AS (SELECT *, list_position(list_transform(l, lambda x: contains(x, 'ion') OR contains(x, 'sch') OR contains(x, 'qua')), true) AS i FROM s),
+  f AS (SELECT doc_id, w, list_filter(list_concat(list_concat(quoted, counted), CASE WHEN i IS NULL OR i = 0 THEN [] ELSE [regexp_replace(CASE WHEN i > 1 AND l[i - 1] IN ('the', 'le', 'der', 'el') THEN w[i - 1] || ' ' || w[i] WHEN i < len(w) THEN w[i] || ' ' || w[i + 1] ELSE w[i] END, '^[,.:;!?]+|[,.:;!?]+$', '', 'g')] END), lambda x: x <> '') AS f FROM i),
+  d AS (SELECT doc_id, w, f[1] AS a, list_filter(f, lambda x: x <> f[1])[1] AS b FROM f), r AS (SELECT doc_id, greatest(1, CAST(floor(len(w) * 0.45) AS INTEGER)) AS room, CASE WHEN b IS NOT NULL AND length(b) < length(a) THEN b ELSE a END AS a, CASE WHEN b IS NOT NULL AND length(b) < length(a) THEN a ELSE b END AS b FROM d),
+  n AS (SELECT *, len(regexp_extract_all(a, '([^ \t\n\r\f]+)', 1)) AS na, len(regexp_extract_all(b, '([^ \t\n\r\f]+)', 1)) AS nb FROM r), k AS (SELECT *, coalesce(na <= room, false) AS ka FROM n)
+  SELECT doc_id, array_to_string(list_filter([CASE WHEN ka THEN a END, CASE WHEN b IS NOT NULL AND nb + CASE WHEN ka THEN na ELSE 0 END <= room THEN b END], lambda x: x IS NOT NULL), '|') AS phrases FROM k""")
 def x18_highlight_phrases(t: Tables) -> DataFrame:
-    return t.documents.select("doc_id", F.explode(desk.highlight_phrases(F.col("text"), ["the", "le", "der", "el"])).alias("phrase"))
+    """Whole texts stand for titles here."""
+    found = desk.highlight_phrases(F.col("text"), ["ion", "sch", "qua", "two words"], ["the", "le", "der", "el"], ["items", "tokens", "words", "years"])
+    return t.documents.filter("text IS NOT NULL").select("doc_id", F.array_join(found, "|").alias("phrases"))
 
 
 @query(f"""WITH d AS (SELECT doc_id, {HEAD.format(n=10)} AS title, doc_id % 3 AS people, doc_id % 4 AS teams, doc_id % 5 AS pictures FROM documents)
@@ -33,9 +41,28 @@ def x19_layout_router(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", desk.layout(head(10), n % 3, n % 4, n % 5).alias("layout"))
 
 
-@query()
+LABELS, HEADINGS = ["scene", "part"], ["keywords?", "pictures?"]
+
+
+@query("""WITH w AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS block, string_split(trim(regexp_replace(text, '[^a-zA-Z]+', ' ', 'g')), ' ') AS w FROM conversations)
+  SELECT conv_id, CAST(block AS INTEGER) AS block, CASE WHEN conv_id % 3 < 2 THEN 'the line of turn ' || turn || ' ' || array_to_string(w[:8], ' ') END AS quote, 'a longer key ' || w[1] AS plain, 'đa ' || w[1] AS marked, 'key ' || w[1] || '|a longer key ' || w[1] || '|đa ' || w[1] AS keywords FROM w""")
 def x29_block_parser(t: Tables) -> DataFrame:
-    return t.documents.select("doc_id", F.posexplode(desk.blocks(F.col("text"))).alias("block", "lines")).select("doc_id", "block", F.size("lines").alias("n_lines"))
+    """An answer a conversation, in one of three forms: labelled blocks, quotations over
+    bare lines, and blank lines between lists."""
+    w = F.split(F.trim(F.regexp_replace("text", "[^a-zA-Z]+", " ")), " ")
+    turn, kind = F.col("turn").cast("string"), F.col("conv_id") % 3
+    quote = F.concat(F.lit('"the line of turn '), turn, F.lit(" "), F.array_join(F.slice(w, 1, 8), " "), F.lit('"\n'))
+    keys = lambda a, b: F.concat(F.lit(a + "key "), w[0], F.lit("\n" + b + "a longer key "), w[0], F.lit(":\n" + a + "đa "), w[0], F.lit("\n"))
+    listed, bare = keys("- ", "2. "), F.replace(keys("", "• "), F.lit(":\n"), F.lit("\n"))
+    text = F.when(kind == 0, F.concat(F.lit("**SCENE "), turn, F.lit("**\n"), quote, F.lit("Keywords:\n"), listed, F.lit("This is, of course, told in a sentence.\n"))).when(kind == 1, F.concat(quote, F.lit("\n"), bare)).otherwise(F.concat(listed, F.lit("\n\n")))
+    answers = t.conversations.select("conv_id", "turn", text.alias("text")).groupBy("conv_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("turn", "text"))), lambda s: s["text"]), "").alias("text"))
+    return desk.parse_blocks(answers, "conv_id", "text", LABELS, HEADINGS).withColumn("keywords", F.array_join("keywords", "|"))
+
+
+@query()
+def x29_blocks_of_documents(t: Tables) -> DataFrame:
+    """Texts as they are: few have blocks."""
+    return desk.parse_blocks(t.documents.filter("text IS NOT NULL"), "doc_id", "text", LABELS, HEADINGS).select("doc_id", "block", F.size("keywords").alias("n_lines"))
 
 
 @query("""WITH r AS (SELECT l_orderkey, max(CASE WHEN l_discount + l_tax <= 0.22 THEN l_discount + l_tax END) AS low FROM lineitem GROUP BY 1) SELECT l_orderkey, round(coalesce(low, 0.0), 6) AS low, 0.5 AS high FROM r""")
@@ -108,6 +135,34 @@ def a22_frame_labels(t: Tables) -> DataFrame:
     return rows.groupBy("conv_id").agg(F.max(F.when(F.col("turn") == F.floor(F.col("n") / 2), F.length("text"))).alias("middle"), F.bool_or((F.col("role") == "assistant") & (F.length("text") > 900)).alias("rejected"))
 
 
+_PIXELS = "p AS MATERIALIZED (SELECT vec_id, i % 8 AS x, i // 8 AS y, CAST(greatest(0, least(255, floor((v[i + 1] * 2 + 0.5) * 255))) AS BIGINT) AS r, CAST(greatest(0, least(255, floor((v[(i + 9) % 64 + 1] * 2 + 0.5) * 255))) AS BIGINT) AS g, CAST(CASE WHEN vec_id % 4 = 0 THEN 0 ELSE greatest(0, least(255, floor((v[i + 1] + 0.5) * 255))) END AS BIGINT) AS b FROM (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings), range(64) t(i))"
+
+
+def pixels(t: Tables) -> DataFrame:
+    """Each vector as a picture of 8 x 8 pixels."""
+    byte = lambda c: F.greatest(F.lit(0), F.least(F.lit(255), F.floor(c * 255)))
+    v, i = F.transform("embedding", lambda x: x.cast("double")), F.col("i")
+    rows = t.embeddings.select("vec_id", v.alias("v"), F.explode(F.sequence(F.lit(0), F.lit(63))).alias("i"))
+    at = lambda k: F.element_at("v", (k + 1).cast("int"))
+    return rows.select("vec_id", (i % 8).alias("x"), F.floor(i / 8).alias("y"), byte(at(i) * 2 + 0.5).alias("r"), byte(at((i + 9) % 64) * 2 + 0.5).alias("g"), F.when(F.col("vec_id") % 4 == 0, 0).otherwise(byte(at(i) + 0.5)).alias("b"))
+
+
+@query(f"""WITH {_PIXELS}, c AS (SELECT vec_id, r // 32 * 64 + g // 32 * 8 + b // 32 AS colour, count(*) AS n FROM p GROUP BY 1, 2), s AS (SELECT vec_id, sum(n) FILTER (k <= 8) / sum(n) AS share FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY n DESC, colour) AS k FROM c) GROUP BY 1),
+  l AS MATERIALIZED (SELECT vec_id, x, y, (299 * r + 587 * g + 114 * b) // 1000 AS l FROM p), e AS (SELECT m.vec_id, sum(CASE WHEN abs(ri.l - le.l) + abs(dn.l - up.l) > 120 THEN 1 ELSE 0 END) / count(*) AS edges FROM l m JOIN l le ON le.vec_id = m.vec_id AND le.y = m.y AND le.x = m.x - 1 JOIN l ri ON ri.vec_id = m.vec_id AND ri.y = m.y AND ri.x = m.x + 1 JOIN l up ON up.vec_id = m.vec_id AND up.x = m.x AND up.y = m.y - 1 JOIN l dn ON dn.vec_id = m.vec_id AND dn.x = m.x AND dn.y = m.y + 1 GROUP BY 1)
+  SELECT vec_id, round(share, 6) AS share, round(edges, 6) AS edges, share >= 0.80 OR share >= 0.55 AND edges >= CASE WHEN share >= 0.65 THEN 0.07 ELSE 0.10 END AS graphic FROM s JOIN e USING (vec_id)""")
+def a20_colour_profile(t: Tables) -> DataFrame:
+    return sources.colour_profile(pixels(t), "vec_id").withColumn("share", F.round("share", 6)).withColumn("edges", F.round("edges", 6))
+
+
+@query("""WITH p AS (SELECT vec_id, list_transform(range(72), lambda i: CAST(floor((CAST(embedding[i % 64 + 1] AS DOUBLE) + 1) * 127) AS BIGINT)) AS v FROM embeddings), h AS (SELECT vec_id, list_transform(range(64), lambda k: v[k // 8 * 9 + k % 8 + 1] > v[k // 8 * 9 + k % 8 + 2]) AS b FROM p)
+  SELECT vec_id, lower(array_to_string(list_transform(range(16), lambda n: substr('0123456789abcdef', 1 + CAST(list_sum(list_transform(range(4), lambda j: CASE WHEN b[4 * n + j + 1] THEN 8 >> CAST(j AS INTEGER) ELSE 0 END)) AS INTEGER), 1)), '')) AS bits FROM h""")
+def src8_picture_hashes(t: Tables) -> DataFrame:
+    """Each vector as a grey picture of 9 x 8 pixels, in the form of the image source."""
+    byte = F.transform(F.sequence(F.lit(0), F.lit(71)), lambda i: F.lpad(F.hex(F.floor((F.element_at("embedding", (i % 64 + 1).cast("int")).cast("double") + 1) * 127)), 2, "0"))
+    rows = t.embeddings.select(F.col("vec_id").cast("string").alias("origin"), F.lit(8).alias("height"), F.lit(9).alias("width"), F.lit(1).alias("nChannels"), F.unhex(F.array_join(byte, "")).alias("data"))
+    return sources.difference_hashes(rows).select(F.col("origin").cast("long").alias("vec_id"), F.lower(F.lpad(F.hex("bits"), 16, "0")).alias("bits"))
+
+
 @query("""SELECT c.conv_id, c.turn, coalesce(d.source, c.role) AS subject FROM conversations c LEFT JOIN documents d ON d.doc_id = c.conv_id * 10 + c.turn AND d.lang = 'en'""")
 def a23_pair_harvest(t: Tables) -> DataFrame:
     lib = t.documents.filter("lang = 'en'").select(F.col("doc_id").alias("asset"), "source")
@@ -177,10 +232,15 @@ def q8_split_frames(t: Tables) -> DataFrame:
     return rows.filter("other IS NOT NULL AND event_type <> 'error' AND value >= 40 AND v2 >= 40 AND value <> v2").select("event_id", "other")
 
 
-@query()
+@query("""WITH RECURSIVE p AS (SELECT user_id, (event_id * 37 % 700) / 10.0 AS start, min(event_id) AS picture FROM events GROUP BY 1, 2 HAVING start < 60), z AS (SELECT user_id, start, picture FROM p UNION ALL SELECT user_id, 0.0, NULL FROM p GROUP BY 1 HAVING min(start) > 0),
+  c AS MATERIALIZED (SELECT user_id, CAST(start AS DOUBLE) AS start, CAST(lead(start, 1, 60.0) OVER w AS DOUBLE) AS fin, picture, row_number() OVER w AS n FROM z WINDOW w AS (PARTITION BY user_id ORDER BY start)),
+  r AS (SELECT user_id, n, start, fin, picture, CAST(0 AS BIGINT) AS lost, CAST(1 AS BIGINT) AS scene FROM c WHERE n = 1
+    UNION ALL SELECT c.user_id, c.n, CASE WHEN j THEN r.start ELSE c.start END, c.fin, CASE WHEN j THEN r.picture ELSE c.picture END, CASE WHEN j THEN r.lost + CASE WHEN c.picture IS NULL THEN 0 ELSE 1 END ELSE 0 END, r.scene + CASE WHEN j THEN 0 ELSE 1 END FROM r JOIN (SELECT *, fin - start < 1.0 AS j FROM c) c ON c.user_id = r.user_id AND c.n = r.n + 1)
+  SELECT user_id, round(max(start), 6) AS start, round(max(fin), 6) AS "end", max(picture) AS picture, max(lost) AS lost, max(fin) - max(start) > 6 AS long FROM r GROUP BY user_id, scene""")
 def p2_scenes(t: Tables) -> DataFrame:
-    rows = timed(t).filter("picture IS NOT NULL").select("conv_id", "start", "picture", F.lit(60.0).alias("total"))
-    return desk.scenes(rows, "conv_id")
+    """A picture an event, at tenths of a second."""
+    rows = t.events.select("user_id", (F.col("event_id") * 37 % 700 / 10.0).alias("start"), F.col("event_id").alias("picture"), F.lit(60.0).alias("total"))
+    return desk.scenes(rows, "user_id").withColumn("start", F.round("start", 6)).withColumn("end", F.round("end", 6))
 
 
 @query()

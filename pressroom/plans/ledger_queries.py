@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..operators import ledgers, timeline
+from ..scratch import shared_folder
+from ..sources.versions import Versioned
 from .registry import Tables, query
 
 NOW = "2024-01-31 00:00:00"
@@ -27,6 +29,28 @@ def a11_ledger_fold(t: Tables) -> DataFrame:
     return ledgers.fold(rows, "user_id", "event_id", ["event_type", "k"])
 
 
+@query("""WITH e AS (SELECT user_id, event_id, CASE WHEN event_id % 5 = 0 THEN NULL ELSE event_type END AS kind, event_id % 3 <> 1 AS has_kind, CAST(json_extract_string(props, '$.k') AS VARCHAR) AS k, event_id % 4 = 2 AS has_k FROM events)
+  SELECT CAST(user_id AS VARCHAR) AS user_id, (SELECT kind FROM e x WHERE x.user_id = e.user_id AND has_kind ORDER BY event_id DESC LIMIT 1) AS kind, (SELECT k FROM e x WHERE x.user_id = e.user_id AND has_k ORDER BY event_id DESC LIMIT 1) AS k FROM e GROUP BY user_id""")
+def a11_lines_with_nulls(t: Tables) -> DataFrame:
+    """A line that gives a field as null clears it; one that leaves it out does not."""
+    text = F.concat(F.lit('{"user_id":"'), "user_id", F.lit('"'))
+    text = F.concat(text, F.when(F.col("event_id") % 3 == 1, "").when(F.col("event_id") % 5 == 0, ',"kind":null').otherwise(F.concat(F.lit(',"kind":"'), "event_type", F.lit('"'))))
+    text = F.concat(text, F.when(F.col("event_id") % 4 == 2, F.concat(F.lit(',"k":"'), F.get_json_object("props", "$.k"), F.lit('"'))).otherwise(""), F.lit("}"))
+    return ledgers.fold_lines(t.events.select(text.alias("line"), "event_id"), "line", "event_id", "user_id", ["kind", "k"])
+
+
+@query("""WITH c AS (SELECT p_partkey, max(k) FILTER (has) AS k, bool_or(has) AS has FROM (SELECT event_id % 300 AS p_partkey, event_id AS k, event_id % 3 > 0 AS has FROM events) GROUP BY 1), l AS (SELECT c.p_partkey, CASE WHEN has THEN CASE WHEN c.k % 3 = 2 THEN NULL ELSE 'k' || c.k END ELSE p.p_name END AS name FROM part p JOIN c USING (p_partkey) UNION ALL SELECT p_partkey, p_name FROM part WHERE p_partkey NOT IN (SELECT p_partkey FROM c) UNION ALL SELECT c.p_partkey, CASE WHEN has AND c.k % 3 <> 2 THEN 'k' || c.k END FROM c WHERE p_partkey NOT IN (SELECT p_partkey FROM part))
+  SELECT p_partkey, name FROM l""")
+def snk3_versioned_upsert(t: Tables) -> DataFrame:
+    """Parts are written as a version, then changed by events, some of which clear a name."""
+    at = Versioned(t.spark, shared_folder(t.spark, "versions"))
+    at.write(t.part.select("p_partkey", F.col("p_name").alias("name")))
+    name = F.when(F.col("event_id") % 3 == 1, F.concat(F.lit("k"), "event_id"))
+    given = F.when(F.col("event_id") % 3 > 0, F.array(F.lit("name"))).otherwise(F.array().cast("array<string>"))
+    at.upsert(t.events.select((F.col("event_id") % 300).alias("p_partkey"), name.alias("name"), given.alias("given"), "event_id"), "p_partkey", ["name"], "event_id", "given")
+    return at.read()
+
+
 @query("""SELECT event_type, value AS median, n FROM (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) AS r, count(*) OVER (PARTITION BY event_type) AS n FROM events) WHERE r = n // 2 + 1""")
 def a9_upper_median(t: Tables) -> DataFrame:
     return ledgers.upper_median(t.events, "event_type", "value")

@@ -167,18 +167,9 @@ def x37_slot_values(t: Tables) -> DataFrame:
 
 @query("""SELECT doc_id, cum.n AS n_tags, cum.used AS used FROM (SELECT doc_id, (SELECT struct_pack(n := count(*), used := coalesce(sum(length(tag) + 2), 0)) FROM (
     SELECT tag, pos, sum(length(tag) + 2) OVER (ORDER BY pos) AS run FROM (SELECT min_by(tag, pos) AS tag, min(pos) AS pos FROM (SELECT unnest(l) AS tag, generate_subscripts(l, 1) AS pos) GROUP BY lower(tag))) WHERE run <= 490) AS cum
-  FROM (SELECT doc_id, flatten(list_transform(list_filter(list_transform(string_split_regex(replace(array_to_string(list_slice(string_split(text, ' '), 1, 80), ' '), ',', ';'), '[/|;]'), lambda x: regexp_replace(x, '^[ .,;:\\-]+|[ .,;:\\-]+$', '', 'g')), lambda x: length(x) > 0 AND length(x) <= 60), lambda x: [x, replace(strip_accents(lower(x)), 'đ', 'd')])) AS l FROM documents))""")
+  FROM (SELECT doc_id, flatten(list_transform(list_filter(list_transform(string_split_regex(replace(text, ',', ';'), '[/|;]'), lambda x: regexp_replace(x, '^[ .,;:\\-]+|[ .,;:\\-]+$', '', 'g')), lambda x: length(x) > 0 AND length(x) <= 60), lambda x: [x, replace(strip_accents(lower(x)), 'đ', 'd')])) AS l FROM documents))""")
 def x6_tags(t: Tables) -> DataFrame:
-    return tag_counts(t, head(80))
-
-
-@query()
-def x6_tags_whole(t: Tables) -> DataFrame:
-    return tag_counts(t, F.col("text"))
-
-
-def tag_counts(t: Tables, text: Column) -> DataFrame:
-    tags = tx.tag_list(F.replace(text, F.lit(","), F.lit(";")))
+    tags = tx.tag_list(F.replace(F.col("text"), F.lit(","), F.lit(";")))
     rows = t.documents.select("doc_id", tags.alias("tags"))
     return rows.select("doc_id", F.size("tags").cast("long").alias("n_tags"), F.aggregate("tags", F.lit(0).cast("long"), lambda a, x: a + F.length(x) + 2).alias("used"))
 

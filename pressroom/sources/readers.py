@@ -92,29 +92,6 @@ def listing(rows: DataFrame, path: str, size: str, most: int) -> DataFrame:
     return rows.filter(~name.rlike("^\\._|^\\.DS_Store$|^Thumbs\\.db$") & ~(video & (F.col(size) > most)))
 
 
-def image_hashes(spark: SparkSession, path: str) -> DataFrame:
-    """Difference hash of every picture that Spark's image source can decode: luminance,
-    shrunk by box means to 9 x 8, each pixel against its right neighbour."""
-    import pandas as pd
-
-    rows = spark.read.format("image").option("dropInvalid", True).load(path).select("image.origin", "image.height", "image.width", "image.nChannels", "image.data")
-
-    def run(batches):
-        import numpy as np
-
-        for pdf in batches:
-            out = []
-            for origin, h, w, c, data in pdf.itertuples(index=False):
-                grey = np.frombuffer(data, np.uint8).reshape(h, w, c)[:, :, : min(c, 3)].mean(2)
-                ys, xs = np.linspace(0, h, 9).astype(int), np.linspace(0, w, 10).astype(int)
-                small = np.array([[grey[a : max(b, a + 1), p : max(q, p + 1)].mean() for p, q in zip(xs[:-1], xs[1:])] for a, b in zip(ys[:-1], ys[1:])])
-                bits = int("".join("1" if x else "0" for x in (small[:, :-1] > small[:, 1:]).ravel()), 2)
-                out.append((origin, bits - (1 << 64) if bits >> 63 else bits))
-            yield pd.DataFrame(out, columns=["origin", "bits"])
-
-    return rows.mapInPandas(run, "origin string, bits long")
-
-
 def write_day(board: DataFrame, path: str, day: str = "day") -> None:
     """One partition per day; only the days at hand are overwritten."""
     board.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(day).json(path)

@@ -278,8 +278,8 @@ def test_a_draft_has_eight_slots_a_video(spark, tmp_path):
 def test_gate_and_tags_read_whole_texts(spark, late):
     run = lambda name: catalog.QUERIES[name](spark, late).collect()
     assert {r.doc_id: r.factor for r in run("j15_team_gate")} == {1: 0.4, 2: 1.0}
-    assert {r.doc_id: r.n_tags for r in run("x6_tags_whole")}[1] > 0 == {r.doc_id: r.n_tags for r in run("x6_tags")}[1]
-    assert "late goal" in {r.phrase for r in run("x18_highlight_phrases")}
+    assert {r.doc_id: r.n_tags for r in run("x6_tags")}[1] > 0
+    assert any("late goal" in r.phrases for r in run("x18_highlight_phrases"))
 
 
 def test_bonus_reads_whole_past_texts(spark, tmp_path):
