@@ -3,32 +3,25 @@ access to the bytes behind Arrow string columns, and vectorised hashing of words
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from ..scratch import drop_folder, shared_folder
 
-_scopes: list[list[str]] = []
+
+#: The open scopes of working tables, innermost last; each thread has its own.
+_scopes: ContextVar[tuple[list[str], ...]] = ContextVar("working_tables", default=())
 
 
 def scratch(spark: SparkSession, name: str, keep: bool = False) -> str:
-    """A new folder name below ``spark.checkpoint.dir``, which all executors share.
-    Inside ``working_tables`` the folder is dropped at the end, unless ``keep``.
-
-    Only where the session has no such setting and runs on one machine (tests) is a
-    temporary folder chosen and set; a cluster must name its folder."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="pressroom-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    scopes = _scopes[:-1] if keep else _scopes
+    """A new folder name below ``spark.checkpoint.dir``, which all executors share. Inside
+    ``working_tables`` the folder is dropped at the end, unless ``keep``."""
+    path = shared_folder(spark, name)
+    scopes = _scopes.get()[:-1] if keep else _scopes.get()
     if scopes:
         scopes[-1].append(path)
     return path
@@ -46,13 +39,14 @@ def as_table(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
 @contextmanager
 def working_tables(spark: SparkSession):
     """Tables that are written inside, and not kept, are deleted on the way out."""
-    _scopes.append([])
+    own: list[str] = []
+    mark = _scopes.set((*_scopes.get(), own))
     try:
         yield
     finally:
-        for path in _scopes.pop():
-            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+        _scopes.reset(mark)
+        for path in own:
+            drop_folder(spark, path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -117,7 +117,9 @@ def near_vectors(rows: DataFrame, cosine: float = 0.93, blocks: int = 8, crowd:
     sound = F.col(key).isNotNull() & F.col(label).isNotNull() & F.col(vector).isNotNull() & F.forall(vector, lambda x: x.isNotNull() & (F.abs(x.cast("double")) < float("inf"))) & F.exists(vector, lambda x: x != 0)
     own = rows.select(F.col(key).alias("vec_id"), F.col(label).alias("label"), v.alias("v"), F.coalesce(sound, F.lit(False)).alias("sound"))
     good = own.filter("sound")
-    reps = as_table(good.groupBy("label", "v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("c")), "vectors")
+    # Classes of equal vectors are numbered as they are written: once, whatever is read again later.
+    classes = good.groupBy("label", "v").agg(F.min("vec_id").alias("least"), F.count("*").alias("c"))
+    reps = as_table(classes.withColumn("rep", F.monotonically_increasing_id()), "vectors")
     label_type = rows.schema[label].dataType
 
     def placed(batches):
@@ -213,8 +215,11 @@ def near_vectors(rows: DataFrame, cosine: float = 0.93, blocks: int = 8, crowd:
     found = as_table(grouped.applyInArrow(compare, "rep long, links long, low long"), "vector-links")
     labels = components(found.select(F.col("rep").alias("a"), F.col("low").alias("b")))
     sums = found.groupBy("rep").agg(F.sum("links").alias("links"))
-    nodes = reps.join(sums, "rep", "left").join(labels, reps["rep"] == labels["node"], "left")
-    nodes = nodes.select(reps["label"], "v", (F.col("c") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce(labels["label"], F.col("rep")).alias("component_id"))
+    of = labels.select(F.col("node").alias("rep"), F.col("label").alias("part"))
+    nodes = as_table(reps.join(sums, "rep", "left").join(of, "rep", "left").select("label", "v", "least", (F.col("c") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("part", "rep").alias("part")), "vector-classes")
+    # A component is named by the least id of its vectors; those of one class have their own.
+    named = nodes.join(of.select("part").distinct(), "part", "left_semi").groupBy("part").agg(F.min("least").alias("name"))
+    nodes = nodes.join(named, "part", "left").select("label", "v", "n_links", F.coalesce("name", "least").alias("component_id"))
     joined = good.select("vec_id", "label", "v").join(nodes, ["label", "v"]).select("vec_id", "n_links", "component_id")
     alone = own.filter(~F.col("sound")).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     out = joined.unionByName(alone)

@@ -354,6 +354,36 @@ def test_embedding_dedup(spark, vectors, crowd):
     assert embed_dedup.near_vectors(spark.createDataFrame([], VECTORS)).count() == 0
 
 
+def test_repeated_vector_ids_count_by_row(spark):
+    rows = [(5, [1.0, 0.0, 0.0, 0.0]), (5, [0.0, 1.0, 0.0, 0.0]), (6, [1.0, 0.01, 0.0, 0.0]), (7, [0.01, 1.0, 0.0, 0.0]), (8, [0.0, 1.0, 0.01, 0.0]), (9, [0.0, 0.0, 0.0, 1.0]), (3, [0.0, 0.0, 0.01, 1.0]), (9, [0.0, 0.0, 0.0, 1.0])]
+    got = embed_dedup.near_vectors(spark.createDataFrame([(k, v, 1) for k, v in rows], VECTORS)).collect()
+    assert Counter((r.vec_id, r.n_links, r.component_id, r.kept) for r in got) == Counter([(5, 1, 5, True), (5, 2, 5, True), (6, 1, 5, False), (7, 2, 5, False), (8, 2, 5, False), (9, 2, 3, False), (9, 2, 3, False), (3, 2, 3, True)])
+
+
+def test_scopes_of_two_threads(spark):
+    import threading
+
+    from pressroom.llm import common
+
+    ready, go, kept = threading.Event(), threading.Event(), {}
+
+    def other():
+        with common.working_tables(spark):
+            kept["rows"] = common.as_table(spark.range(3), "thread")
+            ready.set()
+            go.wait(60)
+            kept["n"] = kept["rows"].count()
+
+    thread = threading.Thread(target=other)
+    with common.working_tables(spark):
+        thread.start()
+        assert ready.wait(60)
+        common.as_table(spark.range(2), "main")
+    go.set()
+    thread.join()
+    assert kept["n"] == 3
+
+
 @pytest.mark.parametrize("block", [40, 4096])
 def test_top_k(spark, vectors, block):
     twice = vectors.unionByName(vectors.filter("vec_id in (100, 200, 8100, 7)")).unionByName(vectors.filter("vec_id = 300").withColumn("embedding", F.transform("embedding", lambda x: -x)))
