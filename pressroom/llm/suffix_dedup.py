@@ -151,7 +151,7 @@ _PARTS = pa.list_(pa.struct([("c1", pa.int64()), ("c2", pa.int64()), ("shift", p
 
 def _blocks(asked: DataFrame, window: int, size: int) -> DataFrame:
     """Blocks of ``size`` window starts that a crowded segment has a part in, counted from
-    its anchor; of the list ``blocks`` (``size`` * 4 wide), if there is one, only. k1, k2
+    its anchor; of the list ``blocks`` (twice as wide), if there is one, only. k1, k2
     name the bytes that all windows of the block share, w1, w2 those that they cover (null
     if the segment does not hold them all)."""
 
@@ -162,7 +162,7 @@ def _blocks(asked: DataFrame, window: int, size: int) -> DataFrame:
                 view, span = memoryview(row["data"]), row["span"]
                 zero = window - row["lead"]  # of the first window start
                 within = range(zero // size, (zero + span - 1) // size + 1)
-                for b in within if row["blocks"] is None else [c for w in sorted(row["blocks"]) for c in range(4 * w, 4 * w + 4) if c in within]:
+                for b in within if row["blocks"] is None else [c for w in sorted(row["blocks"]) for c in (2 * w, 2 * w + 1) if c in within]:
                     low, high = b * size - zero, b * size + size - 1 - zero
                     core = xxhash.xxh3_128_digest(view[high : max(high, low + window)], b)
                     whole = xxhash.xxh3_128_digest(view[low : high + window], b) if low >= 0 and high < span else None
@@ -181,9 +181,9 @@ def _crowded(crowds: DataFrame, window: int) -> DataFrame:
     Equal windows stand at one distance from their anchor, so they are in the same block
     of window starts and agree in the bytes that the block's windows share. Of the segments
     that agree in those, all windows are repeated if they agree in all bytes of the block,
-    none if there is one of them; else the block is cut in four, down to one window."""
+    none if there is one of them; else the block is halved, down to one window."""
     name, found, asked = ["c1", "c2"], None, crowds.withColumn("blocks", F.lit(None).cast("array<int>"))
-    for size in (64, 16, 4, 1):
+    for size in (64, 32, 16, 8, 4, 2, 1):
         rows = as_table(_blocks(asked, window, size), "crowded-blocks")
         same = (F.count("w1") == F.count("*")) & (F.min("w1") == F.max("w1")) & (F.min("w2") == F.max("w2"))
         met = as_table(rows.groupBy("k1", "k2").agg(F.sum("n").alias("times"), same.alias("same")).filter("times > 1").select("k1", "k2", "same"), "crowded-cores")
