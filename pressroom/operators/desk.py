@@ -173,21 +173,21 @@ def balance(rows: DataFrame, video: str, style: str, ratio: str, order: str, sha
 
 def capped_first_seen(rows: DataFrame, video: str, sentence: str, rank: str, url: str, cap: int) -> DataFrame:
     """URLs per sentence, each once per video in the order of sentences, at most ``cap``
-    per sentence; one cut off by the cap is still free for later sentences. Each video's
-    list is short."""
-    import pandas as pd
+    per sentence; one cut off by the cap is still free for later sentences. A video's list
+    is folded in order; of an address that a sentence repeats its first rank counts."""
+    one = rows.groupBy(video, sentence, url).agg(F.min(rank).alias("_r"))
+    lists = one.groupBy(video, sentence).agg(F.transform(F.sort_array(F.collect_list(F.struct("_r", url))), lambda x: x[url]).alias("_u"))
+    script = lists.groupBy(video).agg(F.sort_array(F.collect_list(F.struct(F.col(sentence).alias("s"), F.col("_u").alias("u")))).alias("_l"))
+    text = f"array<{rows.schema[url].dataType.simpleString()}>"
+    kind = f"array<struct<s:{rows.schema[sentence].dataType.simpleString()},u:{text}>>"
+    start = F.struct(F.array().cast(text).alias("seen"), F.array().cast(kind).alias("out"))
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        seen, kept, count = set(), [], {}
-        for row in pdf.sort_values([sentence, rank]).itertuples(index=False):
-            s, u = getattr(row, sentence), getattr(row, url)
-            if u not in seen and count.get(s, 0) < cap:
-                seen.add(u)
-                count[s] = count.get(s, 0) + 1
-                kept.append((getattr(row, video), s, u))
-        return pd.DataFrame(kept, columns=[video, sentence, url])
-
-    return rows.select(video, sentence, rank, url).groupBy(video).applyInPandas(one, f"{video} long, {sentence} long, {url} string")
+    def step(s: Column, x: Column) -> Column:
+        new = F.slice(F.array_except(x["u"], s["seen"]), 1, cap)
+        return F.struct(F.concat(s["seen"], new).alias("seen"), F.array_append(s["out"], F.struct(x["s"].alias("s"), new.alias("u"))).alias("out"))
+
+    each = script.select(video, F.explode(F.aggregate("_l", start, step, lambda s: s["out"])).alias("o"))
+    return each.select(video, F.col("o.s").alias(sentence), F.explode("o.u").alias(url))
 
 
 def merged_candidates(sources: list[DataFrame], key: str, asset: str, order: str, used: DataFrame, most: int = 16) -> DataFrame:

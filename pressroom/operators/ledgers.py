@@ -12,11 +12,25 @@ def fold(rows: DataFrame, key: str, order: str, fields: list[str]) -> DataFrame:
     return rows.filter(F.col(key).isNotNull()).groupBy(key).agg(*[F.max_by(f, F.when(F.col(f).isNotNull(), F.col(order))).alias(f) for f in fields])
 
 
-def upper_median(rows: DataFrame, group: str, value: str) -> DataFrame:
-    """sorted[n // 2] of each group: exact, and a sort within the group's partition only."""
-    w = Window.partitionBy(group)
-    ranked = rows.filter(F.col(value).isNotNull()).withColumn("_r", F.row_number().over(w.orderBy(value))).withColumn("_n", F.count("*").over(w))
-    return ranked.filter(F.col("_r") == F.floor(F.col("_n") / 2) + 1).select(group, F.col(value).alias("median"), F.col("_n").alias("n"))
+def upper_median(rows: DataFrame, group: str, value: str, bins: int = 4096) -> DataFrame:
+    """sorted[n // 2] of each group, exact. Values are counted in bins between a group's
+    least and greatest; only the distinct values of the bin with the middle one are put in
+    order, so a group may hold most of the rows. NaN counts as the greatest number. Null
+    groups are one."""
+    good = rows.filter(F.col(value).isNotNull()).select(F.col(group).alias("_g"), F.col(value).alias("_v"))
+    x = F.when(F.isnan(F.col("_v").cast("double")), float("inf")).otherwise(F.col("_v").cast("double"))
+    finite = F.when(F.abs(x) < float("inf"), x)
+    ends = good.groupBy("_g").agg(F.min(finite).alias("_lo"), F.max(finite).alias("_hi"), F.count("*").alias("_n")).withColumnRenamed("_g", "_h")
+    place = F.when(x == float("inf"), bins + 1).when(x == float("-inf"), -1).when(F.col("_hi") > F.col("_lo"), F.least(F.lit(bins - 1), F.floor((x - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * bins))).otherwise(0)
+    binned = good.join(ends, F.col("_g").eqNullSafe(F.col("_h"))).select("_g", "_v", "_n", place.cast("int").alias("_b"))
+    below = Window.partitionBy("_g").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)  # a row a bin
+    sizes = binned.groupBy("_g", "_b", "_n").agg(F.count("*").alias("_c")).withColumn("_base", F.coalesce(F.sum("_c").over(below), F.lit(0)))
+    middle = F.floor(F.col("_n") / 2)
+    target = sizes.filter((F.col("_base") <= middle) & (middle < F.col("_base") + F.col("_c"))).select(F.col("_g").alias("_h"), F.col("_b").alias("_t"), "_base")
+    values = binned.join(target, F.col("_g").eqNullSafe(F.col("_h")) & (F.col("_b") == F.col("_t"))).groupBy("_g", "_n", "_base", "_v").agg(F.count("*").alias("_c"))
+    upto = F.sum("_c").over(Window.partitionBy("_g").orderBy("_v"))
+    ranked = values.withColumn("_upto", F.col("_base") + upto)
+    return ranked.filter((middle < F.col("_upto")) & (middle >= F.col("_upto") - F.col("_c"))).select(F.col("_g").alias(group), F.col("_v").alias("median"), F.col("_n").alias("n"))
 
 
 def stage_durations(rows: DataFrame, job: str, stage: str, ts: str, stages: list[str], done: list[str], least: float = 0.5) -> DataFrame:
@@ -107,11 +121,15 @@ def prioritised(rows: DataFrame, hit: Column, order: str, most: int) -> DataFram
 
 
 def every_nth(rows: DataFrame, order: str, i: int, n: int) -> DataFrame:
-    """Shard i of n of the ordered worklist: by position, found without one big window.
-    Rows are ranged by the order key, counted per range, and numbered inside it."""
-    cut = rows.withColumn("_b", F.floor(F.col(order) / 4096))
+    """Shard i of n of the worklist in order of a key of any type: by position, found
+    without one big window. Rows are dealt to sorted ranges, counted per range, and numbered
+    inside it. Rows without a key come first."""
+    from .board import stored
+
+    dealt = rows.repartitionByRange(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.col(order).asc_nulls_first()).withColumn("_b", F.spark_partition_id())
+    cut = stored(dealt)  # ranges are drawn anew whenever they are computed again
     base = cut.groupBy("_b").count().withColumn("_base", F.coalesce(F.sum("count").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("count")
-    place = F.col("_base") + F.row_number().over(Window.partitionBy("_b").orderBy(order)) - 1
+    place = F.col("_base") + F.row_number().over(Window.partitionBy("_b").orderBy(F.col(order).asc_nulls_first())) - 1
     return cut.join(base, "_b").withColumn("_place", place).filter(F.col("_place") % n == i).drop("_b", "_base", "_place")
 
 

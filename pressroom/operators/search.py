@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import fold_match
+from ..functions.text import fold_match, words_match
+from .board import stored
 
 FIELDS = {"subject": 3, "labels": 2, "description": 1}
 
@@ -14,7 +15,7 @@ def asset_tokens(assets: DataFrame, key: str, fields: dict[str, int] = FIELDS) -
     """(key, token, weight): each folded word of an asset with its best field's weight."""
 
     def weighted(field: str, weight: int) -> Column:
-        return F.transform(F.array_distinct(F.split(fold_match(F.col(field)), " ")), lambda t: F.struct(t.alias("token"), F.lit(weight).alias("weight")))
+        return F.transform(F.array_distinct(words_match(F.col(field))), lambda t: F.struct(t.alias("token"), F.lit(weight).alias("weight")))
 
     words = [weighted(f, w) for f, w in fields.items()]
     each = assets.select(key, F.explode(F.concat(*words)).alias("t")).select(key, "t.token", "t.weight").filter("token <> ''")
@@ -58,16 +59,15 @@ def _halves(word: Column) -> Column:
     return F.array_distinct(F.array(*keys))
 
 
-def matches(tokens: DataFrame, asked: DataFrame, key: str, q: str, inside: int, typo: int, short: int = 24) -> DataFrame:
-    """(query, key, qt, n, points): the best hit of each query word in each asset.
+def word_pairs(vocabulary: DataFrame, wanted: DataFrame, inside: int, typo: int, short: int = 24) -> DataFrame:
+    """(qt, token, hit): which words of ``vocabulary`` (token) each query word of
+    ``wanted`` (qt) hits, both distinct, and how well.
 
-    The inexact comparison runs between the distinct words of the queries and the
-    vocabulary, which is far smaller than the assets, and candidates meet by equality
-    alone, on keys whose number grows with a word's length and no faster: a query's word
-    can only be inside a word that has its first three letters as a run (or all of it,
-    if it is shorter); two words with one typo between them are equal after each loses
-    at most one letter, or, where they are long, share a half."""
-    vocabulary, wanted = tokens.select("token").distinct(), asked.select("qt").distinct()
+    Candidates meet by equality alone, on keys whose number grows with a word's length
+    and no faster: a query's word can only be inside a word that has its first three
+    letters as a run (or all of it, if it is shorter); two words with one typo between
+    them are equal after each loses at most one letter, or, where they are long, share a
+    half."""
     found = vocabulary.select("token", F.col("token").alias("qt")).join(wanted, "qt").select("qt", "token")
     for n in (1, 2, 3):
         of = wanted.filter(F.length("qt") >= inside).filter(F.length("qt") >= 3 if n == 3 else F.length("qt") == n)
@@ -82,21 +82,39 @@ def matches(tokens: DataFrame, asked: DataFrame, key: str, q: str, inside: int,
 
     near = keyed(vocabulary, "token").join(keyed(wanted, "qt"), "part").filter(F.abs(F.length("token") - F.length("qt")) <= 1)
     pairs = found.unionByName(near.select("qt", "token")).distinct()
-    how = pairs.withColumn("hit", token_hits(F.col("qt"), F.col("token"), inside, typo)).filter("hit > 0")
+    return pairs.withColumn("hit", token_hits(F.col("qt"), F.col("token"), inside, typo)).filter("hit > 0")
+
+
+def matches(tokens: DataFrame, asked: DataFrame, key: str, q: str, inside: int, typo: int, every: bool = False) -> DataFrame:
+    """(query, key, qt, n, points): the best hit of each query word in each asset.
+
+    The inexact comparison runs between the distinct words of the queries and the
+    vocabulary, which is far smaller than the assets. With ``every``, only of assets that
+    have the query's rarest word: an asset that lacks it cannot have all, and the others
+    are not brought together with the query."""
+    vocabulary = stored(tokens.groupBy("token").agg(F.count("*").alias("df")))
+    how = stored(word_pairs(vocabulary.select("token"), asked.select("qt").distinct(), inside, typo))
     best = how.join(tokens, "token").groupBy("qt", key).agg(F.max(F.col("hit") * F.col("weight")).alias("points"))
-    return asked.join(best, "qt").select(q, key, "qt", "n", "points")
+    if not every:
+        return asked.join(best, "qt").select(q, key, "qt", "n", "points")
+    seen = how.join(vocabulary, "token").groupBy("qt").agg(F.sum("df").alias("df"))
+    # A word that hits nothing leaves its query without assets.
+    rarest = asked.join(seen, "qt", "left").groupBy(q).agg(F.min_by("qt", F.struct(F.coalesce("df", F.lit(0)), "qt")).alias("qt"), F.first("n").alias("n"))
+    best = stored(best)
+    first = rarest.join(best, "qt").select(q, key)
+    return first.join(asked, q).join(best, ["qt", key]).select(q, key, "qt", "n", "points")
 
 
 def strict(assets: DataFrame, queries: DataFrame, key: str, q: str, text: str, fields: dict[str, int] = FIELDS, alias: DataFrame | None = None) -> DataFrame:
     """(query, key, score): every word of the query must hit; points are summed."""
-    found = matches(asset_tokens(assets, key, fields), query_tokens(queries, q, text, alias), key, q, 1, 3)
+    found = matches(stored(asset_tokens(assets, key, fields)), query_tokens(queries, q, text, alias), key, q, 1, 3, every=True)
     return found.groupBy(q, key, "n").agg(F.sum("points").alias("score"), F.count("*").alias("hits")).filter("hits = n").select(q, key, "score")
 
 
 def soft(assets: DataFrame, queries: DataFrame, rarity: DataFrame, key: str, q: str, text: str, fields: dict[str, int] = FIELDS, alias: DataFrame | None = None) -> DataFrame:
     """As ``strict``, but words may miss: points times rarity, and the sum times 1 plus
     the share of words that hit."""
-    found = matches(asset_tokens(assets, key, fields), query_tokens(queries, q, text, alias), key, q, 3, 4)
+    found = matches(stored(asset_tokens(assets, key, fields)), query_tokens(queries, q, text, alias), key, q, 3, 4)
     weighted = found.join(rarity.select(F.col("token").alias("qt"), F.col("weight").alias("r")), "qt", "left")
     total = weighted.groupBy(q, key, "n").agg(F.sum(F.col("points") * F.coalesce("r", F.lit(1.0))).alias("s"), F.count("*").alias("hits"))
     return total.select(q, key, F.round(F.col("s") * (1 + F.col("hits") / F.col("n")), 6).alias("score"))

@@ -176,7 +176,9 @@ def w8_balanced_styles(t: Tables) -> DataFrame:
     return desk.balance(rows, "conv_id", "style", "ratio", "turn").select("conv_id", "turn", "balanced")
 
 
-@query()
+@query("""WITH RECURSIVE o AS (SELECT user_id, day(ts) AS s, props AS u, min(event_id) AS r FROM events GROUP BY 1, 2, 3), l AS (SELECT user_id, s, list(u ORDER BY r) AS u, row_number() OVER (PARTITION BY user_id ORDER BY s) AS n FROM o GROUP BY 1, 2),
+  w AS (SELECT user_id, CAST(0 AS BIGINT) AS n, CAST(0 AS BIGINT) AS s, CAST([] AS VARCHAR[]) AS fresh, CAST([] AS VARCHAR[]) AS seen FROM (SELECT DISTINCT user_id FROM l) UNION ALL SELECT user_id, n, s, fresh, list_concat(seen, fresh) FROM (SELECT l.user_id, l.n, l.s, list_slice(list_filter(l.u, lambda x: NOT list_contains(seen, x)), 1, 2) AS fresh, seen FROM w JOIN l ON l.user_id = w.user_id AND l.n = w.n + 1))
+  SELECT user_id, s AS sentence, unnest(fresh) AS url FROM w WHERE n > 0""")
 def w10_first_seen_urls(t: Tables) -> DataFrame:
     rows = t.events.select("user_id", F.dayofmonth("ts").cast("long").alias("sentence"), F.col("event_id").alias("rank"), F.col("props").alias("url"))
     return desk.capped_first_seen(rows, "user_id", "sentence", "rank", "url", 2)

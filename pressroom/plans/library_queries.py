@@ -100,7 +100,7 @@ _RARITY = """c AS (SELECT token, count(*) AS c FROM tk GROUP BY 1), n AS (SELECT
 
 def rarity_of(t: Tables) -> DataFrame:
     a = assets(t)
-    words = F.concat(*[F.split(tx.fold_match(F.col(c)), " ") for c in ("subject", "labels", "description")])
+    words = F.concat(*[tx.words_match(F.col(c)) for c in ("subject", "labels", "description")])
     return library.rarity(a.select("doc_id", F.filter(words, lambda w: w != "").alias("w")), "doc_id", "w")
 
 

@@ -63,6 +63,23 @@ def article_links(pages: DataFrame, key: str, html: str, pattern: str, junk: str
     return lists.select(key, F.posexplode("l").alias("place", "u")).select(key, F.col("u.url").alias("url"), "place")
 
 
+#: Fixed value: parts of an address that is no picture of the article.
+JUNK = "logo|icon|avatar|sprite|banner|ads?|quangcao|placeholder|blank|1x1|spacer|favicon|thumb_w/(4|6|8)\\d|/\\d{2}x\\d{2}/|author|tacgia|share|social"
+
+
+def article_image_urls(pages: DataFrame, key: str, html: str, junk: str = JUNK, most: int = 25) -> DataFrame:
+    """(key, url, place): addresses of a page's pictures in first-seen order: data-src,
+    data-original and src attributes with the ending of a picture, in the first <article>
+    or else the whole page, then the page's og:image; junk left out, at most ``most``."""
+    area = F.regexp_extract(html, "(?is)<article[^>]*>(.*?)</article>", 1)
+    area = F.when(F.col(html).rlike("(?is)<article[^>]*>.*?</article>"), area).otherwise(F.col(html))
+    own = F.regexp_extract_all(area, F.lit("(?:data-src|data-original|src)=[\"']?(https?://[^\"'\\s>]+\\.(?:jpg|jpeg|png|webp)[^\"'\\s>]*)"), F.lit(1))
+    shared = F.regexp_extract_all(F.col(html), F.lit("<meta[^>]+property=[\"']og:image[\"'][^>]+content=[\"']([^\"']+)"), F.lit(1))
+    urls = F.transform(F.concat(own, shared), lambda u: F.replace(u, F.lit("&amp;"), F.lit("&")))
+    kept = F.slice(F.array_distinct(F.filter(urls, lambda u: ~u.rlike(f"(?i)({junk})"))), 1, most)
+    return pages.select(key, F.posexplode(kept).alias("place", "url")).select(key, "url", "place")
+
+
 def image_table(pages: DataFrame, key: str, html: str) -> DataFrame:
     """Pictures of a page with caption: figcaption, else alt, else title; the largest of
     a source set; icons and logos left out."""
