@@ -171,6 +171,15 @@ def balance(rows: DataFrame, video: str, style: str, ratio: str, order: str, sha
     return counted.withColumn("balanced", F.when(flip, other).otherwise(F.col(style))).drop("_n", "_k")
 
 
+def vertical_pans(rows: DataFrame, video: str, style: str, ratio: str, order: str) -> DataFrame:
+    """Of a video's zooms on upright pictures (ratio below 1) the more upright half become
+    pans along their height (``tall``); one alone stays."""
+    upright = (F.col(style) == "zoom") & (F.col(ratio) < 1)
+    n = F.count(F.when(upright, 1)).over(Window.partitionBy(video))
+    place = F.row_number().over(Window.partitionBy(video, upright).orderBy(ratio, order))
+    return rows.withColumn("styled", F.when(upright & (place <= F.floor(n / 2)), "tall").otherwise(F.col(style)))
+
+
 def capped_first_seen(rows: DataFrame, video: str, sentence: str, rank: str, url: str, cap: int) -> DataFrame:
     """URLs per sentence, each once per video in the order of sentences, at most ``cap``
     per sentence; one cut off by the cap is still free for later sentences. A video's list

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import fold_match
+
 
 def fold(rows: DataFrame, key: str, order: str, fields: list[str]) -> DataFrame:
     """Later rows override earlier ones field by field; a field that is absent (null)
@@ -133,5 +135,43 @@ def every_nth(rows: DataFrame, order: str, i: int, n: int) -> DataFrame:
     return cut.join(base, "_b").withColumn("_place", place).filter(F.col("_place") % n == i).drop("_b", "_base", "_place")
 
 
+def soft_delete(rows: DataFrame, prints: DataFrame, keys: DataFrame, key: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What is left of a ledger without the rows of ``keys``, the rows taken out (to undo
+    it), and what is left of the fingerprints (key and any columns)."""
+    gone = keys.select(key).distinct()
+    return rows.join(gone, key, "left_anti"), rows.join(gone, key, "left_semi"), prints.join(gone, key, "left_anti")
+
+
+def reminders(jobs: DataFrame, catalog: DataFrame, now: Column, hours: int = 24, days: int = 4, most: int = 5) -> DataFrame:
+    """Jobs (job, day, title, rendered, filed) of the newest ``days`` days that there are,
+    rendered more than ``hours`` ago and not filed: neither by their flag nor by their
+    title, compared folded by its first 60 characters, in the ``catalog`` (title); the
+    newest day first, ``most`` at most. Jobs without a rendering are not due."""
+    fold = lambda c: F.substring(fold_match(F.col(c)), 1, 60)
+    known = catalog.select(fold("title").alias("_f")).filter("_f <> ''").distinct()
+    newest = jobs.select("day").distinct().orderBy(F.desc("day")).limit(days)
+    due = jobs.join(newest, "day", "left_semi").filter(~F.coalesce("filed", F.lit(False)) & (F.col("rendered") < now - F.make_interval(hours=F.lit(hours))))
+    open_ = due.withColumn("_f", F.coalesce(fold("title"), F.lit(""))).join(known, "_f", "left_anti")
+    return open_.orderBy(F.desc("day"), "job").limit(most).select("job", "day", "title")
+
+
+def last_examples(rows: DataFrame, user: str, order: str, text: str, most: int = 14) -> DataFrame:
+    """(user, order, text): of each user's last ``most`` rows the different texts, each
+    where it stands first; empty ones left out."""
+    r = F.row_number().over(Window.partitionBy(user).orderBy(F.desc(order)))
+    last = rows.withColumn("_r", r).filter((F.col("_r") <= most) & F.col(text).isNotNull() & (F.col(text) != ""))
+    return last.groupBy(user, text).agg(F.min(order).alias(order)).select(user, order, text)
+
+
+def last_edits(logs: DataFrame, user: str, order: str, changes: str, of: int = 6, each: int = 3, most: int = 8) -> DataFrame:
+    """(user, place, change): the first ``each`` changes of each of a user's last ``of``
+    edit logs (``changes`` is a list), of these the last ``most``, in order."""
+    r = F.row_number().over(Window.partitionBy(user).orderBy(F.desc(order)))
+    last = logs.withColumn("_r", r).filter(F.col("_r") <= of)
+    lists = last.groupBy(user).agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct(order, F.slice(changes, 1, each).alias("_c")))), lambda s: s["_c"])).alias("_l"))
+    kept = F.slice("_l", F.greatest(F.size("_l") - most + 1, F.lit(1)), F.lit(most))
+    return lists.select(user, F.posexplode(kept).alias("place", "change"))
+
+
 def change_signal(rows: DataFrame, job: str, ts: str) -> DataFrame:
     return rows.groupBy(job).agg(F.count("*").alias("files"), F.max(ts).alias("newest"))

@@ -111,6 +111,21 @@ def strict(assets: DataFrame, queries: DataFrame, key: str, q: str, text: str, f
     return found.groupBy(q, key, "n").agg(F.sum("points").alias("score"), F.count("*").alias("hits")).filter("hits = n").select(q, key, "score")
 
 
+def strict_or_shorter(assets: DataFrame, queries: DataFrame, key: str, q: str, text: str, words: int = 4, fields: dict[str, int] = FIELDS, alias: DataFrame | None = None) -> DataFrame:
+    """As ``strict``, with ``retried``: queries that find nothing are asked once more with
+    their first ``words`` words."""
+    tokens = stored(asset_tokens(assets, key, fields))
+
+    def ask(rows: DataFrame) -> DataFrame:
+        found = matches(tokens, query_tokens(rows, q, text, alias), key, q, 1, 3, every=True)
+        return found.groupBy(q, key, "n").agg(F.sum("points").alias("score"), F.count("*").alias("hits")).filter("hits = n").select(q, key, "score")
+
+    first = stored(ask(queries))
+    empty = queries.join(first.select(q).distinct(), q, "left_anti")
+    short = empty.withColumn(text, F.array_join(F.slice(F.split(text, " "), 1, words), " "))
+    return first.withColumn("retried", F.lit(False)).unionByName(ask(short).withColumn("retried", F.lit(True)))
+
+
 def soft(assets: DataFrame, queries: DataFrame, rarity: DataFrame, key: str, q: str, text: str, fields: dict[str, int] = FIELDS, alias: DataFrame | None = None) -> DataFrame:
     """As ``strict``, but words may miss: points times rarity, and the sum times 1 plus
     the share of words that hit."""

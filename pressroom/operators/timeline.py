@@ -104,33 +104,32 @@ def pace(rows: DataFrame, video: str, index: str, floor: float = 2.5, slack: flo
 def merge_points(points: DataFrame, video: str, t: str, length: str, edge: float = 0.5, least: float = 1.5, most: int = 60) -> DataFrame:
     """Segments between change points; points at the ends, and segments that are too
     short, join what stands before."""
-    import pandas as pd
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        end = float(pdf[length].iloc[0])
-        cuts = [0.0]
-        for x in sorted(pdf[t]):
-            if edge < x < end - edge and x - cuts[-1] >= least and len(cuts) < most:
-                cuts.append(float(x))
-        if len(cuts) > 1 and end - cuts[-1] < least:
-            cuts.pop()
-        return pd.DataFrame({video: pdf[video].iloc[0], "start": cuts, "end": [*cuts[1:], end]})
-
-    return points.select(video, t, length).groupBy(video).applyInPandas(one, f"{video} long, start double, end double")
-
-
-def spread(rows: DataFrame, video: str, index: str, share: float = 0.3) -> DataFrame:
-    """Choose slots for clips: never the first or last, never neighbours, at most a
-    share of all, in the order of a hash of video and slot."""
-    import pandas as pd
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(index)
-        slots, draw = pdf[index].tolist(), pdf["draw"].tolist()
-        chosen: set[int] = set()
-        for k in sorted(range(1, len(slots) - 1), key=lambda k: draw[k]):
-            if len(chosen) < int(share * len(slots)) and not {k - 1, k + 1} & chosen:
-                chosen.add(k)
-        return pd.DataFrame({video: pdf[video], index: slots, "clip": [k in chosen for k in range(len(slots))]})
-
-    return rows.select(video, index, F.xxhash64(video, index).alias("draw")).groupBy(video).applyInPandas(one, f"{video} long, {index} long, clip boolean")
+    known = points.groupBy(video).agg(F.max(F.col(length).cast("double")).alias("_n"), F.sort_array(F.collect_set(F.col(t).cast("double"))).alias("_t"))
+
+    def step(cuts: Column, x: Column) -> Column:
+        inside = (x > edge) & (x < F.col("_n") - edge) & (x - F.element_at(cuts, -1) >= least) & (F.size(cuts) < most)
+        return F.when(inside, F.array_append(cuts, x)).otherwise(cuts)
+
+    cuts = known.withColumn("_c", F.aggregate("_t", F.array(F.lit(0.0)), step))
+    rest = (F.size("_c") > 1) & (F.col("_n") - F.element_at("_c", -1) < least)
+    cuts = cuts.withColumn("_c", F.when(rest, F.slice("_c", F.lit(1), F.greatest(F.size("_c") - 1, F.lit(1)))).otherwise(F.col("_c")))
+    each = F.transform("_c", lambda x, i: F.struct(x.alias("start"), F.coalesce(F.get(F.col("_c"), i + 1), F.col("_n")).alias("end")))
+    return cuts.select(video, F.explode(each).alias("s")).select(video, "s.start", "s.end")
+
+
+def spread(rows: DataFrame, video: str, index: str, share: float = 0.3, draw: Column | None = None) -> DataFrame:
+    """Choose slots for clips (clip): never the first or last, never neighbours, a share of
+    all at most (rounded, halves to even), in the order of ``draw``, a hash of video and slot
+    unless given."""
+    order = F.xxhash64(video, index) if draw is None else draw
+    n = F.count("*").over(Window.partitionBy(video))
+    place = F.row_number().over(Window.partitionBy(video).orderBy(index))
+    slots = rows.select(video, index, order.alias("_d"), place.alias("_p"), n.alias("_n"))
+    inner = slots.filter("_p > 1 AND _p < _n").groupBy(video, "_n").agg(F.sort_array(F.collect_list(F.struct("_d", "_p"))).alias("_l"))
+
+    def step(chosen: Column, x: Column) -> Column:
+        free = (F.size(chosen) < F.bround(F.col("_n") * share)) & ~F.exists(chosen, lambda c: F.abs(c - x["_p"]) <= 1)
+        return F.when(free, F.array_append(chosen, x["_p"])).otherwise(chosen)
+
+    picked = inner.select(video, F.aggregate("_l", F.array().cast("array<int>"), step).alias("_c"))
+    return slots.join(picked, video, "left").select(video, index, F.coalesce(F.array_contains("_c", F.col("_p")), F.lit(False)).alias("clip"))

@@ -176,6 +176,12 @@ def w8_balanced_styles(t: Tables) -> DataFrame:
     return desk.balance(rows, "conv_id", "style", "ratio", "turn").select("conv_id", "turn", "balanced")
 
 
+@query("""WITH s AS (SELECT conv_id, turn, CASE WHEN turn % 4 = 3 THEN 'pan' ELSE 'zoom' END AS style, (turn * 7 % 11) / 8.0 AS ratio FROM conversations), u AS (SELECT *, style = 'zoom' AND ratio < 1 AS up FROM s) SELECT conv_id, turn, CASE WHEN up AND row_number() OVER (PARTITION BY conv_id, up ORDER BY ratio, turn) <= sum(CASE WHEN up THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id) // 2 THEN 'tall' ELSE style END AS styled FROM u""")
+def w8_vertical_pans(t: Tables) -> DataFrame:
+    rows = t.conversations.select("conv_id", "turn", F.when(F.col("turn") % 4 == 3, "pan").otherwise("zoom").alias("style"), (F.col("turn") * 7 % 11 / 8.0).alias("ratio"))
+    return desk.vertical_pans(rows, "conv_id", "style", "ratio", "turn").select("conv_id", "turn", "styled")
+
+
 @query("""WITH RECURSIVE o AS (SELECT user_id, day(ts) AS s, props AS u, min(event_id) AS r FROM events GROUP BY 1, 2, 3), l AS (SELECT user_id, s, list(u ORDER BY r) AS u, row_number() OVER (PARTITION BY user_id ORDER BY s) AS n FROM o GROUP BY 1, 2),
   w AS (SELECT user_id, CAST(0 AS BIGINT) AS n, CAST(0 AS BIGINT) AS s, CAST([] AS VARCHAR[]) AS fresh, CAST([] AS VARCHAR[]) AS seen FROM (SELECT DISTINCT user_id FROM l) UNION ALL SELECT user_id, n, s, fresh, list_concat(seen, fresh) FROM (SELECT l.user_id, l.n, l.s, list_slice(list_filter(l.u, lambda x: NOT list_contains(seen, x)), 1, 2) AS fresh, seen FROM w JOIN l ON l.user_id = w.user_id AND l.n = w.n + 1))
   SELECT user_id, s AS sentence, unnest(fresh) AS url FROM w WHERE n > 0""")
@@ -253,7 +259,7 @@ def p6_timed_chop(t: Tables) -> DataFrame:
 @query("""SELECT p_brand, count(*) AS files FROM part GROUP BY 1""")
 def src2_documents_by_folder(t: Tables) -> DataFrame:
     path = folder(t, "docs")
-    rows = t.part.select(F.to_json(F.struct("p_partkey", "p_brand")).alias("value"), (F.col("p_partkey") % 64).alias("g"))
+    rows = t.part.select(F.to_json(F.struct("p_partkey", "p_brand")).alias("value"), F.floor(F.col("p_partkey") / 64).alias("g"))  # a document holds 64 at most
     documents = rows.groupBy("g").agg(F.concat(F.lit("["), F.array_join(F.collect_list("value"), ",\n"), F.lit("]")).alias("value"))
     documents.select("value").write.option("maxRecordsPerFile", 1).text(path)
     found = readers.read_docs(t.spark, path, "p_partkey long, p_brand string", "*.txt")

@@ -86,7 +86,7 @@ def snk3_upsert(t: Tables) -> DataFrame:
 def snk4_soft_delete(t: Tables) -> DataFrame:
     keys = t.customer.filter("c_custkey % 3 = 0").select(F.col("c_custkey").alias("o_custkey"))
     rows = t.orders.filter("o_orderstatus <> 'P'")
-    gone, left = rows.join(keys, "o_custkey", "left_semi"), rows.join(keys, "o_custkey", "left_anti")
+    left, gone, _ = ledgers.soft_delete(rows, t.customer.select(F.col("c_custkey").alias("o_custkey")), keys, "o_custkey")
     return left.select("o_orderkey", F.lit(False).alias("removed")).unionByName(gone.select("o_orderkey", F.lit(True).alias("removed")))
 
 
@@ -270,15 +270,50 @@ def p1_pacing(t: Tables) -> DataFrame:
     return timeline.pace(rows, "conv_id", "turn")
 
 
-@query()
+@query("SELECT c_custkey FROM customer WHERE c_custkey % 3 <> 0")
+def snk4_fingerprints_left(t: Tables) -> DataFrame:
+    prints = t.customer.select("c_custkey", "c_acctbal")
+    return ledgers.soft_delete(prints, prints, t.customer.filter("c_custkey % 3 = 0"), "c_custkey")[2].select("c_custkey")
+
+
+@query("""WITH RECURSIVE p AS (SELECT user_id, list(DISTINCT value % 60 ORDER BY value % 60) AS l FROM events GROUP BY 1),
+  r AS (SELECT user_id, 1 AS n, l, CAST([0.0] AS DOUBLE[]) AS c FROM p UNION ALL SELECT user_id, n + 1, l, CASE WHEN l[n] > 0.5 AND l[n] < 59.5 AND l[n] - c[len(c)] >= 1.5 AND len(c) < 60 THEN list_append(c, l[n]) ELSE c END FROM r WHERE n <= len(l)),
+  e AS (SELECT user_id, CASE WHEN len(c) > 1 AND 60 - c[len(c)] < 1.5 THEN c[:len(c) - 1] ELSE c END AS c FROM r WHERE n = len(l) + 1)
+  SELECT user_id, round(c[i], 6) AS start, round(coalesce(c[i + 1], 60.0), 6) AS "end" FROM e, range(1, 61) t(i) WHERE i <= len(c)""")
 def p3_segment_merge(t: Tables) -> DataFrame:
     points = t.events.select("user_id", (F.col("value") % 60).alias("at"), F.lit(60.0).alias("length"))
-    return timeline.merge_points(points, "user_id", "at", "length")
+    return timeline.merge_points(points, "user_id", "at", "length").select("user_id", F.round("start", 6).alias("start"), F.round("end", 6).alias("end"))
 
 
-@query()
+@query("""WITH RECURSIVE s AS (SELECT conv_id, turn, (conv_id * 7 + turn * 13) % 101 AS d, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS p, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations), o AS (SELECT conv_id, p, n, row_number() OVER (PARTITION BY conv_id ORDER BY d, p) AS k FROM s WHERE p > 1 AND p < n),
+  r AS (SELECT conv_id, CAST(0 AS BIGINT) AS k, CAST([] AS BIGINT[]) AS c FROM (SELECT DISTINCT conv_id FROM s) UNION ALL SELECT r.conv_id, o.k, CASE WHEN len(c) < round_even(n * 0.3, 0) AND NOT list_contains(c, p - 1) AND NOT list_contains(c, p + 1) THEN list_append(c, p) ELSE c END FROM r JOIN o ON o.conv_id = r.conv_id AND o.k = r.k + 1), l AS (SELECT conv_id, max_by(c, k) AS c FROM r GROUP BY 1)
+  SELECT conv_id, turn, list_contains(c, p) AS clip FROM s JOIN l USING (conv_id)""")
 def p4_clip_spread(t: Tables) -> DataFrame:
-    return timeline.spread(t.conversations, "conv_id", "turn")
+    return timeline.spread(t.conversations, "conv_id", "turn", draw=(F.col("conv_id") * 7 + F.col("turn") * 13) % 101)
+
+
+@query("""WITH j AS (SELECT o_orderkey AS job, CAST(o_orderdate AS DATE) AS day, 'Order No. ' || o_orderkey % 400 AS title, CAST(o_orderdate AS TIMESTAMP) + to_hours(CAST(o_orderkey % 40 AS INTEGER)) AS rendered, o_orderstatus = 'F' AS filed FROM orders), m AS (SELECT max(day) AS m FROM j), d AS (SELECT DISTINCT day FROM j ORDER BY day DESC LIMIT 4)
+  SELECT job, day, title FROM j, m WHERE day IN (SELECT day FROM d) AND NOT filed AND rendered < CAST(m AS TIMESTAMP) + INTERVAL 40 HOUR - INTERVAL 24 HOUR AND job % 400 % 3 > 0 ORDER BY day DESC, job LIMIT 5""")
+def a16_due_jobs(t: Tables) -> DataFrame:
+    """Orders as jobs; every third title is in the catalog, spelt otherwise."""
+    n = F.col("o_orderkey")
+    jobs = t.orders.select(n.alias("job"), F.to_date("o_orderdate").alias("day"), F.concat(F.lit("Order No. "), n % 400).alias("title"), (F.col("o_orderdate").cast("timestamp") + F.make_interval(hours=(n % 40).cast("int"))).alias("rendered"), (F.col("o_orderstatus") == "F").alias("filed"))
+    catalog = t.orders.filter("o_orderkey % 400 % 3 = 0").select(F.concat(F.lit("ORDER: no "), n % 400, F.lit("!")).alias("title")).distinct()
+    last = t.orders.agg(F.max(F.to_date("o_orderdate"))).first()[0]
+    return ledgers.reminders(jobs, catalog, F.lit(last).cast("timestamp") + F.make_interval(hours=F.lit(40)))
+
+
+@query("""WITH l AS (SELECT user_id, event_id, props FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) <= 14) SELECT user_id, min(event_id) AS event_id, props FROM l WHERE props <> '{}' AND props <> '' GROUP BY 1, 3""")
+def a18_examples_of_the_last(t: Tables) -> DataFrame:
+    return ledgers.last_examples(t.events.withColumn("props", F.when(F.col("props") != "{}", F.col("props"))), "user_id", "event_id", "props")
+
+
+@query("""WITH l AS (SELECT user_id, event_id, [event_type || '>' || k FOR k IN range(event_id % 5)] AS c FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) <= 6), f AS (SELECT user_id, flatten(list(c[:3] ORDER BY event_id)) AS c FROM l GROUP BY 1), k AS (SELECT user_id, c[greatest(1, len(c) - 7):] AS c FROM f)
+  SELECT user_id, CAST(generate_subscripts(c, 1) - 1 AS INTEGER) AS place, unnest(c) AS change FROM k""")
+def a18_last_edits(t: Tables) -> DataFrame:
+    many = F.sequence(F.lit(0), F.greatest((F.col("event_id") % 5).cast("int") - 1, F.lit(0)))
+    changes = F.when(F.col("event_id") % 5 > 0, F.transform(many, lambda k: F.concat("event_type", F.lit(">"), k))).otherwise(F.array().cast("array<string>"))
+    return ledgers.last_edits(t.events.withColumn("c", changes), "user_id", "event_id", "c")
 
 
 @query("""SELECT user_id, max_by(props, CASE WHEN event_type = 'click' THEN event_id + 1000000 ELSE event_id END) AS props FROM events WHERE event_type IN ('click', 'view') GROUP BY 1""")

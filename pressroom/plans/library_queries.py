@@ -155,6 +155,15 @@ def rich_thin(hits: DataFrame, q: DataFrame) -> DataFrame:
     return q.join(best, "item_id", "left").select("item_id", n.alias("hits"), F.when(n >= 3, "rich").otherwise("thin").alias("kind"), "doc_id")
 
 
+#: The first four words of a benchmark text, for those that nothing was found for.
+_FOUR = _STRICT.format(queries=_LONG_QUERIES.replace("text AS q FROM benchmark", "array_to_string(list_slice(string_split(text, ' '), 1, 4), ' ') AS q FROM benchmark"))
+
+
+@query(f"WITH l AS MATERIALIZED (WITH {_LONG} SELECT item_id, doc_id, score FROM s), f AS MATERIALIZED (WITH {_FOUR} SELECT item_id, doc_id, score FROM s) SELECT item_id, doc_id, score, false AS retried FROM l UNION ALL SELECT item_id, doc_id, score, true FROM f WHERE item_id NOT IN (SELECT item_id FROM l)")
+def u4_retry_with_four_words(t: Tables) -> DataFrame:
+    return search.strict_or_shorter(assets(t), whole_asked(t), "doc_id", "item_id", "q")
+
+
 @query()
 def q7_draft_assignment(t: Tables) -> DataFrame:
     hits = search.soft(assets(t), whole_asked(t), rarity_of(t), "doc_id", "item_id", "q")

@@ -37,7 +37,7 @@ def src3_read_feed(t: Tables) -> DataFrame:
     title = F.regexp_extract("html", "(?s)<title>(.*?)</title>", 1)
     item = F.concat(F.lit("<item><title>"), F.replace(title, F.lit("&"), F.lit("&amp;")), F.lit("</title><pubDate>Mon, 01 Jan 2024 00:00:00 +0000</pubDate><link>"), "page_id", F.lit("</link></item>"))
     entry = F.concat(F.lit("<entry><title>"), F.replace(title, F.lit("&"), F.lit("&amp;")), F.lit("</title><updated>2024-01-01T00:00:00Z</updated><link href=\""), "page_id", F.lit("\"/></entry>"))
-    rows = t.pages.select((F.col("page_id") % 64).alias("g"), F.when(F.col("page_id") % 2 == 0, item).otherwise(entry).alias("v"))
+    rows = t.pages.select(F.floor(F.col("page_id") / 16).alias("g"), F.when(F.col("page_id") % 2 == 0, item).otherwise(entry).alias("v"))
     files = rows.groupBy("g").agg(F.concat(F.lit("<feed>"), F.array_join(F.collect_list("v"), ""), F.lit("</feed>")).alias("value"))
     files.select("value").write.option("maxRecordsPerFile", 1).text(path)
     return readers.read_feed(t.spark, path).select(F.col("link").cast("long").alias("page_id"), "title")

@@ -273,3 +273,76 @@ def test_scenes_begin_at_zero(spark):
 def test_folders_are_named_by_the_session(spark):
     base = spark.conf.get("spark.checkpoint.dir")
     assert shared_folder(spark, "x").startswith(base.rstrip("/") + "/x-")
+
+
+def test_excerpts_meet_sentences(spark):
+    long = "the quick brown fox jumps over the lazy dog near the river bank"
+    sentences = spark.createDataFrame([(1, 0, "alpha beta gamma delta"), (1, 1, long), (1, 2, "alpha beta gamma delta"), (1, 3, long[:45] + " but it ends in quite another way"), (1, 4, "one two three four five"), (1, 5, "short")], "video long, i long, text string")
+    excerpts = spark.createDataFrame([(1, 0, "alpha beta gamma delta"), (1, 1, "alpha beta gamma delta"), (1, 2, "brown fox jumps over the lazy"), (1, 3, long[:43]), (1, 4, "one two three four six"), (1, 5, "sh"), (1, 6, "nothing like it")], "video long, i long, text string")
+    got = sorted((r.excerpt, r.sentence, r.tier) for r in desk.match_excerpts(excerpts, sentences, "video").collect())
+    # One to one: the second alpha takes the second sentence; two letters inside "short" are not enough.
+    assert got == [(0, 0, 4), (1, 2, 4), (2, 1, 3), (3, 3, 3), (4, 4, 1)]
+
+
+def test_overdue_jobs(spark, tmp_path):
+    from datetime import datetime
+
+    from pressroom.streaming import streams
+
+    schema = "user_id long, event_type string, ts timestamp"
+    source, folder = f"file://{tmp_path}/in", f"file://{tmp_path}/state"
+
+    def arrives(*rows):
+        data = [(u, k, datetime.fromisoformat(t)) for u, k, t in rows]
+        spark.createDataFrame(data, schema).coalesce(1).write.mode("append").parquet(source)
+        stream = streams.overdue(spark.readStream.schema(schema).parquet(source))
+        return sorted({r.user_id for r in streams.drain(stream, folder).collect()})
+
+    assert arrives((1, "purchase", "2024-01-01 10:00:00"), (2, "purchase", "2024-01-01 10:00:00"), (3, "view", "2024-01-01 10:00:00")) == []
+    assert arrives((2, "signup", "2024-01-01 20:00:00"), (4, "purchase", "2024-01-02 09:00:00")) == []
+    arrives((5, "view", "2024-01-03 00:00:00"))  # moves the watermark past the first job's day, not the fourth's
+    assert arrives((5, "view", "2024-01-03 01:00:00")) == [1]
+
+
+def test_chop(spark):
+    rows = spark.createDataFrame([(v, float(e)) for v in range(5) for e in (2.2, 4.1, 9.5, 13.0, 17.7, 21.3 + v)], "video long, end double")
+    got = [tuple(r) for r in desk.chop(rows, "video").collect()]
+    for v in range(5):
+        own = sorted((s, e) for w, s, e in got if w == v)
+        assert own[0][0] == 0 and own[-1][1] == 21.3 + v and all(a[1] == b[0] for a, b in zip(own, own[1:]))
+        assert all(e - s >= 1.2 for s, e in own) and all(e - s <= 4.0 + 0.9 for s, e in own[:-1])
+    assert got == [tuple(r) for r in desk.chop(rows, "video").collect()]
+
+
+def test_image_table(spark):
+    from pressroom.sources import readers
+
+    html = '<figure><img src="/a.jpg" alt="x"><figcaption> A  cap </figcaption></figure><img data-src="/b.jpg" title="b"><img srcset="/c1.jpg 100w, /c2.jpg 800w" alt="c"><img src="/logo.png"><img alt="none">'
+    got = [(r.url, r.caption) for r in readers.image_table(spark.createDataFrame([(1, html)], "k long, h string"), "k", "h").orderBy("pos").collect()]
+    assert got == [("/a.jpg", "A  cap"), ("/b.jpg", "b"), ("/c2.jpg", "c")]
+
+
+def test_frames_covers_and_flags(spark):
+    from pressroom.operators import checks
+
+    assert spark.range(1).select(*[checks.membership(F.lit(x), 0.2, 0.6).alias(f"m{i}") for i, x in enumerate((0.2, 0.6, 0.4, 0.0, 0.8, 1.0, -1.0))]).first()[:] == pytest.approx((1, 1, 1, 0.5, 0.5, 0, 0))
+    full = {k: F.lit(1.0) for k in checks.COVER_WEIGHTS}
+    assert spark.range(1).select(checks.cover_score(full)).first()[0] == 100.0
+    names = {"guinea": "gn", "equatorial guinea": "gq", "mali": "ml", "usa": "us", "oman": "om"}
+    rows = spark.createDataFrame([("Equatorial Guinea and Guinea",), ("normali romania",), ("USA, Mali; Oman",), (None,)], "t string")
+    assert [r[0] for r in rows.select(checks.countries(F.col("t"), names, ["oman"])).collect()] == [["gq", "gn"], [], ["ml"], []]
+
+
+def test_medians_of_any_values(spark):
+    rng = np.random.default_rng(3)
+    rows = [("a", 5.0)] * 501 + [("b", float(x)) for x in rng.normal(size=777)] + [("c", x) for x in (float("inf"), float("-inf"), 1.0, float("nan"))] + [(None, 2.0), (None, 1.0), ("d", None), ("e", 1e300), ("e", -1e300), ("e", 3.0)]
+    got = {r.g: (r.median, r.n) for r in ledgers.upper_median(spark.createDataFrame(rows, "g string, v double"), "g", "v").collect()}
+    b = sorted(v for g, v in rows if g == "b")
+    assert got == {"a": (5.0, 501), "b": (b[388], 777), "c": (float("inf"), 4), None: (2.0, 2), "e": (3.0, 3)}
+
+
+def test_shards_of_any_key(spark):
+    rows = spark.createDataFrame([(f"k{i:03}",) for i in np.random.default_rng(1).permutation(100)] + [(None,)], "k string")
+    shards = [{r.k for r in ledgers.every_nth(rows, "k", i, 3).collect()} for i in range(3)]
+    every = [None, *(f"k{i:03}" for i in range(100))]
+    assert shards == [set(every[i::3]) for i in range(3)]
