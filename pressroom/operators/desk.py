@@ -16,7 +16,7 @@ def highlight_phrases(c: Column, strong: list[str], before: list[str], units: li
     their words stay within a share of the title's, one word at least."""
     space = "[^ \\t\\n\\r\\f]+"
     quoted = F.transform(F.regexp_extract_all(c, F.lit("[\"“”']([^\"“”']{3,28})[\"“”']"), F.lit(1)), F.trim)
-    counted = F.regexp_extract_all(c, F.lit("(?i)(\\b[0-9]+\\s*[-–]\\s*[0-9]+\\b|\\b[0-9]+\\s+(?:" + "|".join(f"\\Q{u}\\E" for u in units) + ")\\b)"), F.lit(1))
+    counted = F.regexp_extract_all(c, F.lit("(?iu)(\\b[0-9]+\\s*[-–]\\s*[0-9]+\\b|\\b[0-9]+\\s+(?:" + "|".join(f"\\Q{u}\\E" for u in units) + ")\\b)"), F.lit(1))
     words = F.regexp_extract_all(c, F.lit(f"({space})"), F.lit(1))
     bare = F.transform(words, lambda w: F.regexp_replace(F.lower(w), "^[,.:;!?\"“”']+|[,.:;!?\"“”']+$", ""))
     single = [w for w in strong if len(w.split()) == 1]
@@ -57,7 +57,7 @@ def blocks(c: Column, labels: list[str]) -> Column:
     quotation is no block."""
 
     def cut(at: str) -> Column:
-        return F.filter(F.split(c, f"(?im)(?=^{at})"), lambda p: p.rlike(f"(?im)\\A{at}"))
+        return F.filter(F.split(c, f"(?imu)(?=^{at})"), lambda p: p.rlike(f"(?imu)\\A{at}"))
 
     named, quoted = cut(_label(labels)), cut("[ \\t]*[“\"'][^\"”\\n]{12,}")
     spaced = F.filter(F.split(c, "\\n\\s*\\n\\s*\\n?"), lambda p: F.trim(p) != "")
@@ -70,15 +70,15 @@ def block_keywords(block: Column, labels: list[str], headings: list[str], lead_i
     characters without the marks around them. ``headings`` alone on a line, labels,
     quotations and lines that begin with ``lead_in`` are none."""
     listed = "^\\s*(?:[-–—*•·]|\\d+[.)])\\s*(.+?)\\s*$"
-    heading = "(?i)^\\s*(?:" + "|".join(headings) + ")\\s*[:：]?\\s*$"
+    heading = "(?iu)^\\s*(?:" + "|".join(headings) + ")\\s*[:：]?\\s*$"
 
     def one(line: Column) -> Column:
         bare = F.trim(line)
-        story = (bare == "") | bare.rlike("^(?:[“\"'#]|\\*\\*)") | (F.size(F.split(bare, "\\s+")) > most_words) | bare.rlike("[.,;:?!…]") | bare.rlike(f"(?i)^{_label(labels)}")
+        story = (bare == "") | bare.rlike("^(?:[“\"'#]|\\*\\*)") | (F.size(F.split(bare, "\\s+")) > most_words) | bare.rlike("[.,;:?!…]") | bare.rlike(f"(?iu)^{_label(labels)}")
         text = F.when(line.rlike(listed), F.regexp_extract(line, listed, 1)).when(~story, bare)
-        return F.when(~line.rlike(heading) & ~line.rlike(f"(?i)^{_label(labels)}"), F.regexp_replace(F.regexp_replace(text, f"^[{_MARKS}]+|[{_MARKS}]+$", ""), "\\s*[:：]\\s*$", ""))
+        return F.when(~line.rlike(heading) & ~line.rlike(f"(?iu)^{_label(labels)}"), F.regexp_replace(F.regexp_replace(text, f"^[{_MARKS}]+|[{_MARKS}]+$", ""), "\\s*[:：]\\s*$", ""))
 
-    return F.filter(F.transform(F.split(block, "\\r?\\n"), one), lambda k: k.isNotNull() & F.length(k).between(3, 90) & ~k.rlike(f"(?i)^(?:{lead_in})"))
+    return F.filter(F.transform(F.split(block, "\\r?\\n"), one), lambda k: k.isNotNull() & F.length(k).between(3, 90) & ~k.rlike(f"(?iu)^(?:{lead_in})"))
 
 
 def block_quote(block: Column) -> Column:

@@ -243,7 +243,7 @@ def test_blocks(spark):
     first = 'ĐOẠN 1\n"Câu thử nghiệm dài đủ để khớp được với bài."\nTừ khóa:\n- Vietnam U17 striker\n- tiền đạo u17 việt nam\n'
     keys = ["Vietnam U17 striker", "tiền đạo u17 việt nam"]
     assert run(first) == [(0, "Câu thử nghiệm dài đủ để khớp được với bài.", keys[0], keys[1], keys)]
-    second = "## **Scene 2**\n“Another sentence of some length”\n1) ab\n2) abc\n• `stadium at night`:\nmy hidden line, with a comma\npictures should show it\n- Pictures should not\nshort bare\n"
+    second = "## **Scene 2**\n“Another sentence of some length”\n1) ab\n2) abc\n• `stadium at night`\nmy hidden line, with a comma\npictures should show it\n- Pictures should not\nshort bare\n"
     got = run("preface\n" + first + second)
     assert [g[0] for g in got] == [0, 1] and got[1][1:] == ("Another sentence of some length", "stadium at night", None, ["abc", "stadium at night", "short bare"])
     quoted = run('x\n"The first sentence here"\n\nfoo bar\n"The second sentence here"\n\nwide shot\n')
