@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import api
 from ..functions import text as tx
-from ..operators import desk, ledgers, library
+from ..operators import desk, ledgers, library, rules
 from ..sources import pictures as sources
 from ..sources import readers
 from .ledger_queries import timed
@@ -206,6 +206,21 @@ def w14_cover_score(t: Tables) -> DataFrame:
     return t.part.select("p_partkey", F.round(F.least(w * h / 2.5e6, F.lit(1.0)) * 55 + shape + people, 6).alias("score"))
 
 
+@query("""WITH s AS (SELECT p_brand, p_partkey, CASE WHEN p_partkey % 7 = 0 THEN p_size END AS assigned, round(least(w * h / 2.5e6, 1.0) * 55 + CASE WHEN w / h BETWEEN 1.3 AND 1.9 THEN 30 WHEN w / h BETWEEN 1.0 AND 2.2 THEN 20 WHEN w / h BETWEEN 0.6 AND 2.6 THEN 8 ELSE 0 END + CASE WHEN regexp_matches(p_name, 'ring') THEN 45 WHEN regexp_matches(p_name, 'gear') THEN -40 ELSE 0 END, 6) AS score FROM (SELECT *, p_size * 50 AS w, p_partkey % 1500 + 100 AS h FROM part))
+  SELECT p_partkey, score, row_number() OVER (PARTITION BY p_brand ORDER BY assigned NULLS LAST, score DESC, p_partkey) AS place FROM s""")
+def w14_cover_pictures(t: Tables) -> DataFrame:
+    rows = t.part.withColumn("assigned", F.when(F.col("p_partkey") % 7 == 0, F.col("p_size")))
+    ranked = rules.cover_pictures(rows, "p_brand", F.col("p_size") * 50, F.col("p_partkey") % 1500 + 100, F.col("p_name").rlike("ring"), F.col("p_name").rlike("gear"), "assigned", "p_partkey")
+    return ranked.select("p_partkey", "score", "place")
+
+
+@query("""WITH o AS (SELECT regexp_extract(url, '/(en|fr|de|es)/', 1) AS lang, url, min(page_id) AS o FROM pages WHERE NOT regexp_matches(url, '//m\\.') GROUP BY 1, 2), n AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY o, url) AS n FROM o WHERE lang <> '')
+  SELECT lang, CAST((n - 1) // 16 AS BIGINT) AS part, array_to_string(list(url ORDER BY n), ' ') AS links FROM n GROUP BY 1, 2""")
+def j14_link_lists(t: Tables) -> DataFrame:
+    rows = t.pages.filter(~F.col("url").rlike("//m\\.")).select("page_id", F.regexp_extract("url", "/(en|fr|de|es)/", 1).alias("lang"), "url").filter("lang <> ''")
+    return rules.link_lists(rows, "lang", "url", "page_id", 16)
+
+
 _FACTOR = f"""gt AS (SELECT doc_id, CASE WHEN contains(l, ' le ') OR contains(l, ' der ') THEN 0.0 WHEN contains(d, ' le ') OR contains(d, ' der ') THEN 0.4 ELSE 1.0 END AS factor FROM (SELECT doc_id, ' ' || {_MATCH.format(c='labels')} || ' ' AS l, ' ' || {_MATCH.format(c='description')} || ' ' AS d FROM a))"""
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..operators import ledgers, timeline
+from ..operators import ledgers, rules, timeline
 from ..scratch import shared_folder
 from ..sources.versions import Versioned
 from .registry import Tables, query
@@ -174,10 +174,9 @@ def a16_reminders(t: Tables) -> DataFrame:
   SELECT user_id, count(*) AS n_changes, min(slot) AS first_slot FROM a WHERE machine <> human GROUP BY 1""")
 def a17_keyword_edits(t: Tables) -> DataFrame:
     even, odd = F.when(F.col("event_id") % 2 == 0, F.col("event_id")), F.when(F.col("event_id") % 2 == 1, F.col("event_id"))
-    both = t.events.groupBy("user_id", k().alias("slot")).agg(F.max_by("event_type", even).alias("machine"), F.max(even).alias("e"), F.max_by("event_type", odd).alias("human"), F.max(odd).alias("o"))
-    diff = both.filter("e IS NOT NULL AND o IS NOT NULL AND machine <> human")
-    changes = F.sort_array(F.collect_list(F.struct("slot", "machine", "human")))
-    return diff.groupBy("user_id").agg(changes.alias("c")).select("user_id", F.size("c").cast("long").alias("n_changes"), F.col("c")[0]["slot"].alias("first_slot"))
+    last = lambda order: t.events.filter(order.isNotNull()).groupBy("user_id", k().alias("slot")).agg(F.max_by("event_type", order).alias("v"))
+    edits = rules.keyword_edits(last(even), last(odd), "user_id", "slot", "v")
+    return edits.select("user_id", F.size("changes").cast("long").alias("n_changes"), F.col("changes")[0]["slot"].alias("first_slot"))
 
 
 @query("""SELECT user_id, event_id FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS r FROM (SELECT user_id, props, min(event_id) AS event_id FROM events GROUP BY 1, 2)) WHERE r <= 14""")
@@ -189,8 +188,8 @@ def a18_last_examples(t: Tables) -> DataFrame:
 
 @query("""SELECT conv_id, count(DISTINCT turn // 2) AS sentences, count(DISTINCT CASE WHEN length(text) > 100 THEN turn // 2 END) AS assigned, bool_or(role = 'system') AS flagged FROM conversations GROUP BY 1""")
 def a15_job_list(t: Tables) -> DataFrame:
-    slot = F.split(F.concat(F.floor(F.col("turn") / 2), F.lit(":"), F.col("turn") % 2), ":")[0]
-    return t.conversations.groupBy("conv_id").agg(F.countDistinct(slot).alias("sentences"), F.countDistinct(F.when(F.length("text") > 100, slot)).alias("assigned"), F.bool_or(F.col("role") == "system").alias("flagged"))
+    slot = F.concat(F.floor(F.col("turn") / 2), F.lit(":"), F.col("turn") % 2)
+    return rules.job_list(t.conversations, "conv_id", slot, F.length("text") > 100, F.col("role") == "system")
 
 
 @query("""WITH e AS (SELECT user_id, event_id, value, first_value(value) OVER (PARTITION BY user_id ORDER BY event_id) AS std FROM events)
@@ -203,8 +202,7 @@ def w6_frame_check(t: Tables) -> DataFrame:
 
 @query("""SELECT event_id, strftime(ts, '%Y%m%d') || '-' || row_number() OVER (PARTITION BY CAST(ts AS DATE) ORDER BY ts, event_id) AS code FROM events""")
 def w9_day_sequence(t: Tables) -> DataFrame:
-    n = F.row_number().over(Window.partitionBy(F.to_date("ts")).orderBy("ts", "event_id"))
-    return t.events.select("event_id", F.concat(F.date_format("ts", "yyyyMMdd"), F.lit("-"), n).alias("code"))
+    return rules.day_codes(t.events.select("event_id", "ts"), "ts", "event_id").select("event_id", "code")
 
 
 @query("""SELECT p_partkey, p_brand, uses, pick FROM (SELECT p_partkey, p_brand, uses, row_number() OVER (PARTITION BY p_brand ORDER BY uses, md5(CAST(p_partkey AS VARCHAR)), p_partkey) AS pick FROM (SELECT p_partkey, p_brand, count(l_orderkey) AS uses FROM part LEFT JOIN lineitem ON p_partkey = l_partkey GROUP BY 1, 2)) WHERE pick <= 3""")
@@ -216,8 +214,8 @@ def w7_least_repeat(t: Tables) -> DataFrame:
 
 @query("""SELECT o_custkey, count(*) AS uses, -2 * least(count(*), 5) + CASE WHEN o_custkey % 2 = 0 THEN 4 ELSE 5 END AS bonus FROM orders GROUP BY 1""")
 def w12_rotation_penalty(t: Tables) -> DataFrame:
-    bonus = -2 * F.least(F.count("*"), F.lit(5)) + F.when(F.col("o_custkey") % 2 == 0, 4).otherwise(5)
-    return t.orders.groupBy("o_custkey").agg(F.count("*").alias("uses"), bonus.alias("bonus"))
+    uses = t.orders.groupBy("o_custkey").agg(F.count("*").alias("uses"))
+    return uses.withColumn("bonus", rules.rotation_bonus(F.col("uses"), F.col("o_custkey") % 2 == 0))
 
 
 _TIMES = """t AS (SELECT conv_id, turn, role, text, len(string_split(trim(regexp_replace(text, '\\s+', ' ', 'g')), ' ')) AS words FROM conversations),
@@ -328,10 +326,17 @@ def j26_provenance_merge(t: Tables) -> DataFrame:
 def j25_map_is_current(t: Tables) -> DataFrame:
     a = t.events.filter("event_id % 2 = 0").groupBy("user_id", "event_type").agg(F.max_by("props", "event_id").alias("a"))
     b = t.events.filter("event_id % 2 = 0 OR value > 150").groupBy("user_id", "event_type").agg(F.max_by("props", "event_id").alias("b"))
-    return a.join(b, ["user_id", "event_type"], "full_outer").groupBy("user_id").agg(F.bool_and(F.col("a").eqNullSafe(F.col("b"))).alias("current"))
+    return rules.same_maps(a.withColumnRenamed("a", "v"), b.withColumnRenamed("b", "v"), "user_id", "event_type", "v")
 
 
 @query("""SELECT e.event_id, CASE WHEN event_type = 'error' AND user_id % 2 = 0 THEN 'removed' WHEN event_type = 'error' THEN 'kept' ELSE 'match' END AS outcome FROM events e""")
 def j24_verdicts(t: Tables) -> DataFrame:
     machine = F.col("user_id") % 2 == 0
     return t.events.select("event_id", F.when((F.col("event_type") == "error") & machine, "removed").when(F.col("event_type") == "error", "kept").otherwise("match").alias("outcome"))
+
+
+@query("""WITH v AS (SELECT event_id, max(seen) AS seen FROM (SELECT event_id * 3 % 5000 AS event_id, event_type AS seen FROM events WHERE event_type <> 'error') GROUP BY 1) SELECT e.event_id, CASE WHEN v.event_id IS NULL THEN 'unseen' WHEN seen = event_type THEN 'match' WHEN user_id % 2 = 0 THEN 'removed' ELSE 'kept' END AS outcome FROM events e LEFT JOIN v ON v.event_id = e.event_id""")
+def j24_verdict_join(t: Tables) -> DataFrame:
+    """Events as pictures, looked at again by other events."""
+    eye = t.events.filter("event_type <> 'error'").select((F.col("event_id") * 3 % 5000).alias("event_id"), F.col("event_type").alias("seen_as"))
+    return rules.verdict_outcomes(t.events.withColumn("by_machine", F.col("user_id") % 2 == 0), eye, "event_id", "event_type")

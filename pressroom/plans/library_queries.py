@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..operators import board, library, search
+from ..operators import board, library, rules, search
 from .registry import ORACLE_SQL, Tables, query
 from .scalars import BARE, HEAD, head
 
@@ -404,9 +404,7 @@ def gated(t: Tables, description: Column) -> DataFrame:
 
 @query("""WITH c AS (SELECT doc_id, CAST(contains(lower(text), ' the ') AS INTEGER) + CAST(contains(lower(text), ' and ') AS INTEGER) AS t, CAST(contains(lower(text), ' le ') AS INTEGER) + CAST(contains(lower(text), ' der ') AS INTEGER) + CAST(contains(lower(text), ' for ') AS INTEGER) AS c FROM documents) SELECT doc_id, t > 0 AND t >= c AS national FROM c""")
 def j16_national_team(t: Tables) -> DataFrame:
-    low = F.lower("text")
-    count = lambda words: sum((low.contains(w).cast("int") for w in words[1:]), low.contains(words[0]).cast("int"))
-    return t.documents.select("doc_id", count([" the ", " and "]).alias("t"), count([" le ", " der ", " for "]).alias("c")).select("doc_id", ((F.col("t") > 0) & (F.col("t") >= F.col("c"))).alias("national"))
+    return t.documents.select("doc_id", rules.national_team(F.col("text"), [" the ", " and "], [" le ", " der ", " for "]).alias("national"))
 
 
 @query("""SELECT p_partkey, CASE WHEN least(w, h) < 300 THEN 'tiny' WHEN NOT (w / h BETWEEN 0.60 AND 2.20) THEN 'shape' WHEN greatest(w, h) >= 1920 AND least(w, h) >= 1080 THEN 'full' WHEN greatest(w, h) >= 1000 THEN 'preview' ELSE 'small' END AS gate,
@@ -460,19 +458,19 @@ def a14_twelve_moods(t: Tables) -> DataFrame:
 
 @query("""WITH r AS (SELECT l_orderkey, bool_or(l_returnflag = 'R' AND l_discount > 0.08) AS sure, bool_or(l_tax > 0.07) AS maybe FROM lineitem GROUP BY 1) SELECT CASE WHEN sure THEN 'marked' WHEN maybe THEN 'doubtful' ELSE 'clean' END AS verdict, count(*) AS n FROM r GROUP BY 1""")
 def a13_watermark_verdict(t: Tables) -> DataFrame:
-    r = t.lineitem.groupBy("l_orderkey").agg(F.bool_or((F.col("l_returnflag") == "R") & (F.col("l_discount") > 0.08)).alias("sure"), F.bool_or(F.col("l_tax") > 0.07).alias("maybe"))
-    return r.groupBy(F.when(F.col("sure"), "marked").when(F.col("maybe"), "doubtful").otherwise("clean").alias("verdict")).agg(F.count("*").alias("n"))
+    marks = rules.mark_verdicts(t.lineitem, "l_orderkey", (F.col("l_returnflag") == "R") & (F.col("l_discount") > 0.08), F.col("l_tax") > 0.07)
+    return marks.groupBy("verdict").agg(F.count("*").alias("n"))
 
 
 @query("SELECT doc_id FROM documents WHERE NOT (contains(lower(text), 'heron') OR contains(lower(text), 'etait'))")
 def f2_drop_topics(t: Tables) -> DataFrame:
-    return t.documents.filter(~F.lower("text").rlike("heron|etait")).select("doc_id")
+    return rules.without_topics(t.documents, "text", ["heron", "etait"]).select("doc_id")
 
 
 @query("""SELECT d.doc_id, CASE WHEN l.doc_id IS NULL THEN 'unseen' WHEN toxic = 1 THEN 'awaiting' WHEN quality = 0 AND n_chars < 900 THEN 'unnamed' ELSE 'done' END AS status FROM documents d LEFT JOIN (SELECT doc_id, max(quality) AS quality, max(toxic) AS toxic FROM labels GROUP BY 1) l ON d.doc_id = l.doc_id""")
 def f4_status_filters(t: Tables) -> DataFrame:
     seen = t.labels.groupBy("doc_id").agg(F.max("quality").alias("quality"), F.max("toxic").alias("toxic"), F.lit(True).alias("seen"))
-    status = F.when(F.col("seen").isNull(), "unseen").when(F.col("toxic") == 1, "awaiting").when((F.col("quality") == 0) & (F.col("n_chars") < 900), "unnamed").otherwise("done")
+    status = rules.audit_status(F.col("seen"), F.col("toxic") == 1, (F.col("quality") == 0) & (F.col("n_chars") < 900))
     return t.documents.join(seen, "doc_id", "left").select("doc_id", status.alias("status"))
 
 
@@ -485,7 +483,7 @@ def f5_video_kinds(t: Tables) -> DataFrame:
 @query("""SELECT event_id, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events WHERE regexp_matches(json_extract_string(props, '$.k'), '^-?[0-9]+$') AND CAST(json_extract_string(props, '$.k') AS INTEGER) % 2 = 0""")
 def f9_integer_keys(t: Tables) -> DataFrame:
     k = F.get_json_object("props", "$.k")
-    m = F.map_filter(F.create_map(F.when(k.cast("int") % 2 == 0, k).otherwise(F.concat(F.lit("x"), k)), F.lit(1)), lambda key, _: key.rlike("^-?[0-9]+$"))
+    m = rules.integer_entries(F.create_map(F.when(k.cast("int") % 2 == 0, k).otherwise(F.concat(F.lit("x"), k)), F.lit(1)))
     return t.events.select("event_id", F.map_keys(m).alias("keys")).filter("size(keys) > 0").select("event_id", F.col("keys")[0].cast("int").alias("k"))
 
 
@@ -501,14 +499,13 @@ def f11_source_marks(t: Tables) -> DataFrame:
 
 @query(f"""WITH d AS (SELECT doc_id, lower(trim({HEAD.format(n=5)})) AS k FROM documents) SELECT a.doc_id FROM d a WHERE EXISTS (SELECT 1 FROM d b WHERE b.k = a.k AND b.doc_id < a.doc_id)""")
 def j8_already_published(t: Tables) -> DataFrame:
-    first = t.documents.groupBy(F.lower(F.trim(head(5))).alias("k")).agg(F.min("doc_id").alias("first"))
-    return t.documents.withColumn("k", F.lower(F.trim(head(5)))).join(first, "k").filter("doc_id > first").select("doc_id")
+    return rules.already_published(t.documents, "doc_id", head(5))
 
 
 @query("""SELECT o_orderkey, CASE WHEN EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_linenumber = 1) THEN 'alive' ELSE 'lost' END AS origin FROM orders WHERE o_orderstatus = 'F'""")
 def j10_rescuable_cuts(t: Tables) -> DataFrame:
     cuts, origins = t.orders.filter("o_orderstatus = 'F'"), t.lineitem.filter("l_linenumber = 1").select(F.col("l_orderkey").alias("o_orderkey"))
-    return cuts.join(origins, "o_orderkey", "left_semi").select("o_orderkey", F.lit("alive").alias("origin")).unionByName(cuts.join(origins, "o_orderkey", "left_anti").select("o_orderkey", F.lit("lost").alias("origin")))
+    return rules.rescuable(cuts, origins, "o_orderkey")
 
 
 @query("""WITH h AS (SELECT doc_id, list_distinct(list_filter(list_slice(string_split(lower(text), ' '), 1, 12), lambda w: length(w) >= 4)) AS w FROM documents), c AS (SELECT conv_id, turn, list_distinct(list_filter(string_split(lower(text), ' '), lambda w: length(w) >= 4)) AS w FROM conversations),
