@@ -346,7 +346,22 @@ def j3_canonical_names(t: Tables) -> DataFrame:
     return rows.join(names, "name").select("p_partkey", "canonical")
 
 
-@query()
+def _mergeable_sql(a: str, b: str, blocking: list[str]) -> str:
+    """Whether one list of words is among the other, in order, and no blocking word is left over."""
+    short, long = (f"(CASE WHEN len({a}) <= len({b}) THEN {x} ELSE {y} END)" for x, y in ((a, b), (b, a)))
+    words = ", ".join(f"'{w}'" for w in blocking)
+    return f"(regexp_matches(' ' || array_to_string({long}, ' ') || ' ', ' ' || array_to_string({short}, ' (.* )?') || ' ') AND NOT list_has_any(list_filter({long}, lambda x: NOT list_contains({short}, x)), [{words}]))"
+
+
+def _name_sql(c: str) -> str:
+    return f"string_split(trim(regexp_replace(lower({c}), '[^a-z0-9]+', ' ', 'g')), ' ')"
+
+
+@query(f"""WITH n AS MATERIALIZED (SELECT p_partkey, CASE WHEN p_partkey % 50 = 0 THEN p_name || ' vs x' WHEN p_partkey % 50 = 1 THEN p_name || ', ' || p_type ELSE p_name END AS name FROM part), a AS MATERIALIZED (SELECT {_name_sql('p_name')} AS f, min(upper(p_name)) AS c FROM part WHERE p_partkey < 60 GROUP BY 1),
+  d AS MATERIALIZED (SELECT DISTINCT name, {_name_sql('name')} AS f FROM n), l AS MATERIALIZED (SELECT name, count(*) AS n, {_name_sql('name')} AS f FROM n WHERE NOT contains(name, ',') GROUP BY 1), r AS MATERIALIZED (SELECT * FROM d WHERE NOT contains(name, ',') AND NOT contains(name, ' vs ') AND f NOT IN (SELECT f FROM a)),
+  k AS MATERIALIZED (SELECT r.name, min(a.c) AS c FROM r JOIN a ON {_mergeable_sql('r.f', 'a.f', ['u23'])} GROUP BY 1),
+  v AS (SELECT r.name, max(struct_pack(y := NOT regexp_matches(array_to_string(l.f, ' '), '\\b(19|20)[0-9]{{2}}\\b'), n := l.n, len := length(l.name), name := l.name)) AS b FROM r JOIN l ON r.name = l.name OR {_mergeable_sql('r.f', 'l.f', ['u23'])} WHERE r.name NOT IN (SELECT name FROM k) GROUP BY 1)
+  SELECT p_partkey, CASE WHEN contains(n.name, ' vs ') THEN '' WHEN contains(n.name, ',') THEN n.name ELSE coalesce(a.c, k.c, v.b.name, n.name) END AS canonical FROM n JOIN d USING (name) LEFT JOIN a ON a.f = d.f LEFT JOIN k ON k.name = n.name LEFT JOIN v ON v.name = n.name""")
 def j3_canonical_names_full(t: Tables) -> DataFrame:
     alias = t.part.filter("p_partkey < 60").select(F.upper("p_name").alias("canonical"), F.col("p_name").alias("variant")).distinct()
     name = F.when(F.col("p_partkey") % 50 == 0, F.concat("p_name", F.lit(" vs x"))).when(F.col("p_partkey") % 50 == 1, F.concat_ws(", ", "p_name", "p_type")).otherwise(F.col("p_name"))
@@ -356,7 +371,11 @@ def j3_canonical_names_full(t: Tables) -> DataFrame:
     return rows.join(names, "name").select("p_partkey", "canonical")
 
 
-@query()
+@query(f"""WITH RECURSIVE d AS (SELECT array_to_string(list_slice(string_split({_MATCH.format(c='text')}, ' '), 1, CAST(doc_id % 3 + 1 AS BIGINT)), ' ') AS name FROM documents WHERE text IS NOT NULL), n AS MATERIALIZED (SELECT name, count(*) AS n, string_split(name, ' ') AS f FROM d WHERE name <> '' GROUP BY 1),
+  o AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY regexp_matches(name, '20[0-9][0-9]'), n DESC, length(name) DESC, name) AS k FROM n),
+  e AS MATERIALIZED (SELECT y.k, list(x.k ORDER BY x.k) AS before FROM o x JOIN o y ON x.k < y.k AND {_mergeable_sql('x.f', 'y.f', ['u23', 'the', 'is'])} GROUP BY 1),
+  r AS (SELECT CAST(0 AS BIGINT) AS k, CAST(NULL AS BIGINT) AS target, CAST([] AS BIGINT[]) AS kept UNION ALL SELECT k, t, CASE WHEN t IS NULL THEN list_append(kept, k) ELSE kept END FROM (SELECT o.k, kept, list_filter(coalesce(e.before, []), lambda x: list_contains(kept, x))[1] AS t FROM r JOIN o ON o.k = r.k + 1 LEFT JOIN e ON e.k = o.k))
+  SELECT o.name, coalesce(x.name, o.name) AS target FROM r JOIN o ON o.k = r.k LEFT JOIN o x ON x.k = r.target""")
 def j5_name_merge(t: Tables) -> DataFrame:
     names = t.documents.select(F.array_join(F.slice(F.split(tx.fold_match(F.col("text")), " "), 1, F.col("doc_id").cast("int") % 3 + 1), " ").alias("name")).filter("name <> ''")
     return library.merge_names(names.groupBy("name").agg(F.count("*").alias("n")), ["u23", "the", "is"])

@@ -174,7 +174,9 @@ def x6_tags(t: Tables) -> DataFrame:
     return rows.select("doc_id", F.size("tags").cast("long").alias("n_tags"), F.aggregate("tags", F.lit(0).cast("long"), lambda a, x: a + F.length(x) + 2).alias("used"))
 
 
-@query()
+@query(r"""WITH l AS (SELECT doc_id, string_split(trim(regexp_replace(text, '\s+', ' ', 'g')), ' ') AS l FROM documents WHERE text IS NOT NULL), w AS (SELECT doc_id, unnest(l) AS w, generate_subscripts(l, 1) AS p FROM l), b AS (SELECT *, regexp_replace(w, '[^\p{L}\p{N}]+$', '') AS bare FROM w WHERE p > 1),
+  f AS (SELECT *, regexp_matches(bare, '^\p{Lu}') AND lower(bare) NOT IN ('the', 'le', 'der', 'el') AS proper FROM b), g AS (SELECT *, coalesce(sum(CASE WHEN NOT proper OR bare <> w THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS g FROM f), r AS (SELECT doc_id, string_agg(bare, ' ' ORDER BY p) AS run FROM g WHERE proper GROUP BY doc_id, g)
+  SELECT doc_id, count(*) AS n_runs, min(run) AS first_run FROM r GROUP BY 1""")
 def x7_proper_names(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", F.explode(tx.proper_runs(F.col("text"), ["the", "le", "der", "el"])).alias("run")).groupBy("doc_id").agg(F.count("*").alias("n_runs"), F.min("run").alias("first_run"))
 
