@@ -216,6 +216,23 @@ def st4_read_since_cursor(t: Tables) -> DataFrame:
     return streams.drain(rows, path)  # nothing new since: the checkpoint is the cursor
 
 
+@query("SELECT event_id, k AS look FROM events, range(1, 4) t(k) WHERE event_id % 2 = 1")
+def st4_peek(t: Tables) -> DataFrame:
+    """Events with even ids have been read when the others arrive; two looks and a read
+    bring the same."""
+    source, cursor = folder(t, "arrivals"), folder(t, "cursor")
+    rows = t.events.select("event_id")
+    rows.filter("event_id % 2 = 0").write.parquet(source)
+    stream = t.spark.readStream.schema(rows.schema).parquet(source)
+    before = streams.drain(stream, cursor)
+    seen = before.count()
+    rows.filter("event_id % 2 = 1").write.mode("append").parquet(source)
+    looks = [streams.peek(stream, cursor).withColumn("look", F.lit(k).cast("long")) for k in (1, 2)]
+    after = streams.drain(stream, cursor)
+    new = after.filter("event_id % 2 = 1").withColumn("look", F.lit(3).cast("long")) if after.count() > seen else looks[0].limit(0)
+    return looks[0].unionByName(looks[1]).unionByName(new)
+
+
 @query("SELECT event_id FROM events")
 def st4_read_all_since_cursor(t: Tables) -> DataFrame:
     return st4_read_since_cursor(t)

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..scratch import drop_folder, shared_folder
+
 
 def file_stream(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
     """A stream over the Parquet files at ``path`` (a folder or one file)."""
@@ -28,6 +30,23 @@ def drain(stream: DataFrame, folder: str, mode: str = "append") -> DataFrame:
     return spark.read.schema(stream.schema).parquet(out)
 
 
+def peek(stream: DataFrame, folder: str) -> DataFrame:
+    """What ``drain`` with the same folder would bring next, without moving its cursor: the
+    stream is run from a copy of the checkpoint, which is dropped again."""
+    spark = stream.sparkSession
+    side, path = shared_folder(spark, "peek"), spark._jvm.org.apache.hadoop.fs.Path
+    conf, own, copy = spark._jsc.hadoopConfiguration(), path(f"{folder}/checkpoint"), path(f"{side}/checkpoint")
+    fs = own.getFileSystem(conf)
+    if fs.exists(own):
+        spark._jvm.org.apache.hadoop.fs.FileUtil.copy(fs, own, copy.getFileSystem(conf), copy, False, conf)
+    out = f"{side}/out"
+    writer = stream.writeStream.option("checkpointLocation", f"{side}/checkpoint").trigger(availableNow=True)
+    writer.foreachBatch(lambda df, n: df.write.mode("append").parquet(out)).start().awaitTermination()
+    drop_folder(spark, f"{side}/checkpoint")
+    found = path(out)
+    return spark.read.schema(stream.schema).parquet(out) if fs.exists(found) else spark.createDataFrame([], stream.schema)
+
+
 def daily_counts(rows: DataFrame, ts: str, late: str = "72 hours") -> DataFrame:
     """Tumbling days; a day is final when the watermark passes it."""
     return rows.withWatermark(ts, late).groupBy(F.window(ts, "1 day").alias("w"), "event_type").agg(F.count("*").alias("n"), F.max("value").alias("most")).select(F.col("w.start").alias("day"), "event_type", "n", "most")

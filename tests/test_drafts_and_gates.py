@@ -346,3 +346,18 @@ def test_shards_of_any_key(spark):
     shards = [{r.k for r in ledgers.every_nth(rows, "k", i, 3).collect()} for i in range(3)]
     every = [None, *(f"k{i:03}" for i in range(100))]
     assert shards == [set(every[i::3]) for i in range(3)]
+
+
+def test_peek_leaves_the_cursor(spark, tmp_path):
+    from pressroom.streaming import streams
+
+    source, folder = f"file://{tmp_path}/in", f"file://{tmp_path}/state"
+    stream = lambda: spark.readStream.schema("n long").parquet(source)
+    spark.range(3).select(F.col("id").alias("n")).coalesce(1).write.parquet(source)
+    assert sorted(r.n for r in streams.peek(stream(), folder).collect()) == [0, 1, 2]  # before the first read
+    assert sorted(r.n for r in streams.drain(stream(), folder).collect()) == [0, 1, 2]
+    assert streams.peek(stream(), folder).count() == 0
+    spark.range(3, 5).select(F.col("id").alias("n")).coalesce(1).write.mode("append").parquet(source)
+    for _ in range(2):
+        assert sorted(r.n for r in streams.peek(stream(), folder).collect()) == [3, 4]
+    assert sorted(r.n for r in streams.drain(stream(), folder).collect()) == [0, 1, 2, 3, 4]
