@@ -38,3 +38,12 @@ def test_shared_tokens_sends_no_exploded_sets(spark):
     assert sorted(tuple(r) for r in by_share.collect()) == [(1, 5, 2), (2, 6, 1)]
     assert [tuple(r) for r in search.shared_tokens(left, right, "a", "b", "w", 2).collect()] == [(1, 5, 2)]
     assert "BroadcastExchange" not in plan(by_share)
+
+
+def test_short_hashes_are_cut_where_they_vary(spark):
+    rows = spark.createDataFrame([(i, i * 2654435761 % 2**31) for i in range(400)], "k long, h long")
+    most = library.agreeing(rows, "k", "h", 5).groupBy("band", "value").count().agg({"count": "max"}).first()[0]
+    assert most < 40
+    got = {(r.a, r.b) for r in library.hamming_matches(rows, "k", "h", 5).collect()}
+    hashes = {i: i * 2654435761 % 2**31 for i in range(400)}
+    assert got == {(a, b) for a in hashes for b in hashes if a < b and hashes[a] != hashes[b] and bin(hashes[a] ^ hashes[b]).count("1") <= 5}
