@@ -122,7 +122,7 @@ def j4_mergeable_names(t: Tables) -> DataFrame:
     return pairs.filter(F.col("b").startswith(F.concat("a", F.lit(" "))) & library.mergeable(F.col("a"), F.col("b"), ["u23"])).select("a", "b")
 
 
-@query("""WITH p AS (SELECT vec_id, CAST(floor((unnest(embedding) + 1) * 16) AS INTEGER) AS colour FROM embeddings), c AS (SELECT vec_id, colour, count(*) AS n FROM p GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY n DESC, colour) AS r FROM c)
+@query("""WITH p AS (SELECT vec_id, CAST(floor((CAST(unnest(embedding) AS DOUBLE) + 1) * 16) AS INTEGER) AS colour FROM embeddings), c AS (SELECT vec_id, colour, count(*) AS n FROM p GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY n DESC, colour) AS r FROM c)
   SELECT vec_id, round(sum(CASE WHEN r <= 4 THEN n END) / sum(n), 6) AS share FROM r GROUP BY 1""")
 def a20_colour_share(t: Tables) -> DataFrame:
     pixels = t.embeddings.select("vec_id", F.explode("embedding").alias("x")).select("vec_id", F.floor((F.col("x") + 1) * 16).cast("int").alias("colour"))
@@ -190,7 +190,7 @@ def w10_first_seen_urls(t: Tables) -> DataFrame:
     return desk.capped_first_seen(rows, "user_id", "sentence", "rank", "url", 2)
 
 
-@query("""WITH e AS (SELECT user_id, CAST(json_extract_string(props, '$.k') AS INTEGER) AS asset, min((CASE event_type WHEN 'view' THEN 0 WHEN 'click' THEN 1 ELSE 2 END) * 1000000 + event_id) AS o FROM events WHERE event_type IN ('view', 'click', 'signup') GROUP BY 1, 2), u AS (SELECT DISTINCT user_id, CAST(json_extract_string(props, '$.k') AS INTEGER) AS asset FROM events WHERE event_type = 'purchase'),
+@query("""WITH e AS (SELECT user_id, CAST(json_extract_string(props, '$.k') AS INTEGER) AS asset, min(struct_pack(i := CASE event_type WHEN 'view' THEN 0 WHEN 'click' THEN 1 ELSE 2 END, e := event_id)) AS o FROM events WHERE event_type IN ('view', 'click', 'signup') GROUP BY 1, 2), u AS (SELECT DISTINCT user_id, CAST(json_extract_string(props, '$.k') AS INTEGER) AS asset FROM events WHERE event_type = 'purchase'),
   r AS (SELECT user_id, asset, row_number() OVER (PARTITION BY user_id ORDER BY o, asset) AS place FROM e WHERE NOT EXISTS (SELECT 1 FROM u WHERE u.user_id = e.user_id AND u.asset = e.asset)) SELECT * FROM r WHERE place <= 16""")
 def w11_candidate_merge(t: Tables) -> DataFrame:
     rows = t.events.withColumn("asset", F.get_json_object("props", "$.k").cast("int"))

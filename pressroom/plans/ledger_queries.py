@@ -314,7 +314,7 @@ def a18_last_edits(t: Tables) -> DataFrame:
     return ledgers.last_edits(t.events.withColumn("c", changes), "user_id", "event_id", "c")
 
 
-@query("""SELECT user_id, max_by(props, CASE WHEN event_type = 'click' THEN event_id + 1000000 ELSE event_id END) AS props FROM events WHERE event_type IN ('click', 'view') GROUP BY 1""")
+@query("""SELECT user_id, max_by(props, struct_pack(click := event_type = 'click', e := event_id)) AS props FROM events WHERE event_type IN ('click', 'view') GROUP BY 1""")
 def j26_provenance_merge(t: Tables) -> DataFrame:
     one = t.events.filter("event_type = 'view'").select("user_id", "props", F.lit(0).alias("book"), "event_id")
     two = t.events.filter("event_type = 'click'").select("user_id", "props", F.lit(1).alias("book"), "event_id")

@@ -40,6 +40,29 @@ def test_shared_tokens_sends_no_exploded_sets(spark):
     assert "BroadcastExchange" not in plan(by_share)
 
 
+def test_order_of_books_at_large_ids(spark, tmp_path):
+    rows = [(3_000_000, 1, "view", '{"k": 1}'), (5, 1, "click", '{"k": 2}'), (2_500_000, 1, "signup", '{"k": 3}')]
+    df = spark.createDataFrame(rows, "event_id long, user_id long, event_type string, props string")
+    df.write.parquet(f"{tmp_path}/events.parquet")
+    events = pa.Table.from_pylist([dict(zip(df.columns, r)) for r in rows])
+    con = duckdb.connect()
+    con.register("events", events)
+    for name in ("j26_provenance_merge", "w11_candidate_merge"):
+        got = catalog.QUERIES[name](spark, str(tmp_path))
+        found = con.execute(catalog.ORACLE_SQL[name])
+        names = [c[0] for c in found.description]
+        assert sorted(map(str, (tuple(r[c] for c in names) for r in got.collect()))) == sorted(map(str, found.fetchall()))
+
+
+def test_colours_are_binned_in_double(spark, tmp_path):
+    x = -1e-9  # one more is 1.0 in single precision
+    spark.createDataFrame([(1, [x, x, 0.5, -0.5, 0.1, 0.9, 0.0])], "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    (got,) = catalog.QUERIES["a20_colour_share"](spark, str(tmp_path)).collect()
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    assert con.execute(catalog.ORACLE_SQL["a20_colour_share"]).fetchall() == [tuple(got)]
+
+
 def test_short_hashes_are_cut_where_they_vary(spark):
     rows = spark.createDataFrame([(i, i * 2654435761 % 2**31) for i in range(400)], "k long, h long")
     most = library.agreeing(rows, "k", "h", 5).groupBy("band", "value").count().agg({"count": "max"}).first()[0]
