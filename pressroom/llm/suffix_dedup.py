@@ -11,7 +11,7 @@ places are neighbours in that order which agree in all their bytes.
 Neighbouring segments that are alone with their anchors (whole copies) share one string.
 An anchor with many different segments (the edge of a passage that a large part of the
 corpus shares) makes no string, which would be as long as the corpus: such segments are
-compared block by block of window starts, by 128-bit names of their bytes."""
+compared block by block of window starts, as neighbours in the order of 128-bit names."""
 
 from __future__ import annotations
 
@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -175,27 +175,70 @@ def _blocks(asked: DataFrame, window: int, size: int) -> DataFrame:
     return asked.select("c1", "c2", "n", "span", "lead", "data", "blocks").mapInArrow(run, "c1 long, c2 long, n long, b int, k1 long, k2 long, w1 long, w2 long")
 
 
+def judged(batches):
+    """Blocks in the order of (k1, k2, w1, w2), with what each says about its neighbours.
+    hit: the next block before or behind holds the same bytes (n > 1 is not looked at).
+    refine: the first of those that hold the same bytes, if others share its core. edge:
+    the first and the last block, whose other neighbour is not seen here; they are refined
+    whatever they are. Blocks that are none of these are left out."""
+    names = ["c1", "c2", "b", "k1", "k2", "w1", "w2"]
+
+    def settle(rows: pa.Table, start: int, begins: bool, ends: bool):
+        k1, k2, w1, w2 = (rows[c].fill_null(0).to_numpy() for c in names[3:])
+        whole = rows["w1"].is_valid().to_numpy()
+        core = np.concatenate(([False], (k1[1:] == k1[:-1]) & (k2[1:] == k2[:-1]), [False]))
+        same = np.concatenate(([False], core[1:-1] & whole[1:] & whole[:-1] & (w1[1:] == w1[:-1]) & (w2[1:] == w2[:-1]), [False]))
+        edge = np.zeros(len(k1), bool)
+        edge[:1], edge[-1:] = begins, ends
+        refine, head = edge.copy(), np.flatnonzero(~same[:-1])
+        refine[head] |= core[head] | np.append(core[head[1:]], True)  # where the last ones end is not known
+        hit = same[:-1] | same[1:]
+        at = np.flatnonzero(hit | refine)
+        at = at[(at >= start) & (at < len(k1) - (not ends))]
+        out = rows.select(names).take(pa.array(at))
+        for name, flags in (("hit", hit), ("refine", refine), ("edge", edge)):
+            out = out.append_column(name, pa.array(flags[at]))
+        return out.to_batches()
+
+    held, start, begins = None, 0, True  # the last two blocks: one that is settled, one that waits for the next
+    for batch in batches:
+        rows = pa.Table.from_batches([batch])
+        rows = pa.concat_tables([held, rows]).combine_chunks() if held else rows
+        if len(rows) > start + 1:
+            yield from settle(rows, start, begins, False)
+            held, start, begins = rows.slice(len(rows) - 2), 1, False
+        else:
+            held = rows
+    if held:
+        yield from settle(held, start, begins, True)
+
+
 def _crowded(crowds: DataFrame, window: int) -> DataFrame:
     """(c1, c2, from, to) of the repeated windows of segments with a crowded anchor.
 
     Equal windows stand at one distance from their anchor, so they are in the same block
-    of window starts and agree in the bytes that the block's windows share. Of the segments
-    that agree in those, all windows are repeated if they agree in all bytes of the block,
-    none if there is one of them; else the block is cut in four, down to one window."""
-    name, found, asked = ["c1", "c2"], None, crowds.withColumn("blocks", F.lit(None).cast("array<int>"))
+    of window starts and agree in the bytes that the block's windows share, its core. The
+    blocks are sorted by core and bytes over all partitions. Where two hold the same bytes,
+    all windows are repeated; where one shares its core with others, the windows that they
+    may share are found by cutting in four the first of each kind, down to one window. So
+    a block that many segments hold is looked at once, and no block meets a group."""
+    name, asked = ["c1", "c2"], crowds.withColumn("blocks", F.lit(None).cast("array<int>"))
+    own = crowds.select(*name, "n", "span", (F.lit(window) - F.col("lead")).alias("zero"))
+    found = own.filter("n > 1").select(*name, F.col("zero").alias("low"), (F.col("zero") + F.col("span") - 1).alias("high"))
+    order = ["k1", "k2", "w1", "w2", *name]
     for size in (64, 16, 4, 1):
         rows = as_table(_blocks(asked, window, size), "crowded-blocks")
-        same = (F.count("w1") == F.count("*")) & (F.min("w1") == F.max("w1")) & (F.min("w2") == F.max("w2"))
-        met = as_table(rows.groupBy("k1", "k2").agg(F.sum("n").alias("times"), same.alias("same")).filter("times > 1").select("k1", "k2", "same"), "crowded-cores")
-        rows = rows.select(*name, "b", "k1", "k2").join(met, ["k1", "k2"])
-        hits = rows.filter("same").select(*name, (F.col("b") * size).alias("low"), (F.col("b") * size + size - 1).alias("high"))
-        found = hits if found is None else found.unionByName(hits)
+        dealt = rows.repartitionByRange(input_partitions(crowds), *order).sortWithinPartitions(*order)
+        told = as_table(dealt.mapInArrow(judged, "c1 long, c2 long, b int, k1 long, k2 long, w1 long, w2 long, hit boolean, refine boolean, edge boolean"), "crowded-told")
+        # Two blocks of each partition at most: neighbours that the cut between partitions parts.
+        alike = F.count("w1").over(Window.partitionBy("k1", "k2", "w1", "w2"))
+        parted = told.filter("edge").withColumn("alike", alike).filter("alike > 1")
+        hits = told.filter("hit").select(*name, "b").unionByName(parted.select(*name, "b"))
+        found = found.unionByName(hits.select(*name, (F.col("b") * size).alias("low"), (F.col("b") * size + size - 1).alias("high")))
         if size > 1:
-            left = rows.filter("NOT same").groupBy(*name).agg(F.collect_set("b").alias("blocks"))
-            asked = crowds.join(left, name)
-    zero = F.lit(window) - F.col("lead")
-    near = found.groupBy(*name).agg(F.collect_list(F.struct("low", "high")).alias("own")).join(crowds.select(*name, "lead"), name)
-    return near.select(*name, F.explode("own").alias("x"), "lead").select(*name, (F.col("x.low") - zero).alias("from"), (F.col("x.high") - zero).alias("to"))
+            asked = crowds.join(told.filter("refine").groupBy(*name).agg(F.collect_set("b").alias("blocks")), name)
+    near = found.groupBy(*name).agg(F.collect_set(F.struct("low", "high")).alias("own")).join(own.select(*name, "zero"), name)
+    return near.select(*name, F.explode("own").alias("x"), "zero").select(*name, (F.col("x.low") - F.col("zero")).alias("from"), (F.col("x.high") - F.col("zero")).alias("to"))
 
 
 def _agree(raw: np.ndarray, a: np.ndarray, b: np.ndarray, window: int) -> np.ndarray:

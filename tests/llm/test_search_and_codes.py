@@ -10,6 +10,7 @@ from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from conftest import SMALL
 from pyspark.sql import functions as F
@@ -89,6 +90,43 @@ def test_crowded_anchors_go_by_windows(spark):
     check_bytes(spark, rows)
 
 
+def test_crowded_blocks_meet_no_group(spark, monkeypatch):
+    """Copies of a passage that are different before it, and some inside: their blocks are
+    compared as neighbours and joined with no group of blocks."""
+    rng, seen = np.random.default_rng(3), []
+    passage = rng.integers(97, 123, 600, np.uint8).tobytes().decode()
+    rows = [(i, 0, rng.integers(97, 123, 300, np.uint8).tobytes().decode() + (passage if i % 100 else passage[: 150 + i % 7] + "0" + passage[160:])) for i in range(300)]
+    plain = suffix_dedup.as_table
+
+    def table(df, name, keep=False):
+        seen.append(str(df._jdf.queryExecution().optimizedPlan()))
+        return plain(df, name, keep)
+
+    monkeypatch.setattr(suffix_dedup, "as_table", table)
+    named = spark.createDataFrame(rows, "rk long, rl int, t string")
+    got = {(r.rk, i) for r in suffix_dedup.repeated_ranges(named, crowd=4).collect() for x in r.ranges for i in range(x["from"], x["to"])}
+    windows = Counter(t[i : i + 200] for _, _, t in rows for i in range(len(t) - 199))
+    assert got == {(k, j) for k, _, t in rows for i in range(len(t) - 199) if windows[t[i : i + 200]] > 1 for j in range(i, i + 200)}
+    assert not any(re.search(r"Join .*\bk1#", p) for p in seen)
+
+
+@pytest.mark.parametrize("cut", [1, 2, 3, 7, 100])
+def test_neighbours_over_batches(cut):
+    rng = np.random.default_rng(cut)
+    rows = sorted((int(k), int(w), i) for i, (k, w) in enumerate(zip(rng.integers(0, 12, 60), rng.integers(0, 4, 60))))
+    cols = {"c1": [i for *_, i in rows], "c2": [0] * 60, "b": [0] * 60, "k1": [k for k, *_ in rows], "k2": [0] * 60, "w1": [w or None for _, w, _ in rows], "w2": [w or None for _, w, _ in rows]}
+    batches = pa.table({c: pa.array(v, pa.int64()) for c, v in cols.items()}).to_batches(max_chunksize=cut)
+    got = [r for b in suffix_dedup.judged(iter(batches)) for r in b.to_pylist()]
+    kinds, cores = Counter((k, w) for k, w, _ in rows), Counter(k for k, *_ in rows)
+    assert {r["c1"] for r in got if r["hit"]} == {i for k, w, i in rows if w and kinds[k, w] > 1}
+    assert [r["c1"] for r in got if r["edge"]] == [rows[0][2], rows[-1][2]] and len({r["c1"] for r in got}) == len(got)
+    refined = Counter((r["k1"], r["w1"] or r["c1"] + 100) for r in got if r["refine"])
+    needed = {(k, w or i + 100) for k, w, i in rows if cores[k] > kinds[k, w] or not w and cores[k] > 1}
+    assert needed <= set(refined) and all(cores[k] > 1 or refined[k, w] for k, w in refined)
+    if cut == 100:
+        assert sum(refined.values()) <= len(needed) + 3
+
+
 def test_no_bytes(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     assert suffix_dedup.remove_repeats(none).count() == 0
