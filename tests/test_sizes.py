@@ -5,8 +5,10 @@ from __future__ import annotations
 
 import duckdb
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from pressroom import catalog
+from pressroom.functions import text
 from pressroom.operators import board, library, search
 
 
@@ -70,3 +72,23 @@ def test_short_hashes_are_cut_where_they_vary(spark):
     got = {(r.a, r.b) for r in library.hamming_matches(rows, "k", "h", 5).collect()}
     hashes = {i: i * 2654435761 % 2**31 for i in range(400)}
     assert got == {(a, b) for a in hashes for b in hashes if a < b and hashes[a] != hashes[b] and bin(hashes[a] ^ hashes[b]).count("1") <= 5}
+
+
+def test_names_meet_on_all_their_words(spark):
+    """Frequent words do not bring all names with them together."""
+    from itertools import product
+
+    names = [" ".join(w) for w in product("abcdef", "ghijkl", "mnopqr")] + ["a g", "a", "zz", "x a y g z m", " ".join(f"v{i}" for i in range(15)), "v3 v9", "v9 v3", "a a", "a b a"]
+    df = spark.createDataFrame([(n,) for n in names], "fold string")
+    met = [tuple(r) for r in library.meeting(df, df.select(df.fold.alias("other"))).collect()]
+    assert len(met) < 4 * len(names)  # on the rarest word alone: 36 to 216 for each
+    inside = {(a, b) for a in names for b in names if set(a.split()) <= set(b.split())}
+    assert inside <= set(met)
+
+
+def test_first_words_need_no_whole_text(spark):
+    texts = ["one Two thrée four", "a", "", None, "-- x" + "-" * 500 + "y z w", "é" * 600 + " b c d", "  Đa\u0301 İx  K z", "w " * 300]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for n, head in ((1, 400), (3, 400), (3, 5)):
+        got = df.select(text.first_words(df.t, n, head).alias("got"), F.slice(F.split(text.fold_match(df.t), " "), 1, n).alias("want")).collect()
+        assert all(r.got == r.want for r in got)
