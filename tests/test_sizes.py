@@ -92,3 +92,12 @@ def test_first_words_need_no_whole_text(spark):
     for n, head in ((1, 400), (3, 400), (3, 5)):
         got = df.select(text.first_words(df.t, n, head).alias("got"), F.slice(F.split(text.fold_match(df.t), " "), 1, n).alias("want")).collect()
         assert all(r.got == r.want for r in got)
+
+
+def test_folds_with_and_without_marks(spark):
+    rows = [("Đội tuyển -- Việt Nam!", "doi tuyen    viet nam", "doi-tuyen-viet-nam"), ("Plain, ASCII", "plain  ascii", "plain-ascii"), ("é--" + "x" * 60, "e  " + "x" * 60, "e-" + "x" * 40), ("--", "", ""), (None, None, None)]
+    df = spark.createDataFrame([r[:1] for r in rows], "t string")
+    got = df.select(text.fold_name(df.t), text.slug(df.t)).collect()
+    assert [tuple(r) for r in got] == [r[1:] for r in rows]
+    shared = df.select(text.fold_match(df.t).alias("match"), text.slug(df.t).alias("slug"))
+    assert 'a-z0-9]+, -' not in shared._jdf.queryExecution().optimizedPlan().toString()  # one pass for both
