@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from html.entities import html5
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,7 +33,22 @@ def src1_read_ledger(t: Tables) -> DataFrame:
     return readers.read_ledger(t.spark, path, "event_id long, user_id long, event_type string")
 
 
-@query("SELECT page_id, trim(regexp_replace(regexp_extract(html, '(?s)<title>(.*?)</title>', 1), '&amp;', '&', 'g')) AS title FROM pages WHERE trim(regexp_extract(html, '(?s)<title>(.*?)</title>', 1)) <> ''")
+def _unescaped_sql(c: str) -> str:
+    """HTML entities decoded once, as ``unescape`` does; ``names.m`` maps names to characters."""
+    digits = "regexp_extract(name, '[0-9a-fA-F]+$')"
+    code = f"CASE WHEN regexp_matches(name, '^#[xX]') THEN CAST('0x' || {digits} AS BIGINT) ELSE TRY_CAST({digits} AS BIGINT) END".replace("name", "x.name")
+    char = f"CASE WHEN x.name = '' THEN NULL WHEN x.name LIKE '#%' THEN CASE WHEN {code} BETWEEN 1 AND 1114111 AND NOT {code} BETWEEN 55296 AND 57343 THEN chr(CAST({code} AS INTEGER)) ELSE chr(65533) END ELSE m[x.name] END"
+    named = f"list_transform(string_split({c}, '&')[2:], lambda s: struct_pack(s := s, name := regexp_extract(s, '^(#[0-9]{{1,7}}|#[xX][0-9a-fA-F]{{1,6}}|[A-Za-z][A-Za-z0-9]*);', 1)))"
+    return f"string_split({c}, '&')[1] || coalesce(array_to_string(list_transform({named}, lambda x: coalesce({char} || substr(x.s, length(x.name) + 2), '&' || x.s)), ''), '')"
+
+
+_ENTITIES = ", ".join("('{}', '{}')".format(k[:-1], v.replace("'", "''")) for k, v in sorted(html5.items()) if k.endswith(";"))
+
+
+@query(f"""WITH names AS (SELECT map_from_entries(list((k, v))) AS m FROM (VALUES {_ENTITIES}) e(k, v)),
+  a AS (SELECT page_id, m, regexp_replace(regexp_extract(html, '(?s)<title>(.*?)</title>', 1), '<[^>]+>', ' ', 'g') AS t FROM pages, names),
+  b AS (SELECT page_id, m, {_unescaped_sql("t")} AS t FROM a), c AS (SELECT page_id, m, {_unescaped_sql("t")} AS t FROM b), d AS (SELECT page_id, {_unescaped_sql("t")} AS t FROM c)
+  SELECT page_id, trim(regexp_replace(t, '[\\s\\x0B\\x{{A0}}]+', ' ', 'g')) AS title FROM d WHERE trim(regexp_replace(t, '[\\s\\x0B\\x{{A0}}]+', ' ', 'g')) <> ''""")
 def src3_read_feed(t: Tables) -> DataFrame:
     path = folder(t, "feed")
     title = F.regexp_extract("html", "(?s)<title>(.*?)</title>", 1)

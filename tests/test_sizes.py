@@ -101,3 +101,12 @@ def test_folds_with_and_without_marks(spark):
     assert [tuple(r) for r in got] == [r[1:] for r in rows]
     shared = df.select(text.fold_match(df.t).alias("match"), text.slug(df.t).alias("slug"))
     assert 'a-z0-9]+, -' not in shared._jdf.queryExecution().optimizedPlan().toString()  # one pass for both
+
+
+def test_feed_sql_decodes_entities():
+    titles = {0: "&quot;a&quot; &amp; b", 1: "&amp;amp;lt;", 2: "&#65;&#x42;c &bogus; &#xD800;", 3: "&eacute;t&nbsp;\u00e9", 4: " ", 5: "plain & bare"}
+    pages = pa.Table.from_pylist([{"page_id": k, "html": f"<html><title>{x}</title></html>"} for k, x in titles.items()])
+    con = duckdb.connect()
+    con.register("pages", pages)
+    want = [(0, '"a" & b'), (1, "<"), (2, "ABc &bogus; \ufffd"), (3, "\u00e9t \u00e9"), (5, "plain & bare")]
+    assert sorted(con.execute(catalog.ORACLE_SQL["src3_read_feed"]).fetchall()) == want
