@@ -15,16 +15,16 @@ def highlight_phrases(c: Column, strong: list[str], before: list[str], units: li
     ``before``, else with the one to its right. The shortest first they are kept while
     their words stay within a share of the title's, one word at least."""
     space = "[^ \\t\\n\\r\\f]+"
-    quoted = F.transform(F.regexp_extract_all(c, F.lit("[\"“”']([^\"“”']{3,28})[\"“”']"), F.lit(1)), F.trim)
+    quoted = F.transform(F.regexp_extract_all(c, F.lit("[\"“”']([^\"“”']{3,28})[\"“”']"), F.lit(1)), lambda p: F.trim(p))
     counted = F.regexp_extract_all(c, F.lit("(?iu)(\\b[0-9]+\\s*[-–]\\s*[0-9]+\\b|\\b[0-9]+\\s+(?:" + "|".join(f"\\Q{u}\\E" for u in units) + ")\\b)"), F.lit(1))
     words = F.regexp_extract_all(c, F.lit(f"({space})"), F.lit(1))
-    bare = F.transform(words, lambda w: F.regexp_replace(F.lower(w), "^[,.:;!?\"“”']+|[,.:;!?\"“”']+$", ""))
+    bare = F.transform(words, lambda w: F.regexp_replace(F.lower(w), "^[,.:;!?\"“”']+|[,.:;!?\"“”']+\\z", ""))
     single = [w for w in strong if len(w.split()) == 1]
     hits = F.transform(bare, lambda w: F.exists(F.array(*[F.lit(k) for k in single]), lambda k: F.contains(w, k)))
     i = F.array_position(hits, True).cast("int")
     left = (i > 1) & F.coalesce(F.get(bare, i - 2).isin(*before), F.lit(False))
     phrase = F.when(left, F.concat_ws(" ", F.get(words, i - 2), F.get(words, i - 1))).otherwise(F.concat_ws(" ", F.get(words, i - 1), F.get(words, i)))
-    strongest = F.when(i > 0, F.array(F.regexp_replace(phrase, "^[,.:;!?]+|[,.:;!?]+$", ""))).otherwise(F.array().cast("array<string>"))
+    strongest = F.when(i > 0, F.array(F.regexp_replace(phrase, "^[,.:;!?]+|[,.:;!?]+\\z", ""))).otherwise(F.array().cast("array<string>"))
     found = F.slice(F.array_distinct(F.filter(F.concat(quoted, counted, strongest), lambda p: p != "")), 1, 2)
     room = F.greatest(F.lit(1), F.floor(F.size(words) * share).cast("int"))
     by_length = F.array_sort(F.transform(found, lambda p, n: F.struct(F.length(p).alias("l"), n.alias("n"), p.alias("p"))))

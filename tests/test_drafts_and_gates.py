@@ -261,6 +261,12 @@ def test_highlights(spark):
     ) == [["never again"], ["3 - 1"], ["12 Times"], ["a shock"], ["shocking! defeat"], ["shock"], ["shock"], ["one two three"], [], ["3-1", "late goal"]]
 
 
+def test_highlights_are_trimmed_of_blanks_alone(spark):
+    run = lambda title: spark.createDataFrame([(title,)], "t string").select(desk.highlight_phrases(F.col("t"), ["shock"], ["the"], ["goals"])).first()[0]
+    assert run('They said " never 0" and then "1 more 1" after the match in this town') == ["never 0", "1 more 1"]
+    assert run("the shock.\u2028 they all went home again tonight") == ["the shock.\u2028"]  # a line end is no end of the text
+
+
 def test_scenes_begin_at_zero(spark):
     rows = [(1, 2.0, 7, 20.0), (1, 2.5, 8, 20.0), (1, 4.0, 9, 20.0), (1, 19.5, 10, 20.0), (2, 0.0, 1, 5.0), (2, 0.4, 2, 5.0), (3, 0.3, 5, 9.0), (4, 8.0, 1, 3.0)]
     got = sorted(tuple(r) for r in desk.scenes(spark.createDataFrame(rows, "video long, start double, picture long, total double"), "video").collect())
