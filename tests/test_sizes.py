@@ -110,3 +110,11 @@ def test_feed_sql_decodes_entities():
     con.register("pages", pages)
     want = [(0, '"a" & b'), (1, "<"), (2, "ABc &bogus; \ufffd"), (3, "\u00e9t \u00e9"), (5, "plain & bare")]
     assert sorted(con.execute(catalog.ORACLE_SQL["src3_read_feed"]).fetchall()) == want
+
+
+def test_missing_keys_meet_once(spark):
+    ledger = spark.createDataFrame([(k,) for k in (1, 1, 2, 3, 3, None)], "k long")
+    files = spark.createDataFrame([(k,) for k in (2, 3, 4, 4, None, None)], "k long")
+    got = library.missing_both_ways(ledger, files, "k")
+    assert sorted(map(str, (tuple(r) for r in got.collect()))) == ["(1, 'no file')", "(4, 'no row')", "(None, 'no file')", "(None, 'no row')"]
+    assert "Join" not in plan(got) and "Sort" not in plan(got)
