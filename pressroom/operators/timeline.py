@@ -63,17 +63,12 @@ def pace(rows: DataFrame, video: str, index: str, floor: float = 2.5, slack: flo
     of ``floor`` borrow up to it from the neighbours that are no clips, the longer first,
     as far as those keep ``floor`` a part. Last, parts that got too short are taken back,
     and sentences (no clips) with parts over ``most`` get more; a clip without extra
-    pictures stays as it is. The sum stays. A video's sentences are few, so each video is
-    one small group."""
+    pictures stays as it is. The sum stays. A video's sentences are few: they go to the
+    rule as one row, many videos to a batch."""
     import math
 
-    import pandas as pd
-
-    schema = f"{video} long, {index} long, parts int, paced double"
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(index)
-        given = [(float(x), bool(c), int(e)) for x, c, e in zip(pdf["length"], pdf["is_clip"], pdf["extra"])]
+    def one(length: list, is_clip: list, extras: list) -> list:
+        given = [(float(x), bool(c), int(e)) for x, c, e in zip(length, is_clip, extras)]
         seconds = [x for x, _, _ in given]
         fits = [max(1, int((x + 0.01) // floor)) for x in seconds]
         parts = [max(1 if clip else max(1, math.ceil(x / most - 1e-9)), min(1 + extra, room) if extra else 1) for (x, clip, extra), room in zip(given, fits)]
@@ -96,9 +91,13 @@ def pace(rows: DataFrame, video: str, index: str, floor: float = 2.5, slack: flo
                 parts[k] -= 1
             if not clip:
                 parts[k] = max(parts[k], math.ceil(seconds[k] / (most + 0.01)))
-        return pd.DataFrame({video: pdf[video], index: pdf[index], "parts": parts, "paced": [round(x, 2) for x in seconds]})
+        return [(n, round(x, 2)) for n, x in zip(parts, seconds)]
 
-    return rows.select(video, index, "length", "is_clip", "extra").groupBy(video).applyInPandas(one, schema)
+    rule = F.udf(one, "array<struct<parts:int,paced:double>>", useArrow=True)
+    sentence = F.struct(F.col(index).isNull().alias("_last"), F.col(index).cast("long").alias("_i"), F.col("length").cast("double").alias("_x"), F.col("is_clip").alias("_c"), F.col("extra").cast("int").alias("_e"))
+    script = rows.groupBy(video).agg(F.sort_array(F.collect_list(sentence)).alias("_s"))
+    paced = script.select(F.col(video).cast("long").alias(video), F.col("_s._i").alias("_i"), rule("_s._x", "_s._c", "_s._e").alias("_p"))
+    return paced.select(video, F.explode(F.arrays_zip("_i", "_p")).alias("_o")).select(video, F.col("_o._i").alias(index), "_o._p.parts", "_o._p.paced")
 
 
 def merge_points(points: DataFrame, video: str, t: str, length: str, edge: float = 0.5, least: float = 1.5, most: int = 60) -> DataFrame:

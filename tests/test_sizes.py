@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from pressroom import catalog
 from pressroom.functions import text
-from pressroom.operators import board, library, search
+from pressroom.operators import board, library, search, timeline
 
 
 def plan(df) -> str:
@@ -118,3 +118,13 @@ def test_missing_keys_meet_once(spark):
     got = library.missing_both_ways(ledger, files, "k")
     assert sorted(map(str, (tuple(r) for r in got.collect()))) == ["(1, 'no file')", "(4, 'no row')", "(None, 'no file')", "(None, 'no row')"]
     assert "Join" not in plan(got) and "Sort" not in plan(got)
+
+
+def test_pacing_takes_many_videos_a_batch(spark):
+    """A call for each video, not for each batch of them, took most of the time."""
+    script = [(10.3, False, 2), (1.0, False, 0), (9.2, True, 2), (12.0, True, 0), (2.4, False, 0), (1.0, False, 0), (6.0, False, 0)]
+    rows = [(v, i, *script[i]) for i in reversed(range(7)) for v in range(300)]
+    got = timeline.pace(spark.createDataFrame(rows, "v long, i long, length double, is_clip boolean, extra int"), "v", "i")
+    want = [(3, 8.8), (1, 2.5), (3, 9.2), (1, 12.0), (1, 2.4), (1, 2.0), (2, 5.0)]
+    assert sorted(tuple(r) for r in got.collect()) == [(v, i, *want[i]) for v in range(300) for i in range(7)]
+    assert "FlatMapGroupsInPandas" not in plan(got)
