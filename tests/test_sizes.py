@@ -128,3 +128,11 @@ def test_pacing_takes_many_videos_a_batch(spark):
     want = [(3, 8.8), (1, 2.5), (3, 9.2), (1, 12.0), (1, 2.4), (1, 2.0), (2, 5.0)]
     assert sorted(tuple(r) for r in got.collect()) == [(v, i, *want[i]) for v in range(300) for i in range(7)]
     assert "FlatMapGroupsInPandas" not in plan(got)
+
+
+def test_labels_are_cleaned_within_their_row(spark):
+    many = [f" W{i * 7 % 40}{'!' * (i % 3)}" for i in range(500)]
+    rows = {1: ["Cúp", " cup ", "", None, "Goal", "CUP!", "đội", "Doi"], 2: [" ", None], 3: None, 4: many, 5: ["!", "?", "b", "a"]}
+    got = library.label_hygiene(spark.createDataFrame(list(rows.items()), "k long, l array<string>"), "k", "l")
+    assert {r.k: r.labels for r in got.collect()} == {1: ["Cúp", "Goal", "đội"], 4: [x.strip() for x in many[:12]], 5: ["!", "b", "a"]}
+    assert "Exchange" not in plan(got) and "Sort " not in plan(got)
