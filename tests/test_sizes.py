@@ -136,3 +136,16 @@ def test_labels_are_cleaned_within_their_row(spark):
     got = library.label_hygiene(spark.createDataFrame(list(rows.items()), "k long, l array<string>"), "k", "l")
     assert {r.k: r.labels for r in got.collect()} == {1: ["Cúp", "Goal", "đội"], 4: [x.strip() for x in many[:12]], 5: ["!", "b", "a"]}
     assert "Exchange" not in plan(got) and "Sort " not in plan(got)
+
+
+def test_copies_of_a_picture_are_linked(spark, tmp_path):
+    """Equal hashes meet the threshold too: each copy is linked to the first."""
+    up, down = [float(i) for i in range(64)], [float(-i) for i in range(64)]
+    near = [-1.0 if i == 0 else x for i, x in enumerate(down)]  # one bit from ``down``
+    vectors = {3: up, 1: down, 7: up, 9: down, 4: near, 8: up, 2: None}
+    spark.createDataFrame(list(vectors.items()), "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = sorted(tuple(r) for r in catalog.QUERIES["j6_image_dedupe"](spark, str(tmp_path)).collect())
+    assert got == [(1, 4, 1), (1, 9, 0), (3, 7, 0), (3, 8, 0)]
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet' WHERE embedding IS NOT NULL")
+    assert sorted(con.execute(catalog.ORACLE_SQL["j6_image_dedupe"]).fetchall()) == got
