@@ -149,3 +149,19 @@ def test_copies_of_a_picture_are_linked(spark, tmp_path):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet' WHERE embedding IS NOT NULL")
     assert sorted(con.execute(catalog.ORACLE_SQL["j6_image_dedupe"]).fetchall()) == got
+
+
+def test_best_hit_at_large_ids(spark, tmp_path):
+    """A point of score weighs as much as 100,000 in doc_id, as the SQL has it."""
+    docs = [(5, "heron", "src"), (350_005, "heron", "heron"), (99_000, "stork", "stork"), (3, "stork", "src"), (4, "stork", "src")]
+    spark.createDataFrame(docs, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(2, "heron"), (7, "stork"), (8, "quagga")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    con = duckdb.connect()
+    for name in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    for name in ("u4_rich_thin", "u4_rich_thin_whole"):
+        got = {(r.item_id, r.hits, r.kind, r.doc_id) for r in catalog.QUERIES[name](spark, str(tmp_path)).collect()}
+        assert got == {(2, 2, "thin", 5), (7, 3, "rich", 99_000), (8, 0, "thin", None)}
+        found = con.execute(catalog.ORACLE_SQL[name])
+        at = [[c[0] for c in found.description].index(c) for c in ("item_id", "hits", "kind", "doc_id")]
+        assert {tuple(r[i] for i in at) for r in found.fetchall()} == got
