@@ -3,6 +3,9 @@ and SQL whose constants or rounding fit small data only."""
 
 from __future__ import annotations
 
+import random
+import re
+
 import duckdb
 import pyarrow as pa
 from pyspark.sql import functions as F
@@ -165,3 +168,27 @@ def test_best_hit_at_large_ids(spark, tmp_path):
         found = con.execute(catalog.ORACLE_SQL[name])
         at = [[c[0] for c in found.description].index(c) for c in ("item_id", "hits", "kind", "doc_id")]
         assert {tuple(r[i] for i in at) for r in found.fetchall()} == got
+
+
+def test_learned_bonus_lays_out_its_pairs_last(spark):
+    """No row for a query and an asset is shuffled or gathered; kinds stand for assets."""
+    r = random.Random(4)
+    some = lambda letters, n: r.sample(letters, r.randint(0, n))
+    asks = {i: some("abcdefgh", 5) for i in range(12)}
+    past = [(i, r.choice(["s", "t", "u", None]), some("klmno", 4), some("abcdefgh", 5)) for i in range(9)]
+    assets = [(r.randint(0, 30), r.choice(["s", "t", "v", None]), some("klmnp", 4)) for _ in range(45)]  # keys repeat
+    want = {}
+    for i, words in asks.items():
+        for _, subject, labels, tokens in past:
+            o = len({*words} & {*tokens})
+            for k, own, tags in assets if o >= 2 else ():
+                shared = len({*labels} & {*tags})
+                bonus = o + 6 if own and own == subject else min(shared, 3) + 2 if shared and own != subject else 0
+                want[i, k] = max(bonus, want.get((i, k), 0))
+    q = spark.createDataFrame(list(asks.items()), "q long, tokens array<string>")
+    h = spark.createDataFrame(past, "past long, subject string, labels array<string>, tokens array<string>")
+    a = spark.createDataFrame(assets, "k long, subject string, labels array<string>")
+    for few in (0, 1000):
+        got = search.learned_label_bonus(q, h, a, "q", "k", few=few, chunk=2, deals=3)
+        assert sorted(tuple(x) for x in got.collect()) == sorted((*at, n) for at, n in want.items() if n)
+        assert not re.search(r"hashpartitioning\(q#\d+L?, k#", plan(got))
