@@ -192,3 +192,27 @@ def test_learned_bonus_lays_out_its_pairs_last(spark):
         got = search.learned_label_bonus(q, h, a, "q", "k", few=few, chunk=2, deals=3)
         assert sorted(tuple(x) for x in got.collect()) == sorted((*at, n) for at, n in want.items() if n)
         assert not re.search(r"hashpartitioning\(q#\d+L?, k#", plan(got))
+
+
+def test_a_common_passage_is_scanned_in_batches(spark):
+    """Pairs and clusters of sets that share seven words, in small blocks and batches, are
+    those of a plain scan; the pairs inside a large cluster are not made for the scan."""
+    r = random.Random(7)
+    line, rest = [f"line{i}" for i in range(7)], [f"w{i}" for i in range(60)]
+    sets = {3 * i: sorted({*(line if i % 2 else []), *r.sample(rest, r.randint(1, 9))}) for i in range(240)}
+    match = lambda a, b: (o := len({*a} & {*b})) >= 3 and o >= 0.5 * min(len(a), len(b))
+    items = spark.createDataFrame(list(sets.items()), "k long, s array<string>")
+    want = sorted((a, b, len({*sets[a]} & {*sets[b]})) for a in sets for b in sets if a < b and match(sets[a], sets[b]))
+    assert sorted(tuple(x) for x in board.overlap_pairs(items, "k", "s", block=5).collect()) == want
+    founders, of = [], {}
+    for k, s in sets.items():
+        of[k] = next((f for f in founders if match(sets[f], s)), k)
+        founders += [k] if of[k] == k else []
+    seen, leaders = [], board.leaders
+    board.leaders = lambda edges: leaders(seen.append(edges.count()) or edges)
+    try:
+        got = board.clusters(items, "k", "s", batch=16, grow=3, block=5)
+        assert {x.k: x.founder for x in got.collect()} == of
+    finally:
+        board.leaders = leaders
+    assert sum(seen) < len(want) / 10
