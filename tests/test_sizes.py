@@ -216,3 +216,34 @@ def test_a_common_passage_is_scanned_in_batches(spark):
     finally:
         board.leaders = leaders
     assert sum(seen) < len(want) / 10
+
+
+def test_strict_search_compares_few_assets_whole(spark, monkeypatch):
+    """Points of every word in every asset are neither stored nor shuffled, and an asset
+    without a subject has its other words."""
+    r = random.Random(2)
+    words = ["a", "of", "heron", "herons", "stork", "storks", "marsh", "reed", "reeds", "bird", "water", "late"]
+    text = lambda n: " ".join(r.choice(words) for _ in range(n))
+    rows = [(i % 55, r.choice([None, "", text(2)]), text(3), r.choice([None, text(9)])) for i in range(60)]  # keys repeat
+    asks = {q: text(1 + q % 7) for q in range(30)}
+
+    def hit(a, b):
+        near = {w[:i] + w[i + 1 :] for w in (a, b) for i in range(len(w))} | {a, b}
+        one = abs(len(a) - len(b)) == 1 and (a in near and b in near) and ({a[:i] + a[i + 1 :] for i in range(len(a))} | {b[:i] + b[i + 1 :] for i in range(len(b))}) & {a, b}
+        typo = one or (len(a) == len(b) and sum(x != y for x, y in zip(a, b)) <= 1)
+        return 3 if a == b else 2 if a in b else 1 if len(a) >= 3 and len(b) >= 3 and typo else 0
+
+    want = {}
+    for q, ask in asks.items():
+        for k in {row[0] for row in rows}:
+            best = [max(hit(w, t) * n for row in rows if row[0] == k for f, n in zip(row[1:], (3, 2, 1)) for t in (f or "").split() or [""]) for w in {*ask.split()}]
+            if all(best):
+                want[q, k] = sum(best)
+    assets = spark.createDataFrame(rows, "k long, subject string, labels string, description string")
+    queries = spark.createDataFrame(list(asks.items()), "q long, t string")
+    kept, stored, complete = [], search.stored, search._complete
+    monkeypatch.setattr(search, "stored", lambda df: kept.append(df.columns) or stored(df))
+    assert {(x.q, x.k): x.score for x in search.strict(assets, queries, "k", "q", "t").collect()} == want
+    assert ["k", "qt", "points"] not in kept
+    monkeypatch.setattr(search, "_complete", lambda *a: complete(*a, first=1, tried=2, few=0))
+    assert {(x.q, x.k): x.score for x in search.strict(assets, queries, "k", "q", "t").collect()} == want
