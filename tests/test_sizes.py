@@ -247,3 +247,19 @@ def test_strict_search_compares_few_assets_whole(spark, monkeypatch):
     assert ["k", "qt", "points"] not in kept
     monkeypatch.setattr(search, "_complete", lambda *a: complete(*a, first=1, tried=2, few=0))
     assert {(x.q, x.k): x.score for x in search.strict(assets, queries, "k", "q", "t").collect()} == want
+
+
+def test_first_matches_end_the_search(spark, monkeypatch):
+    """Rows that have their three matches meet no later batch."""
+    r = random.Random(5)
+    words = [f"w{i}" for i in range(30)]
+    left = {a: r.sample(words, r.randint(0, 12)) for a in range(40)}
+    right = {b: r.sample(words, r.randint(0, 5)) if b % 4 else words[:3] for b in range(0, 600, 2)}
+    fits = lambda t, s: len({*t} & {*s}) > 0 and len({*t} & {*s}) >= 0.35 * len(s)
+    want = sorted((a, b, i + 1) for a, t in left.items() for i, b in enumerate([b for b, s in sorted(right.items()) if fits(t, s)][:3]))
+    asked, shared = [], search.shared_tokens
+    monkeypatch.setattr(search, "shared_tokens", lambda x, *y: asked.append(x.count()) or shared(x, *y))
+    schema = "w array<string>"
+    got = search.first_shared(spark.createDataFrame(list(left.items()), f"a long, {schema}"), spark.createDataFrame(list(right.items()), f"b long, {schema}"), "a", "b", "w", 0.35, batch=40, grow=2)
+    assert sorted(tuple(x) for x in got.collect()) == want
+    assert asked[0] == 40 and max(asked[1:]) < 20
